@@ -23,8 +23,24 @@ def op1_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op3_warc_chunked_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.warc import chunked_records, read_warc, write_warc
+
+    archives = write_warc(chunked_records(_table(spark, sf_dir, "pages"), min_revisit_bytes=0))
+    last = read_warc(archives, with_data=False).filter("is_last")
+    return last.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_token_files_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.token_files import read_token_files, write_token_files
+
+    return read_token_files(write_token_files(_table(spark, sf_dir, "documents"), _tokenizer(), end_id=0))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_chunk_reuse": op1_bpe_chunk_reuse,
+    "op3_warc_chunked_records": op3_warc_chunked_records,
+    "op8_token_files_elias_fano": op8_token_files_elias_fano,
 }
 
 #: DuckDB SQL for those that SQL can express.
