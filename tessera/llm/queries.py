@@ -31,6 +31,12 @@ def op3_warc_chunked_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_simhash_tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.simhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), radius=4, shingle=4)
+
+
 def op8_token_files_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.token_files import read_token_files, write_token_files
 
@@ -40,6 +46,7 @@ def op8_token_files_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_chunk_reuse": op1_bpe_chunk_reuse,
     "op3_warc_chunked_records": op3_warc_chunked_records,
+    "op7_simhash_tiled": op7_simhash_tiled,
     "op8_token_files_elias_fano": op8_token_files_elias_fano,
 }
 
