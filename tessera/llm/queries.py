@@ -31,6 +31,12 @@ def op3_warc_chunked_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_substring_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.substring import remove_repeated
+
+    return remove_repeated(_table(spark, sf_dir, "documents"), window=50).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op7_simhash_tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.simhash import near_duplicates
 
@@ -46,6 +52,7 @@ def op8_token_files_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_chunk_reuse": op1_bpe_chunk_reuse,
     "op3_warc_chunked_records": op3_warc_chunked_records,
+    "op4_substring_windows": op4_substring_windows,
     "op7_simhash_tiled": op7_simhash_tiled,
     "op8_token_files_elias_fano": op8_token_files_elias_fano,
 }
