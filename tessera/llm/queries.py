@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,12 @@ def op1_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op2_quality_fourier_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quality import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.7)
+
+
 def op3_warc_chunked_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.warc import chunked_records, read_warc, write_warc
 
@@ -49,13 +56,33 @@ def op8_token_files_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(_table(spark, sf_dir, "documents"), _tokenizer(), end_id=0))
 
 
+def op10_site_relative_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.site_lines import drop_site_lines
+
+    kept = drop_site_lines(_table(spark, sf_dir, "documents"), host="source", ratio=0.05, min_pages=5)
+    return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_chunk_reuse": op1_bpe_chunk_reuse,
+    "op2_quality_fourier_ridge": op2_quality_fourier_ridge,
     "op3_warc_chunked_records": op3_warc_chunked_records,
     "op4_substring_windows": op4_substring_windows,
     "op7_simhash_tiled": op7_simhash_tiled,
     "op8_token_files_elias_fano": op8_token_files_elias_fano,
+    "op10_site_relative_lines": op10_site_relative_lines,
 }
 
 #: DuckDB SQL for those that SQL can express.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op10_site_relative_lines": """
+WITH d AS (SELECT doc_id, coalesce(source, '') AS host, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, host, unnest(lines) AS line, generate_subscripts(lines, 1) AS k FROM d),
+t AS (SELECT host, count(*) AS pages FROM d GROUP BY host),
+c AS (SELECT host, line, count(DISTINCT doc_id) AS n FROM l WHERE NOT regexp_full_match(line, '[\\x20\\x09-\\x0D]*') GROUP BY host, line),
+b AS (SELECT c.host, c.line FROM c JOIN t USING (host) WHERE n >= 5 AND n > 0.05::DOUBLE * pages)
+SELECT l.doc_id, count(*) AS n_lines, count(b.line) AS n_dropped,
+       sha256(coalesce(string_agg(CASE WHEN b.line IS NULL THEN l.line END, chr(10) ORDER BY k), '')) AS kept_sha256
+FROM l LEFT JOIN b ON l.host = b.host AND l.line = b.line GROUP BY l.doc_id
+""",
+}
