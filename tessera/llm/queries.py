@@ -44,6 +44,18 @@ def op4_substring_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated(_table(spark, sf_dir, "documents"), window=50).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op5_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.outliers import judge
+
+    return judge(_table(spark, sf_dir, "documents"))
+
+
+def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.decontaminate import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_simhash_tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.simhash import near_duplicates
 
@@ -68,6 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_fourier_ridge": op2_quality_fourier_ridge,
     "op3_warc_chunked_records": op3_warc_chunked_records,
     "op4_substring_windows": op4_substring_windows,
+    "op5_mcd_outliers": op5_mcd_outliers,
+    "op6_template_decontamination": op6_template_decontamination,
     "op7_simhash_tiled": op7_simhash_tiled,
     "op8_token_files_elias_fano": op8_token_files_elias_fano,
     "op10_site_relative_lines": op10_site_relative_lines,
