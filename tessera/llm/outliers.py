@@ -13,6 +13,7 @@ all rows is no single task's work.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from tessera.runtime import materialise
 
 H, STEPS, LEAST_GROUP, RIDGE = 0.75, 4, 50, 0.05
 #: Squared distance beyond which a vector is rejected: far in the tail, as counts have longer tails than normal ones.
-CUTOFF = 150.0
+CUTOFF = 300.0
 _SPACE = r"[ \t\n\x0B\f\r]"
 VECTOR = ("v_size", "v_length", "v_symbols", "v_lines", "v_repeats")
 
@@ -80,17 +81,24 @@ def _chi2_quantile(p: float, df: int) -> float:
     return (lo + hi) / 2
 
 
+def _precision(entry: Callable[[int, int], str]) -> Column:
+    """The inverse of the covariances entry(i, j), j <= i, row by row in one array: Gauss-Jordan steps on the matrix with
+    the unit matrix beside it. Positive definite matrices need no pivots."""
+    d = len(VECTOR)
+    both = [entry(max(i, j), min(i, j)) if j < d else f"{float(i == j - d)}D" for i in range(d) for j in range(2 * d)]
+    cell = lambda i, j: f"m[int({i}) * {2 * d} + int({j})]"
+    row, col = f"(t div {2 * d})", f"(t % {2 * d})"
+    step = f"if({row} = k, m[t] / {cell('k', 'k')}, m[t] - {cell(row, 'k')} * {cell('k', col)} / {cell('k', 'k')})"
+    done = f"aggregate(sequence(0, {d - 1}), array({', '.join(both)}), (m, k) -> transform(sequence(0, {2 * d * d - 1}), t -> {step}))"
+    return F.expr(f"aggregate(array(0), {done}, (m, k) -> m, m -> transform(sequence(0, {d * d - 1}), t -> m[int(t div {d}) * {2 * d} + {d} + t % {d}]))")
+
+
 def distance(rows: DataFrame, name: str = "d2") -> DataFrame:
-    """rows with the squared Mahalanobis distance of VECTOR from m_i under the covariances s_i_j, by Cholesky's factor."""
-    d, x = len(VECTOR), [F.col(v) for v in VECTOR]
-    for i in range(d):
-        for j in range(i + 1):
-            left = F.col(f"s_{i}_{j}") - sum((F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") for k in range(j)), F.lit(0.0))
-            rows = rows.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(left, F.lit(1e-12))) if i == j else left / F.col(f"l_{j}_{j}"))
-    for i in range(d):
-        left = x[i] - F.col(f"m_{i}") - sum((F.col(f"l_{i}_{k}") * F.col(f"y_{k}") for k in range(i)), F.lit(0.0))
-        rows = rows.withColumn(f"y_{i}", left / F.col(f"l_{i}_{i}"))
-    return rows.withColumn(name, sum((F.col(f"y_{i}") ** 2 for i in range(d)), F.lit(0.0)))
+    """rows with the squared Mahalanobis distance of VECTOR from m_i under the inverse covariances."""
+    d = len(VECTOR)
+    away = [F.col(v) - F.col(f"m_{i}") for i, v in enumerate(VECTOR)]
+    terms = [F.col("precision")[i * d + j] * away[i] * away[j] for i in range(d) for j in range(d)]
+    return rows.withColumn(name, sum(terms[1:], terms[0]))
 
 
 def _estimate(rows: DataFrame, factor: float) -> DataFrame:
@@ -98,11 +106,12 @@ def _estimate(rows: DataFrame, factor: float) -> DataFrame:
     d = len(VECTOR)
     ab = [(i, j) for i in range(d) for j in range(i + 1)]
     sums = rows.groupBy("g").agg(*[F.avg(v).alias(f"m_{i}") for i, v in enumerate(VECTOR)], *[F.covar_pop(VECTOR[i], VECTOR[j]).alias(f"c_{i}_{j}") for i, j in ab])
-    return sums.select("g", *[f"m_{i}" for i in range(d)], *[(F.col(f"c_{i}_{j}") * factor + (RIDGE**2 if i == j else 0.0)).alias(f"s_{i}_{j}") for i, j in ab])
+    entry = lambda i, j: f"(c_{i}_{j} * {factor}D + {RIDGE**2 if i == j else 0.0}D)"
+    return sums.select("g", *[f"m_{i}" for i in range(d)], _precision(entry).alias("precision"))
 
 
 def mcd(rows: DataFrame, h: float = H, steps: int = STEPS, least: int = LEAST_GROUP) -> DataFrame:
-    """g, m_i and s_i_j: the estimates of each group g of rows (g, VECTOR) with at least `least` rows.
+    """g, m_i and precision: the estimates of each group g of rows (g, VECTOR) with at least `least` rows.
 
     The start is the groups' medians and 1.4826 times their median absolute deviations, without correlation. Scatter is
     scaled so that it is consistent for normal data. Each step's estimates are written, being a row a group.
@@ -113,8 +122,8 @@ def mcd(rows: DataFrame, h: float = H, steps: int = STEPS, least: int = LEAST_GR
     start = materialise(start, "mcd-medians")
     spread = rows.join(start, "g").groupBy("g").agg(*[near(F.abs(F.col(v) - F.col(f"m_{i}")), 0.5).alias(f"d_{i}") for i, v in enumerate(VECTOR)])
     spread = start.join(spread, "g")
-    ab = [(i, j) for i in range(d) for j in range(i + 1)]
-    now = materialise(spread.select("g", *[f"m_{i}" for i in range(d)], *[((1.4826 * F.col(f"d_{i}")) ** 2 + RIDGE**2 if i == j else F.lit(0.0)).alias(f"s_{i}_{j}") for i, j in ab]), "mcd-start")
+    alone = lambda i, j: f"(pow(1.4826D * d_{i}, 2) + {RIDGE**2}D)" if i == j else "0.0D"
+    now = materialise(spread.select("g", *[f"m_{i}" for i in range(d)], _precision(alone).alias("precision")), "mcd-start")
     factor = h / _chi2_share(_chi2_quantile(h, d), d + 2)
     for _ in range(steps):
         far = distance(rows.join(now, "g")).select("g", *VECTOR, "d2")
