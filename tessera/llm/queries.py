@@ -12,6 +12,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The registered query's key; a user brings a secret one.
+PSEUDONYM_KEY = b"registered query"
+
+
 def _tokenizer() -> str:
     import public_tokenizers
 
@@ -68,6 +72,12 @@ def op8_token_files_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(_table(spark, sf_dir, "documents"), _tokenizer(), end_id=0))
 
 
+def op9_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.pseudonyms import pseudonyms
+
+    return pseudonyms(_table(spark, sf_dir, "documents"), key=PSEUDONYM_KEY).select("doc_id", "text", "n_replaced")
+
+
 def op10_site_relative_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.site_lines import drop_site_lines
 
@@ -84,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_template_decontamination": op6_template_decontamination,
     "op7_simhash_tiled": op7_simhash_tiled,
     "op8_token_files_elias_fano": op8_token_files_elias_fano,
+    "op9_feistel_pseudonyms": op9_feistel_pseudonyms,
     "op10_site_relative_lines": op10_site_relative_lines,
 }
 
