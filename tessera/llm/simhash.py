@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.words import mix
 from tessera.runtime import materialise, ship
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -25,32 +26,36 @@ GROUP, TILE = 1 << 17, 512
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """The SimHash of a text: A-Z in lower case, words of [^\\x20\\x09-\\x0D]+, shingles joined by one space (fewer words:
-    all of them as one), XXH64 with seed 42; a bit is 1 where more than half of the shingles have it. No words: 0."""
-    words = text.translate(_LOWER).split()  # of bytes: at these six characters
-    n = len(words)
+def fingerprint(text: bytes, shingle: int = SHINGLE, words: int = 1) -> bytes:
+    """The SimHash of a text, 8 little-endian bytes a word: A-Z in lower case, words of [^\\x20\\x09-\\x0D]+, shingles joined
+    by one space (fewer words: all of them as one), XXH64 with seed 42; a bit is 1 where more than half of the shingles
+    have it. Further words of a wider fingerprint come from the same hashes, mixed anew. No words: 0."""
+    parts = text.translate(_LOWER).split()  # of bytes: at these six characters
+    n = len(parts)
     if not n:
-        return 0
-    if n <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+        return bytes(8 * words)
     # all shingles are slices of one joined text
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
-    starts = (ends - np.fromiter(map(len, words), np.int64, n) - 1)[: n - shingle + 1].tolist()
-    joined, ends = b" ".join(words), (ends[shingle - 1 :] - 1).tolist()
+    size = np.fromiter(map(len, parts), np.int64, n)
+    ends = np.cumsum(size + 1)
+    k = min(n, shingle)
+    starts, joined, ends = (ends - size - 1)[: n - k + 1].tolist(), b" ".join(parts), (ends[k - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    counts = np.zeros(64, np.int64)
-    for k in range(0, len(starts), 1 << 16):
-        h = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[k : k + (1 << 16)], ends[k : k + (1 << 16)], strict=True)), np.uint64)
-        counts += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > len(starts), bitorder="little").tobytes(), "little")
+    counts = np.zeros((words, 64), np.int64)
+    for at in range(0, len(starts), 1 << 16):
+        h = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[at : at + (1 << 16)], ends[at : at + (1 << 16)], strict=True)), np.uint64)
+        for w in range(words):
+            x = mix(h ^ np.uint64(w * 0x9E3779B97F4A7C15 % (1 << 64))) if w else h
+            counts[w] += np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(starts), bitorder="little").tobytes()
 
 
-def _fingerprints(shingle: int) -> Callable:
+def _fingerprints(shingle: int, words: int) -> Callable:
+    names = [f"f{w}" for w in range(words)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(x.as_buffer().to_pybytes(), shingle) for x in b.column(0)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(fp), *b.columns[1:]], ["fp", *b.schema.names[1:]])
+            fp = np.frombuffer(b"".join([fingerprint(x.as_buffer().to_pybytes(), shingle, words) for x in b.column(0)]), "<i8").reshape(-1, words)
+            yield pa.RecordBatch.from_arrays([*(pa.array(fp[:, w]) for w in range(words)), *b.columns[1:]], [*names, *b.schema.names[1:]])
 
     return run
 
@@ -71,14 +76,15 @@ def _join_labels(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             labels[:] = up
 
 
-def forest(fps: np.ndarray, side: np.ndarray | None, radius: int, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (x, y) that join each fingerprint to the first of its class under the links of at most radius bits.
-    side: 0 or 1 of each, then only links between the sides are looked for (others belong to other cells)."""
-    n = len(fps)
-    by_byte = np.bitwise_count(fps.view(np.uint8).reshape(-1, 8)).astype(np.int16)
+def forest(fps: np.ndarray, side: np.ndarray | None, radius: int, screen: int | None = None, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
+    """Indices (x, y) that join each fingerprint (a row of one or more 64-bit words) to the first of its class under the
+    links: at most radius differing bits, of which at most `screen` in the first word. side: 0 or 1 of each, then only
+    links between the sides are looked for (others belong to other cells)."""
+    n, screen = len(fps), radius if screen is None else screen
+    by_byte = np.bitwise_count(fps[:, :1].copy().view(np.uint8)).astype(np.int16)
     quarters = by_byte[:, ::2] + by_byte[:, 1::2]
     order = np.lexsort((quarters[:, 2], quarters[:, 0], quarters[:, 2:].sum(axis=1), quarters[:, :2].sum(axis=1), np.zeros(n) if side is None else side))
-    fps, by_byte = fps[order], by_byte[order]
+    by_byte, first, rest = by_byte[order], fps[order, 0].copy(), fps[order, 1:]
     split = n if side is None else int((side == 0).sum())
     bounds = [(a, min(a + tile, split)) for a in range(0, split, tile)] + [(a, min(a + tile, n)) for a in range(split, n, tile)]
     low = np.array([by_byte[a:b].min(axis=0) for a, b in bounds]).reshape(-1, 8)
@@ -91,37 +97,43 @@ def forest(fps: np.ndarray, side: np.ndarray | None, radius: int, tile: int = TI
     for k, (a, b) in enumerate(bounds if side is None else bounds[:n_left]):
         others = np.arange(k, len(bounds)) if side is None else np.arange(n_left, len(bounds))
         gap = np.maximum(low[others] - high[k], 0) + np.maximum(low[k] - high[others], 0)
-        near = (gap.sum(axis=1) <= radius) & (t_low[others] - t_high[k] <= radius) & (t_low[k] - t_high[others] <= radius)
+        near = (gap.sum(axis=1) <= screen) & (t_low[others] - t_high[k] <= screen) & (t_low[k] - t_high[others] <= screen)
         for o in others[near].tolist():
             c, d = bounds[o]
-            i, j = np.nonzero(np.bitwise_count(fps[a:b, None] ^ fps[None, c:d]) <= radius)
+            i, j = np.nonzero(np.bitwise_count(first[a:b, None] ^ first[None, c:d]) <= screen)
             i, j = i + a, j + c
             keep = labels[i] != labels[j]
-            if keep.any():
-                _join_labels(labels, i[keep], j[keep])
+            i, j = i[keep], j[keep]
+            if rest.shape[1] and len(i):
+                bits = np.bitwise_count(first[i] ^ first[j]).astype(np.int64) + np.bitwise_count(rest[i] ^ rest[j]).sum(axis=1, dtype=np.int64)
+                i, j = i[bits <= radius], j[bits <= radius]
+            if len(i):
+                _join_labels(labels, i, j)
     linked = np.flatnonzero(labels != np.arange(n))
-    return fps[linked], fps[labels[linked]]
+    return order[linked], order[labels[linked]]
 
 
-def _cell(radius: int) -> Callable:
+def _cell(words: int, radius: int, screen: int) -> Callable:
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        fps = table.column("fp").to_numpy().astype(np.int64).view(np.uint64)
+        fps = np.column_stack([table.column(f"f{w}").to_numpy() for w in range(words)]).astype(np.int64).view(np.uint64)
         left, right = (x.as_py() for x in key)
         side = None if left == right else (table.column("grp").to_numpy() != left).astype(np.int8)
-        x, y = forest(fps, side, radius)
-        return pa.table({"a": pa.array(x.view(np.int64)), "b": pa.array(y.view(np.int64))})
+        x, y = forest(fps, side, radius, screen)
+        node = table.column("node").to_numpy()
+        return pa.table({"a": pa.array(node[x]), "b": pa.array(node[y])})
 
     return run
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
-    """Edges a, b over the distinct fingerprints fp whose components are those of all links of at most radius bits."""
+def links(distinct: DataFrame, words: int = 1, radius: int = RADIUS, screen: int | None = None, group: int = GROUP) -> DataFrame:
+    """Edges a, b over the nodes of distinct fingerprints (node, f0, f1, ...) whose components are those of all links."""
     n = distinct.count()
     groups = max(16, -(-n // group))
-    dealt = distinct.withColumn("grp", F.pmod(F.xxhash64("fp"), F.lit(groups)).cast("int"))
-    cells = dealt.select("fp", "grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("other"))
-    cells = cells.select("fp", "grp", F.least("grp", "other").alias("left"), F.greatest("grp", "other").alias("right"))
-    return cells.groupBy("left", "right").applyInArrow(_cell(radius), "a long, b long")
+    names = ["node", *(f"f{w}" for w in range(words))]
+    dealt = distinct.select(*names, F.pmod(F.xxhash64("node"), F.lit(groups)).cast("int").alias("grp"))
+    cells = dealt.select(*names, "grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("other"))
+    cells = cells.select(*names, "grp", F.least("grp", "other").alias("left"), F.greatest("grp", "other").alias("right"))
+    return cells.groupBy("left", "right").applyInArrow(_cell(words, radius, radius if screen is None else screen), "a long, b long")
 
 
 def components(edges: DataFrame, name: str = "stars", most_rounds: int = 60) -> DataFrame:
@@ -151,23 +163,27 @@ def components(edges: DataFrame, name: str = "stars", most_rounds: int = 60) ->
     return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, group: int = GROUP) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable over links) of each row of docs.
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, words: int = 1, screen: int | None = None, group: int = GROUP) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits a word) and component_id (smallest doc_id reachable over links) of each row of
+    docs. Fingerprints of `words` times 64 bits link at radius or fewer differing bits, of which `screen` or fewer in
+    the first 64 (radius, if None).
 
     A null text is empty; texts without words have fingerprint 0 and are linked like any other. Rows with equal texts
     share all but their doc_id; a null doc_id is never the smallest unless all of a component are null. Other columns
     are ignored, and an empty table gives an empty result.
     """
     ship(docs.sparkSession)
+    names = [f"f{w}" for w in range(words)]
     rows = docs.select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("t"), F.col("doc_id").cast("long").alias("doc_id"))
-    rows = materialise(rows.mapInArrow(_fingerprints(shingle), "fp long, doc_id long"), "fingerprints")
-    distinct = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    found = components(links(distinct.select("fp"), radius, group)).withColumnRenamed("node", "fp")
-    found = materialise(found, "components")
-    named = distinct.join(found, "fp").groupBy("component").agg(F.min("least").alias("component_id"))
-    known = distinct.join(found.join(named, "component").select("fp", "component_id"), "fp", "left")
-    known = known.select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = rows.mapInArrow(_fingerprints(shingle, words), ", ".join(f"{x} long" for x in names) + ", doc_id long")
+    rows = materialise(rows.withColumn("node", F.col("f0") if words == 1 else F.xxhash64(*names)), "fingerprints")
+    distinct = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.min(x).alias(x) for x in names]), "distinct-fingerprints")
+    found = materialise(components(links(distinct, words, radius, screen, group)), "components")
+    named = distinct.join(found, "node").groupBy("component").agg(F.min("least").alias("component_id"))
+    known = distinct.select("node", "least").join(found.join(named, "component").select("node", "component_id"), "node", "left")
+    known = known.select("node", F.coalesce("component_id", "least").alias("component_id"))
+    digits = F.lower(F.concat(*[F.lpad(F.hex(x), 16, "0") for x in names]))
+    return rows.join(known, "node").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
 __all__ = ["components", "fingerprint", "forest", "links", "near_duplicates"]
