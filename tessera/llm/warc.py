@@ -90,7 +90,7 @@ def _write(folder: str, segment: int) -> Callable:
                             files, path = open_folder(folder)
                             files.create_dir(path, recursive=True)
                         name, size, n = new_name(path, "segment", "warc.gz"), 0, 0
-                        out = files.open_output_stream(name)
+                        out = files.open_output_stream(name, compression=None)
                     n += 1
                     sha, left, digest = get("sha").lower(), get("n"), hashlib.sha1()
                     kind = get("record_type")
@@ -196,7 +196,7 @@ def _read(chunk: int, with_data: bool) -> Callable:
 
     def rows(folder: str, name: str) -> Iterator[tuple]:
         files, path = open_folder(folder)
-        with files.open_input_stream(f"{path}/{name}") as f:
+        with files.open_input_stream(f"{path}/{name}", compression=None) as f:
             s = _Stream(f)
             while (first := s.line()) is not None:
                 if not first.startswith(b"WARC/"):
