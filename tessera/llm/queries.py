@@ -100,6 +100,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL for those that SQL can express.
 ORACLE: dict[str, str] = {
+    "op3_warc_chunked_records": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS sha FROM pages),
+f AS (SELECT sha, min(page_id) AS first_id FROM p GROUP BY sha),
+g AS (SELECT sha, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> s) & 31)::INT + 1, 1), '' ORDER BY k, s DESC) AS payload_digest
+      FROM (SELECT sha, k, ('0x' || substr(sha, 5 * k::INT + 1, 5))::BIGINT AS v FROM f, range(8) AS r(k)), (VALUES (15), (10), (5), (0)) AS t(s) GROUP BY sha)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM p JOIN f USING (sha) JOIN g USING (sha)
+""",
+    "op4_substring_windows": """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, w FROM d WHERE len(w) >= 50),
+x AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM s),
+r AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY h) AS least FROM x) WHERE least < doc_id),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM r),
+l AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d),
+n AS (SELECT l.doc_id, count(c.k) AS n_removed, sha256(coalesce(string_agg(CASE WHEN c.k IS NULL THEN word END, ' ' ORDER BY l.k), '')) AS kept_sha256
+      FROM l LEFT JOIN c ON l.doc_id = c.doc_id AND l.k = c.k GROUP BY l.doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM d LEFT JOIN n USING (doc_id)
+""",
     "op10_site_relative_lines": """
 WITH d AS (SELECT doc_id, coalesce(source, '') AS host, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, host, unnest(lines) AS line, generate_subscripts(lines, 1) AS k FROM d),
