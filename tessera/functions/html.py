@@ -20,14 +20,14 @@ IGNORED = ("pre", "code")
 RESERVED = ("img", "code", "br", "hr", "sub", "sup", "kbd", "abbr", "wbr", "var", "canvas", "svg", "script", "style", "math")
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_WIDE = re.compile("[\xa0　]")
-_SPACES = re.compile("[\t-\r\x1c-\x20\x85\xa0   -   　]+")
+_WIDE = re.compile("[\xa0\u3000]")
+_SPACES = re.compile("[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _CONTROLS = re.compile("[\x00-\x1f\x7f-\xa0\xad]")
 
 
 def trim(text: str) -> str:
     """trim_text() for a Python string."""
-    text = _WIDE.sub(" ", text).replace("​", "").replace("﻿", "")
+    text = _WIDE.sub(" ", text).replace("\u200b", "").replace("\ufeff", "")
     return _CONTROLS.sub("", _SPACES.sub(" ", text)).strip(" ")
 
 

@@ -65,7 +65,7 @@ def glossary(text: str) -> list[tuple[str, str]]:
     """Pairs of a glossary file: groups of lines between empty lines, a term and its target (itself if there is none)."""
     import re
 
-    groups = re.split(r"\n{2,}", text.strip().strip("﻿"))
+    groups = re.split(r"\n{2,}", text.strip().strip("\ufeff"))
     rows = [g.split("\n") for g in groups if g.strip()]
     return [(r[0], r[1] if len(r) > 1 else r[0]) for r in rows]
 

@@ -25,7 +25,7 @@ def one(spark, column, **values):
 
 @pytest.mark.parametrize(
     ("text", "want"),
-    [(" a\xa0b ", "a b"), ("　x", "x"), ("a​b﻿", "ab"), ("a \t\n b", "a b"), (" a \x1a b ", "a  b"), ("", ""), ("\xad\x7f", "")],
+    [(" a\xa0b ", "a b"), ("\u3000x", "x"), ("a\u200bb\ufeff", "ab"), ("a \t\n b", "a b"), (" a \x1a b ", "a  b"), ("", ""), ("\xad\x7f", "")],
 )
 def test_trim(spark, text, want):
     assert one(spark, T.trim_text(F.col("x")), x=text) == want
@@ -33,7 +33,7 @@ def test_trim(spark, text, want):
 
 
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.text(alphabet="ab \t\n\r\x0b\x1c\x1f\x85\xa0\xad     　​﻿é", max_size=12), min_size=20, max_size=40))
+@given(st.lists(st.text(alphabet="ab \t\n\r\x0b\x1c\x1f\x85\xa0\xad\u1680\u2003\u2028\u202f\u205f\u3000\u200b\ufeff\u00e9", max_size=12), min_size=20, max_size=40))
 def test_trim_as_python(spark, texts):
     rows = spark.createDataFrame([(t,) for t in texts], "x string").select("x", T.trim_text(F.col("x"))).collect()
     assert all(trim(r[0]) == r[1] for r in rows)
@@ -64,7 +64,7 @@ def test_glossary(spark):
     assert masked == "{{id_000000}} {{id_000001}} c"
     assert one(spark, PH.glossary_restore(F.col("x"), GLOSSARY), x="{ {id_000000}} {{id _ 000001}  } c") == "a Z\\1$ c"
     assert PH.unsafe_terms([("x", "y"), ("id", "z")]) == ["id"]
-    assert R.glossary("﻿a\n\n\nb\nZ\nlost\n") == [("a", "a"), ("b", "Z")]
+    assert R.glossary("\ufeffa\n\n\nb\nZ\nlost\n") == [("a", "a"), ("b", "Z")]
 
 
 def test_reserved_markup_comes_back(spark):
