@@ -176,14 +176,18 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, dict[str, int]]:
             found[kind] = found.get(kind, 0) + 1
         return new
 
-    def new(m: re.Match) -> str:
-        kind, value = m.lastgroup, m.group()
-        out = put(kind, value)
-        if out is None and kind in ("card", "iban"):  # neighbours that a space joins may be numbers of their own
-            out = _PLAIN_CARD.sub(lambda x: put("card", x.group()) or x.group(), value)
-        return value if out is None else out
-
-    return _ANY.sub(new, text), found
+    out, at = [], 0
+    while m := _ANY.search(text, at):
+        kind, value, end = m.lastgroup, m.group(), m.end()
+        new = put(kind, value)
+        if new is None and kind in ("card", "iban"):  # neighbours that a space joins may be numbers of their own
+            new = _PLAIN_CARD.sub(lambda x: put("card", x.group()) or x.group(), value)
+        while new is None and kind == "phone" and (k := max(map(value.rfind, " .-"))) > 0:  # what follows a number may look like its end
+            value, end = value[:k], m.start() + k
+            new = put(kind, value)
+        out += [text[at : m.start()], value if new is None else new]
+        at = end
+    return "".join([*out, text[at:]]), found
 
 
 def _rows(key: bytes) -> Callable:

@@ -81,7 +81,7 @@ def counts(text):
     return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(repeated), len(w) < 10 or 100 * len(repeated) > 20 * len(w))
 
 
-TEXTS = [None, "", " \n \t", "a b", "#|" * 30, "a b c d e a b c d e", "x " * 3000, "l\nl\nm\n \nl", "a\x0bb\x0cc\x1cd　e f g h i j k", " ".join(map(str, range(30_000))), "a b c d e f g h i a b c d e z " * 2]
+TEXTS = [None, "", " \n \t", "a b", "#|" * 30, "a b c d e a b c d e", "x " * 3000, "l\nl\nm\n \nl", "a\x0bb\x0cc\x1cd\u3000e f g h i j k", " ".join(map(str, range(30_000))), "a b c d e f g h i a b c d e z " * 2]
 
 
 def test_rule_counts(spark):
@@ -206,6 +206,11 @@ def test_neighbours():
     assert n == {"card": 2} and text.endswith(" 7536784127813051") and a not in text and b not in text
 
 
+def test_a_telephone_number_before_an_address():
+    text, n = P.pseudonymise("x +1 (826) 555-4081 190.137.223.204 y", KEY)
+    assert n == {"phone": 1, "ip": 1} and "190.137" not in text and "555-4081" not in text
+
+
 def test_pseudonyms_link_documents(spark):
     rows = [(1, "x 97.51.17.173"), (2, "97.51.17.173 y"), (3, None), (4, ""), (None, "none"), (1, "a" * 200_000 + " 97.51.17.173")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_replaced int")
