@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import keyed, packed_texts
+from tessera.llm.common import keyed, packed_texts, split_join
 from tessera.runtime import ship
 
 #: Split before merges of the byte-level models (a fixed value of their format).
@@ -273,10 +273,10 @@ def encode_documents(docs: DataFrame, tokenizer_file: str, with_ids: bool = Fals
     reps = counted.filter("places > 1").select("first.k1", "first.k2", F.struct("first.at", "first.n", "h1", "h2").alias("c"))
     reps = reps.groupBy("k1", "k2").agg(F.collect_list("c").alias("chunks"))
     encoded = texts.join(reps, ["k1", "k2"]).select("packed", "chunks").mapInArrow(_encode_shared(model), "h1 long not null, h2 long not null, ids binary not null")
-    shared = chunks.join(encoded, ["h1", "h2"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "n", "ids")).alias("shared"))
+    shared = split_join(chunks, encoded, ["h1", "h2"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "n", "ids")).alias("shared"))
     schema = "k1 long not null, k2 long not null, n_tokens long, ids_sha256 string, decoded_sha256 string, n_reused long, n_repaired long" + ", ids array<int>" * with_ids
     done = texts.join(shared, ["k1", "k2"], "left").select("k1", "k2", "packed", "shared").mapInArrow(_assemble(model, with_ids), schema)
-    return rows.select("doc_id", "k1", "k2").join(done, ["k1", "k2"]).drop("k1", "k2")
+    return split_join(rows.select("doc_id", "k1", "k2"), done, ["k1", "k2"]).drop("k1", "k2")
 
 
 def decode_documents(ids: DataFrame, tokenizer_file: str) -> DataFrame:

@@ -45,3 +45,14 @@ def packed_texts(docs: DataFrame) -> DataFrame:
 
 def unpack(value: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(value, max_output_size=0) if value else b""
+
+
+def split_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left joined to a right side that has one row a key, where a key may hold a large part of left.
+
+    A side that was grouped by the keys already stands by them, and then AQE can't split a large key. A further key made
+    of the others has both sides dealt out anew, which costs one more shuffle of the side of one row a key, and AQE
+    splits the other where it is skewed.
+    """
+    again = F.pmod(F.xxhash64(F.lit(3), *keys), F.lit(8)).cast("int")  # few values, so that it adds little to a shuffle
+    return left.withColumn("_again", again).join(right.withColumn("_again", again), [*keys, "_again"], how).drop("_again")

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import split_join
+
 WINDOW, STRIDE, COVERAGE, LITERALS = 8, 4, 0.5, 3
 #: Broadcast the benchmark's windows up to so many; beyond it the join is shuffled.
 BROADCAST_ROWS = 1_000_000
@@ -23,7 +25,7 @@ UNITS = (
     "ounce", "ounces", "oz", "ml", "l", "liter", "liters", "litre", "litres", "gallon", "gallons", "second", "seconds", "minute", "minutes", "hour", "hours",
     "day", "days", "week", "weeks", "month", "months", "year", "years", "cent", "cents", "dollar", "dollars", "euro", "euros", "percent", "degrees", "mph", "kmh",
 )
-_NAME, _NUMBER, _UNIT = "", "", ""
+_NAME, _NUMBER, _UNIT = "\ue000", "\ue001", "\ue002"
 
 
 def _plain(text: Column) -> Column:
@@ -85,7 +87,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, stride: i
     first = rows.select(*keys, _template(_plain(F.col("t"))).alias("words")).select("k1", "k2", F.explode(F.array_distinct(F.transform(_windows("words", sizes_some), lambda w: w.h))).alias("h"))
     hit = first.join(checked(wanted.select("h").distinct()), "h").select("k1", "k2").distinct()
 
-    texts = rows.select("t", *keys).join(hit, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("t").alias("t"))
+    texts = rows.select("t", *keys).groupBy("k1", "k2").agg(F.first("t").alias("t")).join(hit, ["k1", "k2"])
     texts = texts.select("k1", "k2", _plain(F.col("t")).alias("p")).select("k1", "k2", F.split("p", " ").alias("raw"), _template(F.col("p")).alias("words"))
     found = texts.select("k1", "k2", "raw", "words", F.explode(_windows("words", sizes_all)).alias("w"))
     found = found.join(checked(wanted.select(F.col("h").alias("wh")).distinct()), F.col("w.h") == F.col("wh"), "left_semi")
@@ -109,7 +111,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **settings: object) -> D
     that repeat give rows that repeat; a null doc_id stays null. See leaks() for what counts."""
     body = F.coalesce("text", F.lit(""))
     keys = docs.select("doc_id", F.xxhash64(body).alias("k1"), F.xxhash64(F.lit(7), body).alias("k2"))
-    return keys.join(leaks(docs, benchmark, **settings), ["k1", "k2"]).select("doc_id", "item_id", "n_windows", "n_matched", "changed")
+    return split_join(keys, leaks(docs, benchmark, **settings), ["k1", "k2"]).select("doc_id", "item_id", "n_windows", "n_matched", "changed")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **settings: object) -> DataFrame:
@@ -118,4 +120,4 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, **settings: object) ->
     body = F.coalesce(F.col("text"), F.lit(""))
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.xxhash64(body).alias("k1"), F.xxhash64(F.lit(7), body).alias("k2"))
     keys = leaks(docs, benchmark, **settings).select("k1", "k2").distinct()
-    return held.join(keys, ["k1", "k2"], "left_anti").select(*[F.col("row").getField(c).alias(c) for c in names])
+    return split_join(held, keys, ["k1", "k2"], "left_anti").select(*[F.col("row").getField(c).alias(c) for c in names])

@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import split_join
 from tessera.llm.words import mix
 from tessera.runtime import materialise, ship
 
@@ -149,10 +150,10 @@ def components(edges: DataFrame, name: str = "stars", most_rounds: int = 60) ->
     for _ in range(most_rounds):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
+        large = split_join(both.filter("v > u"), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
         large = large.union(least.filter("u != m").select("u", F.col("m").alias("v"))).distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
-        stars = large.join(small, "u").select(F.col("v").alias("x"), "m").filter("x != m").select(F.col("x").alias("u"), F.col("m").alias("v"))
+        stars = split_join(large, small, ["u"]).select(F.col("v").alias("x"), "m").filter("x != m").select(F.col("x").alias("u"), F.col("m").alias("v"))
         edges = materialise(stars.union(small.select("u", F.col("m").alias("v"))).distinct(), name)
         now = sums(edges)
         if now == before:
@@ -183,7 +184,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     known = distinct.select("node", "least").join(found.join(named, "component").select("node", "component_id"), "node", "left")
     known = known.select("node", F.coalesce("component_id", "least").alias("component_id"))
     digits = F.lower(F.concat(*[F.lpad(F.hex(x), 16, "0") for x in names]))
-    return rows.join(known, "node").select("doc_id", digits.alias("fingerprint"), "component_id")
+    return split_join(rows, known, ["node"]).select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
 __all__ = ["components", "fingerprint", "forest", "links", "near_duplicates"]

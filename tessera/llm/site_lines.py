@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import split_join
+
 RATIO, MIN_PAGES = 0.05, 5
 _BLANK = r"^[\x20\x09-\x0D]*$"
 
@@ -36,11 +38,11 @@ def drop_site_lines(pages: DataFrame, host: str = "source", text: str = "text",
     lines = lines.select("host", "k1", "k2", F.explode(F.array_distinct(F.transform("lines", _hash))).alias("h")).select("host", "k1", "k2", "h.h1", "h.h2")
     totals = pages.groupBy(site.alias("host")).agg(F.count(F.lit(1)).alias("pages"))
     counts = lines.groupBy("host", "h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
-    common = counts.join(totals, "host").filter(F.col("n") > F.lit(float(ratio)) * F.col("pages")).select("host", "h1", "h2")
+    common = split_join(counts, totals, ["host"]).filter(F.col("n") > F.lit(float(ratio)) * F.col("pages")).select("host", "h1", "h2")
     # what each distinct text of a host loses: no more entries than the text has lines
-    losses = lines.join(common, ["host", "h1", "h2"]).groupBy("host", "k1", "k2").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
+    losses = split_join(lines, common, ["host", "h1", "h2"]).groupBy("host", "k1", "k2").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
     page = pages.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("page"), *keys)
-    both = page.join(losses, ["host", "k1", "k2"], "left")
+    both = split_join(page, losses, ["host", "k1", "k2"], "left")
     body = F.coalesce(F.col("page").getField(text), F.lit(""))
     both = both.select("page", "gone", F.split(body, "\n").alias("lines"))
     both = both.select("page", "lines", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: x.rlike(_BLANK) | ~F.array_contains(F.col("gone"), _hash(x)))).alias("kept"))

@@ -19,7 +19,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import keyed, packed_texts
+from tessera.llm.common import keyed, packed_texts, split_join
 from tessera.llm.words import mix, window_hashes, word_hashes
 from tessera.runtime import ship
 
@@ -118,15 +118,15 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     texts = packed_texts(rows).select("packed", "k1", "k2", F.coalesce("owner", F.lit(_NEVER)).alias("owner"))
     anchors = texts.mapInArrow(_anchor_rows(window, anchor), "a long not null, k1 long not null, k2 long not null, owner long not null")
     repeated = anchors.groupBy("a").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi")).filter("lo < hi").select("a")
-    known = anchors.select("a", "k1", "k2").join(repeated, "a").groupBy("k1", "k2").agg(F.collect_list("a").alias("known"))
+    known = split_join(anchors.select("a", "k1", "k2"), repeated, ["a"]).groupBy("k1", "k2").agg(F.collect_list("a").alias("known"))
     windows = texts.join(known, ["k1", "k2"]).select("packed", "k1", "k2", "owner", "known")
     windows = windows.mapInArrow(_window_rows(window, anchor), "h1 long not null, h2 long not null, k1 long not null, k2 long not null, owner long not null, pos int not null")
     lowest = windows.groupBy("h1", "h2").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi")).filter("lo < hi").select("h1", "h2", "lo")
-    later = windows.join(lowest, ["h1", "h2"]).filter("owner > lo").groupBy("k1", "k2").agg(F.collect_list("pos").alias("starts"))
+    later = split_join(windows, lowest, ["h1", "h2"]).filter("owner > lo").groupBy("k1", "k2").agg(F.collect_list("pos").alias("starts"))
     done = texts.join(later, ["k1", "k2"], "left").select("k1", "k2", "owner", "packed", "starts")
     schema = "k1 long not null, k2 long not null, owner long, n_words long, n_removed long, kept_sha256 string, all_removed_sha256 string, intervals array<array<int>>" + ", kept string" * with_text
     done = done.mapInArrow(_removal(window, with_text), schema)
-    out = rows.select("doc_id", "k1", "k2").join(done, ["k1", "k2"])
+    out = split_join(rows.select("doc_id", "k1", "k2"), done, ["k1", "k2"])
     copy = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NEVER)) > F.col("owner")
     whole = copy & (F.col("n_words") >= window)
     cols = [

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import split_join
 from tessera.llm.folders import new_name, open_folder
 from tessera.runtime import materialise, shared_folder, ship
 
@@ -48,7 +49,7 @@ def chunked_records(pages: DataFrame, min_revisit_bytes: int = 0, chunk: int = C
     responses = firsts.select("sha", "page_id", "r.url", "r.payload", "r.n", F.lit(None).cast("long").alias("refers_to"), F.lit(0).alias("copy"), F.lit("response").alias("record_type"))
     rows = p.groupBy("sha", "page_id").agg(F.count(F.lit(1)).alias("c"), F.min("url").alias("url"), F.min("n").alias("n"))
     first_id = p.groupBy("sha").agg(F.min("page_id").alias("first_id"))
-    rest = rows.join(first_id, "sha").withColumn("is_first", F.col("page_id").eqNullSafe(F.col("first_id")))
+    rest = split_join(rows, first_id, ["sha"]).withColumn("is_first", F.col("page_id").eqNullSafe(F.col("first_id")))
     rest = rest.filter(~F.col("is_first") | (F.col("c") > 1))
     copies = F.expr("sequence(if(is_first, 1, 0), cast(c as int) - 1)")
     revisits = rest.select("sha", "page_id", "url", F.lit(None).cast("binary").alias("payload"), "n", F.col("first_id").alias("refers_to"), F.explode(copies).alias("copy"), F.lit("revisit").alias("record_type"))

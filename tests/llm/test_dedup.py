@@ -46,7 +46,7 @@ def corpus():
     rng = np.random.default_rng(3)
     word = lambda n: " ".join("".join(rng.choice(list("abcde"), 4)) for _ in range(n))
     p, q = word(70), word(50)
-    texts = ["", None, " \n\t", p, f"x {p} y", f"{word(20)} {q} {word(20)}", f"{q} {p}", p, p, " ".join(["la"] * 400), " ".join(["la"] * 200), q.replace(" ", "  ", 3), word(60_000), "a\x1cb " * 60, "a\x1cb " * 60]
+    texts = ["", None, " \n\t", p, f"x {p} y", f"{word(20)} {q} {word(20)}", f"{q} {p}", p, p, " ".join(["la"] * 400), " ".join(["la"] * 200), q.replace(" ", "\u00a0 ", 3), word(60_000), "a\x1cb " * 60, "a\x1cb " * 60]
     return [(k if k != 8 else None, t) for k, t in enumerate(texts)] + [(3, p), (3, f"{q} again")]
 
 
