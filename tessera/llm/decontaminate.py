@@ -1,12 +1,12 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, names and units become typed placeholders, so a question whose values were exchanged keeps its template.
-Windows of template words are hash-joined with the benchmark's. What stands in the placeholders is then compared: on one
-alignment of a document and an item each value of the item must stand for one value of the document and the other way
-round. All of it is DataFrame code.
+Windows of words are hash-joined with the benchmark's twice: by their template, and by their words themselves without
+regard to case. What stands in the placeholders is then compared: on one alignment each value of the item must stand
+for one value of the document and the other way round. All of it is DataFrame code.
 
-The search is whole: a passage counts from STRIDE windows in a row on, so it has a window at a multiple of STRIDE words,
-and only those are looked up over all texts. Texts with a hit are then compared at every word.
+A passage counts from STRIDE windows in a row on, so windows at multiples of STRIDE are looked up over all texts. Texts
+with a hit are then compared at every word.
 """
 
 from __future__ import annotations
@@ -44,18 +44,36 @@ def _template(plain: Column) -> Column:
     return F.split(t, " ")
 
 
-def _windows(words: str, sizes: list[tuple[int, int]]) -> Column:
-    """array<struct<pos, size, h>> of the windows of each (size, stride)."""
-    parts = [
-        f"transform(if(size({words}) >= {n}, sequence(0, size({words}) - {n}, {step}), array()), i -> struct(i as pos, {n} as size, xxhash64({n}, slice({words}, i + 1, {n})) as h))"
-        for n, step in sizes
-    ]
-    return F.expr(parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})")
+def _folded(plain: Column) -> Column:
+    """The words of _plain() text without regard to case (by capitals, so that a sharp s is two letters)."""
+    return F.split(F.lower(F.upper(plain)), " ")
 
 
-def _values(raw: str, words: str) -> str:
+def _hashes(words: str) -> Column:
+    return F.expr(f"transform({words}, x -> xxhash64(x))")
+
+
+def _hash(hashes: str, at: str, n: int) -> str:
+    return f"xxhash64({n}, {', '.join(f'{hashes}[{at} + {k}]' for k in range(n))})"
+
+
+def _starts(n: int, step: int = 1) -> str:
+    return f"if(size(folded) >= {n}, sequence(0, size(folded) - {n}, {step}), array())"
+
+
+def _windows(sizes: list[int]) -> Column:
+    """array<struct<pos, size, h>> of the windows of each size, by template and by words; equal where no placeholder is."""
+    return F.expr(f"concat({', '.join(f'transform({_starts(n)}, i -> struct(i as pos, {n} as size, {_hash(x, "i", n)} as h))' for n in sizes for x in ('th', 'fh'))})")
+
+
+def _values(folded: str, words: str) -> str:
     """The values in the placeholders of the window at w.pos, in order."""
-    return f"transform(filter(sequence(w.pos + 1, w.pos + w.size), j -> element_at({words}, j) in ('{_NAME}', '{_NUMBER}', '{_UNIT}')), j -> element_at({raw}, j))"
+    return f"transform(filter(sequence(w.pos + 1, w.pos + w.size), j -> element_at({words}, j) in ('{_NAME}', '{_NUMBER}', '{_UNIT}')), j -> element_at({folded}, j))"
+
+
+def _words(texts: DataFrame, *keys: str) -> DataFrame:
+    """keys, template words and folded words of the texts' _plain() text p, and hashes of both."""
+    return texts.select(*keys, _template(F.col("p")).alias("words"), _folded(F.col("p")).alias("folded")).select("*", _hashes("words").alias("th"), _hashes("folded").alias("fh"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, stride: int = STRIDE, coverage: float = COVERAGE, literals: int = LITERALS) -> DataFrame:
@@ -63,47 +81,50 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, stride: i
     differs), for each text that holds an item's passage.
 
     A text holds an item if `coverage` of the item's windows stand in it, on alignments of at least `stride` windows
-    each whose values are consistent. An item of fewer words than a passage needs, window + stride - 1, is one window of all
-    its words. Windows with fewer than `literals` words that aren't placeholders identify nothing and don't count; an item
-    with none that do is never found. Null texts are empty. Items that share a template are found together.
+    each. A window stands there word for word, whatever the case, or with other values, if values are consistent on
+    the alignment. Windows with fewer than `literals` words that aren't placeholders don't count.
+    An item of fewer words than a passage needs, window + stride - 1, is one window of all its words. Null texts are
+    empty. Items that share a template are found together.
     """
     least = window + stride - 1
-    items = benchmark.filter("text is not null").select("item_id", _plain(F.col("text")).alias("p")).distinct()
-    items = items.select("item_id", F.split("p", " ").alias("raw"), _template(F.col("p")).alias("words")).filter("raw[0] != ''")
+    items = benchmark.filter("text is not null").select("item_id", _plain(F.col("text")).alias("p")).filter("p != ''").distinct()
+    items = _words(items, "item_id")
     short = sorted(r[0] for r in items.filter(F.size("words") < least).select(F.size("words")).distinct().collect())  # fewer than `least`
-    long_windows = items.filter(F.size("words") >= least).select("*", F.explode(_windows("words", [(window, 1)])).alias("w"))
-    whole = F.array(F.struct(F.lit(0).alias("pos"), F.size("words").alias("size"), F.expr("xxhash64(size(words), words)").alias("h")))
-    short_windows = items.filter(F.size("words") < least).select("*", F.explode(whole).alias("w"))
+    sizes = [window, *(n for n in short if n != window)]
+    one_of_all = F.expr(f"if(size(words) < {least}, filter(ws, w -> w.size = size(words)), filter(ws, w -> w.size = {window}))")
     marks = f"size(filter(slice(words, w.pos + 1, w.size), x -> x not in ('{_NAME}', '{_NUMBER}', '{_UNIT}')))"
-    wanted = long_windows.unionByName(short_windows).filter(F.expr(f"{marks} >= least({literals}, w.size)"))
-    wanted = wanted.select("item_id", F.col("w.pos").alias("item_pos"), "w.size", "w.h", F.expr(_values("raw", "words")).alias("item_values"))
+    wanted = items.withColumn("ws", _windows(sizes)).select("item_id", "words", "folded", "fh", F.explode(one_of_all).alias("w"))
+    by_word = "case " + " ".join(f"when w.size = {n} then w.h = {_hash('fh', 'w.pos', n)}" for n in sizes) + " end"
+    wanted = wanted.select("item_id", F.col("w.pos").alias("item_pos"), "w.size", "w.h", F.expr(f"{marks} >= least({literals}, w.size)").alias("rich"), F.expr(by_word).alias("by_word"), F.expr(_values("folded", "words")).alias("item_values"))
+    wanted = wanted.filter("rich").distinct()
     small = wanted.count() <= BROADCAST_ROWS
     checked = F.broadcast if small else (lambda df: df)
-    sizes_all = [(window, 1), *((n, 1) for n in short)]
-    sizes_some = [(window, stride), *((n, 1) for n in short)]
 
     rows = docs.select(F.coalesce("text", F.lit("")).alias("t"))
     keys = [F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(7), F.col("t")).alias("k2")]
-    first = rows.select(*keys, _template(_plain(F.col("t"))).alias("words")).select("k1", "k2", F.explode(F.array_distinct(F.transform(_windows("words", sizes_some), lambda w: w.h))).alias("h"))
+    every = F.expr(f"array_distinct(concat({', '.join(f'transform({_starts(n, stride if n == window else 1)}, i -> {_hash(x, "i", n)})' for n in sizes for x in ('th', 'fh'))}))")
+    first = _words(rows.select(*keys, _plain(F.col("t")).alias("p")), "k1", "k2").select("k1", "k2", F.explode(every).alias("h"))
     hit = first.join(checked(wanted.select("h").distinct()), "h").select("k1", "k2").distinct()
 
     texts = rows.select("t", *keys).groupBy("k1", "k2").agg(F.first("t").alias("t")).join(hit, ["k1", "k2"])
-    texts = texts.select("k1", "k2", _plain(F.col("t")).alias("p")).select("k1", "k2", F.split("p", " ").alias("raw"), _template(F.col("p")).alias("words"))
-    found = texts.select("k1", "k2", "raw", "words", F.explode(_windows("words", sizes_all)).alias("w"))
+    texts = _words(texts.select("k1", "k2", _plain(F.col("t")).alias("p")), "k1", "k2")
+    found = texts.select("k1", "k2", "folded", "words", F.explode(_windows(sizes)).alias("w"))
     found = found.join(checked(wanted.select(F.col("h").alias("wh")).distinct()), F.col("w.h") == F.col("wh"), "left_semi")
-    found = found.select("k1", "k2", "w.pos", "w.size", "w.h", F.expr(_values("raw", "words")).alias("values"))
+    found = found.select("k1", "k2", "w.pos", "w.size", "w.h", F.expr(_values("folded", "words")).alias("values"))
     both = found.join(checked(wanted), ["h", "size"]).select(
-        "k1", "k2", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "size",
-        F.arrays_zip(F.col("item_values").alias("a"), F.col("values").alias("b")).alias("pairs"),
+        "k1", "k2", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "size", "rich", "by_word",
+        F.arrays_zip(F.col("item_values").alias("a"), F.when(F.col("by_word"), F.col("item_values")).otherwise(F.col("values")).alias("b")).alias("pairs"),
     )
-    aligned = both.groupBy("k1", "k2", "item_id", "shift").agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"), F.max("size").alias("size"))
     one_to_one = (F.size(F.array_distinct("pairs.a")) == F.size("pairs")) & (F.size(F.array_distinct("pairs.b")) == F.size("pairs"))
+    differs = ~F.col("by_word") & F.exists("pairs", lambda p: p.a != p.b)
+    place = F.struct("item_pos", "rich")
+    aligned = both.groupBy("k1", "k2", "item_id", "shift").agg(F.collect_set(place).alias("at"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"), F.max(differs).alias("changed"), F.max("size").alias("size"))
     aligned = aligned.filter(one_to_one & ((F.size("at") >= stride) | F.col("size").isin(short)))
-    totals = wanted.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_windows"))
-    by_item = aligned.groupBy("k1", "k2", "item_id").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_matched"), F.max(F.exists("pairs", lambda p: p.a != p.b)).alias("changed")
-    )
-    return by_item.join(checked(totals), "item_id").filter(F.col("n_matched") >= coverage * F.col("n_windows")).select("k1", "k2", "item_id", "n_windows", "n_matched", "changed")
+    totals = wanted.groupBy("item_id").agg(F.count_distinct("item_pos").alias("n_windows"), F.count_distinct(F.when(F.col("rich"), F.col("item_pos"))).alias("n_rich"))
+    by_item = aligned.groupBy("k1", "k2", "item_id").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"), F.max("changed").alias("changed"))
+    by_item = by_item.withColumn("n_matched", F.size("at").cast("long")).withColumn("rich_matched", F.size(F.filter("at", lambda x: x.rich)))
+    enough = (F.col("n_matched") >= coverage * F.col("n_windows")) | ((F.col("rich_matched") >= stride) & (F.col("rich_matched") >= coverage * F.col("n_rich")))
+    return by_item.join(checked(totals), "item_id").filter(enough).select("k1", "k2", "item_id", "n_windows", "n_matched", "changed")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **settings: object) -> DataFrame:
