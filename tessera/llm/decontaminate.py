@@ -2,8 +2,8 @@
 
 Numbers, names and units become typed placeholders, so a question whose values were exchanged keeps its template.
 Windows of words are hash-joined with the benchmark's twice: by their template, and by their words themselves without
-regard to case. What stands in the placeholders is then compared: on one alignment each value of the item must stand
-for one value of the document and the other way round. All of it is DataFrame code.
+regard to case. What stands in the placeholders is then compared: in a window each value of the item must stand for one
+value of the document. All of it is DataFrame code.
 
 A passage counts from STRIDE windows in a row on, so windows at multiples of STRIDE are looked up over all texts. Texts
 with a hit are then compared at every word.
@@ -81,8 +81,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, stride: i
     differs), for each text that holds an item's passage.
 
     A text holds an item if `coverage` of the item's windows stand in it, on alignments of at least `stride` windows
-    each. A window stands there word for word, whatever the case, or with other values, if values are consistent on
-    the alignment. Windows with fewer than `literals` words that aren't placeholders don't count.
+    each. A window stands there word for word, whatever the case, or with other values, if one value of the item is one
+    of the text throughout the window. Windows with fewer than `literals` words that aren't placeholders don't count.
     An item of fewer words than a passage needs, window + stride - 1, is one window of all its words. Null texts are
     empty. Items that share a template are found together.
     """
@@ -113,13 +113,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, stride: i
     found = found.select("k1", "k2", "w.pos", "w.size", "w.h", F.expr(_values("folded", "words")).alias("values"))
     both = found.join(checked(wanted), ["h", "size"]).select(
         "k1", "k2", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "size", "rich", "by_word",
-        F.arrays_zip(F.col("item_values").alias("a"), F.when(F.col("by_word"), F.col("item_values")).otherwise(F.col("values")).alias("b")).alias("pairs"),
+        F.arrays_zip(F.col("item_values").alias("a"), F.col("values").alias("b")).alias("pairs"),
     )
-    one_to_one = (F.size(F.array_distinct("pairs.a")) == F.size("pairs")) & (F.size(F.array_distinct("pairs.b")) == F.size("pairs"))
+    one_value = F.size(F.array_distinct("pairs.a")) == F.size(F.array_distinct("pairs"))
     differs = ~F.col("by_word") & F.exists("pairs", lambda p: p.a != p.b)
     place = F.struct("item_pos", "rich")
-    aligned = both.groupBy("k1", "k2", "item_id", "shift").agg(F.collect_set(place).alias("at"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"), F.max(differs).alias("changed"), F.max("size").alias("size"))
-    aligned = aligned.filter(one_to_one & ((F.size("at") >= stride) | F.col("size").isin(short)))
+    aligned = both.filter(F.col("by_word") | one_value).groupBy("k1", "k2", "item_id", "shift").agg(F.collect_set(place).alias("at"), F.max(differs).alias("changed"), F.max("size").alias("size"))
+    aligned = aligned.filter((F.size("at") >= stride) | F.col("size").isin(short))
     totals = wanted.groupBy("item_id").agg(F.count_distinct("item_pos").alias("n_windows"), F.count_distinct(F.when(F.col("rich"), F.col("item_pos"))).alias("n_rich"))
     by_item = aligned.groupBy("k1", "k2", "item_id").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"), F.max("changed").alias("changed"))
     by_item = by_item.withColumn("n_matched", F.size("at").cast("long")).withColumn("rich_matched", F.size(F.filter("at", lambda x: x.rich)))

@@ -21,3 +21,11 @@ def test_leaks_in_other_case_on_documents(spark):
     docs = spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id in (1699, 6420, 8376)")  # upper-case copies
     got = {(r.doc_id, r.item_id) for r in D.contaminated(docs, spark.read.parquet(f"{folder}/benchmark.parquet")).collect()}
     assert got == {(1699, 130), (6420, 37), (8376, 101)}
+
+
+def test_one_value_edited(spark):
+    apples = "Tom has 3 red apples and 5 green pears in the basket that he took to the market on the hill"
+    texts = [QUESTION.replace("has Anna left", "has Ann left"), apples.replace("3", "4").replace("5", "4"), apples.replace("Tom", "Ann").replace("5", "3")]
+    same = apples.replace("5", "3")  # one number in two roles
+    assert found(spark, texts, [QUESTION, apples]) == {(0, 0): True, (1, 1): True, (2, 1): True}
+    assert found(spark, [same.replace("3 red", "4 red").replace("3 green", "6 green")], [same]) == {(0, 0): True}
