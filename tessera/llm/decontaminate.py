@@ -5,8 +5,7 @@ Windows of words are hash-joined with the benchmark's twice: by their template,
 regard to case. What stands in the placeholders is then compared: in a window each value of the item must stand for one
 value of the document. All of it is DataFrame code.
 
-A passage counts from STRIDE windows in a row on, so windows at multiples of STRIDE are looked up over all texts. Texts
-with a hit are then compared at every word.
+The search is whole: every window of every text is looked up. Texts with a hit are then compared with their places.
 """
 
 from __future__ import annotations
@@ -57,8 +56,8 @@ def _hash(hashes: str, at: str, n: int) -> str:
     return f"xxhash64({n}, {', '.join(f'{hashes}[{at} + {k}]' for k in range(n))})"
 
 
-def _starts(n: int, step: int = 1) -> str:
-    return f"if(size(folded) >= {n}, sequence(0, size(folded) - {n}, {step}), array())"
+def _starts(n: int) -> str:
+    return f"if(size(folded) >= {n}, sequence(0, size(folded) - {n}), array())"
 
 
 def _windows(sizes: list[int]) -> Column:
@@ -82,7 +81,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, stride: i
 
     A text holds an item if `coverage` of the item's windows stand in it, on alignments of at least `stride` windows
     each. A window stands there word for word, whatever the case, or with other values, if one value of the item is one
-    of the text throughout the window. Windows with fewer than `literals` words that aren't placeholders don't count.
+    of the text throughout the window. With fewer than `literals` words that aren't placeholders it counts only word
+    for word; so that such windows don't hide exchanged values, `coverage` of the others, at least `stride`, is enough.
     An item of fewer words than a passage needs, window + stride - 1, is one window of all its words. Null texts are
     empty. Items that share a template are found together.
     """
@@ -96,13 +96,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, stride: i
     wanted = items.withColumn("ws", _windows(sizes)).select("item_id", "words", "folded", "fh", F.explode(one_of_all).alias("w"))
     by_word = "case " + " ".join(f"when w.size = {n} then w.h = {_hash('fh', 'w.pos', n)}" for n in sizes) + " end"
     wanted = wanted.select("item_id", F.col("w.pos").alias("item_pos"), "w.size", "w.h", F.expr(f"{marks} >= least({literals}, w.size)").alias("rich"), F.expr(by_word).alias("by_word"), F.expr(_values("folded", "words")).alias("item_values"))
-    wanted = wanted.filter("rich").distinct()
+    wanted = wanted.filter("rich or by_word").distinct()
     small = wanted.count() <= BROADCAST_ROWS
     checked = F.broadcast if small else (lambda df: df)
 
     rows = docs.select(F.coalesce("text", F.lit("")).alias("t"))
     keys = [F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(7), F.col("t")).alias("k2")]
-    every = F.expr(f"array_distinct(concat({', '.join(f'transform({_starts(n, stride if n == window else 1)}, i -> {_hash(x, "i", n)})' for n in sizes for x in ('th', 'fh'))}))")
+    every = F.expr(f"array_distinct(concat({', '.join(f'transform({_starts(n)}, i -> {_hash(x, "i", n)})' for n in sizes for x in ('th', 'fh'))}))")
     first = _words(rows.select(*keys, _plain(F.col("t")).alias("p")), "k1", "k2").select("k1", "k2", F.explode(every).alias("h"))
     hit = first.join(checked(wanted.select("h").distinct()), "h").select("k1", "k2").distinct()
 

@@ -29,3 +29,11 @@ def test_one_value_edited(spark):
     same = apples.replace("5", "3")  # one number in two roles
     assert found(spark, texts, [QUESTION, apples]) == {(0, 0): True, (1, 1): True, (2, 1): True}
     assert found(spark, [same.replace("3 red", "4 red").replace("3 green", "6 green")], [same]) == {(0, 0): True}
+
+
+def test_windows_of_few_words(spark):
+    gaps = "Ada 1 red box 2 3 Bob 4 runs past 5 6 here 7 8"  # windows 0 and 4 have two words besides values
+    other = "Eve 11 red box 12 13 Ian 14 runs past 15 16 here 17 18"
+    table = "Anna 12 Bert 13 Carl 14 Dora 15 Emil 16 Fritz 17 Gina 18"
+    texts = [f"{'so ' * k}{other} and on it goes" for k in range(4)] + ["the table " + table, table.replace("1", "2")]
+    assert found(spark, texts, [gaps, table]) == {**{(k, 0): True for k in range(4)}, (4, 1): False}
