@@ -31,9 +31,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the boilerplate lines of their source; those that would lose over half of their lines are
-    copies, which the next stage joins, and stay as they are. n_chars follows the text."""
-    kept = site_lines.drop_site_lines(docs, host="source", max_loss=0.5)
+    """Documents without the boilerplate lines of their source, where equal texts count once: copies, which the next stage
+    joins, make no line boilerplate. n_chars follows the text."""
+    kept = site_lines.drop_site_lines(docs, host="source", per_text=True)
     return kept.withColumn("n_chars", F.when(F.col("_n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*_columns(docs))
 
 

@@ -21,22 +21,28 @@ def _hash(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(7), line).alias("h2"))
 
 
-def drop_site_lines(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, max_loss: float | None = None) -> DataFrame:
+def drop_site_lines(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, max_loss: float | None = None, per_text: bool = False) -> DataFrame:
     """All columns of pages, their text without boilerplate lines, and `_n_lines` and `_n_dropped`.
 
     A line (between \\n; compared byte by byte) is boilerplate on a host if more than `ratio` of the host's pages and at
     least `min_pages` of them hold it, however often each does. Lines of white space alone are never dropped. With
     max_loss, a page that would lose more than that share of its other lines is left as it is: it is a copy of other
     pages and not a page with boilerplate. A null text is empty and stays null unless lines go (none can); a null
-    host is the host ''. Rows that repeat count as pages each. Columns of any name are carried along but `_n_lines`
+    host is the host ''. Rows that repeat count as pages each; with per_text, rows of a host with equal texts count as one
+    page, so copies of a text don't make its lines boilerplate. Columns of any name are carried along but `_n_lines`
     and `_n_dropped`, which are replaced.
     """
     names = [c for c in pages.columns if c not in ("_n_lines", "_n_dropped")]
     body, site = F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(host).cast("string"), F.lit(""))
     keys = [F.xxhash64(body).alias("k1"), F.xxhash64(F.lit(7), body).alias("k2"), site.alias("host")]
     lines = pages.select(*keys, F.filter(F.split(body, "\n"), lambda x: ~x.rlike(_BLANK)).alias("lines"))
-    lines = lines.select("host", "k1", "k2", F.explode(F.array_distinct(F.transform("lines", _hash))).alias("h")).select("host", "k1", "k2", "h.h1", "h.h2")
-    totals = pages.groupBy(site.alias("host")).agg(F.count(F.lit(1)).alias("pages"))
+    lines = lines.select("host", "k1", "k2", F.array_distinct(F.transform("lines", _hash)).alias("hs"))
+    counted = pages.select(site.alias("host"))
+    if per_text:
+        lines = lines.groupBy("host", "k1", "k2").agg(F.first("hs").alias("hs"))
+        counted = pages.select(*keys).distinct()
+    lines = lines.select("host", "k1", "k2", F.explode("hs").alias("h")).select("host", "k1", "k2", "h.h1", "h.h2")
+    totals = counted.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     counts = lines.groupBy("host", "h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
     common = split_join(counts, totals, ["host"]).filter(F.col("n") > F.lit(float(ratio)) * F.col("pages")).select("host", "h1", "h2")
     # what each distinct text of a host loses: no more entries than the text has lines
