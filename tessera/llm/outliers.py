@@ -132,20 +132,32 @@ def mcd(rows: DataFrame, h: float = H, steps: int = STEPS, least: int = LEAST_GR
     return now
 
 
+def _pools(stats: DataFrame, least: int = LEAST_GROUP) -> DataFrame:
+    """g, pool: what each group of stats (g, language, base_failed) is judged by. That is the group, else its language over
+    all sources, else all rows: the first that has at least `least` rows that pass the base rules (all rows: any)."""
+    sizes = materialise(stats.groupBy("g", "language").agg(F.count(F.when(~F.col("base_failed"), 1)).alias("n")), "rule-groups")
+    by_language = sizes.groupBy("language").agg(F.sum("n").alias("n_language"))
+    pool = F.when(F.col("n") >= least, F.col("g")).when(F.col("n_language") >= least, F.col("language")).otherwise(F.lit(""))
+    return materialise(sizes.join(by_language, "language").select("g", pool.alias("pool")), "rule-pools")
+
+
 def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance2 and kept of each row.
 
     base_failed: fewer than 10 words, or more than 20 % of the words in repeated 5-word windows. kept is false if
     base_failed or if the squared distance is over the cutoff. Estimates come from rows that pass the base rules; a group
-    of fewer than LEAST_GROUP of those has no estimate, its distance2 is null and only base rules hold. Null texts are
-    empty; null languages or sources are groups of their own; rows that repeat count as often as they stand there.
+    of fewer than LEAST_GROUP of those is judged by the estimate of its language over all sources, and if that has too few
+    by that of all rows. distance2 is null only if no row at all passes the base rules. Null texts are empty; null languages or sources are groups of their own; rows that repeat count as often as they stand there.
     """
     stats = counts(docs.select("doc_id", "text", "lang", "source"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     group = F.to_json(F.struct("row.lang", "row.source"))
-    stats = stats.select("row.doc_id", group.alias("g"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), *vector())
+    stats = stats.select("row.doc_id", group.alias("g"), F.concat(F.lit("language "), F.to_json(F.struct("row.lang"))).alias("language"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), *vector())
     stats = materialise(stats, "rule-counts")
-    found = mcd(stats.filter("not base_failed").select("g", *VECTOR))
-    far = distance(stats.join(found, "g", "left"), "distance2")
+    pools = _pools(stats)
+    used = pools.select("pool").distinct()
+    rows = stats.filter("not base_failed").select(F.explode(F.array("g", "language", F.lit(""))).alias("pool"), *VECTOR)
+    found = mcd(rows.join(used, "pool").withColumnRenamed("pool", "g"), least=1).withColumnRenamed("g", "pool")
+    far = distance(stats.join(pools, "g").join(found, "pool", "left"), "distance2")
     verdict = ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= cutoff)
     return far.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance2", verdict.alias("kept"))
