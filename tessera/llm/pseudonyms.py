@@ -9,6 +9,7 @@ check stay. It works row by row: nothing is shuffled and nothing is remembered.
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import functools
 import hashlib
@@ -134,17 +135,31 @@ def _secret(m: str, key: bytes) -> str | None:
     return new if m.lower() == m else new.upper()
 
 
+@functools.cache
+def _dates(day_width: int, month_width: int, after: int) -> list[int]:
+    """Days of 1900 to 2099, as ordinals, that are written with so many digits, from the day after `after` of a month on."""
+    all_days = ((k, datetime.date.fromordinal(k)) for k in range(_FIRST, _LAST + 1))
+    return [k for k, d in all_days if (day_width == 2 or d.day < 10) and (month_width == 2 or d.month < 10) and d.day > after]
+
+
 def _date(m: str, key: bytes) -> str | None:
     a, mark, b, c = re.fullmatch(r"(\d+)([-./])(\d+)[-./](\d+)", m).groups()
-    try:
-        day = datetime.date(*((int(a), int(b), int(c)) if len(a) == 4 else (int(c), int(b), int(a))))
-    except ValueError:
-        return None
-    if not _FIRST <= day.toordinal() <= _LAST:
-        return None
-    new = datetime.date.fromordinal(_FIRST + permute(day.toordinal() - _FIRST, _LAST - _FIRST + 1, key, "date"))
-    parts = (f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}")
-    return mark.join(parts if len(a) == 4 else parts[::-1])
+    orders = ("ymd",) if len(a) == 4 else ("dmy", "mdy") if mark == "/" else ("dmy",)
+    for order in orders:
+        part = dict(zip(order, (a, b, c), strict=True))
+        try:
+            day = datetime.date(*(int(part[x]) for x in "ymd")).toordinal()
+        except ValueError:
+            continue
+        if not _FIRST <= day <= _LAST:
+            return None
+        # month first is read only where the day is over 12, and such dates stay among themselves
+        among = _dates(len(part["d"]), len(part["m"]), 12 if order == "mdy" else 0)
+        tweak = "date" if len(part["d"]) == len(part["m"]) == 2 and order != "mdy" else f"date{order}{len(part['d'])}{len(part['m'])}"
+        new = datetime.date.fromordinal(among[permute(bisect.bisect_left(among, day), len(among), key, tweak)])
+        text = {"y": f"{new.year:04d}", "m": str(new.month).zfill(len(part["m"])), "d": str(new.day).zfill(len(part["d"]))}
+        return mark.join(text[x] for x in order)
+    return None
 
 
 #: Kinds in the order in which they are tried where more than one could begin.
@@ -153,17 +168,51 @@ KINDS: dict[str, tuple[str, Callable[[str, bytes], str | None]]] = {
     "secret": (r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,128}(?![0-9A-Za-z])", _secret),
     "iban": (r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", _iban),
     "ip": (r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)", _ip),
-    "date": (r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-])", _date),
+    "date": (r"(?<![\d./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\d/-])", _date),
     "ssn": (r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", _ssn),
     "phone": (r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ -]\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])", _phone),
     "card": (r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)", _card),
 }
 _ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, (p, _) in KINDS.items()))
-_PLAIN_CARD = re.compile(r"(?<!\d)\d{13,19}(?!\d)")
+#: Numbers and words that spaces or hyphens join: what a card number or an IBAN may be part of.
+_RUN = re.compile(r"[A-Z0-9]+(?:[ -][A-Z0-9]+)*")
+_CARD, _IBAN = (re.compile(KINDS[k][0]) for k in ("card", "iban"))
+#: Characters of an IBAN by country.
+_IBAN_LENGTHS = {x[:2]: int(x[2:]) for x in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 "
+    "ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 "
+    "LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 "
+    "QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+).split()}
 #: Without one of these a text can hold none of KINDS.
 _HINT = re.compile(r"\d|@|[a-fA-F]{32}")
 
 
+def _within(text: str, start: int, end: int, key: bytes) -> tuple[int, int, str, str] | None:
+    """Start, end, kind and pseudonym of the card number or IBAN that begins at a separator's border in start ... end of
+    text and ends at another, if need be after end; 16 digits (15 from 34 or 37 on) before other lengths, then the first,
+    then the longest."""
+    tokens = [(x.start(), x.end()) for x in re.finditer(r"[A-Z0-9]+", _RUN.match(text, start, end + 40).group())]
+    best = []
+    for k, (a, _) in enumerate(tokens):
+        if start + a >= end:
+            break
+        for _, b in tokens[k : k + 34]:
+            value = text[start + a : start + b]
+            if len(value) > 50:
+                break
+            bare = re.sub(r"[ -]", "", value)
+            if bare.isdigit() and 13 <= len(bare) <= 19 and _CARD.fullmatch(value):
+                best.append((len(bare) != (15 if bare[:2] in ("34", "37") else 16), a, -b, "card", value))
+            elif len(bare) == _IBAN_LENGTHS.get(bare[:2]) and _IBAN.fullmatch(value):
+                best.append((False, a, -b, "iban", value))
+    for _, a, b, kind, value in sorted(best):
+        new = KINDS[kind][1](value, key)
+        if new is not None:
+            return start + a, start - b, kind, new
+    return None
+
+
 def pseudonymise(text: str, key: bytes) -> tuple[str, dict[str, int]]:
     """The text with pseudonyms, and how many of each kind."""
     found: dict[str, int] = {}
@@ -181,7 +230,16 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, dict[str, int]]:
         kind, value, end = m.lastgroup, m.group(), m.end()
         new = put(kind, value)
         if new is None and kind in ("card", "iban"):  # neighbours that a space joins may be numbers of their own
-            new = _PLAIN_CARD.sub(lambda x: put("card", x.group()) or x.group(), value)
+            inner = _within(text, m.start(), end, key)
+            if inner is None:
+                end = m.start() + re.match(r"[A-Z0-9]+", value).end()
+                value = text[m.start() : end]
+            else:
+                a, end, inner_kind, new = inner
+                left, more = pseudonymise(text[m.start() : a], key)
+                new = left + new
+                for k, n in [*more.items(), (inner_kind, 1)]:
+                    found[k] = found.get(k, 0) + n
         while new is None and kind == "phone" and (k := max(map(value.rfind, " .-"))) > 0:  # what follows a number may look like its end
             value, end = value[:k], m.start() + k
             new = put(kind, value)
