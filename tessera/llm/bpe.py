@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,6 +30,11 @@ from tessera.runtime import ship
 #: Split before merges of the byte-level models (a fixed value of their format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: White space as PATTERN's \\s has it, and runs of it that the pattern engine's stack might not hold.
+_SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+LONG_RUN = 4096
+_LONG = re.compile(f"(?<!{_SPACE}){_SPACE}{{{LONG_RUN},}}")
+
 #: Chunks: bytes that the rolling hash sees, one word start in CHUNK_MOD ends a chunk, least and most bytes.
 WINDOW, CHUNK_MOD, LEAST, MOST = 32, 64, 128, 8192
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -63,6 +69,7 @@ class Codec:
         if spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"].get("add_prefix_space") or spec.get("normalizer"):
             raise ValueError("only plain byte-level files are known")
         self.encoding = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=vocab, special_tokens=self.special)
+        self.piece = tiktoken.Encoding("piece", pat_str=r"(?s).+", mergeable_ranks=vocab, special_tokens={})
         self.allowed = set(self.special)
         n = max([*vocab.values(), *self.special.values()]) + 1
         self.pieces: list[bytes] = [b""] * n
@@ -74,9 +81,24 @@ class Codec:
         self.decimal = [str(i) for i in range(n)]
         self.kind = np.dtype("<u2" if n <= 65536 else "<u4")
 
-    def encode(self, text: str) -> np.ndarray:
+    def _encode(self, text: str) -> np.ndarray:
         return self.encoding.encode_to_numpy(text, allowed_special=self.allowed, disallowed_special=()) if text else np.zeros(0, np.uint32)
 
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a text of any length. Long runs of white space are taken out by hand, as the pattern would look for
+        their end step by step and give up: such a run is one piece if the text or an added token follows, else its last
+        character belongs to what follows."""
+        if len(text) < LONG_RUN or not _LONG.search(text):
+            return self._encode(text)
+        parts, at = [], 0
+        for m in _LONG.finditer(text):
+            start, end = m.span()
+            if end < len(text) and not text.startswith(tuple(self.special), end):
+                end -= 1
+            parts += [self._encode(text[at:start]), self.piece.encode_to_numpy(text[start:end])]
+            at = end
+        return np.concatenate([*parts, self._encode(text[at:])])
+
     def encode_bytes(self, data: bytes) -> np.ndarray:
         return self.encode(data.decode())
 

@@ -107,10 +107,39 @@ def test_empty_table(spark):
 @given(st.lists(st.integers(-(1 << 40), 1 << 40), max_size=300).map(sorted))
 def test_elias_fano(values):
     ef, _ = TF.EliasFano.read(TF.EliasFano.of(np.array(values, np.int64)).to_bytes(), 0)
-    assert ef.all().tolist() == values
+    assert ef.block(0, len(values)).tolist() == values
+    for i, j in ((0, 1), (1, 70), (63, 65), (64, 200), (130, 131), (250, 400), (7, 7)):
+        assert ef.block(i, j).tolist() == values[i:j]
     assert [ef[k] for k in range(len(values))] == values
 
 
+LONG = [" " * 2_000_000 + "a", "\n" * 1_000_000, "one" + " \n" * 600_000 + "<|endoftext|>", ("x" + " " * 4500) * 300, "y" + "\u3000\u00a0" * 4000, "\t" * 5000 + "'s"]
+
+
+@pytest.mark.parametrize("k", range(len(LONG)))
+def test_long_white_space(codec, library, k):
+    text, data = LONG[k], LONG[k].encode()
+    want = library.encode(text, add_special_tokens=False).ids
+    assert codec.encode(text).tolist() == want
+    ends = bpe.chunk_borders(data)
+    assert bpe.join_pieces(data, [(a, codec.encode_bytes(data[a:b])) for a, b in zip([0, *ends], ends, strict=False)], codec)[0].tolist() == want
+
+
+def test_long_white_space_in_documents(spark, library):
+    df = spark.createDataFrame(list(enumerate(LONG)), "doc_id long, text string")
+    want = sorted((i, *reference(library, t)) for i, t in enumerate(LONG))
+    assert sorted((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.encode_documents(df, PATH).collect()) == want
+    got = {r.doc_id: r.n_tokens for r in TF.read_token_files(TF.write_token_files(df, PATH)).collect()}
+    assert got == {i: n + 1 for i, n, _, _ in want}
+
+
+def test_rows_of_one_id_are_dealt_to_shards(spark):
+    df = spark.range(400).selectExpr("cast(null as long) doc_id", "concat(id, ' text') text")
+    manifest = TF.write_token_files(df, PATH, shards=8)
+    assert manifest.count() == 8 and max(r.n_docs for r in manifest.collect()) < 200
+    assert TF.read_token_files(manifest).count() == 400
+
+
 def test_elias_fano_is_small():
     ends = np.cumsum(np.random.default_rng(2).integers(1, 2000, 100_000))
     assert len(TF.EliasFano.of(ends).to_bytes()) * 8 / len(ends) < 2 + np.log2(1000) + 1.5
