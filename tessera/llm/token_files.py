@@ -23,7 +23,7 @@ from tessera.llm.bpe import codec
 from tessera.llm.folders import new_name, open_folder
 from tessera.runtime import materialise, shared_folder, ship
 
-SAMPLE = 64
+SAMPLE, HEAD = 64, 64
 _HEAD = struct.Struct("<QqQB")
 _INDEX = struct.Struct("<8sBQQQ")
 _MAGIC = b"TOKIDS\0\1"
@@ -94,17 +94,20 @@ class EliasFano:
             value |= word >> first % 8 & (1 << self.low_bits) - 1
         return value + self.least
 
-    def all(self) -> np.ndarray:
-        if not self.n:
+    def block(self, i: int, j: int) -> np.ndarray:
+        """Values i to j - 1: select finds the first, and the bits behind it hold the others, so that memory is in
+        proportion to the block."""
+        j = min(j, self.n)
+        if i >= j:
             return np.zeros(0, np.int64)
-        ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))
-        v = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
+        first, last = self.select(i), self.select(j - 1)
+        bits = np.unpackbits(np.frombuffer(self.high, np.uint8, last // 8 - first // 8 + 1, first // 8), bitorder="little")
+        ones = np.flatnonzero(bits[first % 8 : last - first // 8 * 8 + 1]) + first
+        v = (ones - np.arange(i, j)).astype(np.uint64) << np.uint64(self.low_bits)
         if self.low_bits:
-            bits = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little", count=self.n * self.low_bits)
-            weights = np.uint64(1) << np.arange(self.low_bits, dtype=np.uint64)
-            for k in range(0, self.n, 65536):
-                part = bits[k * self.low_bits : (k + 65536) * self.low_bits].reshape(-1, self.low_bits)
-                v[k : k + 65536] += part.astype(np.uint64) @ weights
+            at, end = i * self.low_bits, j * self.low_bits
+            low = np.unpackbits(np.frombuffer(self.low, np.uint8, -(-end // 8) - at // 8, at // 8), bitorder="little")[at % 8 :][: end - at]
+            v += low.reshape(-1, self.low_bits).astype(np.uint64) @ (np.uint64(1) << np.arange(self.low_bits, dtype=np.uint64))
         return v.astype(np.int64) + self.least
 
 
@@ -165,44 +168,56 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, end_id: int = 0, sha
         model = spark.sparkContext.broadcast(f.read())  # one vocabulary file: its size doesn't depend on the input
     folder = shared_folder(spark, "token-ids")
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first())
+    # the head of a text parts rows that share a doc_id, or have none, among shards; it keeps the sampled keys small
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    dealt = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.left("text", F.lit(HEAD)))
     ordered = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     return materialise(ordered.mapInArrow(_write(model, folder, end_id), "shard long, name string, folder string, n_docs long, n_ids long"), "token-manifest")
 
 
-#: Ids that a reader holds at once.
-BLOCK = 1 << 21
+#: Ids, and boundaries, that a reader holds at once.
+BLOCK, DOCS = 1 << 21, 1 << 14
+
+
+def _crcs(f: object, width: int, lengths: list[int]) -> Iterator[int]:
+    """CRC-32 of the ids, as 32-bit ones, of documents that follow each other in f: many short ones at once, a long one in parts."""
+    k = 0
+    while k < len(lengths):
+        if lengths[k] > BLOCK:
+            crc, left = 0, lengths[k]
+            while left:
+                part = np.frombuffer(f.read(width * min(left, BLOCK)), f"<u{width}")
+                crc, left = zlib.crc32(part.astype("<u4"), crc), left - len(part)
+            yield crc
+            k += 1
+            continue
+        first, total = k, 0
+        while k < len(lengths) and total + lengths[k] <= BLOCK:
+            total, k = total + lengths[k], k + 1
+        view = memoryview(np.frombuffer(f.read(width * total), f"<u{width}").astype("<u4")).cast("B")
+        at = 0
+        for n in lengths[first:k]:
+            yield zlib.crc32(view[at : at + 4 * n])
+            at += 4 * n
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+    names = ["doc_id", "start", "n_tokens", "ids_crc32"]
     for b in batches:
         for row in b.to_pylist():
             files, path = open_folder(row["folder"])
             with files.open_input_file(f"{path}/{row['name']}.idx") as f:
                 ends, ids, n_null, width = read_index(f.read())
-            ends, doc_ids = ends.all(), [None] * n_null + ids.all().tolist()
-            starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
             with files.open_input_stream(f"{path}/{row['name']}.ids", buffer_size=1 << 20) as f:
-                k = 0
-                while k < len(ends):
-                    last = max(k + 1, int(np.searchsorted(ends, starts[k] + BLOCK, side="right")))
-                    crcs = []
-                    if last == k + 1:  # a document may be longer than a block
-                        crc, left = 0, int(ends[k] - starts[k])
-                        while left:
-                            part = np.frombuffer(f.read(width * min(left, BLOCK)), f"<u{width}")
-                            crc, left = zlib.crc32(part.astype("<u4"), crc), left - len(part)
-                        crcs.append(crc)
-                    else:
-                        part = np.frombuffer(f.read(width * int(ends[last - 1] - starts[k])), f"<u{width}").astype("<u4")
-                        view = memoryview(part).cast("B")
-                        at = (4 * (starts[k:last] - starts[k])).tolist() + [len(view)]
-                        crcs += [zlib.crc32(view[x:y]) for x, y in zip(at, at[1:], strict=False)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(doc_ids[k:last], pa.int64()), pa.array(starts[k:last] + row["base"]), pa.array(ends[k:last] - starts[k:last]), pa.array(crcs, pa.int64())], schema=kinds
-                    )
-                    k = last
+                start = 0
+                for k in range(0, ends.n, DOCS):
+                    block = ends.block(k, k + DOCS)
+                    starts = np.concatenate([[start], block[:-1]])
+                    start = int(block[-1])
+                    nulls = max(0, min(n_null - k, len(block)))
+                    doc_ids = pa.array([None] * nulls + ids.block(max(0, k - n_null), k + len(block) - n_null).tolist(), pa.int64())
+                    crcs = pa.array(_crcs(f, width, (block - starts).tolist()), pa.int64())
+                    yield pa.RecordBatch.from_arrays([doc_ids, pa.array(starts + row["base"]), pa.array(block - starts), crcs], names)
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
