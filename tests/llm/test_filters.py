@@ -2,6 +2,7 @@
 
 import datetime
 import re
+import time
 import zlib
 
 import numpy as np
@@ -182,20 +183,73 @@ def test_permutations(size):
     [
         ("card", "4111 1111 1111 1111"), ("card", "5500005555555559"), ("phone", "+1 (017) 555-7713"), ("phone", "+49 30 1234567"), ("ip", "97.51.17.173"), ("ssn", "123-45-6789"),
         ("email", "ann.b2@mail.example.com"), ("secret", "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"), ("iban", "DE89 3704 0044 0532 0130 00"), ("date", "2024-02-29"), ("date", "31.12.1999"),
+        ("card", "2221 0000 0000 0009"), ("card", "378282246310005"), ("date", "01/25/2020"), ("ipv6", "2001:db8:85a3:0:0:8a2e:370:7334"), ("ipv6", "fe80::1ff:fe23:4567:890a"), ("ipv6", "2001:DB8::7"),
     ],
 )
 def test_formats_are_kept(kind, value):
     text, n = P.pseudonymise(f"see {value}, and {value}.", KEY)
     new = text[4 : 4 + len(text.split(",")[0]) - 4]
     assert n == {kind: 2} and new != value and text == f"see {new}, and {new}."
-    if kind != "ip":  # same places for digits, letters and signs
+    assert P.pseudonymise(text, KEY, back=True)[0] == f"see {value}, and {value}."
+    if kind not in ("ip", "ipv6"):  # same places for digits, letters and signs
         shape = lambda s: re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"\d", "0", s)))
         assert kind == "secret" or shape(new) == shape(value)
     assert P.pseudonymise(new, KEY)[1] == {kind: 1}  # the pseudonym passes the kind's check
     assert P.pseudonymise(value, b"other")[0] != new
 
 
-@pytest.mark.parametrize("text", ["4111111111111112", "9807915762804491", "300.1.2.3", "1.2.3", "2023-02-29", "000-12-3456", "DE89370400440532013001", "a @ b", "12345", "version 1.2.3.4.5", "0" * 16])
+@pytest.mark.parametrize(
+    "value",
+    ["January 5, 2020", "5 January 2020", "May 15th, 2021", "Sept 3, 2020", "3rd September 1999", "12. März 2018", "3 mars 2020", "14 juillet 1989", "5 de marzo de 2020", "Jan. 07, 2001", "07 Oct 2001", "31. Dezember 1999"],
+)
+def test_written_dates(value):
+    text, n = P.pseudonymise(f"on {value}; and on {value}", KEY)
+    if value.startswith("Sept "):
+        assert n == {}
+        return
+    new = text[3:].split(";")[0]
+    assert n == {"written_date": 2} and new != value and text.endswith(f"and on {new}")
+    assert re.sub(r"\d", "", re.sub(r"\w{3,}", "", new)) == re.sub(r"\d", "", re.sub(r"\w{3,}", "", value))
+    assert P.pseudonymise(text, KEY, back=True)[0] == f"on {value}; and on {value}"
+
+
+def test_dates_are_turned_back():
+    for k in range(0, 70_000, 97):
+        day = datetime.date(1900, 1, 1) + datetime.timedelta(days=k)
+        for lang, names in P._MONTHS.items():
+            if names[day.month - 1] != "-":
+                text = f"{day.day} {names[day.month - 1]} {day.year}"
+                new, n = P.pseudonymise(text, KEY)
+                assert n == {"written_date": 1} and P.pseudonymise(new, KEY, back=True)[0] == text, (lang, text, new)
+        for text in (f"{day:%m/%d/%Y}", f"{day:%d/%m/%Y}", f"{day.month}/{day.day}/{day.year}", f"{day.year}-{day.month}-{day.day}", f"{day:%d.%m.%Y}"):
+            assert P.pseudonymise(P.pseudonymise(text, KEY)[0], KEY, back=True)[0] == text
+
+
+def test_cards_stay_in_their_range():
+    for k in range(300):
+        body = f"{2221 + k * 500 // 300}{k * 7919 % 10**11:011d}"
+        card = body + str(P._luhn(body))
+        new, n = P.pseudonymise(card, KEY)
+        assert n == {"card": 1} and 2221 <= int(new[:4]) <= 2720 and P._luhn(new[:-1]) == int(new[-1]) and P.pseudonymise(new, KEY, back=True)[0] == card
+
+
+@pytest.mark.parametrize("run", ["a", "aB", "1", "a.", "1 ", "a@", "+1 ", ":", "1:", "4 ", "DE12 ", "@", "1.", "é", "ab-"])
+def test_long_runs_take_time_in_proportion(run):
+    times = []
+    for n in (25_000, 100_000):
+        began = time.process_time()
+        P.pseudonymise((run * n)[:n] + " ann@example.com", KEY)
+        times.append(time.process_time() - began)
+    assert times[1] < 12 * times[0] + 0.5 and times[1] < 8
+
+
+def test_a_long_run():
+    began = time.process_time()
+    text, n = P.pseudonymise("QUJD" * 250_000 + " ann@example.com", KEY)
+    assert n == {"email": 1} and text.startswith("QUJD" * 250_000) and time.process_time() - began < 5
+
+
+@pytest.mark.parametrize("text", ["12:30:45", "a::b", "std::vector::size", "aa:bb:cc:dd:ee:ff", "4111111111111112", "9807915762804491", "300.1.2.3", "1.2.3", "2023-02-29", "000-12-3456", "DE89370400440532013001", "a @ b", "12345", "version 1.2.3.4.5", "0" * 16])
 def test_others_stay(text):
     assert P.pseudonymise(text, KEY) == (text, {})
 
@@ -219,6 +273,15 @@ def test_pseudonyms_link_documents(spark):
     assert len(got) == 6 and len(new) == 1 and sum(r.n_replaced for r in got) == 3
     assert sorted(str(r.text) for r in got if not r.n_replaced) == ["", "None", "none"]
     assert P.pseudonyms(df.filter("false"), KEY).collect() == []
+    back = P.pseudonyms(P.pseudonyms(df, KEY), KEY, back=True)
+    assert sorted((str(r.doc_id), str(r.text)) for r in back.collect()) == sorted((str(i), str(t)) for i, t in rows)
+
+
+def test_the_query_turned_back(spark, sf):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    new = Q.QUERIES["op9_feistel_pseudonyms"](spark, sf)
+    assert {r.doc_id: r.text for r in P.pseudonyms(new, Q.PSEUDONYM_KEY, back=True).collect()} == texts
+    assert new.filter("n_replaced > 0").count() > 0
 
 
 def test_dates_stay_dates():
