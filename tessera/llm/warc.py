@@ -1,8 +1,9 @@
 """WARC archives as a chunked record table.
 
 A payload travels as rows of its record id and a chunk number, at most CHUNK bytes each, on the way in and on the way
-out, and every row read back carries the digest of the payload so far. Writers and readers hold one chunk, never a
-record. Archives are gzip files of one member a record; a new file begins at SEGMENT bytes, so readers share the work.
+out, and every row carries the digest of the payload so far. Which record is a response is decided on keys and digests
+alone; payloads are cut where they are read, move once, and are joined nowhere. Writers and readers hold one chunk, never
+a record. Archives are gzip files of one member a record; a new file begins at SEGMENT bytes, so readers share the work.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,34 +34,108 @@ def _record_id(page_id: Column, sha: Column, copy: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(m, "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5"), F.lit(">"))
 
 
+_DEALT = "sha string, chunk_no int, src int, page_id long, url string, n long, data binary"
+_RECORDS = "record_id string, refers_record string, page_id long, url string, record_type string, refers_to long, sha string, n long, chunk_no int, so_far string, data binary"
+
+
+def _arrow(schema: str) -> pa.Schema:
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
+    return pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in schema.split(", ")])
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema, data: int) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of a few megabytes; data: the column whose bytes count."""
+    held, size = [], 0
+    for x in rows:
+        held.append(x)
+        size += len(x[data] or b"") + 300
+        if size > 4 << 20:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
+
+
+def _cut(chunk: int, bound: int) -> Callable:
+    """Payloads to chunk rows, straight from the column's memory: each payload of `bound` bytes or more once a task; a
+    shorter one every time, with its page, as it is a record of its own."""
+
+    def rows(batches: Iterator[pa.RecordBatch], src: int) -> Iterator[tuple]:
+        seen: set[bytes] = set()
+        own = 0
+        for b in batches:
+            for page_id, url, html in zip(*b.columns, strict=True):
+                data = memoryview(html.as_buffer()) if html.is_valid and len(html.as_buffer()) else memoryview(b"")
+                digest = hashlib.sha1(data).digest()
+                alone = len(data) < bound
+                if digest in seen and not alone:
+                    continue
+                seen.add(digest)
+                key = digest.hex().upper()
+                for k, at in enumerate(range(0, max(len(data), 1), chunk)):
+                    page = (page_id.as_py(), url.as_py()) if alone else (None, None)
+                    yield (f"{key}-{src}-{own}" if alone else key, k, src, *page, len(data), bytes(data[at : at + chunk]))
+                own += alone
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batches(rows(batches, TaskContext.get().partitionId()), _arrow(_DEALT), 6)
+
+    return run
+
+
+def _carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Response rows: each chunk of a payload with its record, and the digest of the payload up to it. Of a payload that
+    several tasks cut the chunks of one are taken."""
+
+    def rows() -> Iterator[tuple]:
+        key, src, head, digest, own = None, None, None, None, 0
+        for b in batches:
+            for sha, chunk_no, part, page_id, url, n, data in zip(*b.columns, strict=True):
+                if sha.as_py() != key:
+                    key, src, head, digest = sha.as_py(), None, (page_id.as_py(), url.as_py()), hashlib.sha1()
+                    own = key.partition("-")[2]
+                if chunk_no.as_py() < 0:
+                    continue
+                src = part.as_py() if src is None else src
+                if part.as_py() == src:
+                    block = data.as_buffer().to_pybytes() if data.is_valid else b""
+                    digest.update(block)
+                    yield (_id(head[0], key[:40], own or "0"), None, *head, "response", None, key[:40], n.as_py(), chunk_no.as_py(), _base32(digest.hexdigest()), block)
+
+    return _batches(rows(), _arrow(_RECORDS), 10)
+
+
+def _id(page_id: int | None, sha: str, copy: str) -> str:
+    m = hashlib.md5(f"{'-' if page_id is None else page_id}|{sha}|{copy}".encode()).hexdigest()
+    return f"<urn:uuid:{m[:8]}-{m[8:12]}-{m[12:16]}-{m[16:20]}-{m[20:]}>"
+
+
 def chunked_records(pages: DataFrame, min_revisit_bytes: int = 0, chunk: int = CHUNK) -> DataFrame:
-    """The record table of pages (page_id, url, html): a row a record and chunk.
+    """The record table of pages (page_id, url, html): a row a record and chunk, with so_far, the digest up to it.
 
     Of equal payloads of at least min_revisit_bytes bytes the one with the smallest page_id is a response, and the others
-    are revisits that carry no payload. Rows that repeat both page_id and payload keep one response. A null page_id is
-    after all others; where all are null one of them is the response. Null html is an empty payload.
-    Only distinct payloads are shuffled, after each task has joined those it has.
+    are revisits that carry no payload; shorter payloads are responses each. Rows that repeat both page_id and payload keep
+    one response. A null page_id is after all others; where all are null one of them is the response. Null html is an empty
+    payload. The chunks of a record follow each other in one partition. Each task sends a payload that it has once.
     """
+    spark = pages.sparkSession
+    ship(spark)
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
-    # rows under the bound never share: their key holds a number of their own
-    own = F.when(F.octet_length("payload") < min_revisit_bytes, F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))).otherwise(F.lit(""))
-    p = p.select("*", F.concat(F.hex(F.unhex(F.sha1("payload"))), own).alias("sha"), F.octet_length("payload").cast("long").alias("n"))
-    order = F.coalesce(F.col("page_id"), F.lit((1 << 63) - 1))
-    firsts = p.groupBy("sha").agg(F.min("page_id").alias("page_id"), F.min_by(F.struct("url", "payload", "n"), order).alias("r"))
-    responses = firsts.select("sha", "page_id", "r.url", "r.payload", "r.n", F.lit(None).cast("long").alias("refers_to"), F.lit(0).alias("copy"), F.lit("response").alias("record_type"))
-    rows = p.groupBy("sha", "page_id").agg(F.count(F.lit(1)).alias("c"), F.min("url").alias("url"), F.min("n").alias("n"))
-    first_id = p.groupBy("sha").agg(F.min("page_id").alias("first_id"))
+    shared = p.filter(F.octet_length("payload") >= min_revisit_bytes).select("page_id", "url", F.upper(F.sha1("payload")).alias("sha"), F.octet_length("payload").cast("long").alias("n"))
+    rows = materialise(shared.groupBy("sha", "page_id").agg(F.count(F.lit(1)).alias("c"), F.min("url").alias("url"), F.min("n").alias("n")), "warc-keys")
+    first_id = rows.groupBy("sha").agg(F.min("page_id").alias("first_id"))
     rest = split_join(rows, first_id, ["sha"]).withColumn("is_first", F.col("page_id").eqNullSafe(F.col("first_id")))
-    rest = rest.filter(~F.col("is_first") | (F.col("c") > 1))
     copies = F.expr("sequence(if(is_first, 1, 0), cast(c as int) - 1)")
-    revisits = rest.select("sha", "page_id", "url", F.lit(None).cast("binary").alias("payload"), "n", F.col("first_id").alias("refers_to"), F.explode(copies).alias("copy"), F.lit("revisit").alias("record_type"))
-    records = responses.unionByName(revisits).select(
-        _record_id(F.col("page_id"), F.col("sha"), F.col("copy")).alias("record_id"),
-        F.when(F.col("record_type") == "revisit", _record_id(F.col("refers_to"), F.col("sha"), F.lit(0))).alias("refers_record"),
-        "page_id", "url", "record_type", "refers_to", F.substring("sha", 1, 40).alias("sha"), "n", "payload",
+    revisits = rest.filter(~F.col("is_first") | (F.col("c") > 1)).select("sha", "page_id", "url", "n", "first_id", F.explode(copies).alias("copy")).select(
+        _record_id(F.col("page_id"), F.col("sha"), F.col("copy")).alias("record_id"), _record_id(F.col("first_id"), F.col("sha"), F.lit(0)).alias("refers_record"),
+        "page_id", "url", F.lit("revisit").alias("record_type"), F.col("first_id").alias("refers_to"), "sha", "n", F.lit(0).alias("chunk_no"),
+        F.lit(None).cast("string").alias("so_far"), F.lit(None).cast("binary").alias("data"),
     )
-    parts = F.expr(f"transform(sequence(0, cast(greatest((octet_length(payload) - 1) div {chunk}, 0) as int)), i -> substring(payload, i * {chunk} + 1, {chunk}))")
-    return records.select(*[c for c in records.columns if c != "payload"], F.posexplode(F.coalesce(parts, F.expr("array(cast(null as binary))"))).alias("chunk_no", "data"))
+    # a response's key row stands before its chunks in the order of a partition
+    heads = rows.groupBy("sha").agg(F.min_by(F.struct("page_id", "url", "n"), F.coalesce("page_id", F.lit((1 << 63) - 1))).alias("r"))
+    heads = heads.select("sha", F.lit(-1).alias("chunk_no"), F.lit(-1).alias("src"), "r.page_id", "r.url", "r.n", F.lit(None).cast("binary").alias("data"))
+    dealt = heads.union(p.mapInArrow(_cut(chunk, min_revisit_bytes), _DEALT)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sha")
+    return dealt.sortWithinPartitions("sha", "chunk_no", "src").mapInArrow(_carry, _RECORDS).union(revisits)
 
 
 def _base32(sha_hex: str) -> str:
@@ -130,8 +206,7 @@ def _write(folder: str, segment: int) -> Callable:
 
 
 def write_warc(records: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """Write chunked_records() as archives in the shared folder; a row an archive. Chunks of a record follow each other
-    in their task, as explode leaves them. Archives of lost attempts aren't in the manifest."""
+    """Write chunked_records() as archives in the shared folder; a row an archive. Archives of lost attempts aren't in the manifest."""
     spark = records.sparkSession
     ship(spark)
     folder = shared_folder(spark, "warc")
@@ -192,9 +267,6 @@ def _head(s: _Stream) -> dict[str, str]:
 
 
 def _read(chunk: int, with_data: bool) -> Callable:
-    kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.bool_(), pa.int64(), pa.string(), pa.binary()]
-    names = [x.split()[0] for x in _ROWS.split(", ")]
-
     def rows(folder: str, name: str) -> Iterator[tuple]:
         files, path = open_folder(folder)
         with files.open_input_stream(f"{path}/{name}", compression=None) as f:
@@ -225,20 +297,7 @@ def _read(chunk: int, with_data: bool) -> Callable:
                     raise ValueError(f"no end of a record in {name}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch(held: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
-
-        for b in batches:
-            for row in b.to_pylist():
-                held, size = [], 0
-                for x in rows(row["folder"], row["name"]):
-                    held.append(x)
-                    size += len(x[-1] or b"") + 300
-                    if size > 4 << 20:
-                        yield batch(held)
-                        held, size = [], 0
-                if held:
-                    yield batch(held)
+        return _batches((x for b in batches for row in b.to_pylist() for x in rows(row["folder"], row["name"])), _arrow(_ROWS), 9)
 
     return run
 

@@ -43,6 +43,25 @@ def test_bound_for_revisits(spark):
     assert sum(r.record_type == "revisit" for r in rows) == 1 and len(rows) == 10
 
 
+def test_a_bound_gives_a_record_a_page(spark):
+    rows = [(k, f"u{k}", "xy" if k % 4 == 0 else "z" if k % 2 else "long payload") for k in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    got = [r for r in W.read_warc(W.write_warc(W.chunked_records(df, min_revisit_bytes=2)), with_data=False).collect() if r.is_last]
+    first = {"xy": 0, "long payload": 2}
+    want = [(k, "response" if first.get(h, k) == k else "revisit", None if first.get(h, k) == k else first[h]) for k, _, h in rows]
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in got) == want
+    assert len({r.record_id for r in got}) == 40
+
+
+def test_payloads_move_as_chunks(spark):
+    """No payload in an aggregate, and none but chunks in a shuffle."""
+    df, _ = pages(spark)
+    records = W.chunked_records(df.repartition(3), chunk=1000)
+    assert records.groupBy("record_id", "chunk_no").count().filter("count > 1").isEmpty() and records.filter("octet_length(data) > 1000").isEmpty()
+    plan = records._jdf.queryExecution().optimizedPlan().toString()
+    assert "min_by(payload" not in plan and "first(payload" not in plan
+
+
 def test_segments_roll(spark):
     df, rows = pages(spark)
     archives = W.write_warc(W.chunked_records(df.coalesce(1)), segment=10)
