@@ -1,28 +1,36 @@
 """Quality rules: counts, base rules, and robust multivariate outliers by language and source.
 
 A document's counts are transformed to a short vector. For each language and source the minimum-covariance-determinant
-estimate of location and scatter is found by concentration steps: from medians and absolute deviations on, each step
-keeps the share H of documents at the least Mahalanobis distance and estimates again from them, which never raises the
-determinant. Documents far from their group by the last estimate are rejected.
+estimate of location and scatter is found by concentration steps: from several starts, each step keeps the share H of
+documents at the least Mahalanobis distance and estimates again from them; the start with the least determinant goes on
+until its determinant stays. Documents far from their group by that estimate are rejected, where far is read from the
+group's own distances.
 
 All of it is DataFrame code. Counts are made inside a row from arrays of its words, the vectors are written to the
-shared folder once, and every step is a grouped sum that each task begins before the shuffle, so a group with a third of
-all rows is no single task's work.
+shared folder once, and every step is one grouped sum over narrow bins of distance that each task begins before the
+shuffle, so a group with a third of all rows is no single task's work.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.runtime import materialise
 
-H, STEPS, LEAST_GROUP, RIDGE = 0.75, 4, 50, 0.05
-#: Squared distance beyond which a vector is rejected: far in the tail, as counts have longer tails than normal ones.
-CUTOFF = 300.0
+#: Share of a group that an estimate rests on, rows that it needs, and what keeps constant counts from being singular.
+H, LEAST_GROUP, RIDGE = 0.75, 50, 0.05
+#: Steps from every start, steps from the best one at most, bins of distance an octave, and values that percentiles keep.
+FIRST_STEPS, MOST_STEPS, OCTAVE, ACCURACY = 2, 20, 16, 10_000
+#: Of documents like the others of their group, one in 1 / TAIL is rejected.
+TAIL = 1e-4
+#: Groups whose estimates are broadcast; beyond so many the join is shuffled.
+BROADCAST_ROWS = 100_000
+_normal_quantile = NormalDist().inv_cdf
 _SPACE = r"[ \t\n\x0B\f\r]"
 VECTOR = ("v_size", "v_length", "v_symbols", "v_lines", "v_repeats")
 
@@ -82,54 +90,113 @@ def _chi2_quantile(p: float, df: int) -> float:
 
 
 def _precision(entry: Callable[[int, int], str]) -> Column:
-    """The inverse of the covariances entry(i, j), j <= i, row by row in one array: Gauss-Jordan steps on the matrix with
-    the unit matrix beside it. Positive definite matrices need no pivots."""
+    """The inverse of the covariances entry(i, j), j <= i, row by row in one array, and the logarithm of their determinant
+    behind it: Gauss-Jordan steps on the matrix with the unit matrix beside it. Positive definite matrices need no pivots."""
     d = len(VECTOR)
-    both = [entry(max(i, j), min(i, j)) if j < d else f"{float(i == j - d)}D" for i in range(d) for j in range(2 * d)]
+    both = [entry(max(i, j), min(i, j)) if j < d else f"{float(i == j - d)}D" for i in range(d) for j in range(2 * d)] + ["0.0D"]
     cell = lambda i, j: f"m[int({i}) * {2 * d} + int({j})]"
     row, col = f"(t div {2 * d})", f"(t % {2 * d})"
-    step = f"if({row} = k, m[t] / {cell('k', 'k')}, m[t] - {cell(row, 'k')} * {cell('k', col)} / {cell('k', 'k')})"
-    done = f"aggregate(sequence(0, {d - 1}), array({', '.join(both)}), (m, k) -> transform(sequence(0, {2 * d * d - 1}), t -> {step}))"
-    return F.expr(f"aggregate(array(0), {done}, (m, k) -> m, m -> transform(sequence(0, {d * d - 1}), t -> m[int(t div {d}) * {2 * d} + {d} + t % {d}]))")
+    step = f"if(t = {2 * d * d}, m[t] + ln({cell('k', 'k')}), if({row} = k, m[t] / {cell('k', 'k')}, m[t] - {cell(row, 'k')} * {cell('k', col)} / {cell('k', 'k')}))"
+    done = f"aggregate(sequence(0, {d - 1}), array({', '.join(both)}), (m, k) -> transform(sequence(0, {2 * d * d}), t -> {step}))"
+    return F.expr(f"aggregate(array(0), {done}, (m, k) -> m, m -> transform(sequence(0, {d * d}), t -> if(t = {d * d}, m[{2 * d * d}], m[int(t div {d}) * {2 * d} + {d} + t % {d}])))")
 
 
-def distance(rows: DataFrame, name: str = "d2") -> DataFrame:
-    """rows with the squared Mahalanobis distance of VECTOR from m_i under the inverse covariances."""
+def distance(rows: DataFrame, name: str = "d2", columns: Sequence[str] = VECTOR) -> DataFrame:
+    """rows with the squared Mahalanobis distance of columns from m_i under the inverse covariances."""
     d = len(VECTOR)
-    away = [F.col(v) - F.col(f"m_{i}") for i, v in enumerate(VECTOR)]
+    away = [F.col(v) - F.col(f"m_{i}") for i, v in enumerate(columns)]
     terms = [F.col("precision")[i * d + j] * away[i] * away[j] for i in range(d) for j in range(d)]
     return rows.withColumn(name, sum(terms[1:], terms[0]))
 
 
-def _estimate(rows: DataFrame, factor: float) -> DataFrame:
-    """Means and covariances of each group; RIDGE**2 on the diagonal keeps constant counts from making them singular."""
+def _near(c: Column, p: float) -> Column:
+    return F.percentile_approx(c, F.lit(p), F.lit(ACCURACY))
+
+
+def _factors() -> Column:
+    """What scatter is scaled by so that it is consistent for normal data, for shares of 0.5 to 1 in steps of 1/256."""
+    d = len(VECTOR)
+    return F.array(*[F.lit(k / 256 / _chi2_share(_chi2_quantile(k / 256, d), d + 2) if k < 256 else 1.0) for k in range(128, 257)])
+
+
+def _starts(rows: DataFrame, centre: DataFrame) -> DataFrame:
+    """Three estimates a group, all about its medians: scatter without correlation, with that of the vectors' hyperbolic
+    tangents, and with that of their directions, so that far rows have little or no more weight than others."""
     d = len(VECTOR)
+    z = rows.join(centre, "g").select("g", *[F.col(f"s_{i}") for i in range(d)], *[(F.col(f"y_{i}") / F.col(f"s_{i}")).alias(f"z_{i}") for i in range(d)])
+    z = z.withColumn("r", F.greatest(F.sqrt(sum(F.col(f"z_{i}") ** 2 for i in range(d))), F.lit(1e-9)))
     ab = [(i, j) for i in range(d) for j in range(i + 1)]
-    sums = rows.groupBy("g").agg(*[F.avg(v).alias(f"m_{i}") for i, v in enumerate(VECTOR)], *[F.covar_pop(VECTOR[i], VECTOR[j]).alias(f"c_{i}_{j}") for i, j in ab])
-    entry = lambda i, j: f"(c_{i}_{j} * {factor}D + {RIDGE**2 if i == j else 0.0}D)"
-    return sums.select("g", *[f"m_{i}" for i in range(d)], _precision(entry).alias("precision"))
+    tan = lambda i: F.tanh(f"z_{i}")
+    sums = z.groupBy("g").agg(
+        *[F.first(f"s_{i}").alias(f"s_{i}") for i in range(d)], *[F.covar_pop(tan(i), tan(j)).alias(f"c1_{i}_{j}") for i, j in ab],
+        *[F.avg(F.col(f"z_{i}") * F.col(f"z_{j}") / F.col("r") ** 2).alias(f"c2_{i}_{j}") for i, j in ab],
+    )
+
+    def entry(start: int) -> Callable[[int, int], str]:
+        def value(i: int, j: int) -> str:
+            if i == j or not start:
+                return f"s_{i} * s_{j}" if i == j else "0.0D"
+            size = f"sqrt(c{start}_{i}_{i} * c{start}_{j}_{j})"
+            return f"0.99D * s_{i} * s_{j} * if({size} > 1e-12D, c{start}_{i}_{j} / {size}, 0.0D)"
+
+        return value
 
+    starts = F.explode(F.array(*[F.struct(F.lit(k).alias("start"), _precision(entry(k)).alias("precision")) for k in range(3)]))
+    return sums.select("g", starts.alias("e")).select("g", "e.start", *[F.lit(0.0).alias(f"m_{i}") for i in range(d)], "e.precision")
 
-def mcd(rows: DataFrame, h: float = H, steps: int = STEPS, least: int = LEAST_GROUP) -> DataFrame:
-    """g, m_i and precision: the estimates of each group g of rows (g, VECTOR) with at least `least` rows.
 
-    The start is the groups' medians and 1.4826 times their median absolute deviations, without correlation. Scatter is
-    scaled so that it is consistent for normal data. Each step's estimates are written, being a row a group.
+def _step(rows: DataFrame, now: DataFrame, h: float) -> DataFrame:
+    """One concentration step of every estimate (g, start, m_i, precision): sums by bin of distance, of which the nearest
+    that hold the share h are taken."""
+    d = len(VECTOR)
+    ab = [(i, j) for i in range(d) for j in range(i + 1)]
+    bin_ = F.floor(F.log2(F.greatest("d2", F.lit(1e-9))) * OCTAVE).cast("int")
+    far = distance(rows.join(F.broadcast(now) if now.count() <= BROADCAST_ROWS else now, "g"), columns=[f"y_{i}" for i in range(d)]).withColumn("bin", bin_)
+    far = far.groupBy("g", "start", "bin").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"y_{i}").alias(f"a_{i}") for i in range(d)], *[F.sum(F.col(f"y_{i}") * F.col(f"y_{j}")).alias(f"b_{i}_{j}") for i, j in ab])
+    one = Window.partitionBy("g", "start")
+    nearer = F.coalesce(F.sum("n").over(one.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    near = far.select("*", F.sum("n").over(one).alias("all"), nearer.alias("nearer"))
+    near = near.filter(F.col("nearer") < h * F.col("all"))
+    sums = near.groupBy("g", "start").agg(F.sum("n").alias("n"), F.first("all").alias("all"), *[F.sum(f"a_{i}").alias(f"a_{i}") for i in range(d)], *[F.sum(f"b_{i}_{j}").alias(f"b_{i}_{j}") for i, j in ab])
+    factor = F.element_at(_factors(), F.greatest(F.round((F.col("n") / F.col("all") - 0.5) * 256), F.lit(0.0)).cast("int") + 1)
+    sums = sums.withColumn("f", factor)
+    entry = lambda i, j: f"((b_{i}_{j} - a_{i} * a_{j} / n) / n * f + {RIDGE**2 if i == j else 0.0}D)"
+    return materialise(sums.select("g", "start", *[(F.col(f"a_{i}") / F.col("n")).alias(f"m_{i}") for i in range(d)], _precision(entry).alias("precision")), "mcd-step")
+
+
+def mcd(rows: DataFrame, h: float = H) -> DataFrame:
+    """g, m_i, precision and cutoff: the estimate of each group g of rows (g, VECTOR), and the squared distance beyond which
+    a row is no longer like its group.
+
+    The share h is at least that: all rows of the bin in which it is reached count, and scatter is scaled by the share
+    that was taken. The cutoff lies so far above the median distance that a share of TAIL is beyond it, if logarithms of
+    distances spread there as they do from the median to the upper quartile, and not below that of normal data. Each
+    step's estimates are written, being a row a group.
     """
     d = len(VECTOR)
-    near = lambda c, p: F.percentile_approx(c, F.lit(p), F.lit(2000))
-    start = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *[near(v, 0.5).alias(f"m_{i}") for i, v in enumerate(VECTOR)]).filter(F.col("n") >= least).drop("n")
-    start = materialise(start, "mcd-medians")
-    spread = rows.join(start, "g").groupBy("g").agg(*[near(F.abs(F.col(v) - F.col(f"m_{i}")), 0.5).alias(f"d_{i}") for i, v in enumerate(VECTOR)])
-    spread = start.join(spread, "g")
-    alone = lambda i, j: f"(pow(1.4826D * d_{i}, 2) + {RIDGE**2}D)" if i == j else "0.0D"
-    now = materialise(spread.select("g", *[f"m_{i}" for i in range(d)], _precision(alone).alias("precision")), "mcd-start")
-    factor = h / _chi2_share(_chi2_quantile(h, d), d + 2)
-    for _ in range(steps):
-        far = distance(rows.join(now, "g")).select("g", *VECTOR, "d2")
-        bound = materialise(far.groupBy("g").agg(near("d2", h).alias("q")), "mcd-bound")
-        now = materialise(_estimate(far.join(bound, "g").filter("d2 <= q"), factor), "mcd-step")
-    return now
+    log_det = F.element_at("precision", d * d + 1)
+    medians = materialise(rows.groupBy("g").agg(*[_near(F.col(v), 0.5).alias(f"med_{i}") for i, v in enumerate(VECTOR)]), "mcd-medians")
+    few = F.broadcast if medians.count() <= BROADCAST_ROWS else (lambda df: df)
+    # about the medians, so that sums of squares lose no digits
+    rows = materialise(rows.join(few(medians), "g").select("g", *[(F.col(v) - F.col(f"med_{i}")).alias(f"y_{i}") for i, v in enumerate(VECTOR)]), "mcd-rows")
+    spread = [F.sqrt((1.4826 * _near(F.abs(F.col(f"y_{i}")), 0.5)) ** 2 + RIDGE**2).alias(f"s_{i}") for i in range(d)]
+    centre = materialise(rows.groupBy("g").agg(*spread), "mcd-spread")
+    now = materialise(_starts(rows, few(centre)), "mcd-starts")
+    for _ in range(FIRST_STEPS):
+        now = _step(rows, now, h)
+    best = F.min_by(F.struct("start", *[f"m_{i}" for i in range(d)], "precision"), F.struct(log_det, F.col("start"))).alias("e")
+    now = materialise(now.groupBy("g").agg(best).select("g", "e.*"), "mcd-best")
+    for _ in range(MOST_STEPS):
+        last, now = now, _step(rows, now, h)
+        moved = last.select("g", log_det.alias("before")).join(now.select("g", log_det.alias("after")), "g")
+        if moved.filter(F.abs(F.col("before") - F.col("after")) > 1e-9).isEmpty():
+            break
+    far = F.log(F.greatest("d2", F.lit(1e-9)))
+    spread = distance(rows.join(few(now), "g"), columns=[f"y_{i}" for i in range(d)]).groupBy("g").agg(_near(far, 0.5).alias("q50"), _near(far, 0.75).alias("q75"))
+    beyond = F.exp(F.col("q50") + _normal_quantile(1 - TAIL) / _normal_quantile(0.75) * (F.col("q75") - F.col("q50")))
+    cutoffs = materialise(spread.select("g", F.greatest(beyond, F.lit(_chi2_quantile(1 - TAIL, d))).alias("cutoff")), "mcd-cutoffs")
+    at = [(F.col(f"m_{i}") + F.col(f"med_{i}")).alias(f"m_{i}") for i in range(d)]
+    return now.join(few(medians), "g").join(few(cutoffs), "g").select("g", *at, F.slice("precision", 1, d * d).alias("precision"), "cutoff")
 
 
 def _pools(stats: DataFrame, least: int = LEAST_GROUP) -> DataFrame:
@@ -141,23 +208,24 @@ def _pools(stats: DataFrame, least: int = LEAST_GROUP) -> DataFrame:
     return materialise(sizes.join(by_language, "language").select("g", pool.alias("pool")), "rule-pools")
 
 
-def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance2 and kept of each row.
+def judge(docs: DataFrame) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance2, cutoff and kept of each row.
 
     base_failed: fewer than 10 words, or more than 20 % of the words in repeated 5-word windows. kept is false if
     base_failed or if the squared distance is over the cutoff. Estimates come from rows that pass the base rules; a group
     of fewer than LEAST_GROUP of those is judged by the estimate of its language over all sources, and if that has too few
-    by that of all rows. distance2 is null only if no row at all passes the base rules. Null texts are empty; null languages or sources are groups of their own; rows that repeat count as often as they stand there.
+    by that of all rows. distance2 is null only if no row at all passes the base rules. Null texts are empty; null
+    languages or sources are groups of their own; rows that repeat count as often as they stand there.
     """
     stats = counts(docs.select("doc_id", "text", "lang", "source"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    group = F.to_json(F.struct("row.lang", "row.source"))
-    stats = stats.select("row.doc_id", group.alias("g"), F.concat(F.lit("language "), F.to_json(F.struct("row.lang"))).alias("language"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), *vector())
+    group, language = F.to_json(F.struct("row.lang", "row.source")), F.concat(F.lit("language "), F.to_json(F.struct("row.lang")))
+    stats = stats.select("row.doc_id", group.alias("g"), language.alias("language"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), *vector())
     stats = materialise(stats, "rule-counts")
     pools = _pools(stats)
     used = pools.select("pool").distinct()
     rows = stats.filter("not base_failed").select(F.explode(F.array("g", "language", F.lit(""))).alias("pool"), *VECTOR)
-    found = mcd(rows.join(used, "pool").withColumnRenamed("pool", "g"), least=1).withColumnRenamed("g", "pool")
+    found = mcd(rows.join(used, "pool").withColumnRenamed("pool", "g")).withColumnRenamed("g", "pool")
     far = distance(stats.join(pools, "g").join(found, "pool", "left"), "distance2")
-    verdict = ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= cutoff)
-    return far.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance2", verdict.alias("kept"))
+    verdict = ~F.col("base_failed") & F.coalesce(F.col("distance2") <= F.col("cutoff"), F.lit(True))
+    return far.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance2", "cutoff", verdict.alias("kept"))

@@ -100,27 +100,6 @@ def test_rule_counts_on_documents(spark, sf):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == counts(texts[r.doc_id])
 
 
-def test_mcd_against_numpy(spark):
-    rng = np.random.default_rng(2)
-    x = rng.normal(0, 1, (1000, 5)) @ rng.normal(0, 1, (5, 5)) + rng.normal(0, 3, 5)
-    x[:200] += 40  # a fifth of the rows lies far off
-    rows = spark.createDataFrame([("g", *map(float, r)) for r in x] + [("small", *map(float, r)) for r in x[:9]], f"g string, {', '.join(f'{v} double' for v in O.VECTOR)}")
-    found = {r.g: r for r in O.mcd(rows).collect()}
-    assert set(found) == {"g"}
-    m, h = np.median(x, axis=0), O.H
-    inv = np.diag(1 / ((1.4826 * np.median(np.abs(x - m), axis=0)) ** 2 + O.RIDGE**2))
-    factor = h / O._chi2_share(O._chi2_quantile(h, 5), 7)
-    for _ in range(O.STEPS):
-        d = np.einsum("ni,ij,nj->n", x - m, inv, x - m)
-        best = x[d <= np.sort(d)[int(h * len(x)) - 1]]
-        m, inv = best.mean(axis=0), np.linalg.inv(np.cov(best.T, bias=True) * factor + O.RIDGE**2 * np.eye(5))
-    got = np.array(found["g"].precision).reshape(5, 5)
-    assert np.allclose([found["g"][f"m_{k}"] for k in range(5)], m, atol=0.15)
-    assert np.allclose(got, inv, rtol=0.1, atol=0.05 * np.abs(inv).max())
-    far = {r.d2 > 100 for r in O.distance(rows.filter("g = 'g'").limit(200).join(O.mcd(rows), "g")).collect()}
-    assert far == {True}
-
-
 # ---- decontamination ------------------------------------------------------------------------------------------------
 
 QUESTION = "Anna has 12 apples and gives 5 kg of them to Peter before she walks 3 miles home again. How many apples has Anna left now?"
