@@ -35,9 +35,9 @@ def op2_quality_fourier_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc_chunked_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.llm.warc import chunked_records, read_warc, write_warc
+    from tessera.llm.warc import archive_pages, read_warc
 
-    archives = write_warc(chunked_records(_table(spark, sf_dir, "pages"), min_revisit_bytes=0))
+    archives = archive_pages(_table(spark, sf_dir, "pages"), min_revisit_bytes=0)
     last = read_warc(archives, with_data=False).filter("is_last")
     return last.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

@@ -24,6 +24,8 @@ from tessera.runtime import materialise, shared_folder, ship
 
 CHUNK, SEGMENT = 1 << 16, 128 << 20
 _READ = 1 << 18
+#: Payloads that are broadcast by digest so that their copies stay where they are: at most so many, of so many copies.
+MOST_COPIED, COPIES = 10_000, 4
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MANIFEST = "folder string, name string, n_records long"
 _ROWS = "record_id string, page_id long, record_type string, refers_to long, url string, chunk_no int, is_last boolean, payload_bytes long, payload_digest string, data binary"
@@ -110,14 +112,8 @@ def _id(page_id: int | None, sha: str, copy: str) -> str:
     return f"<urn:uuid:{m[:8]}-{m[8:12]}-{m[12:16]}-{m[16:20]}-{m[20:]}>"
 
 
-def chunked_records(pages: DataFrame, min_revisit_bytes: int = 0, chunk: int = CHUNK) -> DataFrame:
-    """The record table of pages (page_id, url, html): a row a record and chunk, with so_far, the digest up to it.
-
-    Of equal payloads of at least min_revisit_bytes bytes the one with the smallest page_id is a response, and the others
-    are revisits that carry no payload; shorter payloads are responses each. Rows that repeat both page_id and payload keep
-    one response. A null page_id is after all others; where all are null one of them is the response. Null html is an empty
-    payload. The chunks of a record follow each other in one partition. Each task sends a payload that it has once.
-    """
+def _dealt(pages: DataFrame, min_revisit_bytes: int, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """Chunks of the distinct payloads, sorted behind the keys of their responses and ready for _carry; and the revisits."""
     spark = pages.sparkSession
     ship(spark)
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
@@ -134,8 +130,25 @@ def chunked_records(pages: DataFrame, min_revisit_bytes: int = 0, chunk: int = C
     # a response's key row stands before its chunks in the order of a partition
     heads = rows.groupBy("sha").agg(F.min_by(F.struct("page_id", "url", "n"), F.coalesce("page_id", F.lit((1 << 63) - 1))).alias("r"))
     heads = heads.select("sha", F.lit(-1).alias("chunk_no"), F.lit(-1).alias("src"), "r.page_id", "r.url", "r.n", F.lit(None).cast("binary").alias("data"))
-    dealt = heads.union(p.mapInArrow(_cut(chunk, min_revisit_bytes), _DEALT)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sha")
-    return dealt.sortWithinPartitions("sha", "chunk_no", "src").mapInArrow(_carry, _RECORDS).union(revisits)
+    # of the payloads with the most copies only the response's is cut; of others each task sends one
+    copied = rows.groupBy("sha").agg(F.sum("c").alias("copies"), F.min("page_id").alias("first_id")).filter(F.col("copies") >= COPIES)
+    copied = copied.orderBy(F.desc("copies"), "sha").limit(MOST_COPIED).select(F.col("sha").alias("copied"), "first_id")
+    own = p.join(F.broadcast(copied), F.upper(F.sha1("payload")) == F.col("copied"), "left").filter(F.col("copied").isNull() | F.col("page_id").eqNullSafe(F.col("first_id")))
+    chunks = own.select("page_id", "url", "payload").mapInArrow(_cut(chunk, min_revisit_bytes), _DEALT)
+    dealt = heads.union(chunks).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sha")
+    return dealt.sortWithinPartitions("sha", "chunk_no", "src"), revisits
+
+
+def chunked_records(pages: DataFrame, min_revisit_bytes: int = 0, chunk: int = CHUNK) -> DataFrame:
+    """The record table of pages (page_id, url, html): a row a record and chunk, with so_far, the digest up to it.
+
+    Of equal payloads of at least min_revisit_bytes bytes the one with the smallest page_id is a response, and the others
+    are revisits that carry no payload; shorter payloads are responses each. Rows that repeat both page_id and payload keep
+    one response. A null page_id is after all others; where all are null one of them is the response. Null html is an empty
+    payload. The chunks of a record follow each other in one partition. Each task sends a payload that it has once.
+    """
+    dealt, revisits = _dealt(pages, min_revisit_bytes, chunk)
+    return dealt.mapInArrow(_carry, _RECORDS).union(revisits)
 
 
 def _base32(sha_hex: str) -> str:
@@ -205,6 +218,15 @@ def _write(folder: str, segment: int) -> Callable:
     return run
 
 
+def archive_pages(pages: DataFrame, min_revisit_bytes: int = 0, chunk: int = CHUNK, segment: int = SEGMENT) -> DataFrame:
+    """write_warc(chunked_records(pages)), with chunks going to their file in the task that puts them in order."""
+    dealt, revisits = _dealt(pages, min_revisit_bytes, chunk)
+    folder = shared_folder(pages.sparkSession, "warc")
+    write = _write(folder, segment)
+    rows = dealt.mapInArrow(lambda batches: write(_carry(batches)), _MANIFEST).union(revisits.mapInArrow(write, _MANIFEST))
+    return materialise(rows, "warc-manifest")
+
+
 def write_warc(records: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """Write chunked_records() as archives in the shared folder; a row an archive. Archives of lost attempts aren't in the manifest."""
     spark = records.sparkSession

@@ -46,7 +46,10 @@ def test_bound_for_revisits(spark):
 def test_a_bound_gives_a_record_a_page(spark):
     rows = [(k, f"u{k}", "xy" if k % 4 == 0 else "z" if k % 2 else "long payload") for k in range(40)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
-    got = [r for r in W.read_warc(W.write_warc(W.chunked_records(df, min_revisit_bytes=2)), with_data=False).collect() if r.is_last]
+    got = [r for r in W.read_warc(W.archive_pages(df, min_revisit_bytes=2)).collect() if r.is_last]
+    assert sorted(map(str, W.read_warc(W.write_warc(W.chunked_records(df, min_revisit_bytes=2))).select("page_id", "record_type", "refers_to", "payload_digest", "data").collect())) == sorted(
+        str(tuple_) for tuple_ in W.read_warc(W.archive_pages(df, min_revisit_bytes=2)).select("page_id", "record_type", "refers_to", "payload_digest", "data").collect()
+    )
     first = {"xy": 0, "long payload": 2}
     want = [(k, "response" if first.get(h, k) == k else "revisit", None if first.get(h, k) == k else first[h]) for k, _, h in rows]
     assert sorted((r.page_id, r.record_type, r.refers_to) for r in got) == want
