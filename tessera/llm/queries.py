@@ -81,7 +81,7 @@ def op9_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_site_relative_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.site_lines import drop_site_lines
 
-    kept = drop_site_lines(_table(spark, sf_dir, "documents"), host="source", ratio=0.05, min_pages=5)
+    kept = drop_site_lines(_table(spark, sf_dir, "documents"), host="source", ratio=0.05)
     return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
@@ -125,7 +125,7 @@ WITH d AS (SELECT doc_id, coalesce(source, '') AS host, string_split(coalesce(te
 l AS (SELECT doc_id, host, unnest(lines) AS line, generate_subscripts(lines, 1) AS k FROM d),
 t AS (SELECT host, count(*) AS pages FROM d GROUP BY host),
 c AS (SELECT host, line, count(DISTINCT doc_id) AS n FROM l WHERE NOT regexp_full_match(line, '[\\x20\\x09-\\x0D]*') GROUP BY host, line),
-b AS (SELECT c.host, c.line FROM c JOIN t USING (host) WHERE n >= 5 AND n > 0.05::DOUBLE * pages)
+b AS (SELECT c.host, c.line FROM c JOIN t USING (host) WHERE n >= 2 AND n > 0.05::DOUBLE * pages)
 SELECT l.doc_id, count(*) AS n_lines, count(b.line) AS n_dropped,
        sha256(coalesce(string_agg(CASE WHEN b.line IS NULL THEN l.line END, chr(10) ORDER BY k), '')) AS kept_sha256
 FROM l LEFT JOIN b ON l.host = b.host AND l.line = b.line GROUP BY l.doc_id
