@@ -1,9 +1,10 @@
 """Quality classifier: ridge scores over random Fourier features of document statistics, with isotonic calibration.
 
 A pass over the texts leaves a short vector of statistics a document. Random Fourier features approximate a Gaussian
-kernel over it; each task sums its part of the normal equations, tasks' parts are summed on a few executors, and the
-driver solves one system of fixed size. Scores of the labelled rows are counted in bins of fixed number, from which
-isotonic steps turn a score into the share of good documents around it.
+kernel over it; each task sums its part of the normal equations by fold, tasks' parts are summed on a few executors, and
+the driver solves systems of fixed size: one of all folds, and one without each. Scores of the labelled rows, each by the
+solution that hasn't seen its fold, are counted in bins of fixed number, from which isotonic steps turn a score into the
+share of good documents around it.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tessera.runtime import materialise, ship
 
-FEATURES, RIDGE, SEED, BINS, THRESHOLD = 256, 1e-4, 5, 2048, 0.7
+FEATURES, RIDGE, SEED, BINS, FOLDS, THRESHOLD = 256, 1e-4, 5, 2048, 5, 0.7
 _MARKS = "#*$%&|<>"
 NAMES = (
     "words", "word_length", "upper", "marks", "bars", "exclamations", "digits", "stops", "distinct", "top_word",
@@ -92,37 +93,52 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def _normal_parts(mean: np.ndarray, scale: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        total: dict[int, np.ndarray] = {}
         for b in batches:
             for k in range(0, b.num_rows, 4096):
                 p = b.slice(k, 4096)
                 z, y = features(_matrix(p.column(0)), mean, scale), p.column(1).to_numpy(zero_copy_only=False).astype(float)
-                part = np.column_stack([z.T @ z, z.T @ y])
-                total = part if total is None else total + part
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
+                folds = p.column(2).to_numpy()
+                for f in np.unique(folds).tolist():
+                    part = z[folds == f].T @ np.column_stack([z[folds == f], y[folds == f]])
+                    total[f] = total[f] + part if f in total else part
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["fold", "part"])
 
     return run
 
 
 def _sum_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = None
+    total: dict[int, np.ndarray] = {}
     for b in batches:
-        for x in b.column(0):
+        for f, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             part = np.frombuffer(x.as_buffer())
-            total = part.copy() if total is None else total + part
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
+            total[f] = total[f] + part if f in total else part.copy()
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["fold", "part"])
 
 
-def _raw_rows(model: Model) -> Callable:
+def _raw_rows(models: dict[int, Model]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(model.raw(_matrix(b.column(0))) if b.num_rows else [], pa.float64()), b.column(1)], ["raw", "y"])
+            if b.num_rows:
+                x, folds = _matrix(b.column(0)), b.column(2).to_numpy()
+                raw = np.empty(len(x))
+                for f in np.unique(folds).tolist():
+                    raw[folds == f] = models[f].raw(x[folds == f])
+                yield pa.RecordBatch.from_arrays([pa.array(raw), b.column(1)], ["raw", "y"])
 
     return run
 
 
+def solve(parts: np.ndarray, ridge: float) -> np.ndarray:
+    """Ridge weights from summed normal equations; the constant feature is last and bears no penalty."""
+    gram, right, n = parts[:, :-1], parts[:, -1], parts[-1, -2]
+    penalty = np.full(len(right), ridge * n)
+    penalty[-1] = 0
+    return np.linalg.solve(gram + np.diag(penalty) + 1e-9 * np.eye(len(right)), right)
+
+
 def isotonic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Points of the non-decreasing function nearest to the means y of n values each at ascending x: the pooled blocks'
     centres and means."""
@@ -141,24 +157,24 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(stats: DataFrame, labels: DataFrame, ridge: float = RIDGE) -> Model:
     """Fit on the rows of stats (x, doc_id) that labels (doc_id, quality) marks and that aren't held out; all of them,
-    there is no sample. A doc_id that labels marks more than once counts as good if any row says so; null labels don't
+    there is no sample. Calibration is out of fold: a row's score for it comes from the rows of the other folds. A doc_id that labels marks more than once counts as good if any row says so; null labels don't
     count. Without labelled rows every score is about a half."""
     d = len(NAMES)
     marks = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("double").alias("y"))
-    train = stats.filter(~held_out(F.col("doc_id"))).join(marks, "doc_id").select("x", "y")
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
+    train = stats.filter(~held_out(F.col("doc_id"))).join(marks, "doc_id").select("x", "y", fold)
     means = train.agg(F.count(F.lit(1)), *[f(F.col("x")[k]) for k in range(d) for f in (F.avg, F.stddev_pop)]).first()
     if not means[0]:
         return Model(np.zeros(d), np.ones(d), np.zeros(FEATURES + 1), (np.array([0.0]), np.array([0.5])))
     mean, scale = np.array(means[1::2]), np.maximum(np.array(means[2::2]), 1e-3)
-    parts = train.mapInArrow(_normal_parts(mean, scale), "part binary")
-    parts = parts.repartition(8).mapInArrow(_sum_parts, "part binary").collect()  # at most 8 of fixed size
-    both = np.sum([np.frombuffer(p.part) for p in parts], axis=0).reshape(FEATURES + 1, FEATURES + 2)
-    gram, right = both[:, :-1], both[:, -1]
-    penalty = np.full(FEATURES + 1, ridge * means[0])
-    penalty[-1] = 0
-    model = Model(mean, scale, np.linalg.solve(gram + np.diag(penalty) + 1e-9 * np.eye(FEATURES + 1), right), (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
+    summed = train.mapInArrow(_normal_parts(mean, scale), "fold int, part binary").repartition(FOLDS, "fold").mapInArrow(_sum_parts, "fold int, part binary")
+    parts = {r.fold: np.frombuffer(r.part).reshape(FEATURES + 1, FEATURES + 2) for r in summed.collect()}  # FOLDS of fixed size
+    every = np.sum([parts[f] for f in sorted(parts)], axis=0)
+    unit = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+    model = Model(mean, scale, solve(every, ridge), unit)
+    others = {f: Model(mean, scale, solve(every - x, ridge), unit) if len(parts) > 1 else model for f, x in parts.items()}
     low, width = -0.5, 2.0 / BINS
-    binned = train.mapInArrow(_raw_rows(model), "raw double, y double")
+    binned = train.mapInArrow(_raw_rows(others), "raw double, y double")
     binned = binned.groupBy(F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((F.col("raw") - low) / width))).alias("bin"))
     rows = sorted(tuple(r) for r in binned.agg(F.avg("raw"), F.avg("y"), F.count(F.lit(1))).collect())  # BINS at most
     return dataclasses.replace(model, steps=isotonic(*(np.array(c, float) for c in list(zip(*rows, strict=True))[1:])))
@@ -188,13 +204,23 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def score_column(model: Model, text: Column) -> Column:
-    """The score of a text as a column: rows stay where they are, only texts go to Python."""
+def statistics_column(text: Column) -> Column:
+    """The statistics of a text as a column: rows stay where they are, only texts go to Python."""
+
+    @F.pandas_udf("array<double>")
+    def stats(texts):  # noqa: ANN001, ANN202
+        return texts.map(statistics)
+
+    return stats(F.coalesce(text, F.lit("")))
+
+
+def score_column(model: Model, stats: Column) -> Column:
+    """The score of a statistics_column()."""
 
     @F.pandas_udf("double")
-    def score(texts):  # noqa: ANN001, ANN202
+    def score(rows):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        return pd.Series(model.score(np.array([statistics(t) for t in texts]).reshape(len(texts), -1)) if len(texts) else [], dtype=float)
+        return pd.Series(model.score(np.stack(rows.to_list())) if len(rows) else [], dtype=float)
 
-    return score(F.coalesce(text, F.lit("")))
+    return score(stats)
