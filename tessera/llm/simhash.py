@@ -1,10 +1,13 @@
 """SimHash near-duplicates by tiled exact comparison.
 
-Distinct fingerprints are dealt to groups of bounded size, and every two groups meet in one cell. There they are sorted
-by the population counts of their bytes and compared in tiles by exclusive-or and bit count; a tile pair whose counts
-differ by more than the radius in total (over the bytes' ranges) can hold no link and is skipped. A cell returns a
-spanning forest of its links, not the links, so a large group of near copies costs rows in proportion to its size.
-Forests of all cells are joined to components by star contraction on Spark.
+Distinct fingerprints are dealt by population count to groups of bounded size, and every two groups whose counts can be
+within the radius meet in one cell. There they are sorted by the population counts of their bytes and compared in tiles by
+exclusive-or and bit count; a tile pair whose counts differ by more than the radius in total (over the bytes' ranges) can
+hold no link and is skipped. A cell returns a spanning forest of its links, not the links, so a large group of near copies
+costs rows in proportion to its size. Forests of all cells are joined to components by star contraction on Spark.
+
+Where a similarity of texts is asked for, links are candidates: each is checked on the texts' shingles, and what joins by
+the links that hold is looked at again for further links until there are none.
 """
 
 from __future__ import annotations
@@ -17,16 +20,35 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import split_join
+from tessera.llm.common import split_join, text_keys
 from tessera.llm.words import mix
 from tessera.runtime import materialise, ship
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
-#: Fingerprints of one group at most (on average; a cell holds two groups), and of a tile.
-GROUP, TILE = 1 << 17, 512
+#: Fingerprints of one group (on average; a cell holds two groups): a 64th of all between these bounds. Those of a tile.
+LEAST_GROUP, GROUP, TILE = 1 << 13, 1 << 17, 512
+#: Rows up to which a small side is broadcast; beyond it the join is shuffled.
+BROADCAST_ROWS = 1_000_000
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of the distinct shingles of a text, ascending; no words: none."""
+    parts = text.translate(_LOWER).split()
+    k = min(len(parts), shingle)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(parts[i : i + k]), SEED) for i in range(len(parts) - k + 1)), np.uint64)) if parts else np.zeros(0, np.uint64)
+
+
+def set_fingerprint(text: bytes, shingle: int, words: int) -> bytes:
+    """fingerprint() of the set of shingles: each counts once however often it stands there."""
+    h = shingle_hashes(text, shingle)
+    if not len(h):
+        return bytes(8 * words)
+    mixed = [mix(h ^ np.uint64(w * 0x9E3779B97F4A7C15 % (1 << 64))) if w else h for w in range(words)]
+    counts = [np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for x in mixed]
+    return np.packbits(np.array(counts) * 2 > len(h), bitorder="little").tobytes()
+
+
 def fingerprint(text: bytes, shingle: int = SHINGLE, words: int = 1) -> bytes:
     """The SimHash of a text, 8 little-endian bytes a word: A-Z in lower case, words of [^\\x20\\x09-\\x0D]+, shingles joined
     by one space (fewer words: all of them as one), XXH64 with seed 42; a bit is 1 where more than half of the shingles
@@ -50,26 +72,30 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, words: int = 1) -> bytes:
     return np.packbits(counts * 2 > len(starts), bitorder="little").tobytes()
 
 
-def _fingerprints(shingle: int, words: int) -> Callable:
+def _fingerprints(shingle: int, words: int, of: Callable) -> Callable:
     names = [f"f{w}" for w in range(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.frombuffer(b"".join([fingerprint(x.as_buffer().to_pybytes(), shingle, words) for x in b.column(0)]), "<i8").reshape(-1, words)
+            fp = np.frombuffer(b"".join([of(x.as_buffer().to_pybytes(), shingle, words) for x in b.column(0)]), "<i8").reshape(-1, words)
             yield pa.RecordBatch.from_arrays([*(pa.array(fp[:, w]) for w in range(words)), *b.columns[1:]], [*names, *b.schema.names[1:]])
 
     return run
 
 
-def _join_labels(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Join the classes of i and j, pair by pair, in labels (the smallest index of a class)."""
+def _join_labels(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Join the classes of i and j, pair by pair, in labels (the smallest index of a class). Returns the pairs that did:
+    each takes a class to one with a smaller label, so they make no circle."""
+    taken = []
     while True:
         a, b = labels[i], labels[j]
         apart = a != b
         if not apart.any():
-            return
+            return taken
         i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-        np.minimum.at(labels, np.maximum(a, b), np.minimum(a, b))
+        roots, pick = np.unique(np.maximum(a, b), return_index=True)
+        labels[roots] = np.minimum(a, b)[pick]
+        taken.append((i[pick], j[pick]))
         while True:
             up = labels[labels]
             if np.array_equal(up, labels):
@@ -77,10 +103,13 @@ def _join_labels(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             labels[:] = up
 
 
-def forest(fps: np.ndarray, side: np.ndarray | None, radius: int, screen: int | None = None, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (x, y) that join each fingerprint (a row of one or more 64-bit words) to the first of its class under the
-    links: at most radius differing bits, of which at most `screen` in the first word. side: 0 or 1 of each, then only
-    links between the sides are looked for (others belong to other cells)."""
+def forest(
+    fps: np.ndarray, side: np.ndarray | None, radius: int, screen: int | None = None, tile: int = TILE, joined: np.ndarray | None = None, refused: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Links (x, y) between fingerprints (rows of one or more 64-bit words) that join what all links join: at most radius
+    differing bits, of which at most `screen` in the first word. side: 0 or 1 of each, then only links between the sides
+    are looked for (others belong to other cells). joined: classes that are one already. refused: pairs (rows of two
+    indices) that are no links."""
     n, screen = len(fps), radius if screen is None else screen
     by_byte = np.bitwise_count(fps[:, :1].copy().view(np.uint8)).astype(np.int16)
     quarters = by_byte[:, ::2] + by_byte[:, 1::2]
@@ -94,6 +123,16 @@ def forest(fps: np.ndarray, side: np.ndarray | None, radius: int, screen: int |
     t_low = np.array([total[a:b].min() for a, b in bounds])
     t_high = np.array([total[a:b].max() for a, b in bounds])
     labels = np.arange(n)
+    if joined is not None:
+        _, first_of, which = np.unique(joined[order], return_index=True, return_inverse=True)
+        labels = first_of[which.ravel()]
+    no = np.zeros(0, np.int64)
+    if refused is not None and len(refused):
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        pair = place[refused]
+        no = np.sort(pair.min(axis=1) * n + pair.max(axis=1))
+    found: list[tuple[np.ndarray, np.ndarray]] = []
     n_left = sum(b <= split for _, b in bounds)
     for k, (a, b) in enumerate(bounds if side is None else bounds[:n_left]):
         others = np.arange(k, len(bounds)) if side is None else np.arange(n_left, len(bounds))
@@ -108,33 +147,76 @@ def forest(fps: np.ndarray, side: np.ndarray | None, radius: int, screen: int |
             if rest.shape[1] and len(i):
                 bits = np.bitwise_count(first[i] ^ first[j]).astype(np.int64) + np.bitwise_count(rest[i] ^ rest[j]).sum(axis=1, dtype=np.int64)
                 i, j = i[bits <= radius], j[bits <= radius]
+            if len(no) and len(i):
+                keep = ~np.isin(np.minimum(i, j) * n + np.maximum(i, j), no)
+                i, j = i[keep], j[keep]
             if len(i):
-                _join_labels(labels, i, j)
-    linked = np.flatnonzero(labels != np.arange(n))
-    return order[linked], order[labels[linked]]
+                found += _join_labels(labels, i, j)
+    x, y = (np.concatenate([np.zeros(0, np.int64), *c]) for c in (zip(*found, strict=True) if found else ((), ())))
+    return order[x], order[y]
 
 
 def _cell(words: int, radius: int, screen: int) -> Callable:
-    def run(key: tuple, table: pa.Table) -> pa.Table:
+    def run(key: tuple, table: pa.Table, pairs: pa.Table | None = None) -> pa.Table:
         fps = np.column_stack([table.column(f"f{w}").to_numpy() for w in range(words)]).astype(np.int64).view(np.uint64)
         left, right = (x.as_py() for x in key)
         side = None if left == right else (table.column("grp").to_numpy() != left).astype(np.int8)
-        x, y = forest(fps, side, radius, screen)
-        node = table.column("node").to_numpy()
+        node, refused = table.column("node").to_numpy(), None
+        if pairs is not None and pairs.num_rows and len(node):
+            by_node = np.argsort(node)
+            refused = by_node[np.minimum(np.searchsorted(node[by_node], np.column_stack([pairs.column("a").to_numpy(), pairs.column("b").to_numpy()])), len(node) - 1)]
+        x, y = forest(fps, side, radius, screen, joined=table.column("joined").to_numpy(), refused=refused) if len(node) else (node, node)
         return pa.table({"a": pa.array(node[x]), "b": pa.array(node[y])})
 
     return run
 
 
-def links(distinct: DataFrame, words: int = 1, radius: int = RADIUS, screen: int | None = None, group: int = GROUP) -> DataFrame:
-    """Edges a, b over the nodes of distinct fingerprints (node, f0, f1, ...) whose components are those of all links."""
-    n = distinct.count()
-    groups = max(16, -(-n // group))
+def _dealing(sizes: dict[int, int], radius: int, group: int) -> list[tuple[int, int, int, int]]:
+    """For each population count from 0 on: the first group of its fingerprints, over how many groups they are dealt, and the
+    first and last group that can hold a link to them. Neighbouring counts share a group while it stays under `group`."""
+    ranges: list[list[int]] = []  # first count, last count, fingerprints
+    for p in sorted(sizes):
+        if ranges and ranges[-1][2] + sizes[p] <= group:
+            ranges[-1][1:] = [p, ranges[-1][2] + sizes[p]]
+        else:
+            ranges.append([p, p, sizes[p]])
+    parts = [-(-n // group) for _, _, n in ranges]
+    begin = [sum(parts[:k]) for k in range(len(parts) + 1)]
+    near = [[j for j, (c, d, _) in enumerate(ranges) if c - b <= radius and a - d <= radius] for a, b, _ in ranges]
+    where = {p: k for k, (a, b, _) in enumerate(ranges) for p in range(a, b + 1)}
+    return [(begin[k], parts[k], begin[near[k][0]], begin[near[k][-1] + 1] - 1) if (k := where.get(p)) is not None else (0, 1, 0, 0) for p in range(max(sizes, default=0) + 1)]
+
+
+def links(
+    distinct: DataFrame, words: int = 1, radius: int = RADIUS, screen: int | None = None, group: int | None = None, joined: DataFrame | None = None, refused: DataFrame | None = None
+) -> DataFrame:
+    """Edges a, b over the nodes of distinct fingerprints (node, f0, f1, ...), links themselves, whose components are those
+    of all links. joined (node, component): what is one already. refused (a, b): pairs that are no links."""
+    spark = distinct.sparkSession
     names = ["node", *(f"f{w}" for w in range(words))]
-    dealt = distinct.select(*names, F.pmod(F.xxhash64("node"), F.lit(groups)).cast("int").alias("grp"))
-    cells = dealt.select(*names, "grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("other"))
-    cells = cells.select(*names, "grp", F.least("grp", "other").alias("left"), F.greatest("grp", "other").alias("right"))
-    return cells.groupBy("left", "right").applyInArrow(_cell(words, radius, radius if screen is None else screen), "a long, b long")
+    bits = sum((F.bit_count(F.col(f"f{w}")) for w in range(1, words)), F.bit_count(F.col("f0")))
+    sizes = {r[0]: r[1] for r in distinct.groupBy(bits.alias("bits")).count().collect()}  # at most 64 words + 1 rows
+    group = group or max(LEAST_GROUP, min(GROUP, sum(sizes.values()) // 64))
+    table = _dealing(sizes, radius, group)
+    at = lambda k: F.element_at(F.array(*[F.lit(t[k]) for t in table]), F.col("bits") + 1)
+    dealt = distinct.select(*names, bits.alias("bits"))
+    dealt = dealt.select(*names, (at(0) + F.pmod(F.xxhash64("node"), at(1))).cast("int").alias("grp"), at(2).alias("from"), at(3).alias("to"))
+    if joined is not None:
+        dealt = split_join(dealt, joined, ["node"], "left").withColumn("joined", F.coalesce("component", "node"))
+    else:
+        dealt = dealt.withColumn("joined", F.col("node"))
+    cells = dealt.select(*names, "joined", "grp", F.explode(F.sequence("from", "to")).alias("other"))
+    cells = cells.select(*names, "joined", "grp", F.least("grp", "other").alias("left"), F.greatest("grp", "other").alias("right"))
+    n_cells = len({(min(g, o), max(g, o)) for b, n, first, last in set(table) for g in range(b, b + n) for o in range(first, last + 1)}) if len(table) and sum(t[1] for t in table) < 2000 else 1 << 20
+    tasks = max(1, min(n_cells, 1 << 13))  # work is in the pairs, not in the bytes, so tasks are as many as cells
+    cells = cells.repartition(tasks, "left", "right")
+    run = _cell(words, radius, radius if screen is None else screen)
+    if refused is None:
+        return cells.groupBy("left", "right").applyInArrow(lambda key, t: run(key, t), "a long, b long")
+    home = dealt.select("node", "grp")
+    pairs = split_join(split_join(refused, home.select(F.col("node").alias("a"), F.col("grp").alias("ga")), ["a"]), home.select(F.col("node").alias("b"), F.col("grp").alias("gb")), ["b"])
+    pairs = pairs.select("a", "b", F.least("ga", "gb").alias("left"), F.greatest("ga", "gb").alias("right")).repartition(tasks, "left", "right")
+    return cells.groupBy("left", "right").cogroup(pairs.groupBy("left", "right")).applyInArrow(lambda key, t, p: run(key, t, p), "a long, b long")
 
 
 def components(edges: DataFrame, name: str = "stars", most_rounds: int = 60) -> DataFrame:
@@ -164,7 +246,25 @@ def components(edges: DataFrame, name: str = "stars", most_rounds: int = 60) ->
     return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, words: int = 1, screen: int | None = None, group: int = GROUP) -> DataFrame:
+def _nodes(docs: DataFrame, shingle: int, words: int, of: Callable) -> tuple[DataFrame, DataFrame]:
+    """A row each of docs (doc_id, k1, k2, f0, ...), and the distinct fingerprints (node, f0, ..., least doc_id, best: the
+    first row by doc_id and text key). A node is the fingerprint itself, or a number that is given to it once, when it is
+    written."""
+    names = [f"f{w}" for w in range(words)]
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(text.cast("binary").alias("t"), F.col("doc_id").cast("long").alias("doc_id"), *text_keys(text))
+    rows = rows.mapInArrow(_fingerprints(shingle, words, of), ", ".join(f"{x} long" for x in names) + ", doc_id long, k1 long, k2 long")
+    rows = materialise(rows, "fingerprints")
+    first = F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "k1", "k2")
+    distinct = rows.groupBy(*names).agg(F.min("doc_id").alias("least"), F.min(first).alias("best"))
+    node = F.col("f0") if words == 1 else F.monotonically_increasing_id()
+    return rows, materialise(distinct.withColumn("node", node), "distinct-fingerprints")
+
+
+_NO_ID = (1 << 63) - 1
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, words: int = 1, screen: int | None = None, group: int | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits a word) and component_id (smallest doc_id reachable over links) of each row of
     docs. Fingerprints of `words` times 64 bits link at radius or fewer differing bits, of which `screen` or fewer in
     the first 64 (radius, if None).
@@ -175,16 +275,86 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     """
     ship(docs.sparkSession)
     names = [f"f{w}" for w in range(words)]
-    rows = docs.select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("t"), F.col("doc_id").cast("long").alias("doc_id"))
-    rows = rows.mapInArrow(_fingerprints(shingle, words), ", ".join(f"{x} long" for x in names) + ", doc_id long")
-    rows = materialise(rows.withColumn("node", F.col("f0") if words == 1 else F.xxhash64(*names)), "fingerprints")
-    distinct = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.min(x).alias(x) for x in names]), "distinct-fingerprints")
+    rows, distinct = _nodes(docs, shingle, words, fingerprint)
     found = materialise(components(links(distinct, words, radius, screen, group)), "components")
-    named = distinct.join(found, "node").groupBy("component").agg(F.min("least").alias("component_id"))
-    known = distinct.select("node", "least").join(found.join(named, "component").select("node", "component_id"), "node", "left")
-    known = known.select("node", F.coalesce("component_id", "least").alias("component_id"))
+    named = split_join(found, distinct.select("node", "least"), ["node"]).groupBy("component").agg(F.min("least").alias("component_id"))
+    known = split_join(distinct.select("node", *names, "least"), split_join(found, named, ["component"]).select("node", "component_id"), ["node"], "left")
+    known = known.select(*names, F.coalesce("component_id", "least").alias("component_id"))
     digits = F.lower(F.concat(*[F.lpad(F.hex(x), 16, "0") for x in names]))
-    return split_join(rows, known, ["node"]).select("doc_id", digits.alias("fingerprint"), "component_id")
+    return split_join(rows, known, names).select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+def _sets(shingle: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                sets = [shingle_hashes(x.as_buffer().to_pybytes(), shingle).view(np.int64) for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
+
+    return run
+
+
+def _shingle_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """node, s: the shingles of the text of each of nodes (node, k1, k2), from one reading of docs."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows, small = docs.select(text.cast("binary").alias("t"), *text_keys(text)), nodes.count() <= BROADCAST_ROWS
+    rows = rows.join(F.broadcast(nodes), ["k1", "k2"]) if small else split_join(rows, nodes, ["k1", "k2"])
+    return materialise(rows.groupBy("node").agg(F.first("t").alias("t")).mapInArrow(_sets(shingle), "node long, s array<long>"), "shingle-sets")
+
+
+def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """pairs (a, b) with ok: whether their sets have that Jaccard similarity. Two empty sets are alike."""
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("s").alias(f"s{x}"))
+    both = split_join(split_join(pairs, side("a"), ["a"]), side("b"), ["b"])
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.select("a", "b", (common >= similarity * (F.size("sa") + F.size("sb") - common) - 1e-9).alias("ok"))
+
+
+def similar_groups(docs: DataFrame, similarity: float, shingle: int, words: int, radius: int, screen: int, group: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The distinct fingerprints of docs as _nodes() has them, and (node, component): groups over links whose texts have
+    that Jaccard similarity of their sets of shingles, among links of fingerprints within the radius and the screen.
+
+    A forest of candidate links is checked; what the links that hold join is one from then on, and links between what is
+    still apart are looked for again, but for the refused ones, among the groups of candidates that hold a refused one.
+    When nothing new is found no link is left out, and no group's pairs have all been made.
+    """
+    ship(docs.sparkSession)
+    _, distinct = _nodes(docs, shingle, words, set_fingerprint)
+    active, joined, held, refused, sets = distinct, None, None, None, None
+    while True:
+        found = materialise(links(active, words, radius, screen, group, joined, refused).distinct(), "candidate-links")
+        if found.isEmpty():
+            break
+        if sets is None:  # later candidates join nodes of the same groups
+            classes = materialise(components(found, "candidate-stars"), "candidate-groups")
+            sets = _shingle_sets(docs, split_join(distinct, classes, ["node"]).select("node", "best.k1", "best.k2"), shingle)
+        checked = materialise(_checked(found, sets, similarity), "checked-links")
+        held = checked.filter("ok").select("a", "b") if held is None else held.union(checked.filter("ok").select("a", "b"))
+        joined = materialise(components(held), "similar-groups")
+        bad = checked.filter("not ok").select("a", "b")
+        if bad.isEmpty():
+            break
+        refused = bad if refused is None else refused.union(bad)
+        open_ = split_join(bad.select(F.col("a").alias("node")), classes, ["node"]).select("component").distinct()
+        some = split_join(classes, open_, ["component"], "left_semi").select("node")
+        active = materialise(split_join(distinct, some, ["node"], "left_semi"), "open-groups")
+        refused = materialise(split_join(refused, some.select(F.col("node").alias("a")), ["a"], "left_semi"), "refused-links")
+    return distinct, joined if joined is not None else distinct.select("node", F.col("node").alias("component")).filter("false")
+
+
+def first_of_groups(docs: DataFrame, similarity: float, shingle: int, words: int, radius: int, screen: int, group: int | None = None) -> DataFrame:
+    """One row of docs, all columns, of each of similar_groups(): that with the smallest doc_id (null is after all others),
+    then with the smallest key of its text, then the smallest of rows that have both. Rows that share a doc_id but no
+    text are judged apart. Texts without words are alike."""
+    names = docs.columns
+    distinct, joined = similar_groups(docs, similarity, shingle, words, radius, screen, group)
+    best = split_join(distinct.select("node", "best"), joined, ["node"], "left").select(F.coalesce("component", "node").alias("component"), F.col("component").isNull().alias("alone"), "best")
+    best = best.filter("alone").select("best").union(best.filter("not alone").groupBy("component").agg(F.min("best").alias("best")).select("best"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), *text_keys(text))
+    kept = split_join(rows, best.select("best.*"), ["id", "k1", "k2"], "left_semi")
+    return kept.groupBy("id", "k1", "k2").agg(F.min("row").alias("row")).select(*[F.col("row").getField(c).alias(c) for c in names])
 
 
-__all__ = ["components", "fingerprint", "forest", "links", "near_duplicates"]
+__all__ = ["components", "fingerprint", "first_of_groups", "forest", "links", "near_duplicates", "similar_groups"]

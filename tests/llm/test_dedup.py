@@ -135,6 +135,45 @@ def test_forest_skips_only_tiles_without_links():
     assert len(SH.forest(fps[:1500, None], None, 4, tile=16)[0]) == 0
 
 
+def test_forest_of_links():
+    rng = np.random.default_rng(6)
+    fps = (rng.integers(0, 4, 400, dtype=np.uint64) << np.uint64(40)) ^ (np.uint64(1) << rng.integers(0, 30, 400).astype(np.uint64))
+    x, y = SH.forest(fps[:, None], None, 2, tile=32)
+    assert np.bitwise_count(fps[x] ^ fps[y]).max() <= 2  # links themselves
+    links = {(a, b) for a in range(400) for b in range(a) if np.bitwise_count(fps[a] ^ fps[b]) <= 2}
+
+    def classes(pairs, labels):
+        labels = list(labels)
+        for a, b in [*pairs, *pairs, *pairs] * 3:
+            labels[a] = labels[b] = min(labels[a], labels[b])
+        return [labels[labels[k]] for k in range(400)]
+
+    assert len(x) == 400 - len(set(classes(links, range(400))))
+    refused = np.array(sorted(links))[::2]
+    x, y = SH.forest(fps[:, None], None, 2, tile=32, refused=refused)
+    assert not {tuple(sorted(p, reverse=True)) for p in zip(x.tolist(), y.tolist(), strict=True)} & set(map(tuple, refused.tolist()))
+    assert len(SH.forest(fps[:, None], None, 2, joined=np.zeros(400, np.int64))[0]) == 0
+
+
+def test_dealing_by_population_count():
+    rng = np.random.default_rng(7)
+    sizes = {int(k): int(v) for k, v in zip(*np.unique(rng.binomial(64, 0.5, 20_000), return_counts=True), strict=True)}
+    table = SH._dealing(sizes, 4, 500)
+    groups = {p: set(range(table[p][0], table[p][0] + table[p][1])) for p in sizes}
+    for p in sizes:
+        for q in sizes:
+            reach = set(range(table[p][2], table[p][3] + 1))
+            assert abs(p - q) > 4 or groups[q] <= reach
+            assert all((g in set(range(table[q][2], table[q][3] + 1))) == (groups[q].isdisjoint(reach) is False) for g in groups[p])
+    assert max(v[3] - v[2] + 1 for v in table) < 0.8 * len(set().union(*groups.values()))
+    assert SH._dealing({}, 4, 500) == [(0, 1, 0, 0)]
+
+
+def test_a_host_of_few_pages(spark):
+    df = spark.createDataFrame([(k, f"menu\nbody {k}", "small") for k in range(4)] + [(9, "menu\nalone", "one")], "doc_id long, text string, source string")
+    assert {r.doc_id: r._n_dropped for r in SL.drop_site_lines(df).collect()} == {0: 1, 1: 1, 2: 1, 3: 1, 9: 0}
+
+
 def test_components_of_a_chain(spark):
     n = 300
     edges = spark.createDataFrame([(k, k + 1) for k in range(n)] + [(1000, 1001), (7, 7)], "a long, b long")

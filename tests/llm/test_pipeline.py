@@ -46,45 +46,83 @@ def test_quality(spark, stages):
 
 def test_lines(stages):
     before, after = rows(stages["quality"]), rows(stages["lines"])
-    pages, held = collections.Counter(r.source for r in before.values()), collections.Counter()
-    for r in before.values():
-        held.update({(r.source, x) for x in (r.text or "").split("\n") if x.strip(" \t\n\x0b\x0c\r")})
+    texts = {(r.source, r.text or "") for r in before.values()}  # equal texts of a source count once
+    pages, held = collections.Counter(source for source, _ in texts), collections.Counter()
+    for source, text in texts:
+        held.update({(source, x) for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r")})
     for i, r in before.items():
-        lines = (r.text or "").split("\n")
-        kept = [x for x in lines if not (held[(r.source, x)] >= 5 and held[(r.source, x)] > 0.05 * pages[r.source])]
-        solid = [x for x in lines if x.strip(" \t\n\x0b\x0c\r")]
-        want = "\n".join(lines if len(lines) - len(kept) > 0.5 * len(solid) else kept)
+        kept = [x for x in (r.text or "").split("\n") if not (held[(r.source, x)] >= 2 and held[(r.source, x)] > 0.05 * pages[r.source])]
+        want = "\n".join(kept)
         assert after[i].text == want and after[i].n_chars == (r.n_chars if want == r.text else len(want))
     assert set(before) == set(after)
 
 
-def test_near_copies(stages):
-    before, after = rows(stages["lines"]), rows(stages["near_copies"])
-    ids = sorted(before)
-    fps = np.array([np.frombuffer(simhash.fingerprint((before[i].text or "").encode(), C.SHINGLE, C.WORDS), "<u8") for i in ids])
-    up = list(range(len(ids)))
+def similar(texts):
+    """Links of at least the similarity between distinct texts, by the shingles that they share."""
+    found = [set(simhash.shingle_hashes((t or "").encode(), C.SHINGLE).tolist()) for t in texts]
+    where = collections.defaultdict(list)
+    for k, s in enumerate(found):
+        for x in s or {None}:
+            where[x].append(k)
+    pairs = {(a, b) for v in where.values() for a in v for b in v if a < b}
+    return [(a, b) for a, b in pairs if len(found[a] & found[b]) >= C.SIMILARITY * len(found[a] | found[b]) - 1e-9]
+
+
+def grouped(n, pairs):
+    up = list(range(n))
 
     def top(x):
         while up[x] != x:
             x = up[x]
         return x
 
-    for k in range(len(ids)):
-        bits = np.bitwise_count(fps ^ fps[k])
-        for j in np.flatnonzero((bits.sum(axis=1) <= C.RADIUS) & (bits[:, 0] <= C.SCREEN)):
-            up[top(k)] = top(int(j))
-    least = {}
-    for k, i in enumerate(ids):
-        least.setdefault(top(k), i)
-    assert set(after) == set(least.values())
-    shingles = lambda t: {tuple(t.lower().split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))}
-    found = [shingles(r.text or "") for r in after.values()]
-    where = collections.defaultdict(set)
-    for k, s in enumerate(found):
-        for x in s:
-            where[x].add(k)
-    left = {(a, b) for v in where.values() for a in v for b in v if a < b}
-    assert sum(len(found[a] & found[b]) / len(found[a] | found[b]) >= 0.8 for a, b in left) <= 1
+    for a, b in sorted(pairs):
+        a, b = top(a), top(b)
+        up[max(a, b)] = min(a, b)
+    return [top(k) for k in range(n)]
+
+
+def test_near_copies(stages):
+    before, after = rows(stages["lines"]), rows(stages["near_copies"])
+    ids = sorted(before)
+    pairs = similar([before[i].text for i in ids])
+    fps = np.array([np.frombuffer(simhash.set_fingerprint((before[i].text or "").encode(), C.SHINGLE, C.WORDS), "<u8") for i in ids])
+    bits = {p: np.bitwise_count(fps[p[0]] ^ fps[p[1]]) for p in pairs}
+    linked = [p for p in pairs if bits[p].sum() <= C.RADIUS and bits[p][0] <= C.SCREEN]
+    assert len(pairs) > 50 and len(linked) == len(pairs)  # here radius and screen lose no link
+    assert sorted(after) == sorted({ids[k] for k in grouped(len(ids), linked)})
+    assert all(after[i] == before[i] for i in after)
+
+
+def test_groups_of_similar_texts(spark):
+    """Chains, large groups, links of fingerprints that don't hold, and texts of few words, in cells of any size."""
+    rng = np.random.default_rng(8)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 300)]
+    texts = []
+    for k in range(60):  # a large group, each text with its own changes
+        w = list(base)
+        w[int(rng.integers(0, 300))] = f"new{k}"
+        texts.append(" ".join(w))
+    for k in range(0, 120, 4):  # a chain, whose ends aren't similar, and whose fingerprints link further than its texts do
+        texts.append(" ".join(f"c{j}" for j in range(k, k + 60)))
+    for k in range(40):  # fingerprints near each other, similarities on both sides of the bound
+        w = [f"d{j}" for j in range(90)]
+        for j in rng.choice(90, 3, replace=False):
+            w[j] = f"e{k}x{j}"
+        texts.append(" ".join(w))
+    texts += ["a b c d e f g h", "a b c d e f g h i", "A b c d e f g H", "a b", "a  b", "", "\n", "x", "a b c d e f g h"]
+    want = grouped(len(texts), similar(texts))
+    df = spark.createDataFrame([(k, t, "x", k) for k, t in enumerate(texts)], "doc_id long, text string, k1 string, node int").repartition(3)
+    for group in (None, 15):
+        got = simhash.first_of_groups(df, C.SIMILARITY, C.SHINGLE, C.WORDS, C.RADIUS, C.SCREEN, group)
+        assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == sorted(set(want))
+
+
+def test_rows_that_share_an_id(spark):
+    long = " ".join(f"word{k}" for k in range(30))
+    rows_ = [(5, long, "b"), (5, "another text of six words", "a"), (5, long, "a"), (None, long, "c"), (None, "alone without an id", "c"), (7, None, "n"), (3, "", "e"), (3, None, "d")]
+    got = simhash.first_of_groups(spark.createDataFrame(rows_, "doc_id long, text string, source string"), C.SIMILARITY, C.SHINGLE, C.WORDS, C.RADIUS, C.SCREEN)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(5, long, "a"), (5, "another text of six words", "a"), (None, "alone without an id", "c"), (3, None, "d")]))
 
 
 def test_benchmark(spark, stages):
@@ -102,6 +140,14 @@ def test_encoding(stages):
         assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
 
 
+def test_columns_that_stages_use_themselves(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"menu\nsome text {k} of a page", "en", "s", 3, 7, "x", 1.5) for k in range(6)], "doc_id long, text string, lang string, source string, n_chars long, _n_lines int, Lines string, Statistics double")
+    lines = C.line_stage(spark, docs, "")
+    assert lines.columns == docs.columns and {(r._n_lines, r.Lines, r.Statistics, "menu" in r.text) for r in lines.collect()} == {(7, "x", 1.5, False)}
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert C.quality_stage(spark, docs, str(tmp_path)).columns == docs.columns
+
+
 def test_stages_take_odd_rows(spark, tmp_path):
     passage = " ".join(f"word{k}" for k in range(40))
     texts = [None, "", " ", passage, passage, passage + " end", "z" * 50_000, "a\nb\na"]
@@ -114,5 +160,5 @@ def test_stages_take_odd_rows(spark, tmp_path):
             out.collect()
             assert name == "encoding" or out.columns == docs.columns
     near = C.near_copy_stage(spark, docs, str(tmp_path))
-    assert sorted(str(r.doc_id) for r in near.collect()) == ["0", "3", "6", "7", "None"]
+    assert sorted(str(r.doc_id) for r in near.collect()) == ["0", "3", "6", "7"]
     assert C.benchmark_stage(spark, docs, str(tmp_path)).filter(F.col("text").contains("word39")).count() == 0
