@@ -11,41 +11,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontaminate, quality, simhash, site_lines
-from tessera.runtime import materialise
+from tessera.runtime import materialise, ship
 
-#: Near copies in the pipeline: 256-bit fingerprints of shingles of five words. Texts whose shingles have a similarity of
-#: 0.8 differ in 39 bits on average with a deviation of 6, unrelated ones in 128 with a deviation of 8; so 50 bits
-#: (22 of the first 64) hold all but a few of the former and none of the latter.
-SHINGLE, WORDS, RADIUS, SCREEN = 5, 4, 50, 22
+#: Near copies in the pipeline: sets of shingles of five words with a Jaccard similarity of 0.8, looked for by 256-bit
+#: fingerprints. At 0.8 they differ in 39 bits on average with a deviation of 6 (48 in texts of four shingles against
+#: five), unrelated ones in 128 with a deviation of 8; links within RADIUS, SCREEN of them in the first 64, are checked.
+SIMILARITY, SHINGLE, WORDS, RADIUS, SCREEN = 0.8, 5, 4, 64, 24
 
 
-def _columns(docs: DataFrame) -> list[str]:
-    return list(docs.columns)
+def _fresh(name: str, docs: DataFrame) -> str:
+    """A column name that docs doesn't have."""
+    while name.lower() in map(str.lower, docs.columns):
+        name = f"_{name}"
+    return name
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores at 0.7 or more. It is fitted on the labelled rows of docs that
     aren't held out; a document is judged by its text alone."""
-    model = quality.fit(quality.document_statistics(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.filter(quality.score_column(model, F.col("text")) >= quality.THRESHOLD)
+    ship(spark)
+    stats = _fresh("statistics", docs)
+    known = materialise(docs.withColumn(stats, quality.statistics_column(F.col("text"))), "pipeline-statistics")
+    model = quality.fit(known.select(F.col(stats).alias("x"), F.col("doc_id").cast("long").alias("doc_id")), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return known.filter(quality.score_column(model, F.col(stats)) >= quality.THRESHOLD).drop(stats)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the boilerplate lines of their source, where equal texts count once: copies, which the next stage
     joins, make no line boilerplate. n_chars follows the text."""
-    kept = site_lines.drop_site_lines(docs, host="source", per_text=True)
-    return kept.withColumn("n_chars", F.when(F.col("_n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*_columns(docs))
+    n_lines, n_dropped = _fresh("lines", docs), _fresh("dropped", docs)
+    kept = site_lines.drop_site_lines(docs, host="source", per_text=True, names=(n_lines, n_dropped))
+    n_chars = F.when(F.col(n_dropped) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return kept.withColumn("n_chars", n_chars).drop(n_lines, n_dropped).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest doc_id (rows that repeat it: one of them).
-    Documents without an id, which no group can name, stay. Documents without words are alike and count as copies."""
-    found = simhash.near_duplicates(docs, RADIUS, SHINGLE, WORDS, SCREEN)
-    keep = found.filter("doc_id = component_id").select("doc_id").distinct()
-    names = _columns(docs)
-    rows = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    known = rows.filter("doc_id is not null").join(keep, "doc_id").groupBy("doc_id").agg(F.first("row").alias("row"))
-    return known.select("row").union(rows.filter("doc_id is null").select("row")).select(*[F.col("row").getField(c).alias(c) for c in names])
+    """One document of each group of near copies, the one with the smallest doc_id (null after all others). Links are
+    checked on the texts. Rows that repeat a doc_id are judged by their texts; documents without words are alike."""
+    return simhash.first_of_groups(docs, SIMILARITY, SHINGLE, WORDS, RADIUS, SCREEN)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
