@@ -6,7 +6,8 @@ import dataclasses
 import html
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 from html.parser import HTMLParser
 
 #: Elements that begin a block (fixed values).
@@ -31,35 +32,61 @@ def trim(text: str) -> str:
     return _CONTROLS.sub("", _SPACES.sub(" ", text)).strip(" ")
 
 
+def _quoted(value: str) -> str:
+    return html.escape(value, quote=False).replace('"', "&quot;")
+
+
 @dataclasses.dataclass(eq=False)
 class Node:
-    """An element, its attributes, and its children: elements and texts in order."""
+    """An element, its attributes, and its children: elements and texts in order. Trees may be of any depth, so nothing
+    here calls itself."""
 
     name: str
     attributes: dict[str, str] = dataclasses.field(default_factory=dict)
     children: list[Node | str] = dataclasses.field(default_factory=list)
+    parent: Node | None = dataclasses.field(default=None, repr=False)
 
     @property
     def elements(self) -> list[Node]:
         return [c for c in self.children if isinstance(c, Node)]
 
     def walk(self) -> Iterator[Node]:
-        for c in self.elements:
-            yield c
-            yield from c.walk()
+        """All elements below, in document order."""
+        left = self.elements[::-1]
+        while left:
+            node = left.pop()
+            yield node
+            left += node.elements[::-1]
 
     def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
-
-    def markup(self) -> str:
-        head = "".join(f' {k}="{html.escape(v)}"' for k, v in self.attributes.items() if k != "xmlns")
-        if self.name in _VOID and not self.children:
-            return f"<{self.name}{head}/>"
-        raw = self.name in ("script", "style")
-        return f"<{self.name}{head}>" + "".join((c if raw else html.escape(c, quote=False)) if isinstance(c, str) else c.markup() for c in self.children) + f"</{self.name}>"
-
-    def copy(self) -> Node:
-        return Node(self.name, dict(self.attributes), [c if isinstance(c, str) else c.copy() for c in self.children])
+        out, left = [], self.children[::-1]
+        while left:
+            c = left.pop()
+            if isinstance(c, str):
+                out.append(c)
+            else:
+                left += c.children[::-1]
+        return "".join(out)
+
+    def markup(self, strict: bool = False) -> str:
+        """As markup of a page: elements that are void by name close themselves. strict: as XML has it: elements without
+        children do, but this one itself never."""
+        out: list[str] = []
+        left: list[tuple[str, Node | str]] = [("node", self)]
+        while left:
+            kind, c = left.pop()
+            if isinstance(c, str):
+                out.append(c if kind == "raw" else html.escape(c, quote=False))
+                continue
+            head = "".join(f' {k}="{_quoted(v)}"' for k, v in c.attributes.items() if k != "xmlns")
+            if not c.children and (c is not self if strict else c.name in _VOID):
+                out.append(f"<{c.name}{head}/>")
+                continue
+            out.append(f"<{c.name}{head}>")
+            left.append(("raw", f"</{c.name}>"))
+            inner = "raw" if c.name in ("script", "style") and not strict else "text"
+            left += [(inner, x) for x in reversed(c.children)]
+        return "".join(out)
 
 
 class _Builder(HTMLParser):
@@ -67,27 +94,33 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("")
         self.open = [self.root]
+        self.names: Counter[str] = Counter()  # of the open elements
+
+    def _close(self) -> str:
+        name = self.open.pop().name
+        self.names[name] -= 1
+        return name
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in BLOCKS and any(n.name == "p" for n in self.open):
-            while self.open[-1].name != "p":
-                self.open.pop()
-            self.open.pop()
+        if tag in BLOCKS and self.names["p"]:
+            while self._close() != "p":
+                pass
         elif self.open[-1].name in _CLOSES.get(tag, ()):
-            self.open.pop()
-        node = Node(tag, {k: v or "" for k, v in attrs})
+            self._close()
+        node = Node(tag, {k: v or "" for k, v in attrs}, parent=self.open[-1])
         self.open[-1].children.append(node)
         if tag not in _VOID:
             self.open.append(node)
+            self.names[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if self.open[-1].name == tag and tag not in _VOID:
-            self.open.pop()
+            self._close()
 
     def handle_endtag(self, tag: str) -> None:
-        if any(n.name == tag for n in self.open[1:]):
-            while self.open.pop().name != tag:
+        if self.names[tag]:
+            while self._close() != tag:
                 pass
 
     def handle_data(self, data: str) -> None:
@@ -110,45 +143,137 @@ def body(root: Node) -> Node:
     return next((n for n in root.walk() if n.name == "body"), root)
 
 
-_SELECTOR = re.compile(r"([\w-]+|\*)?((?:#[\w-]+|\.[\w-]+|\[[\w-]+(?:=(?:\"[^\"]*\"|'[^']*'|[\w-]+))?\])*)")
-
-
-def selector(rules: tuple[str, ...] | list[str]) -> Callable[[Node], bool]:
-    """Whether an element matches one of the rules: a name, #id, .class, [attribute] or [attribute=value], or several of
-    them together, with commas between alternatives. Other rules are left out."""
-    tests = []
-    for rule in (r.strip() for x in rules for r in x.split(",")):
-        m = _SELECTOR.fullmatch(rule)
-        if not m or not rule:
-            continue
-        tests.append((m[1] if m[1] != "*" else None, re.findall(r"#([\w-]+)", m[2]), re.findall(r"\.([\w-]+)", m[2]), re.findall(r"\[([\w-]+)(?:=[\"']?([^\"'\]]*)[\"']?)?\]", m[2])))
-
-    def match(n: Node) -> bool:
-        return any(
-            (not name or n.name == name) and all(n.attributes.get("id") == i for i in ids) and set(classes) <= set(n.attributes.get("class", "").split())
-            and all(a in n.attributes and (not v or n.attributes[a] == v) for a, v in attributes)
-            for name, ids, classes, attributes in tests
-        )
-
-    return match
+_NAME = r"[\w-]|[^\x00-\x7f]|\\."
+_ATTRIBUTE = r"\[\s*([\w:-]+)\s*(?:([~|^$*]?=)\s*(?:\"([^\"]*)\"|'([^']*)'|([\w-]+))\s*)?\]"
+_PSEUDO = r":(first-child|last-child|only-child|first-of-type|last-of-type|only-of-type|empty|root)(?![\w(-])|:nth-child\(\s*(\d+|odd|even)\s*\)|:not\(([^()]*)\)"
+_COMPOUND = re.compile(rf"(\*|(?:{_NAME})+)?((?:#(?:{_NAME})+|\.(?:{_NAME})+|{_ATTRIBUTE}|{_PSEUDO})*)")
+_PART = re.compile(rf"#((?:{_NAME})+)|\.((?:{_NAME})+)|{_ATTRIBUTE}|{_PSEUDO}")
+Test = Callable[[Node], bool]
+
+
+def _siblings(n: Node) -> list[Node]:
+    return n.parent.elements if n.parent else [n]
+
+
+def _attribute(name: str, how: str | None, value: str) -> Test:
+    tests: dict[str, Callable[[str], bool]] = {
+        "": lambda x: True, "=": lambda x: x == value, "~=": lambda x: value in x.split(), "|=": lambda x: x == value or x.startswith(value + "-"),
+        "^=": lambda x: bool(value) and x.startswith(value), "$=": lambda x: bool(value) and x.endswith(value), "*=": lambda x: bool(value) and value in x,
+    }
+    test = tests[how or ""]
+    return lambda n: name in n.attributes and test(n.attributes[name])
+
+
+def _pseudo(name: str | None, nth: str | None, inner: str | None) -> Test:
+    if inner is not None:
+        test = _complex(inner.strip())
+        return lambda n: not test(n)
+    if nth is not None:
+        fits = {"odd": lambda k: k % 2 == 1, "even": lambda k: k % 2 == 0}.get(nth, lambda k: k == int(nth))
+        return lambda n: fits(next(k for k, x in enumerate(_siblings(n), 1) if x is n))
+    if name == "empty":
+        return lambda n: not n.children
+    if name == "root":
+        return lambda n: n.parent is None or n.parent.parent is None
+    alike = lambda n: [x for x in _siblings(n) if x.name == n.name or not name.endswith("type")]
+    return {"first": lambda n: alike(n)[0] is n, "last": lambda n: alike(n)[-1] is n, "only": lambda n: len(alike(n)) == 1}[name.split("-")[0]]
+
+
+def _compound(text: str) -> Test:
+    m = _COMPOUND.fullmatch(text)
+    if not m or not text:
+        raise ValueError(f"no selector: {text}")
+    tests: list[Test] = [] if m[1] in (None, "*") else [lambda n, name=m[1].lower(): n.name == name]
+    for p in _PART.finditer(m[2]):
+        id_, class_, attribute, how, *values = p.groups()[:7]
+        pseudo = p.groups()[7:]
+        if id_:
+            tests.append(lambda n, x=id_: n.attributes.get("id") == x)
+        elif class_:
+            tests.append(lambda n, x=class_: x in n.attributes.get("class", "").split())
+        elif attribute:
+            tests.append(_attribute(attribute.lower(), how, next((v for v in values if v is not None), "")))
+        else:
+            tests.append(_pseudo(*pseudo))
+    return lambda n: all(t(n) for t in tests)
+
+
+def _complex(text: str) -> Test:
+    """A chain of compounds with the combinators space, >, + and ~."""
+    pieces = re.findall(r"\s*[>+~]\s*(?![^\[]*\])|\s+(?![^\[(]*[\])])|(?:\[[^\]]*\]|\([^()]*\)|[^\s>+~\[(]|[+~](?==))+", text)
+    if not pieces or len(pieces) % 2 == 0:
+        raise ValueError(f"no selector: {text}")
+    test = _compound(pieces[0])
+    for mark, piece in zip(pieces[1::2], pieces[2::2], strict=True):
+        test = _after(test, mark.strip(), _compound(piece))
+    return test
+
+
+def _after(left: Test, mark: str, right: Test) -> Test:
+    def above(n: Node) -> bool:
+        p = n.parent
+        while p is not None and p.name:
+            if left(p):
+                return True
+            p = p.parent
+        return False
+
+    def before(n: Node) -> list[Node]:
+        all_ = _siblings(n)
+        return all_[: next(k for k, x in enumerate(all_) if x is n)]
+
+    ways: dict[str, Test] = {
+        "": above, ">": lambda n: n.parent is not None and bool(n.parent.name) and left(n.parent), "+": lambda n: bool(before(n)) and left(before(n)[-1]), "~": lambda n: any(map(left, before(n))),
+    }
+    return lambda n: right(n) and ways[mark](n)
+
+
+def _alternatives(rules: Sequence[str]) -> Iterator[str]:
+    for x in rules:
+        yield from (r.strip() for r in re.findall(r"(?:\[[^\]]*\]|\([^()]*\)|[^,\[(])+", x))
+
+
+def invalid_selectors(rules: Sequence[str]) -> list[str]:
+    """Rules that selector() leaves out."""
+    bad = []
+    for rule in rules:
+        try:
+            whole = rule.count("[") == rule.count("]") and rule.count("(") == rule.count(")")
+            for r in _alternatives([rule]) if whole and rule.strip() else [""]:
+                _complex(r)
+        except ValueError:
+            bad.append(rule)
+    return bad
+
+
+def selector(rules: Sequence[str]) -> Test:
+    """Whether an element matches one of the rules, which are selectors: names, #id, .class, [attribute] with or without a
+    value, :not(), places among siblings, the combinators space, >, + and ~, and commas between alternatives. Other rules
+    are left out; invalid_selectors() names them."""
+    bad = set(invalid_selectors(rules))
+    good = list(_alternatives([r for r in rules if r not in bad]))
+    names = frozenset(r for r in good if re.fullmatch(r"[a-z][a-z0-9]*", r))  # most rules are a name
+    tests = [_complex(r) for r in good if r not in names]
+    return lambda n: n.name in names or any(t(n) for t in tests)
 
 
 def segments(top: Node, priority: Callable[[Node], bool], ignore: Callable[[Node], bool]) -> list[tuple[Node, bool]]:
     """(element, ignored) of a body in document order. An element is a segment if it has priority, no block as a child,
     text of its own, or text behind a child; else its children are looked at. With nothing found the body is one."""
 
-    def below(node: Node) -> Iterator[tuple[Node, bool]]:
-        for c in node.elements:
-            if ignore(c):
-                yield c, True
-            elif priority(c) or not any(e.name in BLOCKS for e in c.elements) or any(isinstance(x, str) and x.strip() for x in c.children):
-                yield c, False
-            else:
-                yield from below(c)
-
     if ignore(top):
         return []
-    return list(below(top)) or [(top, False)]
+    found: list[tuple[Node, bool]] = []
+    left = top.elements[::-1]
+    while left:
+        c = left.pop()
+        if ignore(c):
+            found.append((c, True))
+        elif priority(c) or not any(e.name in BLOCKS for e in c.elements) or any(isinstance(x, str) and x.strip() for x in c.children):
+            found.append((c, False))
+        else:
+            left += c.elements[::-1]
+    return found or [(top, False)]
 
 
 def mask(node: Node, reserved: Callable[[Node], bool], noise: Callable[[Node], bool]) -> tuple[str, list[str]]:
@@ -159,25 +284,32 @@ def mask(node: Node, reserved: Callable[[Node], bool], noise: Callable[[Node], b
     def lone(n: Node) -> bool:
         return n.name == "a" and len(n.children) == 1 and isinstance(n.children[0], Node) and n.children[0].name in ("sub", "sup") and reserved(n.children[0])
 
-    def text(n: Node) -> str:
-        out = ""
-        for c in n.children:
-            if isinstance(c, str):
-                out += c
-            elif noise(c):
-                continue
-            elif lone(c) or reserved(c):
-                out += "{{id_" + str(len(found)).zfill(5) + "}}"
-                found.append(c.markup())
-            else:
-                out += text(c)
-        return out
-
-    return trim(text(node)), found
+    out: list[str] = []
+    left = node.children[::-1]
+    while left:
+        c = left.pop()
+        if isinstance(c, str):
+            out.append(c)
+        elif noise(c):
+            continue
+        elif lone(c) or reserved(c):
+            out.append("{{id_" + str(len(found)).zfill(5) + "}}")
+            found.append(trim(c.markup(strict=True)))
+        else:
+            left += c.children[::-1]
+    return trim("".join(out)), found
 
 
 def attributes(node: Node) -> str | None:
-    return json.dumps(node.attributes, ensure_ascii=False) if node.attributes else None
+    own = {k: v for k, v in node.attributes.items() if k != "xmlns"}
+    return json.dumps(own) if own else None
+
+
+def colour(node: Node, value: str) -> None:
+    """Give a colour to an element and to all below that hold anything."""
+    for n in [node, *node.walk()]:
+        if n.children:
+            n.attributes["style"] = f"color:{value}"
 
 
 _CELLS = ("li", "th", "td", "caption")

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 #: White space as Unicode defines it for text, with the four separators 1C to 1F.
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _WIDE, _ZERO, _CONTROL = r"[\x{a0}\x{3000}]", r"[\x{200b}\x{feff}]", r"[\x{00}-\x{1f}\x{7f}-\x{a0}\x{ad}]"
+#: What few texts hold: wide and zero-width marks, and controls that are no white space.
+_RARE = r"[\x{00}-\x{08}\x{0e}-\x{1b}\x{7f}-\x{84}\x{86}-\x{a0}\x{ad}\x{200b}\x{3000}\x{feff}]"
+#: Runs of white space that aren't one plain space already.
+_RUNS = rf"{WS}{{2,}}|[\t-\r\x1c-\x1f\x{{85}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}]"
 
 
 def strip(c: Column) -> Column:
@@ -15,11 +19,17 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
 
 
+def is_solid(c: Column) -> Column:
+    """Whether there is anything but white space."""
+    return c.rlike(f"[^{WS[1:]}")
+
+
 def trim_text(c: Column) -> Column:
     """One space for each run of white space, no zero-width marks, no controls, nothing at the ends. Controls go after
     runs are joined, so two spaces may meet where one stood."""
-    c = F.regexp_replace(F.regexp_replace(c, _WIDE, " "), _ZERO, "")
-    return F.trim(F.regexp_replace(F.regexp_replace(c, f"{WS}+", " "), _CONTROL, ""))
+    every = F.regexp_replace(F.regexp_replace(c, _WIDE, " "), _ZERO, "")
+    every = F.regexp_replace(F.regexp_replace(every, f"{WS}+", " "), _CONTROL, "")
+    return F.trim(F.when(c.rlike(_RARE), every).otherwise(F.regexp_replace(c, _RUNS, " ")))
 
 
 def uid(*parts: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import html as H
+from tessera.operators.segments import ignored as filtered
 from tessera.runtime import ship
 
 _SEGMENT = "array<struct<seq:int,name:string,raw:string,text:string,content:string,attributes:string,ignored:boolean,reserved:array<string>>>"
@@ -18,11 +19,12 @@ def _tests(priority: Sequence[str], ignore: Sequence[str], reserve: Sequence[str
     return H.selector([*H.PRIORITY, *priority]), H.selector([*H.IGNORED, *ignore]), H.selector([*H.RESERVED, *reserve]), H.selector(["rt", "rp", *noise])
 
 
-def page_segments(pages: DataFrame, key: str = "page_id", markup: str = "html", priority: Sequence[str] = (), ignore: Sequence[str] = (), reserve: Sequence[str] = (), noise: Sequence[str] = ()) -> DataFrame:
+def page_segments(pages: DataFrame, key: str = "page_id", markup: str = "html", priority: Sequence[str] = (), ignore: Sequence[str] = (), reserve: Sequence[str] = (), noise: Sequence[str] = (), rules: Sequence[str] = (), mode: str = "normal", scope: str = "text") -> DataFrame:
     """key, seq, name, raw, text, content, attributes, ignored, reserved of each segment of the pages' bodies.
 
     text is all of an element's text; content is what is to be translated, without noise and with a placeholder for
-    each of `reserved`. Segments without text are dropped, and those without content are ignored. Rules are selectors.
+    each of `reserved`. Segments without text are dropped; those without content, without letters, or with a match of
+    `rules` in text (or markup, by scope) are ignored. priority, ignore, reserve and noise are selectors.
     Null pages have no segments.
     """
     ship(pages.sparkSession)
@@ -37,21 +39,23 @@ def page_segments(pages: DataFrame, key: str = "page_id", markup: str = "html",
                     text = H.trim(node.text())
                     content, kept = H.mask(node, res, noi)
                     if text:
-                        rows.append({"seq": len(rows), "name": node.name, "raw": H.trim(node.markup()), "text": text, "content": content, "attributes": H.attributes(node), "ignored": ignored or not content, "reserved": kept})
+                        rows.append({"seq": len(rows), "name": node.name, "raw": H.trim(node.markup(strict=True)), "text": text, "content": content, "attributes": H.attributes(node), "ignored": ignored or not content, "reserved": kept})
                 out.append(rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, _ARROW)], ["k", "s"])
 
     kind = dict(pages.dtypes)[key]
     rows = pages.select(F.col(key).alias("k"), F.col(markup).alias("m")).mapInArrow(run, f"k {kind}, s {_SEGMENT}")
-    return rows.select(F.col("k").alias(key), F.inline("s"))
+    rows = rows.select(F.col("k").alias(key), F.inline("s"))
+    return rows.withColumn("ignored", F.col("ignored") | filtered(F.col("text"), F.col("raw"), rules, mode, scope))
 
 
 _ARROW = pa.list_(pa.struct([("seq", pa.int32()), ("name", pa.string()), ("raw", pa.string()), ("text", pa.string()), ("content", pa.string()), ("attributes", pa.string()), ("ignored", pa.bool_()), ("reserved", pa.list_(pa.string()))]))
 
 
-def rewrite_pages(pages: DataFrame, translations: DataFrame, key: str = "page_id", markup: str = "html", position: str = "below", direction: str = "auto", lang: str | None = None, color: str | None = None, gap: tuple[str, int] | None = None, priority: Sequence[str] = (), ignore: Sequence[str] = (), reserve: Sequence[str] = (), noise: Sequence[str] = ()) -> DataFrame:
+def rewrite_pages(pages: DataFrame, translations: DataFrame, key: str = "page_id", markup: str = "html", position: str = "below", direction: str = "auto", lang: str | None = None, color: str | None = None, gap: tuple[str, int] | None = None, original_color: str | None = None, priority: Sequence[str] = (), ignore: Sequence[str] = (), reserve: Sequence[str] = (), noise: Sequence[str] = ()) -> DataFrame:
     """key and the pages' markup with translations (key, seq, translation) placed. seq is that of page_segments() with
-    the same rules; segments without a row, and pages without rows, stay as they are. A page's translations meet it by
+    the same selectors; segments without a row, and pages without rows, stay as they are. A null translation is one that is
+    missing: left and right still make columns. original_color is given to segments that have a row. A page's translations meet it by
     one join; no group is larger than a page."""
     ship(pages.sparkSession)
 
@@ -71,6 +75,8 @@ def rewrite_pages(pages: DataFrame, translations: DataFrame, key: str = "page_id
                     if not H.trim(node.text()):
                         continue
                     if not ignored and seq in new and id(node) in parents and node is not top:
+                        if original_color:
+                            H.colour(node, original_color)
                         H.place(parents[id(node)], node, new[seq], H.mask(node, res, noi)[1], position, direction, lang, color, gap)
                     seq += 1
                 out.append("".join(c if isinstance(c, str) else c.markup() for c in root.children))

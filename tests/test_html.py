@@ -17,13 +17,13 @@ def test_blocks_are_segments():
 
 
 def test_a_body_of_text_is_one_segment():
-    assert found("<body>123456789</body>") == [("body", "123456789", False)]
+    assert found("<body>words and no element</body>") == [("body", "words and no element", False)]
 
 
 def test_ignored_elements():
-    assert found('<body class="test">a</body>', [".test"]) == []
-    page = '<body><p>a</p><p class="test">b</p><p>c</p><p id="test">d</p></body>'
-    assert [i for _, _, i in found(page, [".test", "#test"])] == [False, True, False, True]
+    assert found('<body class="menu">a</body>', [".menu"]) == []
+    page = '<body><h2>a</h2><div class="menu">b</div><h3>c</h3><p id="foot">d</p></body>'
+    assert [i for _, _, i in found(page, [".menu", "#foot"])] == [False, True, False, True]
 
 
 def test_only_inline_children():
@@ -38,7 +38,7 @@ def test_mask():
     node = H.body(H.parse('<p>a<img src="x"/>b<ruby>c<rt>d</rt></ruby><code>e</code> <a href="#"><sup>1</sup></a><a>x<sup>2</sup></a></p>')).elements[0]
     text, kept = H.mask(node, RES, NOISE)
     assert text == "a{{id_00000}}bc{{id_00001}} {{id_00002}}x{{id_00003}}"
-    assert kept == ['<img src="x"/>', "<code>e</code>", '<a href="#"><sup>1</sup></a>', "<sup>2</sup>"]
+    assert kept == ['<img src="x"></img>', "<code>e</code>", '<a href="#"><sup>1</sup></a>', "<sup>2</sup>"]
 
 
 @pytest.mark.parametrize(
@@ -61,6 +61,72 @@ def test_place(markup, translation, position, want):
     assert "".join(c.markup() if isinstance(c, H.Node) else c for c in root.children) == want
 
 
+def test_markup_of_a_segment_is_strict():
+    node = H.body(H.parse('<p class="a">x<br><span></span><i>&lt;</i></p>')).elements[0]
+    assert node.markup(strict=True) == '<p class="a">x<br/><span/><i>&lt;</i></p>'  # what is empty below closes itself
+    assert H.parse("<p></p>").elements[0].markup(strict=True) == "<p></p>"  # the element itself never
+    assert node.markup() == '<p class="a">x<br/><span></span><i>&lt;</i></p>'
+    assert H.mask(H.parse("<p>a<svg><g></g></svg><hr></p>").elements[0], RES, NOISE)[1] == ["<svg><g/></svg>", "<hr></hr>"]
+
+
+def test_attributes_are_ascii():
+    assert H.attributes(H.parse('<p title="Größe" xmlns="u">a</p>').elements[0]) == '{"title": "Gr\\u00f6\\u00dfe"}'
+    assert H.attributes(H.parse("<p>a</p>").elements[0]) is None
+
+
+def test_deep_markup():
+    for name in ("div", "span", "p"):
+        n = 10_000
+        root = H.parse("<body>" + f"<{name}>" * n + "deep" + f"</{name}>" * n + "</body>")
+        ((node, ignored),) = H.segments(H.body(root), FIRST, IGN) if name != "p" else [H.segments(H.body(root), FIRST, IGN)[-1]]
+        assert not ignored and node.text() == "deep" and H.mask(node, RES, NOISE)[0] == "deep"
+        assert root.markup().count(f"<{name}>") == n
+        H.colour(root, "red")
+
+
+def test_deep_pages(spark):
+    page = "<body>" + "<div>" * 10_000 + "deep" + "</div>" * 10_000
+    pages = spark.createDataFrame([(1, page)], "page_id int, html string")
+    assert [(r.text, r.seq) for r in P.page_segments(pages).collect()] == [("deep", 0)]
+    new = spark.createDataFrame([(1, 0, "DEEP")], "page_id int, seq int, translation string")
+    assert '<div dir="auto">DEEP</div>' in P.rewrite_pages(pages, new).first().html
+
+
+@pytest.mark.parametrize(
+    ("rule", "want"),
+    [
+        ("ul > li", "123"), ("div li", "123"), ("li + li", "23"), ("ul ~ p", "qr"), ("li:first-child", "1"), ("li:nth-child(2)", "2"), ("li:not([lang])", "13"), ("[lang|=en]", "2"), ("a[href$='.png']", "l"),
+        ("p:last-of-type", "r"), ("div > p.z", "r"), ("a, p.z", "rl"), ("[href*='x.com/a']", "l"), ("a[title~=x]", ""), ("LI", "123"),
+    ],
+)
+def test_combined_selectors(rule, want):
+    page = H.parse('<div id="a"><ul class="x y"><li>1</li><li lang="en-US">2</li><li>3</li></ul><p>q</p><p class="z">r</p></div><a href="http://x.com/a.png">l</a>')
+    match = H.selector([rule])
+    assert "".join(n.text() for n in page.walk() if match(n)) == want and H.invalid_selectors([rule]) == []
+
+
+def test_invalid_selectors():
+    assert H.invalid_selectors(["p", "li:hover", "p::before", "", "..a", "div >", "ul.x", "> p", "[a"]) == ["li:hover", "p::before", "", "..a", "div >", "> p", "[a"]
+
+
+def test_rules_on_pages(spark):
+    pages = spark.createDataFrame([(1, '<body><p>Chapter 1</p><p>12.5 - 3</p><p class="note">all text</p><p><code>only code</code></p></body>')], "page_id int, html string")
+    got = lambda **k: [r.ignored for r in P.page_segments(pages, **k).orderBy("seq").collect()]
+    assert got() == [False, True, False, False]
+    assert got(rules=["chapter"]) == [True, True, False, False]
+    assert got(rules=["chapter"], mode="case") == [False, True, False, False]
+    assert got(rules=["^all"], mode="regex") == [False, True, True, False]
+    assert got(rules=['class="note"'], scope="html") == [False, True, True, False]
+
+
+def test_colour_of_the_original(spark):
+    pages = spark.createDataFrame([(1, "<body><p>a <i>b</i><br></p><p>c</p></body>")], "page_id int, html string")
+    rows = spark.createDataFrame([(1, 0, "A"), (1, 1, None)], "page_id int, seq int, translation string")
+    got = P.rewrite_pages(pages, rows, original_color="red").first().html
+    assert got == '<body><p style="color:red">a <i style="color:red">b</i><br/></p><p style="color:red" dir="auto">A</p><p style="color:red">c</p></body>'
+    assert P.rewrite_pages(pages, rows, position="right").first().html.count("<table") == 2
+
+
 def test_cells_hold_translations():
     root = H.parse("<ul><li class='x'>a</li></ul>")
     H.place(root.elements[0], root.elements[0].elements[0], "A", [], "below")
