@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions.placeholders import separators
-from tessera.functions.text import literal_pattern, strip
+from tessera.functions.text import is_solid, literal_pattern, strip
 
 
 def parts(c: Column, separator: str) -> Column:
@@ -15,7 +15,7 @@ def parts(c: Column, separator: str) -> Column:
 
 def is_aligned(original: Column, translation: Column, separator: str = "\n\n") -> Column:
     """Blank translations are; others have as many parts as the original."""
-    blank = translation.isNull() | (strip(translation) == "")
+    blank = translation.isNull() | ~is_solid(translation)
     return F.when(blank, F.lit(True)).otherwise(F.size(parts(original, separator)) == F.size(parts(translation, separator)))
 
 
@@ -23,8 +23,8 @@ def repair(original: Column, translation: Column, separator: str = "\n\n") -> Co
     """A translation that isn't aligned, with an empty line between lines with text that follow each other."""
     mark = separator[0]
     found = F.split(translation, literal_pattern(mark))
-    solid = lambda x: strip(x) != ""
-    spaced = F.flatten(F.transform(found, lambda x, i: F.when(solid(x) & (i + 1 < F.size(found)) & solid(F.coalesce(F.get(found, i + 1), F.lit(""))), F.array(x, F.lit(""))).otherwise(F.array(x))))
+    after = F.concat(F.slice(found, 2, F.size(found)), F.array(F.lit("")))
+    spaced = F.zip_with(found, after, lambda x, y: F.when(is_solid(x) & is_solid(y), F.concat(x, F.lit(mark))).otherwise(x))
     return F.when(translation.isNull() | is_aligned(original, translation, separator), translation).otherwise(F.array_join(spaced, mark))
 
 

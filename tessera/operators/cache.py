@@ -5,30 +5,106 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.runtime import materialise
+
 #: A cache of more bytes than this counts as complete.
 COMPLETE_BYTES = 50_000
 
 
+#: The tables of a cache.
+CACHE = "oid long, md5 string, raw string, original string, ignored boolean, attributes string, page string, translation string, engine_name string, target_lang string"
+INFO = "key string, value string"
+
+
+def empty(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """The cache and info tables of a new job."""
+    return spark.createDataFrame([], CACHE), spark.createDataFrame([], INFO)
+
+
+def _fresh_names(df: DataFrame, *names: str) -> list[str]:
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def insert_ignore(existing: DataFrame, incoming: DataFrame, order: Sequence[str], ids: str = "oid", hashes: str = "md5") -> DataFrame:
-    """existing and those rows of incoming that conflict with no row before them on either unique column.
+    """existing and those rows of incoming that conflict with no row accepted before them on either unique column.
+
+    Incoming rows are tried in `order`, with all columns to tell ties apart: a row is left out if its id or its hash exists
+    or is that of an accepted row before it. A row that was left out blocks no other. Nulls conflict with nothing.
 
-    Incoming rows come in `order`. The first of an id and the first of a hash stand; a row that isn't both is left out,
-    as is one whose id or hash exists. (A row that another incoming row blocks, itself left out, is left out too.)
+    Rounds: the first row of both its id and its hash among those undecided is accepted, and rows that share either with
+    an accepted one are left out. Each round decides at least the first row of every chain of conflicts, and is written.
     """
-    first = lambda c: F.row_number().over(Window.partitionBy(c).orderBy(*order))
-    fresh = incoming.join(existing.select(ids), ids, "left_anti").join(existing.select(hashes), hashes, "left_anti")
-    fresh = fresh.withColumn("_a", first(ids)).withColumn("_b", first(hashes)).filter("_a = 1 and _b = 1")
-    return existing.unionByName(fresh.select(*existing.columns))
+    n, a, b, first = _fresh_names(incoming, "_order", "_a", "_b", "_first")
+    every = F.struct(*order, *[c for c in incoming.columns if c not in order])
+    rows = incoming.withColumn(n, every).withColumn(a, F.col(ids)).withColumn(b, F.col(hashes))
+    # a null conflicts with nothing: a key of its own
+    own = F.concat(F.lit("-"), F.xxhash64(n).cast("string"), F.monotonically_increasing_id().cast("string"))
+    rows = rows.withColumn(a, F.when(F.col(ids).isNull(), own).otherwise(F.concat(F.lit("="), F.col(ids).cast("string"))))
+    rows = rows.withColumn(b, F.when(F.col(hashes).isNull(), own).otherwise(F.concat(F.lit("="), F.col(hashes).cast("string"))))
+    of = lambda c: existing.filter(F.col(c).isNotNull()).select(F.concat(F.lit("="), F.col(c).cast("string")).alias("x")).distinct()
+    rows = rows.join(of(ids), F.col(a) == F.col("x"), "left_anti").join(of(hashes), F.col(b) == F.col("x"), "left_anti")
+    left, accepted = materialise(rows, "insert-undecided"), None
+    while not left.isEmpty():
+        place = lambda c: F.row_number().over(Window.partitionBy(c).orderBy(n))  # noqa: B023, E731
+        marked = left.withColumn(first, place(a) == 1).withColumn(first, F.col(first) & (place(b) == 1))
+        new = materialise(marked.filter(first).drop(first), "insert-accepted")
+        accepted = new if accepted is None else accepted.unionByName(new)
+        taken = lambda c: new.select(F.col(c).alias("x"))  # noqa: B023, E731
+        left = materialise(left.join(taken(a), F.col(a) == F.col("x"), "left_anti").join(taken(b), F.col(b) == F.col("x"), "left_anti"), "insert-undecided")
+    return existing if accepted is None else existing.unionByName(accepted.select(*existing.columns))
+
+
+def upsert(existing: DataFrame, incoming: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """One row a key: the last incoming one by `order` (of equal ones the largest in all columns), else the existing one."""
+    if not order:
+        raise ValueError("rows have no order of their own: name the columns that say which is last")
+    last = F.max_by(F.struct(*existing.columns), F.struct(*order, *[c for c in incoming.columns if c not in order]))
+    last = incoming.groupBy(F.col(key).alias("_key")).agg(last.alias("_row")).select("_row.*")
+    return existing.join(last.select(key), key, "left_anti").select(*existing.columns).unionByName(last)
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, key: str = "key", order: Sequence[str] = ()) -> DataFrame:
-    """One row a key: the last incoming one by `order`, else the existing one."""
-    best = F.row_number().over(Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])) if order else F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0)))
-    last = incoming.withColumn("_n", best).filter("_n = 1").select(*existing.columns)
-    return existing.join(last.select(key), key, "left_anti").select(*existing.columns).unionByName(last)
+def save(rows: DataFrame, path: str) -> bool:
+    """Write a whole cache at once, if there is none at path or one too small to be complete. Whether it was written."""
+    if not file_bytes(rows.sparkSession, path) <= COMPLETE_BYTES:
+        return False
+    rows.write.mode("overwrite").parquet(path)
+    return True
+
+
+def _files(spark: SparkSession, path: str) -> tuple[object, object]:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def file_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes below a path, 0 where there is nothing."""
+    files, p = _files(spark, path)
+    return files.getContentSummary(p).getLength() if files.exists(p) else 0
+
+
+def move(spark: SparkSession, path: str, to: str) -> bool:
+    """Give a cache another place; not over another one."""
+    (files, p), (_, q) = _files(spark, path), _files(spark, to)
+    return files.exists(p) and not files.exists(q) and files.rename(p, q)
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    files, p = _files(spark, path)
+    return files.delete(p, True)
+
+
+def clean(spark: SparkSession, root: str, temporary: Sequence[str]) -> list[str]:
+    """Remove the caches of root that are named temporary; the names of those that were there."""
+    return [name for name in temporary if remove(spark, f"{root.rstrip('/')}/{name}")]
 
 
 def visible(cache: DataFrame) -> DataFrame:
@@ -79,7 +155,7 @@ def is_fresh(n_bytes: Column) -> Column:
 def catalog(info: DataFrame, files: DataFrame) -> DataFrame:
     """A row a cache: title, engine, lang, merge, bytes, time and name, from info (cache_id, key, value) and files
     (cache_id, bytes, modified). The keys are given, so the pivot needs no pass to find them."""
-    wide = info.groupBy("cache_id").pivot("key", ["title", "engine_name", "target_lang", "merge_length"]).agg(F.first("value"))
+    wide = info.groupBy("cache_id").pivot("key", ["title", "engine_name", "target_lang", "merge_length"]).agg(F.max("value"))
     merged = F.coalesce(F.when(F.col("merge_length") == "", None).otherwise(F.col("merge_length")).cast("int"), F.lit(0))
     return files.join(wide, "cache_id", "left").select(
         F.coalesce("title", F.lit("[Unknown]")).alias("title"), F.col("engine_name").alias("engine"), F.col("target_lang").alias("lang"), merged.alias("merge"),

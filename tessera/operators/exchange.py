@@ -29,19 +29,40 @@ JOINED = {
 
 
 def answer(response: Column, kind: str) -> Column:
-    """The text of a service's answer; null where it has none."""
+    """The text of a service's answer; null where it has none. Services that escape their text have it unescaped."""
     if kind in ANSWER_PATHS:
         return F.coalesce(*[F.get_json_object(response, p) for p in ANSWER_PATHS[kind]])
     path, field = JOINED[kind]
     parts = F.from_json(F.get_json_object(response, path), f"array<struct<{field}:string>>")
-    return F.array_join(F.transform(parts, lambda x: x[field]), "")
+    return F.array_join(F.transform(parts, lambda x: unescape(x[field]) if kind in ESCAPED else x[field]), "")
 
 
 def unescape(c: Column) -> Column:
-    """The five entities of XML and decimal quotes, as services escape them."""
-    for name, char in (("&quot;", '"'), ("&#39;", "'"), ("&#34;", '"'), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
+    """Named entities of XML, and numbered ones, as services escape them; each once, from the left."""
+    named = "map('quot', '\"', 'apos', '\\'', 'lt', '<', 'gt', '>', 'amp', '&', 'nbsp', '\u00a0')"
+    pieces = F.split(c, "(?=&)")
+
+    def one(piece: Column) -> Column:
+        name = F.regexp_extract(piece, r"^&(#[xX]?[0-9a-fA-F]{1,6}|[a-z]{2,6});", 1)
+        number = F.when(name.rlike("^#[0-9]+$"), F.substring(name, 2, 8).cast("int")).when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 8), 16, 10).cast("int"))
+        utf = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        new = F.coalesce(F.element_at(F.expr(named), name), F.when(number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF), utf))
+        return F.when(new.isNull(), piece).otherwise(F.concat(new, F.substr(piece, F.length(name) + 3)))
+
+    return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(pieces, one), "")).otherwise(c)
+
+
+#: Kinds of JOINED whose texts are escaped.
+ESCAPED = ("data",)
+
+
+def service_marks(c: Column) -> Column:
+    """Placeholders {{id_00012}} in the form that services of markup keep: <m id=00012 />."""
+    return F.regexp_replace(c, r"\{\{id_(\d+)\}\}", "<m id=$1 />")
+
+
+def from_service_marks(c: Column) -> Column:
+    return F.regexp_replace(c, r"<m\s+id=\s*(\d+)\s*/>", "{{id_$1}}")
 
 
 def request_line(md5: Column, text: Column, model: str, prompt: str, url: str = "/v1/chat/completions") -> Column:
@@ -94,9 +115,9 @@ def http_method(text: Column, most: int = 1800) -> Column:
 
 
 def quota(answer_json: Column) -> Column:
-    """struct<total, used, left> of a usage answer."""
-    get = lambda k: F.get_json_object(answer_json, f"$.{k}").cast("long")
-    return F.struct(get("character_limit").alias("total"), get("character_count").alias("used"), (get("character_limit") - get("character_count")).alias("left"))
+    """struct<total, used, left> of a usage answer, which is read once; null if it is none."""
+    read = F.from_json(answer_json, "struct<character_limit:long,character_count:long>")
+    return F.transform(F.array(read), lambda u: F.struct(u["character_limit"].alias("total"), u["character_count"].alias("used"), (u["character_limit"] - u["character_count"]).alias("left")))[0]
 
 
 def fill(template: str, values: Mapping[str, Column]) -> Column:

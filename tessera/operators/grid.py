@@ -64,9 +64,11 @@ def sort_engines(engines: DataFrame) -> DataFrame:
     return engines.orderBy("custom", F.when(~F.col("custom"), ~F.col("free")), F.when(~F.col("custom"), F.col("position")), F.when(F.col("custom"), natural_key(F.col("name"))))
 
 
-def sort_languages(languages: DataFrame, wanted: str | None = None) -> DataFrame:
-    """The wanted one first, then by name."""
-    return languages.orderBy(F.coalesce(F.col("name") != F.lit(wanted), F.lit(True)), "name")
+def sort_languages(languages: DataFrame, wanted: str | None = None, recommended: Sequence[str] = ()) -> DataFrame:
+    """The wanted one first, then the recommended ones as they are named, then by name without
+    regard to marks on letters."""
+    place = F.array_position(F.array(*map(F.lit, recommended)).cast("array<string>"), F.col("name"))
+    return languages.orderBy(F.coalesce(F.col("name") != F.lit(wanted), F.lit(True)), place == 0, place, F.collate("name", "UNICODE_AI"), "name")
 
 
 def counts(rows: DataFrame, selected: Column) -> DataFrame:

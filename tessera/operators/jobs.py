@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import dataclasses
-from collections.abc import Mapping, Sequence
+import functools
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.translate import Translator, reversing
+from tessera.operators.translate import Translator, call_service, reversing
 
 
 @dataclasses.dataclass(frozen=True)
@@ -34,6 +35,13 @@ def find_engine(name: str | None, builtin: Sequence[Engine] = (), custom: Mappin
     return next((e for e in builtin if e.name == name), (custom or {}).get(name or "", default))
 
 
+def call_engine(rows: DataFrame, engine: Engine, call: Callable[..., str]) -> DataFrame:
+    """call_service() as an engine may be asked: so many callers, so long between requests, so many tries and errors.
+    call takes a text and timeout, in seconds."""
+    ask = functools.partial(call, timeout=engine.timeout)
+    return call_service(rows, ask, engine.attempts, engine.most_errors, engine.concurrency or None, engine.interval)
+
+
 def rotate_key(keys: Sequence[str], used: int, error: str, exhausted: Sequence[str]) -> int | None:
     """The index of the next key after an error that says that a key is used up; null when there is none, or for others."""
     return used + 1 if any(x in error for x in exhausted) and used + 1 < len(keys) else None
@@ -59,5 +67,5 @@ def batch_action(status: Column, batch_id: Column) -> Column:
 
 def jobs(info: DataFrame) -> DataFrame:
     """cache_id and action of every job from its info rows (cache_id, key, value)."""
-    wide = info.groupBy("cache_id").pivot("key", ["batch_id", "batch_status"]).agg(F.first("value"))
+    wide = info.groupBy("cache_id").pivot("key", ["batch_id", "batch_status"]).agg(F.max("value"))
     return wide.select("cache_id", batch_action(F.col("batch_status"), F.col("batch_id")).alias("action"))

@@ -1,25 +1,37 @@
 """Documents to segments: lines, rules, numbers, and units of bounded length.
 
-Everything is keyed by document and carries its order; no step depends on the order in which Spark keeps rows.
+A document is a row. Its lines are trimmed, filtered, numbered and merged as an array inside the row and become rows last,
+so that no text is shuffled. Everything carries its order; no step depends on the order in which Spark keeps rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import literal_pattern, trim_text, uid
+from tessera.functions.html import invalid_selectors
+from tessera.functions.text import literal_pattern, natural_key, trim_text, uid
+
+#: Names of metadata that hold text to translate (fixed values).
+METADATA = ("title", "creator", "publisher", "rights", "subject", "contributor", "description")
 
 #: Texts of these characters alone need no translation (fixed values of the rule).
 NO_LETTERS = r"""^[-\p{Nd}\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}.'\\"‘’“”,=~!@#$%^&º*|≈<>?/`—…+:–_(){}\[\]]+$"""
 
 
+def _lines(text: Column) -> Column:
+    """array<struct<seq, raw, text>>: the lines of a text, trimmed, but those without text."""
+    rows = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("seq"), x.alias("raw"), trim_text(x).alias("text")))
+    return F.filter(rows, lambda x: x["text"] != "")
+
+
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, seq, raw, text: a row a line, trimmed; lines without text are dropped."""
-    rows = docs.filter(F.col(text).isNotNull()).select(key, F.posexplode(F.split(text, "\n")).alias("seq", "raw"))
-    return rows.withColumn("text", trim_text(F.col("raw"))).filter("text != ''")
+    return docs.select(key, F.inline(_lines(F.col(text))))
 
 
 def rule_pattern(rule: str, mode: str) -> str:
@@ -30,16 +42,21 @@ def rule_pattern(rule: str, mode: str) -> str:
 
 
 def rule_errors(rules: Sequence[str], mode: str) -> list[str]:
-    """Rules that don't compile; the others can be used."""
-    import re
-
-    bad = []
-    for rule in rules:
+    """Rules that the engine that applies them can't compile: patterns by Spark's, or selectors (mode selector)."""
+    if mode == "selector":
+        return invalid_selectors(rules)
+    if mode != "regex":
+        return []
+    spark = SparkSession.active()
+
+    def compiles(rule: str) -> bool:
         try:
-            re.compile(rule if mode == "regex" else re.escape(rule))
-        except re.error:
-            bad.append(rule)
-    return bad
+            spark._jvm.java.util.regex.Pattern.compile(rule)
+        except (Py4JJavaError, IllegalArgumentException):
+            return False
+        return True
+
+    return [r for r in rules if not compiles(r)]
 
 
 def ignored(text: Column, raw: Column | None = None, rules: Sequence[str] = (), mode: str = "normal", scope: str = "text") -> Column:
@@ -60,11 +77,53 @@ def numbered(segments: DataFrame, key: str = "doc_id", order: Sequence[str] = ("
     return segments.withColumn("oid", oid).withColumn("md5", uid(F.col("oid"), F.col("text")))
 
 
+def _segments(text: Column, rules: Sequence[str], mode: str, scope: str) -> Column:
+    """array<struct<oid, md5, raw, text, ignored>> of a text. All segments count, ignored ones too."""
+    one = lambda x, i: F.struct(i.alias("oid"), uid(i, x["text"]).alias("md5"), x["raw"].alias("raw"), x["text"].alias("text"), ignored(x["text"], x["raw"], rules, mode, scope).alias("ignored"))
+    return F.transform(_lines(text), one)
+
+
 def segment(docs: DataFrame, rules: Sequence[str] = (), mode: str = "normal", scope: str = "text", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, oid, md5, raw, text, ignored of every segment of docs."""
-    rows = lines(docs, key, text)
-    rows = rows.withColumn("ignored", ignored(F.col("text"), F.col("raw"), rules, mode, scope))
-    return numbered(rows, key).select(key, "oid", "md5", "raw", "text", "ignored")
+    """key, oid, md5, raw, text, ignored of every segment of docs; each row of docs counts from 0."""
+    return docs.select(key, F.inline(_segments(F.col(text), rules, mode, scope)))
+
+
+def _merged(s: Column, most: int, separator: str) -> Column:
+    """array<struct<oid, md5, n, raw, text>> of an array of segments (text, raw) in order. The walk keeps the places where
+    units begin, so its time is in proportion to the segments."""
+    w, sep = len(separator), F.lit(separator)
+    zero = F.struct(F.lit(0).alias("len"), F.array().cast("array<int>").alias("starts"), F.lit(0).alias("i"))
+
+    def step(acc: Column, x: Column) -> Column:
+        size = F.length(x["text"]) + w
+        fits = (acc["i"] > 0) & (acc["len"] + size < most)
+        return F.struct(
+            F.when(fits, acc["len"] + size).otherwise(size).alias("len"), F.when(fits, acc["starts"]).otherwise(F.concat(acc["starts"], F.array(acc["i"]))).alias("starts"), (acc["i"] + 1).alias("i")
+        )
+
+    def parts(acc: Column) -> Column:
+        following = lambda k: F.coalesce(F.get(acc["starts"], k + 1), acc["i"])
+        return F.transform(acc["starts"], lambda at, k: F.slice(s, at + 1, following(k) - at))
+
+    def unit(part: Column, k: Column) -> Column:
+        texts, raws, n = F.transform(part, lambda x: x["text"]), F.transform(part, lambda x: x["raw"]), F.size(part)
+        text = F.concat(F.array_join(texts, separator), sep)
+        fits_first = (k == 0) & (F.length(texts[0]) + w < most)
+        # raw texts have a separator behind a segment that joined a unit; one that begins a unit behind another has none
+        head = F.when(fits_first | (n == 1), F.lit("")).otherwise(raws[0])
+        rest = F.array_join(F.when(fits_first | (n == 1), raws).otherwise(F.slice(raws, 2, F.greatest(n - 1, F.lit(0)))), separator)
+        raw = F.concat(head, rest, F.when((n > 1) | fits_first, sep).otherwise(F.lit("")))
+        return F.struct(k.alias("oid"), uid(k, text).alias("md5"), n.alias("n"), raw.alias("raw"), text.alias("text"))
+
+    return F.transform(F.aggregate(s, zero, step, parts), unit)
+
+
+def merge_documents(
+    docs: DataFrame, most: int = 1800, separator: str = "\n\n", rules: Sequence[str] = (), mode: str = "normal", scope: str = "text", key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """merge(segment(docs)) inside each row: no text is shuffled."""
+    kept = docs.select(key, F.filter(_segments(F.col(text), rules, mode, scope), lambda x: ~x["ignored"]).alias("s"))
+    return kept.select(key, F.inline(_merged(F.col("s"), most, separator)))
 
 
 def merge(segments: DataFrame, most: int = 1800, separator: str = "\n\n", key: str = "doc_id") -> DataFrame:
@@ -76,19 +135,23 @@ def merge(segments: DataFrame, most: int = 1800, separator: str = "\n\n", key: s
     The walk is in order within a document, and documents are walked side by side.
     """
     per_doc = segments.filter("not ignored").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("oid", "text", "raw"))).alias("s"))
-    step = """aggregate(s, cast(array() as array<struct<n:int,len:int,first:int>>), (acc, x) ->
-      case when size(acc) > 0 and element_at(acc, -1).len + length(x.text) + {w} < {most}
-             then concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).n + 1 as n, element_at(acc, -1).len + length(x.text) + {w} as len, element_at(acc, -1).first as first)))
-           else concat(acc, array(struct(1 as n, length(x.text) + {w} as len, if(size(acc) = 0, 0, element_at(acc, -1).first + element_at(acc, -1).n) as first))) end)"""
-    units = per_doc.select(key, "s", F.posexplode(F.expr(step.format(w=len(separator), most=most))).alias("oid", "u"))
-    part = F.slice("s", F.col("u.first") + 1, F.col("u.n"))
-    joined = F.concat(F.array_join(F.transform(part, lambda x: x["text"]), separator), F.lit(separator))
-    first_fits = (F.col("oid") == 0) & (F.length(part[0]["text"]) + len(separator) < most)
-    last = F.when(F.col("u.n") > 1, F.lit(separator)).when(first_fits, F.lit(separator)).otherwise(F.lit(""))
-    head = F.when((F.col("u.n") > 1) & ~first_fits, F.concat(part[0]["raw"], F.array_join(F.slice(F.transform(part, lambda x: x["raw"]), 2, F.greatest(F.col("u.n") - 1, F.lit(0))), separator)))
-    raw = F.concat(F.coalesce(head, F.array_join(F.transform(part, lambda x: x["raw"]), separator)), last)
-    out = units.select(key, "oid", F.col("u.n").alias("n"), raw.alias("raw"), joined.alias("text"))
-    return out.withColumn("md5", uid(F.col("oid"), F.col("text"))).select(key, "oid", "md5", "n", "raw", "text")
+    return per_doc.select(key, F.inline(_merged(F.col("s"), most, separator)))
+
+
+#: The parts of a book in the order in which they are numbered.
+PARTS = ("metadata", "contents", "page")
+
+
+def number_book(metadata: DataFrame, contents: DataFrame, pages: DataFrame, key: str = "book") -> DataFrame:
+    """key, part, place, seq, page, raw, text, ignored, oid, md5 of all segments of a book: its metadata (name, seq, text),
+    its contents (place, title) and then its pages (page, seq, raw, text, ignored) in natural order, numbered together."""
+    none = F.lit(None).cast("array<struct<t:string,n:decimal(38,0)>>")
+    meta = metadata.select(key, F.lit(0).alias("rank"), none.alias("k"), F.array(F.array_position(F.array(*map(F.lit, METADATA)), F.col("name"))).cast("array<long>").alias("place"), F.col("seq").cast("int").alias("seq"), "page", F.col("text").alias("raw"), trim_text(F.col("text")).alias("text"), "ignored")
+    toc = contents.select(key, F.lit(1), none, F.col("place").cast("array<long>"), F.lit(0), "page", F.col("title"), F.col("title"), F.lit(False))
+    body = pages.select(key, F.lit(2), natural_key(F.col("page")), F.lit(None).cast("array<long>"), F.col("seq").cast("int"), "page", "raw", "text", "ignored")
+    rows = meta.union(toc).union(body).filter("text != ''")
+    rows = numbered(rows.withColumn("ignored", F.col("ignored") | ignored(F.col("text"))), key, ("rank", "k", "place", "page", "seq"))
+    return rows.select(key, F.element_at(F.array(*map(F.lit, PARTS)), F.col("rank") + 1).alias("part"), "page", "seq", "raw", "text", "ignored", F.col("oid").cast("int").alias("oid"), "md5")
 
 
 def cache_identity(path: Column, engine: Column, target: Column, merge_length: Column, encoding: Column) -> Column:

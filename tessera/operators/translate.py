@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -43,10 +44,17 @@ def translate(segments: DataFrame, translator: Translator, engine: str, target:
 
 
 def to_translate(segments: DataFrame) -> DataFrame:
-    """The rows without a translation; where there is none, all rows, to be translated anew (`fresh`)."""
-    left = segments.agg(F.coalesce(F.sum(untranslated(F.col("translation")).cast("long")), F.lit(0)).alias("_left"))  # one row
-    rows = segments.join(F.broadcast(left))
-    return rows.filter(untranslated(F.col("translation")) | (F.col("_left") == 0)).withColumn("fresh", F.col("_left") == 0).drop("_left")
+    """The rows without a translation; where there is none, all rows, to be translated anew (`fresh`). Which of both is
+    asked once, by a look for the first such row."""
+    left = segments.filter(untranslated(F.col("translation")))
+    return segments.withColumn("fresh", F.lit(True)) if left.isEmpty() else left.withColumn("fresh", F.lit(False))
+
+
+def to_translate_selected(segments: DataFrame, selected: Column) -> DataFrame:
+    """The selected rows, to be translated anew; a selection of all rows is treated as no selection."""
+    if segments.filter(~F.coalesce(selected, F.lit(False))).isEmpty():
+        return to_translate(segments)
+    return segments.filter(selected).withColumn("fresh", F.lit(True))
 
 
 class Fatal(Exception):
@@ -68,20 +76,23 @@ def with_retries(call: Callable[[str], str], text: str, attempts: int = 3, wait:
             wait(5.0 * calls)
 
 
-def call_service(rows: DataFrame, call: Callable[[str], str], attempts: int = 3, most_errors: int = 10, concurrency: int | None = None) -> DataFrame:
+def call_service(rows: DataFrame, call: Callable[[str], str], attempts: int = 3, most_errors: int = 10, concurrency: int | None = None, interval: float = 0.0) -> DataFrame:
     """translation, calls and error for rows (id, original) by a function that calls a service. `concurrency` is the
     number of partitions, and so of callers at most. A partition stops calling after most_errors errors in a row (0:
-    never) and leaves the rest with the error 'stopped', to be asked for by a later run."""
+    never) and leaves the rest with the error 'stopped', to be asked for by a later run. Each caller waits `interval` seconds
+    between its requests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        in_row = 0
+        in_row, asked = 0, False
         for b in batches:
             out: tuple[list, list, list] = ([], [], [])
             for x in b.column(1).to_pylist():
                 if most_errors and in_row >= most_errors:
                     row = (None, 0, "stopped")
                 else:
-                    row = with_retries(call, x or "", attempts)
+                    if asked and interval:
+                        time.sleep(interval)
+                    row, asked = with_retries(call, x or "", attempts, time.sleep if interval else lambda s: None), True
                     in_row = 0 if row[2] is None else in_row + row[1]
                 for to, v in zip(out, row, strict=True):
                     to.append(v)
@@ -109,6 +120,12 @@ def totals(rows: DataFrame, original: str = "original") -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("items"), F.coalesce(F.sum(F.length(original)), F.lit(0)).alias("characters"))
 
 
+def running_misaligned(rows: DataFrame, aligned: Column, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """misaligned: how many rows of the job up to and with each aren't aligned."""
+    before = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("misaligned", F.count_if(~aligned).over(before))
+
+
 def progress(rows: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """done: the share of its job's rows that are done with each row."""
     w = Window.partitionBy(*by)

@@ -36,10 +36,13 @@ def size_by_unit(spark, read):
     return read("pages").select("page_id", T.size_by_unit(n, "KB").alias("kb"), T.size_by_unit(n, "MB").alias("mb"))
 
 
-@query(r"SELECT page_id, regexp_matches(split_part(split_part(url, '#', 1), '?', 1) || '.html', '\.(?:xhtml|html|htm|xml|xht)$') AS entry FROM pages WHERE regexp_matches(url || '.html', '\.(?:xhtml|html|htm|xml|xht)$')")
+#: Documents as files of several kinds, so that some are pages and others aren't: their source and id make the name.
+_FILE = "lang || '/' || source || doc_id || CASE doc_id % 5 WHEN 0 THEN '.xhtml' WHEN 1 THEN '.html' WHEN 2 THEN '.HTML' WHEN 3 THEN '.html.png' ELSE '.css' END"
+
+
+@query(rf"SELECT doc_id, {_FILE} AS href FROM documents WHERE regexp_matches({_FILE}, '\.(?:xhtml|html|htm|xml|xht)$')")
 def page_entries(spark, read):
-    href = F.concat(F.split_part(F.split_part("url", F.lit("#"), F.lit(1)), F.lit("?"), F.lit(1)), F.lit(".html"))
-    return S.entries(read("pages").select("page_id", href.alias("href"))).select("page_id", F.lit(True).alias("entry"))
+    return S.entries(read("documents").select("doc_id", F.expr(_FILE).alias("href")))
 
 
 @query(f"WITH {D_SEGMENTS} SELECT doc_id, oid, md5, ignored FROM segments")
@@ -98,7 +101,7 @@ SELECT doc_id, oid, count(*) AS n, md5(oid::VARCHAR || string_agg(text || chr(10
 
 @query(_MERGE)
 def merge_segments(spark, read):
-    units = S.merge(S.segment(read("documents")), most=1800)
+    units = S.merge_documents(read("documents"), most=1800)
     return units.select("doc_id", F.col("oid").cast("long").alias("oid"), F.col("n").cast("long").alias("n"), "md5", F.md5("raw").alias("raw_md5"))
 
 

@@ -12,7 +12,7 @@ from tessera.operators import exchange as X
 from tessera.operators import grid as G
 from tessera.operators import segments as S
 from tessera.operators import translate as TR
-from tessera.plans.common import D_CACHE, D_LINES, D_PAIRS, cache_table, d_strip, pairs, query
+from tessera.plans.common import D_CACHE, D_LINES, D_PAIRS, cache_table, d_no_letters, d_strip, d_trim, pairs, query
 from tessera.sources import readers as R
 from tessera.sources import writers as W
 
@@ -64,25 +64,33 @@ def cache_update(spark, read):
     return C.update(cache_table(read), changes, ["translation", "engine_name"], "doc_id").select("doc_id", F.col("oid").cast("long").alias("oid"), "translation", "engine_name")
 
 
-_INCOMING = """e AS (SELECT doc_id AS oid, md5(text) AS md5, 'old' AS origin FROM documents WHERE doc_id % 2 = 0),
-i AS (SELECT doc_id // 2 * 3 AS oid, md5(text) AS md5, doc_id FROM documents WHERE doc_id % 2 = 1),
-f AS (SELECT *, row_number() OVER (PARTITION BY oid ORDER BY doc_id) AS a, row_number() OVER (PARTITION BY md5 ORDER BY doc_id) AS b FROM i WHERE oid NOT IN (SELECT oid FROM e) AND md5 NOT IN (SELECT md5 FROM e))"""
+#: Rows are tried one by one: state is the ids and hashes in use, and a row is accepted if neither is.
+_INCOMING = """WITH RECURSIVE e AS (SELECT doc_id AS oid, md5(text) AS md5, 'old' AS origin FROM documents WHERE text IS NOT NULL AND doc_id % 2 = 0),
+i AS (SELECT doc_id // 4 * 3 AS oid, md5(text) AS md5, doc_id, row_number() OVER (ORDER BY doc_id) AS k FROM documents WHERE text IS NOT NULL AND doc_id % 2 = 1),
+f AS (SELECT i.*, row_number() OVER (ORDER BY k) AS n FROM i WHERE oid NOT IN (SELECT oid FROM e) AND md5 NOT IN (SELECT md5 FROM e)),
+w AS (SELECT 0::BIGINT AS n, NULL::BIGINT AS oid, NULL::VARCHAR AS md5, false AS taken, []::BIGINT[] AS oids, []::VARCHAR[] AS hashes
+  UNION ALL SELECT f.n, f.oid, f.md5, NOT list_contains(w.oids, f.oid) AND NOT list_contains(w.hashes, f.md5),
+    CASE WHEN list_contains(w.oids, f.oid) OR list_contains(w.hashes, f.md5) THEN w.oids ELSE list_append(w.oids, f.oid) END,
+    CASE WHEN list_contains(w.oids, f.oid) OR list_contains(w.hashes, f.md5) THEN w.hashes ELSE list_append(w.hashes, f.md5) END
+  FROM w JOIN f ON f.n = w.n + 1)"""
 
 
-@query(f"WITH {_INCOMING} SELECT * FROM e UNION ALL SELECT oid, md5, 'new' FROM f WHERE a = 1 AND b = 1")
+@query(f"{_INCOMING} SELECT * FROM e UNION ALL SELECT oid, md5, 'new' FROM w WHERE taken")
 def cache_insert_ignore(spark, read):
     docs = read("documents").filter("text is not null")
     existing = docs.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("oid"), F.md5("text").alias("md5"), F.lit("old").alias("origin"))
-    incoming = docs.filter("doc_id % 2 = 1").select((F.floor(F.col("doc_id") / 2) * 3).alias("oid"), F.md5("text").alias("md5"), F.lit("new").alias("origin"), "doc_id")
+    incoming = docs.filter("doc_id % 2 = 1").select((F.floor(F.col("doc_id") / 4) * 3).alias("oid"), F.md5("text").alias("md5"), F.lit("new").alias("origin"), "doc_id")
     return C.insert_ignore(existing, incoming, ["doc_id"])
 
 
-@query("SELECT coalesce(i.key, e.key) AS key, coalesce(i.value, e.value) AS value FROM (SELECT lang || source AS key, max(doc_id)::VARCHAR AS value FROM documents WHERE doc_id % 3 = 0 GROUP BY 1) i FULL JOIN (SELECT lang || source AS key, 'old' AS value FROM documents WHERE doc_id % 3 = 1 GROUP BY 1) e ON i.key = e.key")
+@query("""WITH o AS (SELECT user_id::VARCHAR || event_type AS key, arg_max(props, (ts, event_id)) AS value FROM events WHERE value < 50 GROUP BY 1),
+n AS (SELECT user_id::VARCHAR || event_type AS key, arg_max(props, (ts, event_id)) AS value FROM events WHERE value >= 50 GROUP BY 1)
+SELECT coalesce(n.key, o.key) AS key, CASE WHEN n.key IS NULL THEN o.value ELSE n.value END AS value FROM n FULL JOIN o ON n.key = o.key""")
 def info_upsert(spark, read):
-    rows = read("documents").select("doc_id", F.concat("lang", "source").alias("key"))
-    old = rows.filter("doc_id % 3 = 1").select("key").distinct().withColumn("value", F.lit("old"))
-    new = rows.filter("doc_id % 3 = 0").select("key", F.col("doc_id").cast("string").alias("value"), "doc_id")
-    return C.upsert(old, new, "key", ["doc_id"])
+    rows = read("events").select(F.concat(F.col("user_id").cast("string"), "event_type").alias("key"), F.col("props").alias("value"), "ts", "event_id", F.col("value").alias("v"))
+    none = rows.select("key", "value").limit(0)
+    old = C.upsert(none, rows.filter("v < 50"), "key", ["ts", "event_id"])
+    return C.upsert(old, rows.filter("v >= 50"), "key", ["ts", "event_id"])
 
 
 @query(f"WITH {D_CACHE} SELECT min(oid) AS oid, page FROM (SELECT *, row_number() OVER (ORDER BY oid, doc_id) AS r FROM cache WHERE page = 'page3' AND NOT ignored) WHERE r = 1 GROUP BY page")
@@ -145,16 +153,24 @@ def translate_all_policy(spark, read):
     return TR.to_translate(cache_table(read)).select("doc_id", F.col("oid").cast("long").alias("oid"), "fresh")
 
 
+@query(f"WITH {D_CACHE} SELECT doc_id, oid, true AS fresh FROM cache WHERE page = 'page3'")
+def translate_selected_policy(spark, read):
+    return TR.to_translate_selected(cache_table(read), F.col("page") == "page3").select("doc_id", F.col("oid").cast("long").alias("oid"), "fresh")
+
+
 @query("""WITH m AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM events)
 SELECT user_id, run::BIGINT AS run, count(*) AS n_errors, min(ts) AS first, max(ts) AS last FROM m WHERE event_type = 'error' GROUP BY user_id, run HAVING count(*) >= 3""")
 def error_runs(spark, read):
     return TR.error_runs(read("events"), F.col("event_type") == "error", ["user_id"], ["ts", "event_id"], least=3)
 
 
-@query("SELECT event_id, list_transform(range(1, event_id % 6 + 1), lambda i: 5 * i)::VARCHAR AS waits FROM events")
+@query("""WITH m AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM events),
+r AS (SELECT user_id, run, count(*) FILTER (WHERE event_type = 'error') AS n FROM m GROUP BY user_id, run)
+SELECT user_id, run::BIGINT AS run, list_transform(range(1, n + 1), lambda i: 5 * i)::VARCHAR AS waits FROM r WHERE n > 0""")
 def backoff_schedule(spark, read):
-    waits = TR.backoff((F.col("event_id") % 6).cast("int"))
-    return read("events").select("event_id", F.concat(F.lit("["), F.array_join(F.transform(waits, lambda x: x.cast("string")), ", "), F.lit("]")).alias("waits"))
+    runs = TR.error_runs(read("events"), F.col("event_type") == "error", ["user_id"], ["ts", "event_id"], least=1)
+    waits = TR.backoff(F.col("n_errors").cast("int"))
+    return runs.select("user_id", "run", F.concat(F.lit("["), F.array_join(F.transform(waits, lambda x: x.cast("string")), ", "), F.lit("]")).alias("waits"))
 
 
 @query(f"WITH {D_LINES} SELECT count(*) AS items, sum(length(text))::BIGINT AS characters FROM lines")
@@ -221,11 +237,23 @@ def rounded_time(spark, read):
     return read("documents").filter("text is not null").select("doc_id", X.rounded_time(F.col("text"), F.lit(1700000000000) + F.col("doc_id")).alias("millis"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 3 = 1 THEN 'no name' ELSE 'no languages' END AS error FROM events")
+#: Definitions of engines made of texts, each spoilt in a way that the text's length chooses, with the error that it has.
+_SPOILT = (
+    ("text", "not JSON"), ("to_json([text])", "not an object"), ("""'{"languages":{}}'""", "no name"), ("""'{"name":"Taken"}'""", "name is taken"), ("""'{"name":' || to_json(text) || '}'""", "no languages"),
+    ("""'{"name":' || to_json(text) || ',"languages":{"source":{}}}'""", "source or target missing"), ("""'{"name":' || to_json(text) || ',"languages":{"source":{},"target":{}}}'""", "no request"),
+    ("""'{"name":' || to_json(text) || ',"languages":{"a":"b"},"request":{"data":"x"}}'""", "no url"), ("""'{"name":' || to_json(text) || ',"languages":{"a":"b"},"request":{"url":"u","data":{"t":1}}}'""", "no <text> in data"),
+    ("""'{"name":' || to_json(text) || ',"languages":{"a":"b"},"request":{"url":"u","data":{"t":"<text>"},"headers":["x"]}}'""", "headers are no object"),
+    ("""'{"name":' || to_json(text) || ',"languages":{"a":"b"},"request":{"url":"u","data":"<text>"}}'""", "no content type"),
+    ("""'{"name":' || to_json(text) || ',"languages":{"a":"b"},"request":{"url":"u","data":{"t":"<text>"}}}'""", "no response expression"),
+    ("""'{"name":' || to_json(text) || ',"languages":{"a":"b"},"request":{"url":"u","data":{"t":"<text>"}},"response":"response"}'""", None),
+)
+
+
+@query("SELECT doc_id, CASE length(text) % 13 " + " ".join(f"WHEN {k} THEN " + (f"'{e}'" if e else "NULL") for k, (_, e) in enumerate(_SPOILT)) + " END AS error FROM documents WHERE text IS NOT NULL AND length(text) > 9")
 def engine_validation(spark, read):
-    good = '{"name":"n<id>","languages":{"source":{},"target":{}},"request":{"url":"u","data":{"t":"<text>"},"headers":{}},"response":"response"}'
-    text = F.when(F.col("event_id") % 3 == 0, X.fill(good, {"id": F.col("event_id").cast("string")})).when(F.col("event_id") % 3 == 1, F.col("props")).otherwise(F.lit('{"name":"x"}'))
-    return read("events").select("event_id", X.engine_error(text, F.array(F.lit("builtin"))).alias("error"))
+    docs = read("documents").filter("text is not null and length(text) > 9").withColumn("q", F.regexp_extract(F.to_json(F.struct("text")), r'(?s)^\{"text":(.*)\}$', 1))
+    case = "case length(text) % 13 " + " ".join(f"when {k} then {d.replace('to_json([text])', concat).replace('to_json(text)', 'q')}" for concat in ["concat('[', q, ']')"] for k, (d, _) in enumerate(_SPOILT)) + " end"
+    return docs.select("doc_id", X.engine_error(F.expr(case), F.array(F.lit("taken"))).alias("error"))
 
 
 @query("SELECT doc_id, 'Translate from ' || lang || ' to XX. Ensure that placeholders matching the pattern {{id_\\d+}} in the content are retained.' AS prompt FROM documents")
@@ -233,6 +261,30 @@ def prompt_templates(spark, read):
     return read("documents").select("doc_id", X.prompt("Translate from <slang> to <tlang>.", F.col("lang"), F.lit("XX"), True).alias("prompt"))
 
 
+@query("SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '\"', '&quot;'), chr(39), '&#39;'), '|', '&#x7c;') AS sent, text AS answer FROM documents WHERE text IS NOT NULL")
+def escaped_answers(spark, read):
+    t = F.col("text")
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), ('"', "&quot;"), ("'", "&#39;"), ("|", "&#x7c;")):
+        t = F.replace(t, F.lit(char), F.lit(name))
+    rows = read("documents").filter("text is not null").select("doc_id", t.alias("sent"))
+    body = F.to_json(F.struct(F.struct(F.array(F.struct(F.col("sent").alias("translatedText"))).alias("translations")).alias("data")))
+    return rows.select("doc_id", "sent", X.answer(body, "data").alias("answer"))
+
+
+@query("SELECT conv_id, turn, regexp_replace(text, ' ([a-z])', ' <m id=0000' || (turn % 10) || ' />\\1', 'g') AS sent, regexp_replace(text, ' ([a-z])', ' {{id_0000' || (turn % 10) || '}}\\1', 'g') AS back FROM conversations WHERE text IS NOT NULL")
+def service_placeholders(spark, read):
+    mark = F.concat(F.lit(" {{id_0000"), (F.col("turn") % 10).cast("string"), F.lit("}}$1"))
+    rows = read("conversations").filter("text is not null").select("conv_id", "turn", F.regexp_replace("text", F.lit(" ([a-z])"), mark).alias("marked"))
+    sent = X.service_marks(F.col("marked"))
+    return rows.select("conv_id", "turn", sent.alias("sent"), X.from_service_marks(F.replace(sent, F.lit(" />"), F.lit("  />"))).alias("back"))
+
+
+@query("SELECT c_custkey, n_nationkey AS used, floor(c_acctbal)::BIGINT AS total, floor(c_acctbal)::BIGINT - n_nationkey AS left FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def usage_quota(spark, read):
+    rows = read("customer").select("c_custkey", F.to_json(F.struct(F.floor("c_acctbal").alias("character_limit"), F.col("c_nationkey").alias("character_count"))).alias("answer"))
+    return rows.select("c_custkey", X.quota(F.col("answer")).alias("q")).select("c_custkey", "q.used", "q.total", "q.left")
+
+
 # ---- review ---------------------------------------------------------------------------------------------------------
 
 _GRID = f"""{D_CACHE}, grid AS (SELECT *, CASE WHEN oid % 11 = 5 THEN 'failed' END AS error, oid % 4 <> 3 OR coalesce(translation, '') = '' AS aligned FROM cache WHERE NOT ignored)"""
@@ -311,6 +363,12 @@ def misaligned_count(spark, read):
     return pairs(read).agg(F.count_if(~A.is_aligned(F.col("original"), F.col("translation"), "\n")).alias("n"))
 
 
+@query(f"WITH {D_PAIRS} SELECT conv_id, turn, count(*) FILTER (WHERE len(string_split({d_strip('original')}, chr(10))) <> len(string_split({d_strip('translation')}, chr(10))) AND {d_strip('translation')} <> '') OVER (PARTITION BY conv_id ORDER BY turn) AS misaligned FROM pairs WHERE translation IS NOT NULL")
+def misaligned_running(spark, read):
+    rows = TR.running_misaligned(pairs(read).filter("translation is not null"), A.is_aligned(F.col("original"), F.col("translation"), "\n"), ["conv_id"], ["turn"])
+    return rows.select("conv_id", "turn", "misaligned")
+
+
 # ---- formats, over texts made of documents ----------------------------------------------------------------------------
 
 
@@ -335,10 +393,10 @@ def game_comment_round_trip(spark, read):
     return games.select("doc_id", F.size("found").cast("long").alias("n"), F.md5(W.replace_comments(F.col("game"), new)).alias("h"))
 
 
-@query("SELECT doc_id, name, text, 'content.opf' AS page, true AS ignored FROM (SELECT doc_id, 'title' AS name, left(text, 30) AS text FROM documents UNION ALL SELECT doc_id, 'subject', source FROM documents) WHERE regexp_matches(text, '[a-zA-Z]+')")
+@query("SELECT doc_id, name, md5(text) AS h, 'content.opf' AS page, true AS ignored FROM (SELECT doc_id, 'title' AS name, text FROM documents UNION ALL SELECT doc_id, 'subject', source FROM documents UNION ALL SELECT doc_id, 'subject', n_chars::VARCHAR FROM documents) WHERE regexp_matches(text, '[a-zA-Z]+')")
 def metadata_entries(spark, read):
-    texts = F.create_map(F.lit("title"), F.array(F.left("text", F.lit(30))), F.lit("subject"), F.array("source", F.col("n_chars").cast("string")), F.lit("language"), F.array("lang"))
-    return R.metadata(read("documents").select("doc_id", texts.alias("metadata")), "doc_id").select("doc_id", "name", "text", "page", "ignored")
+    texts = F.create_map(F.lit("title"), F.array("text"), F.lit("subject"), F.array("source", F.col("n_chars").cast("string")), F.lit("language"), F.array("lang"))
+    return R.metadata(read("documents").select("doc_id", texts.alias("metadata")), "doc_id").select("doc_id", "name", F.md5("text").alias("h"), "page", "ignored")
 
 
 @query("""WITH n AS (SELECT n_name, n_nationkey, n_regionkey FROM nation)
@@ -357,3 +415,18 @@ def contents_flatten(spark, read):
 def output_names(spark, read):
     title, language, _ = W.output_metadata(F.left("text", F.lit(20)), F.col("lang"), F.array("source"), "T", ["translated"])
     return read("documents").select("doc_id", W.file_name(F.col("text")).alias("name"), title, language)
+
+
+@query(f"""WITH {D_LINES}, t AS (SELECT doc_id AS book, 0 AS rank, 0 AS a, 0 AS b, 'title' AS page, {d_trim("source || ' Book'")} AS text, true AS ignored FROM documents
+  UNION ALL SELECT doc_id, 1, seq, 0, 'toc.ncx', text, {d_no_letters('text')} FROM lines WHERE seq % 3 = 0
+  UNION ALL SELECT doc_id, 2, 20 - (seq % 20), seq, 'p' || (20 - (seq % 20)) || '.html', text, {d_no_letters('text')} FROM lines)
+SELECT book, CASE rank WHEN 0 THEN 'metadata' WHEN 1 THEN 'contents' ELSE 'page' END AS part, oid, md5(oid::VARCHAR || text) AS md5, ignored FROM (
+  SELECT *, row_number() OVER (PARTITION BY book ORDER BY rank, a, b) - 1 AS oid FROM t WHERE text <> '')""")
+def book_numbering(spark, read):
+    docs = read("documents")
+    meta = R.metadata(docs.select(F.col("doc_id").alias("book"), F.create_map(F.lit("title"), F.array(F.concat("source", F.lit(" Book")))).alias("metadata")), "book")
+    rows = S.lines(docs).withColumnRenamed("doc_id", "book")
+    toc = rows.filter("seq % 3 = 0").select("book", F.array(F.col("seq").cast("long")).alias("place"), F.col("text").alias("title"), F.lit("toc.ncx").alias("page"))
+    page = F.concat(F.lit("p"), (20 - F.col("seq") % 20).cast("string"), F.lit(".html"))
+    pages = rows.select("book", page.alias("page"), "seq", "raw", "text", F.lit(False).alias("ignored"))
+    return S.number_book(meta, toc, pages).select("book", "part", F.col("oid").cast("long").alias("oid"), "md5", "ignored")

@@ -2,21 +2,39 @@
 
 from __future__ import annotations
 
+import codecs
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import strip, trim_text
+from tessera.operators.segments import METADATA
+from tessera.runtime import materialise
+
+
+#: Charsets that Spark's own decode() reads (fixed values).
+SPARK_CHARSETS = ("US-ASCII", "ISO-8859-1", "UTF-8", "UTF-16BE", "UTF-16LE", "UTF-16", "UTF-32")
+
+
+def decoded(content: Column, charset: str) -> Column:
+    """Bytes as text: by Spark, or by Python's codecs for charsets that it lacks."""
+    if charset.upper() in SPARK_CHARSETS:
+        return F.decode(content, charset)
+    codecs.lookup(charset)
+
+    @F.pandas_udf("string")
+    def decode(values):  # noqa: ANN001, ANN202
+        return values.map(lambda x: None if x is None else bytes(x).decode(charset, "replace"))
 
-#: Names of metadata that hold text to translate (fixed values).
-METADATA = ("title", "creator", "publisher", "rights", "subject", "contributor", "description")
+    return decode(content)
 
 
 def read_files(spark: SparkSession, paths: str | list[str], charset: str = "UTF-8", name_filter: str | None = None) -> DataFrame:
-    """path, modified, bytes, text of whole files, with line ends of one kind. Charsets are those of the JVM."""
+    """path, modified, bytes, text of whole files, with line ends of one kind."""
     reader = spark.read.format("binaryFile")
     if name_filter:
         reader = reader.option("pathGlobFilter", name_filter)
-    text = F.regexp_replace(F.decode("content", charset), "\r\n?", "\n")
+    text = F.regexp_replace(decoded(F.col("content"), charset), "\r\n?", "\n")
     return reader.load(paths).select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"), text.alias("text"))
 
 
@@ -46,19 +64,24 @@ def metadata(books: DataFrame, key: str, items: str = "metadata", translate: boo
     return rows.select(key, "name", "seq", "text", F.lit("content.opf").alias("page"), F.lit(not translate).alias("ignored"))
 
 
-def contents(nodes: DataFrame, key: str, node: str = "node", parent: str = "parent", order: str = "seq", title: str = "title", most_levels: int = 32) -> DataFrame:
+def contents(nodes: DataFrame, key: str, node: str = "node", parent: str = "parent", order: str = "seq", title: str = "title") -> DataFrame:
     """key, place, title, page of a table of contents in rows (node, parent, seq), parents before their children and
-    siblings by seq. Level by level, the paths of nodes grow by one join; levels without nodes end it."""
-    rows = nodes.select(key, F.col(node).alias("n"), F.col(parent).alias("p"), F.col(order).cast("long").alias("o"), F.col(title).alias("title"))
-    level = rows.filter("p is null").select(key, "n", F.array("o").alias("place"), "title")
-    out = level
-    for _ in range(most_levels):
-        up = level.select(key, F.col("n").alias("p"), F.col("place").alias("up"))
-        level = rows.join(up, [key, "p"]).select(key, "n", F.concat("up", F.array("o")).alias("place"), "title")
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out.select(key, "place", trim_text(F.col("title")).alias("title"), F.lit("toc.ncx").alias("page"))
+    siblings by seq, of any depth. Nodes whose parents don't exist, and what is below them, are left out; a circle is an
+    error.
+
+    Each round doubles the part of its path that a node knows: it takes over the path of the ancestor that it has reached,
+    so the rounds are as many as the logarithm of the depth. Each is written.
+    """
+    rows = nodes.select(key, F.col(node).alias("n"), F.col(parent).alias("up"), F.array(F.col(order).cast("long")).alias("place"), trim_text(F.col(title)).alias("title"))
+    rows = materialise(rows, "contents")
+    most = rows.count().bit_length() + 1
+    for _ in range(most):
+        if rows.filter("up is not null").isEmpty():
+            return rows.select(key, "place", "title", F.lit("toc.ncx").alias("page"))
+        above = rows.select(key, F.col("n").alias("up"), F.col("up").alias("further"), F.col("place").alias("before"))
+        grown = rows.filter("up is not null").join(above, [key, "up"]).select(key, "n", F.col("further").alias("up"), F.concat("before", "place").alias("place"), "title")
+        rows = materialise(rows.filter("up is null").unionByName(grown), "contents")
+    raise ValueError("a table of contents has a circle")
 
 
 def glossary(text: str) -> list[tuple[str, str]]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -50,6 +50,15 @@ def file_name(title: Column, most: int = 200) -> Column:
     return F.substring(F.regexp_replace(title, r'[\\/:*?"<>|\x{00}-\x{1f}]', "_"), 1, most)
 
 
-def write_documents(docs: DataFrame, path: str, text: str = "text") -> None:
-    """A text file a partition, a document a row, at a path of any of Spark's file systems."""
-    docs.select(text).write.text(path, lineSep="\n")
+def write_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
+    """Documents (key, text) at a path of any of Spark's file systems, each in a folder key=... of its own, so that a
+    document with line ends stays one. A null text is an empty one. Rows that repeat a key are one document after another.
+    Documents are dealt by key, so that none is in two files."""
+    rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("value"))
+    rows.repartition(key).sortWithinPartitions(key).write.partitionBy(key).text(path)
+
+
+def read_documents(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
+    """key, text of write_documents()."""
+    rows = spark.read.option("basePath", path).text(path, wholetext=True)
+    return rows.select(key, F.regexp_replace("value", r"\n\z", "").alias("text"))

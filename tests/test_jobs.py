@@ -28,7 +28,7 @@ def test_files_of_several_formats(spark):
     files = [("a.srt", "1\nt\nA\n\n2\nt\nB"), ("b.pgn", "1. e4 {fine}"), ("c.html", "<p>C</p>"), ("d.txt", "D\n\nE"), ("e.txt", None)]
     got = sorted((r.path, r.kind, r.seq, r.text) for r in FM.file_segments(spark.createDataFrame(files, "path string, text string")).collect())
     assert got == [("a.srt", "srt", 0, "A"), ("a.srt", "srt", 1, "B"), ("b.pgn", "pgn", 0, "fine"), ("c.html", "page", 0, "C"), ("d.txt", "text", 0, "D"), ("d.txt", "text", 2, "E")]
-    assert {"utf_8", "latin_1", "shift_jis"} <= set(FM.charsets()) | {"latin_1"}
+    assert {"utf_8", "latin_1", "shift_jis"} <= set(FM.charsets())
 
 
 def test_languages(spark):
