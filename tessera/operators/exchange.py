@@ -74,9 +74,9 @@ def request_line(md5: Column, text: Column, model: str, prompt: str, url: str =
 
 def batch_answers(lines: DataFrame, column: str = "value") -> DataFrame:
     """md5 and translation of the lines with status 200."""
-    get = lambda p: F.get_json_object(column, p)
-    rows = lines.select(get("$.custom_id").alias("md5"), get("$.response.status_code").cast("int").alias("status"), get("$.response.body.choices[0].message.content").alias("translation"))
-    return rows.filter("status = 200").select("md5", "translation")
+    kind = "custom_id string, response struct<status_code:int,body:struct<choices:array<struct<message:struct<content:string>>>>>"
+    rows = lines.select(F.from_json(column, kind).alias("r")).filter("r.response.status_code = 200")
+    return rows.select(F.col("r.custom_id").alias("md5"), F.get("r.response.body.choices", F.lit(0))["message"]["content"].alias("translation"))
 
 
 def stream_texts(events: DataFrame, by: str, order: str, line: str = "line", kind: str = "chat") -> DataFrame:
@@ -149,22 +149,27 @@ ENGINE_ERRORS = (
 
 
 def engine_error(text: Column, taken: Column) -> Column:
-    """The first of ENGINE_ERRORS that a definition has, else null; taken: lower-case names in use."""
-    get = lambda p: F.get_json_object(text, p)
+    """The first of ENGINE_ERRORS that a definition has, else null; taken: lower-case names in use. Each level of the
+    definition is read once."""
     void = lambda c: c.isNull() | c.isin("", "{}", "[]", "0", "false")
-    valid = F.try_parse_json(text).isNotNull()
-    data, headers = get("$.request.data"), get("$.request.headers")
-    has = lambda p: get(p).isNotNull()
-    header_names = F.transform(F.json_object_keys(headers), F.lower)
-    is_text = ~F.coalesce(data, F.lit("")).rlike(r"^[\[{]")
-    no_headers = void(headers)
-    checks = [
-        ~valid, ~F.trim(text).startswith("{"), void(get("$.name")), F.array_contains(taken, F.lower(get("$.name"))), void(get("$.languages")),
-        has("$.languages.source") != has("$.languages.target"), void(get("$.request")), ~has("$.request.url"), data.isNotNull() & ~F.contains(F.coalesce(data, F.lit("")), F.lit("<text>")),
-        ~no_headers & ~F.trim(headers).startswith("{"), data.isNotNull() & is_text & (no_headers | ~F.coalesce(F.array_contains(header_names, "content-type"), F.lit(False))),
-        ~has("$.response") | ~F.contains(get("$.response"), F.lit("response")),
-    ]
-    out = F.when(F.coalesce(checks[0], F.lit(True)), ENGINE_ERRORS[0])
-    for c, name in zip(checks[1:], ENGINE_ERRORS[1:], strict=True):
-        out = out.when(F.coalesce(c, F.lit(False)), name)
-    return out
+    valid = F.coalesce(F.try_parse_json(text).isNotNull(), F.lit(False))
+    top = F.from_json(F.when(valid, text), "name string, languages string, request string, response string")
+
+    def first(d: Column, languages: Column, request: Column) -> Column:
+        data, headers = request["data"], request["headers"]
+        names = F.transform(F.json_object_keys(headers), F.lower)
+        typed = ~void(headers) & F.coalesce(F.array_contains(names, "content-type"), F.lit(False))
+        checks = [
+            ~valid, ~F.trim(text).startswith("{"), void(d["name"]), F.array_contains(taken, F.lower(d["name"])), void(d["languages"]),
+            languages["source"].isNotNull() != languages["target"].isNotNull(), void(d["request"]), request["url"].isNull(), ~F.contains(data, F.lit("<text>")),
+            ~void(headers) & ~F.trim(headers).startswith("{"), data.isNotNull() & ~data.rlike(r"^[\[{]") & ~typed, ~F.coalesce(F.contains(d["response"], F.lit("response")), F.lit(False)),
+        ]
+        out = F.when(checks[0], ENGINE_ERRORS[0])
+        for c, name in zip(checks[1:], ENGINE_ERRORS[1:], strict=True):
+            out = out.when(F.coalesce(c, F.lit(False)), name)
+        return out
+
+    parts = F.transform(F.array(top), lambda d: F.struct(
+        d.alias("d"), F.from_json(d["languages"], "source string, target string").alias("languages"), F.from_json(d["request"], "url string, data string, headers string").alias("request")
+    ))
+    return F.transform(parts, lambda p: first(p["d"], p["languages"], p["request"]))[0]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -30,11 +31,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder name in the cluster's shared scratch space, spark.checkpoint.dir. Where that is unset
-    (tests on one machine), a temporary folder stands in."""
+    """A new folder name in the cluster's shared scratch space, spark.checkpoint.dir. Where that is unset on one machine
+    (local[...], as in tests), a temporary folder stands in; on a cluster it is an error."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
         base = getattr(sc, "_tessera_scratch", None)
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="tessera-scratch-")
