@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 #: White space as Unicode defines it for text, with the four separators 1C to 1F.
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _WIDE, _ZERO, _CONTROL = r"[\x{a0}\x{3000}]", r"[\x{200b}\x{feff}]", r"[\x{00}-\x{1f}\x{7f}-\x{a0}\x{ad}]"
+#: Classes of many ranges are slow, so patterns look for what isn't plain ASCII, or not plain ASCII but a space, first.
+_ODD, _ODD_OR_SPACE = r"(?=[^ -~])", r"(?=[^!-~])"
 #: What few texts hold: wide and zero-width marks, and controls that are no white space.
-_RARE = r"[\x{00}-\x{08}\x{0e}-\x{1b}\x{7f}-\x{84}\x{86}-\x{a0}\x{ad}\x{200b}\x{3000}\x{feff}]"
+_RARE = rf"{_ODD}[\x{{00}}-\x{{08}}\x{{0e}}-\x{{1b}}\x{{7f}}-\x{{84}}\x{{86}}-\x{{a0}}\x{{ad}}\x{{200b}}\x{{3000}}\x{{feff}}]"
 #: Runs of white space that aren't one plain space already.
-_RUNS = rf"{WS}{{2,}}|[\t-\r\x1c-\x1f\x{{85}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}]"
+_RUNS = rf"{_ODD_OR_SPACE}(?: {_ODD_OR_SPACE}{WS}+|[\t-\r\x1c-\x1f\x{{85}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}]{WS}*)"
 
 
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.regexp_replace(c, rf"{_ODD_OR_SPACE}(?:^{WS}+|(?<!{WS}){WS}+$)", "")
 
 
 def is_solid(c: Column) -> Column:

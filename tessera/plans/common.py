@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import WS
+from tessera.runtime import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -17,7 +18,7 @@ def query(oracle: str | None = None) -> Callable:
     """Register a function (spark, read) under its name; read(table) gives a table of the run's folder."""
 
     def wrap(f: Callable) -> Callable:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(spark, lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(spark, lambda t: read_table(spark, f"{sf_dir}/{t}.parquet"))
         if oracle:
             ORACLE[f.__name__] = oracle
         return f

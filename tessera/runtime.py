@@ -50,3 +50,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of a table from which its rows are dealt out if it has fewer parts than there are cores.
+SPREAD_BYTES = 4 << 20
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table. A file of one row group is one task's work however many cores wait, so a table of some size that has
+    fewer parts than there are cores is dealt out to them; large tables have more parts and aren't touched."""
+    df = spark.read.parquet(path)
+    plan, cores = df._jdf.queryExecution(), spark.sparkContext.defaultParallelism
+    if int(str(plan.optimizedPlan().stats().sizeInBytes())) < SPREAD_BYTES or df._jdf.rdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
