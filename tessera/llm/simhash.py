@@ -25,10 +25,13 @@ from tessera.llm.words import mix
 from tessera.runtime import materialise, ship
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
-#: Fingerprints of one group (on average; a cell holds two groups): a 64th of all between these bounds. Those of a tile.
-LEAST_GROUP, GROUP, TILE = 1 << 13, 1 << 17, 512
+#: Groups of fingerprints up to the size from which there are more, between these bounds (a cell holds two groups), and
+#: fingerprints of a tile.
+GROUPS, LEAST_GROUP, GROUP, TILE = 16, 1 << 8, 1 << 17, 512
 #: Rows up to which a small side is broadcast; beyond it the join is shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Shingles of a group of candidates that one task looks through; larger groups are looked at in rounds.
+MOST_ENTRIES = 4_000_000
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -196,7 +199,7 @@ def links(
     names = ["node", *(f"f{w}" for w in range(words))]
     bits = sum((F.bit_count(F.col(f"f{w}")) for w in range(1, words)), F.bit_count(F.col("f0")))
     sizes = {r[0]: r[1] for r in distinct.groupBy(bits.alias("bits")).count().collect()}  # at most 64 words + 1 rows
-    group = group or max(LEAST_GROUP, min(GROUP, sum(sizes.values()) // 64))
+    group = group or max(LEAST_GROUP, min(GROUP, sum(sizes.values()) // GROUPS))
     table = _dealing(sizes, radius, group)
     at = lambda k: F.element_at(F.array(*[F.lit(t[k]) for t in table]), F.col("bits") + 1)
     dealt = distinct.select(*names, bits.alias("bits"))
@@ -311,36 +314,82 @@ def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.select("a", "b", (common >= similarity * (F.size("sa") + F.size("sb") - common) - 1e-9).alias("ok"))
 
 
-def similar_groups(docs: DataFrame, similarity: float, shingle: int, words: int, radius: int, screen: int, group: int | None = None) -> tuple[DataFrame, DataFrame]:
+def _within_group(similarity: float, words: int, radius: int, screen: int) -> Callable:
+    """Links between the classes of a group of candidates that join all that can be joined: who shares shingles with a row
+    is counted over the rows that hold each of them. Rows of the largest class needn't be asked, as others ask them."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        node, n = table.column("node").to_numpy(), table.num_rows
+        sets = table.column("s").combine_chunks()
+        size = np.diff(sets.offsets.to_numpy()).astype(np.int64)
+        values = sets.values.to_numpy()[sets.offsets[0].as_py() : sets.offsets[-1].as_py()]
+        ids = np.unique(values, return_inverse=True)[1].ravel()
+        holders = np.repeat(np.arange(n), size)[np.argsort(ids, kind="stable")]
+        begin = np.concatenate([[0], np.cumsum(np.bincount(ids, minlength=1))])
+        mine = np.concatenate([[0], np.cumsum(size)])
+        fps = np.column_stack([table.column(f"f{w}").to_numpy() for w in range(words)]).astype(np.int64).view(np.uint64)
+        labels = np.unique(table.column("joined").to_numpy(), return_inverse=True)[1].ravel()
+        found = []
+        for i in np.flatnonzero(labels != np.bincount(labels).argmax()).tolist():
+            shared = [holders[begin[x] : begin[x + 1]] for x in ids[mine[i] : mine[i + 1]].tolist()]
+            common = np.bincount(np.concatenate([np.zeros(0, np.int64), *shared]), minlength=n)
+            j = np.flatnonzero((common >= similarity * (size[i] + size - common) - 1e-9) & (labels != labels[i]))
+            bits = np.bitwise_count(fps[j] ^ fps[i])
+            for k in j[(bits.sum(axis=1, dtype=np.int64) <= radius) & (bits[:, 0] <= screen)].tolist():
+                if labels[k] != labels[i]:
+                    found.append((i, k))
+                    labels[labels == labels[k]] = labels[i]
+        x, y = (np.array([p[c] for p in found], np.int64) for c in range(2))
+        return pa.table({"a": pa.array(node[x]), "b": pa.array(node[y])})
+
+    return run
+
+
+def similar_groups(docs: DataFrame, similarity: float, shingle: int, words: int, radius: int, screen: int, group: int | None = None, most: int = MOST_ENTRIES) -> tuple[DataFrame, DataFrame]:
     """The distinct fingerprints of docs as _nodes() has them, and (node, component): groups over links whose texts have
     that Jaccard similarity of their sets of shingles, among links of fingerprints within the radius and the screen.
 
-    A forest of candidate links is checked; what the links that hold join is one from then on, and links between what is
-    still apart are looked for again, but for the refused ones, among the groups of candidates that hold a refused one.
-    When nothing new is found no link is left out, and no group's pairs have all been made.
+    A forest of candidate links is checked, and what the links that hold join is one from then on. Groups of candidates
+    with a refused link may hold others: those of up to `most` shingles are looked through by a task each, and in larger
+    ones links between what is still apart are looked for and checked again, but for the refused ones, until there are
+    none. So no link is left out, and no group's pairs are all made.
     """
     ship(docs.sparkSession)
+    names = [f"f{w}" for w in range(words)]
     _, distinct = _nodes(docs, shingle, words, set_fingerprint)
-    active, joined, held, refused, sets = distinct, None, None, None, None
-    while True:
+    found = materialise(links(distinct, words, radius, screen, group).distinct(), "candidate-links")
+    classes = materialise(components(found, "candidate-stars"), "candidate-groups")
+    sets = _shingle_sets(docs, split_join(distinct, classes, ["node"]).select("node", "best.k1", "best.k2"), shingle)
+    checked = materialise(_checked(found, sets, similarity), "checked-links")
+    held, refused = checked.filter("ok").select("a", "b"), checked.filter("not ok").select("a", "b")
+    joined = materialise(components(held), "similar-groups")
+    if refused.isEmpty():
+        return distinct, joined
+    open_ = split_join(refused.select(F.col("a").alias("node")), classes, ["node"]).select("component").distinct()
+    members = split_join(split_join(classes, open_, ["component"], "left_semi"), sets.select("node", F.size("s").alias("n")), ["node"])
+    sizes = members.groupBy("component").agg(F.sum("n").alias("n"))
+    members = materialise(split_join(members.select("node", "component"), sizes, ["component"]), "open-groups")
+    small = split_join(members.filter(F.col("n") <= most).select("node", F.col("component").alias("among")), sets, ["node"])
+    small = split_join(split_join(small, distinct.select("node", *names), ["node"]), joined, ["node"], "left").select("among", "node", "s", *names, F.coalesce("component", "node").alias("joined"))
+    more = materialise(small.groupBy("among").applyInArrow(_by_key(_within_group(similarity, words, radius, screen)), "a long, b long"), "further-links")
+    held = held.union(more)
+    large = members.filter(F.col("n") > most).select("node")
+    while not large.isEmpty():
+        refused = materialise(split_join(refused, large.select(F.col("node").alias("a")), ["a"], "left_semi"), "refused-links")
+        active = materialise(split_join(distinct, large, ["node"], "left_semi"), "active-groups")
         found = materialise(links(active, words, radius, screen, group, joined, refused).distinct(), "candidate-links")
-        if found.isEmpty():
-            break
-        if sets is None:  # later candidates join nodes of the same groups
-            classes = materialise(components(found, "candidate-stars"), "candidate-groups")
-            sets = _shingle_sets(docs, split_join(distinct, classes, ["node"]).select("node", "best.k1", "best.k2"), shingle)
         checked = materialise(_checked(found, sets, similarity), "checked-links")
-        held = checked.filter("ok").select("a", "b") if held is None else held.union(checked.filter("ok").select("a", "b"))
+        held = materialise(held.union(checked.filter("ok").select("a", "b")), "held-links")
         joined = materialise(components(held), "similar-groups")
         bad = checked.filter("not ok").select("a", "b")
-        if bad.isEmpty():
-            break
-        refused = bad if refused is None else refused.union(bad)
+        refused = refused.union(bad)
         open_ = split_join(bad.select(F.col("a").alias("node")), classes, ["node"]).select("component").distinct()
-        some = split_join(classes, open_, ["component"], "left_semi").select("node")
-        active = materialise(split_join(distinct, some, ["node"], "left_semi"), "open-groups")
-        refused = materialise(split_join(refused, some.select(F.col("node").alias("a")), ["a"], "left_semi"), "refused-links")
-    return distinct, joined if joined is not None else distinct.select("node", F.col("node").alias("component")).filter("false")
+        large = materialise(split_join(classes, open_, ["component"], "left_semi").select("node"), "open-groups")
+    return distinct, materialise(components(held), "similar-groups")
+
+
+def _by_key(run: Callable) -> Callable:
+    return lambda key, table: run(key, table)
 
 
 def first_of_groups(docs: DataFrame, similarity: float, shingle: int, words: int, radius: int, screen: int, group: int | None = None) -> DataFrame:

@@ -118,6 +118,32 @@ def test_groups_of_similar_texts(spark):
         assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == sorted(set(want))
 
 
+def test_groups_in_rounds(spark):
+    """A group that is too large for a task: links are refused until only those that hold are left."""
+    texts = [" ".join(f"c{j}" for j in range(k, k + 30)) for k in (0, 2, 5, 8, 30)] + ["other words that have nothing to do with it"]
+    want = grouped(len(texts), similar(texts))
+    distinct, joined = simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), C.SIMILARITY, C.SHINGLE, C.WORDS, 110, 40, most=0)
+    least, parts = {r.node: r.least for r in distinct.collect()}, collections.defaultdict(set)
+    for r in joined.collect():
+        parts[r.component].add(least[r.node])
+    assert sorted(map(sorted, parts.values())) == sorted(sorted(k for k in range(len(texts)) if want[k] == x) for x in set(want) if want.count(x) > 1)
+
+
+def test_one_task_finds_what_joins_a_group():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(np.concatenate([rng.choice(60, 40, replace=False), 1000 * (k % 3) + np.arange(30)])) for k in range(60)]
+    joined = rng.integers(0, 25, 60)
+    import pyarrow as pa
+
+    table = pa.table({"node": pa.array(np.arange(60)), "s": pa.array([s.tolist() for s in sets], pa.list_(pa.int64())), "f0": pa.array(np.zeros(60, np.int64)), "joined": pa.array(joined)})
+    got = simhash._within_group(0.5, 1, 4, 4)((0,), table)
+    links = list(zip(got.column("a").to_pylist(), got.column("b").to_pylist(), strict=True))
+    same = lambda a, b: len(np.intersect1d(sets[a], sets[b])) >= 0.5 * len(np.union1d(sets[a], sets[b]))
+    assert all(same(a, b) for a, b in links)
+    before = [(a, b) for a in range(60) for b in range(a) if joined[a] == joined[b]]
+    assert grouped(60, before + links) == grouped(60, before + [(a, b) for a in range(60) for b in range(a) if same(a, b)])
+
+
 def test_rows_that_share_an_id(spark):
     long = " ".join(f"word{k}" for k in range(30))
     rows_ = [(5, long, "b"), (5, "another text of six words", "a"), (5, long, "a"), (None, long, "c"), (None, "alone without an id", "c"), (7, None, "n"), (3, "", "e"), (3, None, "d")]
