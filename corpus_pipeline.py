@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontaminate, quality, simhash, site_lines
-from tessera.runtime import materialise, ship
+from tessera.runtime import materialise, read_table, ship
 
 #: Near copies in the pipeline: sets of shingles of five words with a Jaccard similarity of 0.8, looked for by 256-bit
 #: fingerprints. At 0.8 they differ in 39 bits on average with a deviation of 6 (48 in texts of four shingles against
@@ -74,7 +74,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
