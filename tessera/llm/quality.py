@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tessera.runtime import materialise, ship
 
-FEATURES, RIDGE, SEED, BINS, FOLDS, THRESHOLD = 256, 1e-4, 5, 2048, 5, 0.7
+FEATURES, RIDGE, SEED, BINS, FOLDS, SUMS, THRESHOLD = 256, 1e-4, 5, 2048, 5, 32, 0.7
 _MARKS = "#*$%&|<>"
 NAMES = (
     "words", "word_length", "upper", "marks", "bars", "exclamations", "digits", "stops", "distinct", "top_word",
@@ -167,7 +167,9 @@ def fit(stats: DataFrame, labels: DataFrame, ridge: float = RIDGE) -> Model:
     if not means[0]:
         return Model(np.zeros(d), np.ones(d), np.zeros(FEATURES + 1), (np.array([0.0]), np.array([0.5])))
     mean, scale = np.array(means[1::2]), np.maximum(np.array(means[2::2]), 1e-3)
-    summed = train.mapInArrow(_normal_parts(mean, scale), "fold int, part binary").repartition(FOLDS, "fold").mapInArrow(_sum_parts, "fold int, part binary")
+    parts = train.mapInArrow(_normal_parts(mean, scale), "fold int, part binary")
+    some = parts.repartition(SUMS).mapInArrow(_sum_parts, "fold int, part binary")  # so that no task gets all parts of a fold
+    summed = some.repartition(FOLDS, "fold").mapInArrow(_sum_parts, "fold int, part binary")
     parts = {r.fold: np.frombuffer(r.part).reshape(FEATURES + 1, FEATURES + 2) for r in summed.collect()}  # FOLDS of fixed size
     every = np.sum([parts[f] for f in sorted(parts)], axis=0)
     unit = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
