@@ -48,11 +48,12 @@ def _marked(plain: Column) -> Column:
     return F.regexp_replace(plain, r"(?<![^ ])(\p{Lu}\p{Ll}[^ ]*) (?=\p{Lu}\p{Ll})", f"$1{_JOINT}")
 
 
-def _template(marked: Column, units: tuple[str, ...], numbers: tuple[str, ...]) -> Column:
-    """Template words of _marked() text. The kind of a word depends on the word alone, so windows of equal words have equal
+def _template(plain: Column, units: tuple[str, ...], numbers: tuple[str, ...]) -> Column:
+    """Template words of _plain() text, one for each word of its _marked() form. The kind of a word depends on the word alone, so windows of equal words have equal
     templates wherever they stand; words that are no value are taken in lower case."""
-    t = F.regexp_replace(marked, r"(?<![^ ])-?[.,]?\p{Nd}[^ ]*", _NUMBER)
-    t = F.split(F.lower(F.regexp_replace(t, r"(?<![^ ])\p{Lu}\p{Ll}[^ ]*", _NAME)), " ")
+    t = F.regexp_replace(plain, r"(?<![^ ])-?[.,]?\p{Nd}[^ ]*", _NUMBER)
+    t = F.lower(F.regexp_replace(t, r"(?<![^ ])\p{Lu}\p{Ll}[^ ]*", _NAME))
+    t = F.split(F.regexp_replace(t, f"{_NAME}(?: {_NAME})+", _NAME), " ")
     return F.transform(t, lambda x: F.when(x.isin(*units), _UNIT).when(x.isin(*numbers), _NUMBER).otherwise(x))
 
 
@@ -82,8 +83,7 @@ _VALUES = f"if(w.track = {_WORDS}, array(), transform(filter(sequence(w.pos + 1,
 def _words(texts: DataFrame, units: tuple[str, ...], numbers: tuple[str, ...], *keys: str) -> DataFrame:
     """keys, template words with what stands in their place, folded words, and hashes of template and words, of the texts'
     _plain() text p."""
-    t = texts.select(*keys, _marked(F.col("p")).alias("m"), _folded(F.col("p")).alias("folded"))
-    t = t.select(*keys, "folded", _template(F.col("m"), units, numbers).alias("words"), _folded(F.col("m")).alias("values"))
+    t = texts.select(*keys, _folded(F.col("p")).alias("folded"), _template(F.col("p"), units, numbers).alias("words"), _folded(_marked(F.col("p"))).alias("values"))
     hashes = lambda c: F.transform(c, lambda x: F.xxhash64(x))
     return t.select("*", hashes("words").alias("th"), hashes("folded").alias("fh"))
 
