@@ -87,6 +87,29 @@ def op10_site_relative_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_fim_rank_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.fim import fill_in_middle, restored
+
+    cut = fill_in_middle(_table(spark, sf_dir, "documents"), percent=90, spm_percent=20, seed=1)
+    digests = (F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op12_resampling_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.resampling import resample
+
+    drawn = resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=25, least_words=20, seed=7)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_packing_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessera.llm.packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, most=4096)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_chunk_reuse": op1_bpe_chunk_reuse,
     "op2_quality_fourier_ridge": op2_quality_fourier_ridge,
@@ -98,6 +121,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files_elias_fano": op8_token_files_elias_fano,
     "op9_feistel_pseudonyms": op9_feistel_pseudonyms,
     "op10_site_relative_lines": op10_site_relative_lines,
+    "op11_fim_rank_index": op11_fim_rank_index,
+    "op12_resampling_bit_planes": op12_resampling_bit_planes,
+    "op13_packing_best_fit": op13_packing_best_fit,
 }
 
 #: DuckDB SQL for those that SQL can express.
@@ -131,5 +157,16 @@ b AS (SELECT c.host, c.line FROM c JOIN t USING (host) WHERE n >= 2 AND n > 0.05
 SELECT l.doc_id, count(*) AS n_lines, count(b.line) AS n_dropped,
        sha256(coalesce(string_agg(CASE WHEN b.line IS NULL THEN l.line END, chr(10) ORDER BY k), '')) AS kept_sha256
 FROM l LEFT JOIN b ON l.host = b.host AND l.line = b.line GROUP BY l.doc_id
+""",
+    "op11_fim_rank_index": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+n AS (SELECT doc_id, t, length(t) AS n, [('0x' || substr(h, 8 * k::INT + 1, 8))::BIGINT FOR k IN range(4)] AS h FROM d),
+c AS (SELECT doc_id, t, n, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS z,
+        CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM n),
+p AS (SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, z - a) AS middle, substr(t, z + 1) AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN z - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN t ELSE prefix || middle || suffix END) AS restored_sha256
+FROM p
 """,
 }
