@@ -168,5 +168,24 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
        sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
        sha256(CASE form WHEN 'plain' THEN t ELSE prefix || middle || suffix END) AS restored_sha256
 FROM p
+""",
+    "op12_resampling_bit_planes": """
+WITH
+tab AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END)) AS v FROM range(256) AS r(i))),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+f AS (SELECT doc_id, unnest(list_concat(w, [w[k] || ' ' || w[k + 1] FOR k IN range(1, len(w))])) AS x FROM d),
+g AS (SELECT unnest(list_concat(w, [w[k] || ' ' || w[k + 1] FOR k IN range(1, len(w))])) AS x FROM b),
+u AS (SELECT DISTINCT x, hex(encode(x)) AS y FROM (SELECT x FROM f UNION ALL SELECT x FROM g)),
+c AS (SELECT x, xor(list_reduce(list_concat([4294967295::BIGINT], [('0x' || substr(y, 2 * k::INT + 1, 2))::BIGINT FOR k IN range(len(y) // 2)]), lambda c, v: xor(c >> 8, t[xor(c, v) % 256 + 1])), 4294967295) % 10000 AS bucket FROM u, tab),
+s AS (SELECT bucket, count(*) AS s FROM f JOIN c USING (x) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM g JOIN c USING (x) GROUP BY bucket),
+n AS (SELECT coalesce((SELECT sum(s) FROM s), 0)::DOUBLE + 10000 AS a, coalesce((SELECT sum(t) FROM t), 0)::DOUBLE + 10000 AS b),
+e AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1) * a / ((coalesce(s, 0) + 1) * b)))::BIGINT AS gain FROM s FULL JOIN t USING (bucket), n),
+w AS (SELECT doc_id, count(*) AS n_features, floor(sum(gain) / count(*))::BIGINT AS weight FROM f JOIN c USING (x) JOIN e USING (bucket) GROUP BY doc_id),
+r AS (SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN w USING (doc_id)),
+o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS k FROM r WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN k <= 25 * (SELECT count(*) FROM o) // 100 THEN k END AS rank FROM r LEFT JOIN o USING (doc_id)
 """,
 }
