@@ -9,7 +9,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.translate import Translator, call_service, reversing
+from tessera.operators.service import STEP, Job, call_service, run_job
+from tessera.operators.translate import Translator, reversing
 
 
 @dataclasses.dataclass(frozen=True)
@@ -25,6 +26,8 @@ class Engine:
     attempts: int = 3
     timeout: float = 10.0
     most_errors: int = 10
+    keys: tuple[str, ...] = ()
+    exhausted: tuple[str, ...] = ()
 
 
 DEFAULT = Engine("swap", reversing, free=True)
@@ -35,11 +38,18 @@ def find_engine(name: str | None, builtin: Sequence[Engine] = (), custom: Mappin
     return next((e for e in builtin if e.name == name), (custom or {}).get(name or "", default))
 
 
-def call_engine(rows: DataFrame, engine: Engine, call: Callable[..., str]) -> DataFrame:
-    """call_service() as an engine may be asked: so many callers, so long between requests, so many tries and errors.
-    call takes a text and timeout, in seconds."""
+def call_engine(rows: DataFrame, engine: Engine, call: Callable[..., str], step: float = STEP) -> DataFrame:
+    """call_service() as an engine may be asked: so many callers, so long between requests, so many tries and errors, and
+    its keys one after another. call takes a text and timeout, in seconds, and key if the engine has any."""
     ask = functools.partial(call, timeout=engine.timeout)
-    return call_service(rows, ask, engine.attempts, engine.most_errors, engine.concurrency or None, engine.interval)
+    return call_service(rows, ask, engine.attempts, engine.most_errors, engine.concurrency or None, engine.interval, step=step, keys=engine.keys, exhausted=engine.exhausted)
+
+
+def start_engine(rows: DataFrame, engine: Engine, call: Callable[..., str], folder: str | None = None, callers: int = 1, step: float = STEP) -> Job:
+    """run_job() as an engine may be asked: `concurrency` callers in all, `callers` of them in each task."""
+    ask = functools.partial(call, timeout=engine.timeout)
+    tasks = -(-engine.concurrency // callers) if engine.concurrency else None
+    return run_job(rows, ask, folder, engine.attempts, engine.most_errors, tasks, engine.interval, min(callers, engine.concurrency or callers), step, engine.keys, engine.exhausted)
 
 
 def rotate_key(keys: Sequence[str], used: int, error: str, exhausted: Sequence[str]) -> int | None:

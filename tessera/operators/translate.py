@@ -1,11 +1,9 @@
-"""The translation stage: what needs a translation, a pluggable translator, retries and the circuit breaker."""
+"""The translation stage: what needs a translation, and a pluggable translator. Calls to services are operators.service."""
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +11,12 @@ from tessera.functions.placeholders import Glossary, glossary_replace, glossary_
 from tessera.functions.text import strip
 from tessera.operators.align import repair
 from tessera.operators.cache import untranslated
+from tessera.operators.service import Fatal, call_service, run_job, with_retries
+
+__all__ = [
+    "Fatal", "Translator", "backoff", "call_service", "error_runs", "progress", "reversing", "run_job", "running_misaligned", "to_translate", "to_translate_selected", "totals",
+    "translate", "with_retries",
+]
 
 #: A translator is an expression from a text to its translation.
 Translator = Callable[[Column], Column]
@@ -57,51 +61,6 @@ def to_translate_selected(segments: DataFrame, selected: Column) -> DataFrame:
     return segments.filter(selected).withColumn("fresh", F.lit(True))
 
 
-class Fatal(Exception):
-    """An answer after which no further try makes sense."""
-
-
-def with_retries(call: Callable[[str], str], text: str, attempts: int = 3, wait: Callable[[float], None] = lambda s: None) -> tuple[str | None, int, str | None]:
-    """(answer, calls, error): at most attempts calls after the first, with 5, 10, 15 ... seconds before each."""
-    calls = 0
-    while True:
-        calls += 1
-        try:
-            return call(text), calls, None
-        except Fatal as e:
-            return None, calls, str(e)
-        except Exception as e:  # noqa: BLE001  a service may fail in any way
-            if calls > attempts:
-                return None, calls, str(e)
-            wait(5.0 * calls)
-
-
-def call_service(rows: DataFrame, call: Callable[[str], str], attempts: int = 3, most_errors: int = 10, concurrency: int | None = None, interval: float = 0.0) -> DataFrame:
-    """translation, calls and error for rows (id, original) by a function that calls a service. `concurrency` is the
-    number of partitions, and so of callers at most. A partition stops calling after most_errors errors in a row (0:
-    never) and leaves the rest with the error 'stopped', to be asked for by a later run. Each caller waits `interval` seconds
-    between its requests."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        in_row, asked = 0, False
-        for b in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for x in b.column(1).to_pylist():
-                if most_errors and in_row >= most_errors:
-                    row = (None, 0, "stopped")
-                else:
-                    if asked and interval:
-                        time.sleep(interval)
-                    row, asked = with_retries(call, x or "", attempts, time.sleep if interval else lambda s: None), True
-                    in_row = 0 if row[2] is None else in_row + row[1]
-                for to, v in zip(out, row, strict=True):
-                    to.append(v)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.string())], ["id", "translation", "calls", "error"])
-
-    rows = rows.select(F.col("id").cast("string"), "original")
-    return (rows.repartition(concurrency) if concurrency else rows).mapInArrow(run, "id string, translation string, calls int, error string")
-
-
 def backoff(attempts: Column) -> Column:
     """The waits before each further call: 5, 10, 15 ... seconds."""
     return F.transform(F.when(attempts > 0, F.sequence(F.lit(1), attempts)).otherwise(F.array().cast("array<int>")), lambda i: 5 * i)

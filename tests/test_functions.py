@@ -170,7 +170,7 @@ def test_service_stops_after_errors(spark):
         return text[::-1]
 
     rows = spark.createDataFrame([(str(k), t) for k, t in enumerate(["ab", "bad", "bad", "cd", "ef"])], "id string, original string").coalesce(1)
-    got = {r.id: (r.translation, r.calls, r.error) for r in TR.call_service(rows, call, attempts=1, most_errors=4).collect()}
+    got = {r.id: (r.translation, r.calls, r.error) for r in TR.call_service(rows, call, attempts=1, most_errors=4, step=0).collect()}
     assert got == {"0": ("ba", 1, None), "1": (None, 2, "down"), "2": (None, 2, "down"), "3": (None, 0, "stopped"), "4": (None, 0, "stopped")}
 
 

@@ -153,10 +153,10 @@ def test_an_engine_is_asked_as_it_may_be(spark):
             raise TR.Fatal(f"no answer in {timeout}")
         return text.upper()
 
-    rows = spark.createDataFrame([("1", "a"), ("2", "bad"), ("3", "c")], "id string, original string")
+    rows = spark.createDataFrame([("1", "a"), ("2", "bad"), ("3", "c")], "id string, original string").coalesce(1)
     engine = J.Engine("e", TR.reversing, concurrency=1, interval=0.05, timeout=3.0)
     got = {r.id: (r.translation, r.error) for r in J.call_engine(rows, engine, call).collect()}
-    assert got == {"1": ("A", None), "2": (None, "no answer in 3.0"), "3": ("C", None)}
+    assert got == {"1": ("A", None), "2": (None, "no answer in 3.0"), "3": (None, "stopped")}
 
 
 def test_order_of_names(spark):
