@@ -3,7 +3,7 @@
 A document's counts are transformed to a short vector. For each language and source the minimum-covariance-determinant
 estimate of location and scatter is found by concentration steps: from several starts, each step keeps the share H of
 documents at the least Mahalanobis distance and estimates again from them; the start with the least determinant goes on
-until its determinant stays. Documents far from their group by that estimate are rejected, where far is read from the
+until a step no longer lowers it, and is then left alone while others go on. Documents far from their group by that estimate are rejected, where far is read from the
 group's own distances.
 
 All of it is DataFrame code. Counts are made inside a row from arrays of its words, the vectors are written to the
@@ -24,8 +24,9 @@ from tessera.runtime import materialise
 
 #: Share of a group that an estimate rests on, rows that it needs, and what keeps constant counts from being singular.
 H, LEAST_GROUP, RIDGE = 0.75, 50, 0.05
-#: Steps from every start, steps from the best one at most, bins of distance an octave, and values that percentiles keep.
-FIRST_STEPS, MOST_STEPS, OCTAVE, ACCURACY = 2, 20, 16, 10_000
+#: Steps from every start, what a step must lower the logarithm of the determinant by to be followed by another, bins of
+#: distance an octave, and values that percentiles keep.
+FIRST_STEPS, LOWER, OCTAVE, ACCURACY = 2, 1e-6, 16, 10_000
 #: Of documents like the others of their group, one in 1 / TAIL is rejected.
 TAIL = 1e-4
 #: Groups whose estimates are broadcast; beyond so many the join is shuffled.
@@ -147,21 +148,22 @@ def _starts(rows: DataFrame, centre: DataFrame) -> DataFrame:
 
 def _step(rows: DataFrame, now: DataFrame, h: float) -> DataFrame:
     """One concentration step of every estimate (g, start, m_i, precision): sums by bin of distance, of which the nearest
-    that hold the share h are taken."""
+    that hold the share h are taken. before: the logarithm of the determinant that the step began with."""
     d = len(VECTOR)
     ab = [(i, j) for i in range(d) for j in range(i + 1)]
     bin_ = F.floor(F.log2(F.greatest("d2", F.lit(1e-9))) * OCTAVE).cast("int")
-    far = distance(rows.join(F.broadcast(now) if now.count() <= BROADCAST_ROWS else now, "g"), columns=[f"y_{i}" for i in range(d)]).withColumn("bin", bin_)
-    far = far.groupBy("g", "start", "bin").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"y_{i}").alias(f"a_{i}") for i in range(d)], *[F.sum(F.col(f"y_{i}") * F.col(f"y_{j}")).alias(f"b_{i}_{j}") for i, j in ab])
+    now = now.select("g", "start", *[f"m_{i}" for i in range(d)], "precision")
+    far = distance(rows.join(now, "g"), columns=[f"y_{i}" for i in range(d)]).withColumn("bin", bin_)
+    far = far.groupBy("g", "start", "bin").agg(F.first(F.element_at("precision", d * d + 1)).alias("before"), F.count(F.lit(1)).alias("n"), *[F.sum(f"y_{i}").alias(f"a_{i}") for i in range(d)], *[F.sum(F.col(f"y_{i}") * F.col(f"y_{j}")).alias(f"b_{i}_{j}") for i, j in ab])
     one = Window.partitionBy("g", "start")
     nearer = F.coalesce(F.sum("n").over(one.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     near = far.select("*", F.sum("n").over(one).alias("all"), nearer.alias("nearer"))
     near = near.filter(F.col("nearer") < h * F.col("all"))
-    sums = near.groupBy("g", "start").agg(F.sum("n").alias("n"), F.first("all").alias("all"), *[F.sum(f"a_{i}").alias(f"a_{i}") for i in range(d)], *[F.sum(f"b_{i}_{j}").alias(f"b_{i}_{j}") for i, j in ab])
+    sums = near.groupBy("g", "start").agg(F.sum("n").alias("n"), F.first("all").alias("all"), F.first("before").alias("before"), *[F.sum(f"a_{i}").alias(f"a_{i}") for i in range(d)], *[F.sum(f"b_{i}_{j}").alias(f"b_{i}_{j}") for i, j in ab])
     factor = F.element_at(_factors(), F.greatest(F.round((F.col("n") / F.col("all") - 0.5) * 256), F.lit(0.0)).cast("int") + 1)
     sums = sums.withColumn("f", factor)
     entry = lambda i, j: f"((b_{i}_{j} - a_{i} * a_{j} / n) / n * f + {RIDGE**2 if i == j else 0.0}D)"
-    return materialise(sums.select("g", "start", *[(F.col(f"a_{i}") / F.col("n")).alias(f"m_{i}") for i in range(d)], _precision(entry).alias("precision")), "mcd-step")
+    return sums.select("g", "start", *[(F.col(f"a_{i}") / F.col("n")).alias(f"m_{i}") for i in range(d)], _precision(entry).alias("precision"), "before")
 
 
 def mcd(rows: DataFrame, h: float = H) -> DataFrame:
@@ -170,8 +172,11 @@ def mcd(rows: DataFrame, h: float = H) -> DataFrame:
 
     The share h is at least that: all rows of the bin in which it is reached count, and scatter is scaled by the share
     that was taken. The cutoff lies so far above the median distance that a share of TAIL is beyond it, if logarithms of
-    distances spread there as they do from the median to the upper quartile, and not below that of normal data. Each
-    step's estimates are written, being a row a group.
+    distances spread there as they do from the median to the upper quartile, and not below that of normal data.
+
+    A group's steps end with the first that doesn't lower its determinant, whose result is left out: as whole bins count, a
+    step may raise it. Determinants are bounded from below by RIDGE and each step but the last lowers one by LOWER at least,
+    so steps end, and only groups that still go on are read for them. A step's estimates are written, a row a group.
     """
     d = len(VECTOR)
     log_det = F.element_at("precision", d * d + 1)
@@ -183,14 +188,14 @@ def mcd(rows: DataFrame, h: float = H) -> DataFrame:
     centre = materialise(rows.groupBy("g").agg(*spread), "mcd-spread")
     now = materialise(_starts(rows, few(centre)), "mcd-starts")
     for _ in range(FIRST_STEPS):
-        now = _step(rows, now, h)
-    best = F.min_by(F.struct("start", *[f"m_{i}" for i in range(d)], "precision"), F.struct(log_det, F.col("start"))).alias("e")
-    now = materialise(now.groupBy("g").agg(best).select("g", "e.*"), "mcd-best")
-    for _ in range(MOST_STEPS):
-        last, now = now, _step(rows, now, h)
-        moved = last.select("g", log_det.alias("before")).join(now.select("g", log_det.alias("after")), "g")
-        if moved.filter(F.abs(F.col("before") - F.col("after")) > 1e-9).isEmpty():
-            break
+        now = _step(rows, few(now), h)
+    estimate = ["start", *[f"m_{i}" for i in range(d)], "precision"]
+    best = lambda df: df.groupBy("g").agg(F.min_by(F.struct(*estimate), F.struct(log_det, F.col("start"))).alias("e")).select("g", "e.*")
+    now = going = materialise(best(now), "mcd-best")
+    while not going.isEmpty():
+        going = materialise(_step(rows, few(going), h).filter(log_det < F.col("before") - LOWER).drop("before"), "mcd-step")
+        now = now.unionByName(going)
+    now = materialise(best(now), "mcd-estimates")
     far = F.log(F.greatest("d2", F.lit(1e-9)))
     spread = distance(rows.join(few(now), "g"), columns=[f"y_{i}" for i in range(d)]).groupBy("g").agg(_near(far, 0.5).alias("q50"), _near(far, 0.75).alias("q75"))
     beyond = F.exp(F.col("q50") + _normal_quantile(1 - TAIL) / _normal_quantile(0.75) * (F.col("q75") - F.col("q50")))
