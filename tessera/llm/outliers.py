@@ -13,6 +13,7 @@ shuffle, so a group with a third of all rows is no single task's work.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Sequence
 from statistics import NormalDist
@@ -105,19 +106,20 @@ def _precision(entry: Callable[[int, int], str]) -> Column:
 def distance(rows: DataFrame, name: str = "d2", columns: Sequence[str] = VECTOR) -> DataFrame:
     """rows with the squared Mahalanobis distance of columns from m_i under the inverse covariances."""
     d = len(VECTOR)
-    away = [F.col(v) - F.col(f"m_{i}") for i, v in enumerate(columns)]
-    terms = [F.col("precision")[i * d + j] * away[i] * away[j] for i in range(d) for j in range(d)]
-    return rows.withColumn(name, sum(terms[1:], terms[0]))
+    away = [f"(`{v}` - m_{i})" for i, v in enumerate(columns)]
+    terms = [f"precision[{i * d + j}] * {away[i]} * {away[j]}" for i in range(d) for j in range(d)]
+    return rows.withColumn(name, F.expr(" + ".join(terms)))
 
 
 def _near(c: Column, p: float) -> Column:
     return F.percentile_approx(c, F.lit(p), F.lit(ACCURACY))
 
 
-def _factors() -> Column:
+@functools.cache
+def _factors() -> str:
     """What scatter is scaled by so that it is consistent for normal data, for shares of 0.5 to 1 in steps of 1/256."""
     d = len(VECTOR)
-    return F.array(*[F.lit(k / 256 / _chi2_share(_chi2_quantile(k / 256, d), d + 2) if k < 256 else 1.0) for k in range(128, 257)])
+    return f"array({', '.join(f'{k / 256 / _chi2_share(_chi2_quantile(k / 256, d), d + 2) if k < 256 else 1.0!r}D' for k in range(128, 257))})"
 
 
 def _starts(rows: DataFrame, centre: DataFrame) -> DataFrame:
@@ -154,13 +156,13 @@ def _step(rows: DataFrame, now: DataFrame, h: float) -> DataFrame:
     bin_ = F.floor(F.log2(F.greatest("d2", F.lit(1e-9))) * OCTAVE).cast("int")
     now = now.select("g", "start", *[f"m_{i}" for i in range(d)], "precision")
     far = distance(rows.join(now, "g"), columns=[f"y_{i}" for i in range(d)]).withColumn("bin", bin_)
-    far = far.groupBy("g", "start", "bin").agg(F.first(F.element_at("precision", d * d + 1)).alias("before"), F.count(F.lit(1)).alias("n"), *[F.sum(f"y_{i}").alias(f"a_{i}") for i in range(d)], *[F.sum(F.col(f"y_{i}") * F.col(f"y_{j}")).alias(f"b_{i}_{j}") for i, j in ab])
+    far = far.groupBy("g", "start", "bin").agg(F.first(F.element_at("precision", d * d + 1)).alias("before"), F.count(F.lit(1)).alias("n"), *[F.expr(f"sum(y_{i}) AS a_{i}") for i in range(d)], *[F.expr(f"sum(y_{i} * y_{j}) AS b_{i}_{j}") for i, j in ab])
     one = Window.partitionBy("g", "start")
     nearer = F.coalesce(F.sum("n").over(one.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     near = far.select("*", F.sum("n").over(one).alias("all"), nearer.alias("nearer"))
     near = near.filter(F.col("nearer") < h * F.col("all"))
     sums = near.groupBy("g", "start").agg(F.sum("n").alias("n"), F.first("all").alias("all"), F.first("before").alias("before"), *[F.sum(f"a_{i}").alias(f"a_{i}") for i in range(d)], *[F.sum(f"b_{i}_{j}").alias(f"b_{i}_{j}") for i, j in ab])
-    factor = F.element_at(_factors(), F.greatest(F.round((F.col("n") / F.col("all") - 0.5) * 256), F.lit(0.0)).cast("int") + 1)
+    factor = F.element_at(F.expr(_factors()), F.greatest(F.round((F.col("n") / F.col("all") - 0.5) * 256), F.lit(0.0)).cast("int") + 1)
     sums = sums.withColumn("f", factor)
     entry = lambda i, j: f"((b_{i}_{j} - a_{i} * a_{j} / n) / n * f + {RIDGE**2 if i == j else 0.0}D)"
     return sums.select("g", "start", *[(F.col(f"a_{i}") / F.col("n")).alias(f"m_{i}") for i in range(d)], _precision(entry).alias("precision"), "before")
