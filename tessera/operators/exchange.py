@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import html
 from collections.abc import Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,22 +36,26 @@ def answer(response: Column, kind: str) -> Column:
         return F.coalesce(*[F.get_json_object(response, p) for p in ANSWER_PATHS[kind]])
     path, field = JOINED[kind]
     parts = F.from_json(F.get_json_object(response, path), f"array<struct<{field}:string>>")
-    return F.array_join(F.transform(parts, lambda x: unescape(x[field]) if kind in ESCAPED else x[field]), "")
+    texts = F.transform(parts, lambda x: x[field])
+    return F.array_join(unescape_all(texts) if kind in ESCAPED else texts, "")
 
 
 def unescape(c: Column) -> Column:
-    """Named entities of XML, and numbered ones, as services escape them; each once, from the left."""
-    named = "map('quot', '\"', 'apos', '\\'', 'lt', '<', 'gt', '>', 'amp', '&', 'nbsp', '\u00a0')"
-    pieces = F.split(c, "(?=&)")
-
-    def one(piece: Column) -> Column:
-        name = F.regexp_extract(piece, r"^&(#[xX]?[0-9a-fA-F]{1,6}|[a-z]{2,6});", 1)
-        number = F.when(name.rlike("^#[0-9]+$"), F.substring(name, 2, 8).cast("int")).when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 8), 16, 10).cast("int"))
-        utf = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
-        new = F.coalesce(F.element_at(F.expr(named), name), F.when(number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF), utf))
-        return F.when(new.isNull(), piece).otherwise(F.concat(new, F.substr(piece, F.length(name) + 3)))
-
-    return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(pieces, one), "")).otherwise(c)
+    """A text with the named and numbered entities of HTML replaced, each once from the left; null stays null."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: html.unescape(x) if x and "&" in x else x)
+
+    return F.pandas_udf(run, "string")(c)
+
+
+def unescape_all(c: Column) -> Column:
+    """An array of texts, each unescaped."""
+
+    def run(arrays: pd.Series) -> pd.Series:
+        return arrays.map(lambda a: a if a is None else [html.unescape(x) if x else x for x in a])
+
+    return F.pandas_udf(run, "array<string>")(c)
 
 
 #: Kinds of JOINED whose texts are escaped.

@@ -54,10 +54,14 @@ def chunk_of(index: Column, n: Column, k: Column) -> Column:
     return F.floor(((index + 1) * k - 1) / n).cast("int")
 
 
+def catalog_order(column: str, descending: bool, position: str) -> list[Column]:
+    """By column, ties as they stand; descending reverses all of it, ties too. Nulls come first, or last."""
+    return [F.col(column).desc_nulls_last(), F.col(position).desc()] if descending else [F.col(column).asc_nulls_first(), F.col(position).asc()]
+
+
 def sort_catalog(rows: DataFrame, column: str, descending: bool, position: str) -> DataFrame:
-    """In order of column, ties as they stand; descending reverses all of it, ties too. Nulls come first, or last."""
-    order = [F.col(column).desc_nulls_last(), F.col(position).desc()] if descending else [F.col(column).asc_nulls_first(), F.col(position).asc()]
-    return rows.orderBy(*order)
+    """rows in catalog_order()."""
+    return rows.orderBy(*catalog_order(column, descending, position))
 
 
 def row_index(rows: DataFrame, order: Sequence[Column], name: str = "row") -> DataFrame:
@@ -67,15 +71,14 @@ def row_index(rows: DataFrame, order: Sequence[Column], name: str = "row") -> Da
     and its place in its own. Rows that are equal by `order` stand in one range, in no certain order: end it with a column
     that tells them apart. No rows give no rows.
     """
-    at = name
-    while at.lower() in {c.lower() for c in rows.columns} | {name.lower()}:
-        at = f"_{at}"
+    taken = {c.lower() for c in rows.columns} | {name.lower()}
+    at, of, n, base = (next(f"{'_' * k}{x}" for k in range(len(taken) + 1) if f"{'_' * k}{x}" not in taken) for x in ("at", "part", "n", "base"))
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
     written = materialise(ranged, "row-index")
     part, place = F.shiftrightunsigned(F.col(at), 33), F.col(at).bitwiseAND((1 << 33) - 1)  # as that function puts them together
-    sizes = written.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_base"))  # a row a range
-    return written.join(F.broadcast(before), part == F.col("_part")).select(*[F.col(f"`{c}`") for c in rows.columns], (F.col("_base") + place).alias(name))
+    sizes = written.groupBy(part.alias(of)).agg(F.count(F.lit(1)).alias(n))
+    before = sizes.select(of, (F.sum(n).over(Window.orderBy(of)) - F.col(n)).alias(base))  # a row a range
+    return written.join(F.broadcast(before), part == F.col(of)).select(*[F.col(f"`{c}`") for c in rows.columns], (F.col(base) + place).alias(name))
 
 
 def sort_engines(engines: DataFrame) -> DataFrame:
@@ -90,6 +93,20 @@ def sort_languages(languages: DataFrame, wanted: str | None = None, recommended:
     return languages.orderBy(F.coalesce(F.col("name") != F.lit(wanted), F.lit(True)), place == 0, place, F.collate("name", "UNICODE_AI"), "name")
 
 
+def source_languages(languages: DataFrame, wanted: str | None) -> DataFrame:
+    """Languages (name, code) to translate from: those whose code begins with that of a book's language, in any case, come
+    first and in falling order, then the others by name without regard to marks on letters."""
+    match = F.coalesce(F.startswith(F.lower("code"), F.lit((wanted or "").lower())), F.lit(False)) & F.lit(bool(wanted))
+    folded = F.collate("name", "UNICODE_AI")
+    return languages.orderBy(match.desc(), F.when(match, folded).desc(), F.when(match, F.col("name")).desc(), folded, "name")
+
+
+def target_languages(languages: DataFrame, own: str) -> DataFrame:
+    """Languages (name, code) to translate into: those of the reader's own language first, both parts by name."""
+    match = F.coalesce(F.startswith(F.lower(F.replace("code", F.lit("-"), F.lit("_"))), F.lit(own.lower().replace("-", "_").split("_")[0])), F.lit(False))
+    return languages.orderBy(match.desc(), F.collate("name", "UNICODE_AI"), "name")
+
+
 def counts(rows: DataFrame, selected: Column) -> DataFrame:
     """Items and characters, of all and of the selected."""
     size = F.length("original")

@@ -35,10 +35,10 @@ def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def rule_pattern(rule: str, mode: str) -> str:
-    """normal: the words in any case; case: the words; regex: the pattern."""
+    """normal: the words in any case, of any alphabet; case: the words; regex: the pattern."""
     if mode not in ("normal", "case", "regex"):
         raise ValueError(f"no mode of rules: {mode}")
-    return rule if mode == "regex" else ("(?i)" if mode == "normal" else "") + literal_pattern(rule)
+    return rule if mode == "regex" else ("(?iu)" if mode == "normal" else "") + literal_pattern(rule)
 
 
 def rule_errors(rules: Sequence[str], mode: str) -> list[str]:

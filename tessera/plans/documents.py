@@ -72,6 +72,11 @@ def filter_normal(spark, read):
     return _rule(read, ["License", "the THE"], "normal")
 
 
+@query(_filtered("contains(lower(text), 'ción') OR contains(lower(text), 'é') OR contains(lower(text), 'ñüß')"))
+def filter_normal_accents(spark, read):
+    return _rule(read, ["CIÓN", "É", "Ñüß"], "normal")
+
+
 @query(_filtered("contains(text, 'MIT License')"))
 def filter_case(spark, read):
     return _rule(read, ["MIT License"], "case")

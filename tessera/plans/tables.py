@@ -344,10 +344,27 @@ def chunk_bounds(spark, read):
 
 @query("SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY lang DESC, doc_id DESC) AS place FROM documents")
 def catalog_sort_descending(spark, read):
-    order = Window.partitionBy("source").orderBy(F.col("lang").desc_nulls_last(), F.col("doc_id").desc())
+    order = Window.partitionBy("source").orderBy(*G.catalog_order("lang", True, "doc_id"))
     return read("documents").select("source", "doc_id", F.row_number().over(order).cast("long").alias("place"))
 
 
+@query("SELECT doc_id, row_number() OVER (ORDER BY source DESC, doc_id DESC) - 1 AS row FROM documents")
+def catalog_row_index(spark, read):
+    return G.row_index(read("documents").select("doc_id", "source"), G.catalog_order("source", True, "doc_id")).select("doc_id", "row")
+
+
+#: Letters of four languages as the entities that services may send them as.
+_LETTERS = {"é": "&eacute;", "ü": "&uuml;", "ñ": "&ntilde;", "ß": "&szlig;", "ç": "&#231;", "è": "&#xE8;", "ö": "&ouml;", "ä": "&auml;", "ó": "&oacute;"}
+
+
+@query("SELECT doc_id, md5(replace(text, '&', '')) AS h FROM documents")
+def unescape_entities(spark, read):
+    escaped = F.replace("text", F.lit("&"), F.lit(""))
+    for letter, entity in _LETTERS.items():
+        escaped = F.replace(escaped, F.lit(letter), F.lit(entity))
+    return read("documents").select("doc_id", F.md5(X.unescape(escaped)).alias("h"))
+
+
 @query(f"WITH {_GRID} SELECT count(*) AS items, sum(length(original))::BIGINT AS characters, count(*) FILTER (WHERE page = 'page1') AS selected_items, sum(length(original)) FILTER (WHERE page = 'page1')::BIGINT AS selected_characters FROM grid")
 def grid_counts(spark, read):
     return G.counts(_grid(read), F.col("page") == "page1")

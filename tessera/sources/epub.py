@@ -10,6 +10,7 @@ import io
 import posixpath
 import urllib.parse
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -60,7 +61,10 @@ def _open(book: str, content: bytes) -> Iterator[tuple]:
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
         container = ElementTree.fromstring(z.read("META-INF/container.xml"))
-        opf = next(_all(container, "rootfile")).attrib["full-path"]
+        root = next(_all(container, "rootfile"), None)
+        if root is None:
+            raise KeyError("rootfile")
+        opf = root.attrib["full-path"]
         package = ElementTree.fromstring(z.read(opf))
         place = lambda href: posixpath.normpath(posixpath.join(posixpath.dirname(opf), urllib.parse.unquote(href)))
         for m in _all(package, "metadata"):
@@ -88,7 +92,7 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for book, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             try:
                 rows = list(_open(book, content.as_buffer().to_pybytes()))
-            except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, StopIteration) as e:
+            except (zipfile.BadZipFile, zlib.error, ElementTree.ParseError, KeyError, ValueError, RuntimeError, EOFError, OSError) as e:  # no book, damaged, or locked
                 rows = [(book, "error", None, None, None, None, None, f"{type(e).__name__}: {e}")]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _PARTS.types, strict=True)], schema=_PARTS)
@@ -97,7 +101,8 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_books(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """book (path), part, name, seq, parent, kind, text, error: a row for each page (name: its path in the file, seq: its
     place in the reading order, null outside it), each piece of metadata (name, seq) and each entry of the contents (name:
-    node, parent, seq). A file that is no book is one row with part 'error'. Written once, as every part is read apart."""
+    node, parent, seq). A file that is no book, or a damaged one, is one
+    row with part 'error'; an empty file gives none. Written once, as every part is read apart."""
     ship(spark)
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
     return materialise(files.mapInArrow(_run, _SQL), "books")

@@ -44,3 +44,19 @@ def test_books(spark, tmp_path):
         (0, "metadata", "A Book", False), (1, "metadata", "Ann", False), (2, "metadata", "Bob", False), (3, "contents", "One", False), (4, "contents", "One A", False), (5, "contents", "Two", False),
         (6, "page", "First", False), (7, "page", "1.2", True), (8, "page", "Second", False),
     ]
+
+
+def test_damaged_books_are_error_rows(spark, tmp_path):
+    book(tmp_path / "a.epub", "", "x", "")
+    whole = (tmp_path / "a.epub").read_bytes()
+    with zipfile.ZipFile(tmp_path / "b.epub", "w") as z:
+        z.writestr("META-INF/container.xml", "<container><rootfiles/></container>")
+    with zipfile.ZipFile(tmp_path / "c.epub", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("META-INF/container.xml", CONTAINER * 9)
+    deflated = bytearray((tmp_path / "c.epub").read_bytes())
+    deflated[60:90] = b"\xff" * 30
+    (tmp_path / "c.epub").write_bytes(deflated)
+    (tmp_path / "d.epub").write_bytes(whole[: len(whole) // 2])
+    books = E.read_books(spark, str(tmp_path)).withColumn("book", F.regexp_extract("book", r"(\w)\.epub$", 1))
+    assert sorted((r.book, r.part) for r in books.filter("part = 'error'").collect()) == [(b, "error") for b in "bcd"]
+    assert {r.book for r in E.pages(books).collect()} == {"a"}

@@ -110,10 +110,19 @@ def test_a_long_document_is_merged_in_time(spark):
     assert S.merge_documents(df).agg(F.sum("n")).first()[0] == 100_000
 
 
-@pytest.mark.parametrize("text", ["a &amp; b", "&amp;lt;", "&#39;x&#x27; &#128512;&#x1F600;", "no & entity; &unknown; &#xZZ; &", "&lt;b&gt;", "", "&quot;&apos;", "&#55296; &#1114112;"])
+@pytest.mark.parametrize("text", ["a &amp; b", "&amp;lt;", "&#39;x&#x27; &#128512;&#x1F600;", "no & entity; &unknown; &#xZZ; &", "&lt;b&gt;", "", "&quot;&apos;", "&#55296; &#1114112;", "&eacute;&rsquo;&hellip;&Auml;&NotEqualTilde;", "&copy 2020 &notit; &#150;", None])
 def test_unescape(spark, text):
-    want = text if "5529" in text else html.unescape(text)
-    assert spark.range(1).select(X.unescape(F.lit(text))).first()[0] == want
+    want = text if text is None else html.unescape(text)
+    rows = spark.createDataFrame([(text,)], "t string")
+    assert rows.select(X.unescape(F.col("t"))).first()[0] == want
+    assert rows.select(X.unescape_all(F.array("t", F.lit("&lt;"), "t"))).first()[0] == [want, "<", want]
+
+
+def test_rules_of_any_alphabet(spark):
+    rows = spark.createDataFrame([("une école",), ("UNE ÉCOLE",), ("ΣΊΣΥΦΟΣ",), ("straße",)], "t string")
+    hit = lambda rule, mode: [r[0] for r in rows.select(S.ignored(F.col("t"), rules=[rule], mode=mode)).collect()]
+    assert hit("École", "normal") == [True, True, False, False] and hit("école", "case") == [True, False, False, False]
+    assert hit("σίσυφος", "normal") == [False, False, True, False] and hit("STRASSE", "normal") == [False] * 4
 
 
 def test_documents_stay_apart(spark, tmp_path):
@@ -166,6 +175,24 @@ def test_order_of_names(spark):
     assert [r.name for r in G.sort_engines(engines).collect()] == ["free", "paid", "c9", "c10"]
 
 
+def test_row_index_is_the_order_of_all_rows(spark):
+    rows = spark.range(0, 5000, 1, 7).select("id", F.when(F.col("id") % 9 > 0, F.col("id") % 13).alias("v"), F.lit(0).alias("_part"))
+    for down in (False, True):
+        got = {r.id: r.place for r in G.row_index(rows, G.catalog_order("v", down, "id"), "place").collect()}
+        order = sorted(got, key=lambda i: (i % 9 > 0, i % 13 if i % 9 else 0, i), reverse=down)
+        assert [got[i] for i in order] == list(range(5000))
+    assert [r.id for r in G.sort_catalog(rows, "v", True, "id").limit(2).collect()] == [4991, 4978]
+    assert G.row_index(rows.limit(0), [F.col("id")]).count() == 0
+
+
+def test_languages_by_code(spark):
+    rows = spark.createDataFrame([("Deutsch", "DE"), ("Ärabic", "ar"), ("English", "EN-us"), ("English (UK)", "en_GB"), ("Zulu", "zu"), ("None", None)], "name string, code string")
+    names = lambda df: [r.name for r in df.collect()]
+    assert names(G.source_languages(rows, "en")) == ["English (UK)", "English", "Ärabic", "Deutsch", "None", "Zulu"]
+    assert names(G.target_languages(rows, "en_us")) == ["English", "English (UK)", "Ärabic", "Deutsch", "None", "Zulu"]
+    assert names(G.source_languages(rows, None)) == ["Ärabic", "Deutsch", "English", "English (UK)", "None", "Zulu"]
+
+
 def test_rules_that_do_not_compile(spark):
     assert S.rule_errors(["a+", "[", "(?<n>x)", "*"], "regex") == ["[", "*"]
     assert S.rule_errors(["[", "*"], "normal") == [] and S.rule_errors(["p > a", "p:hover"], "selector") == ["p:hover"]
