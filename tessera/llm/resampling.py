@@ -21,8 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.grid import row_index
-from tessera.runtime import materialise, ship
+from tessera.runtime import materialise, row_index, ship
 
 BUCKETS = 10_000
 
