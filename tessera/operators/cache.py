@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.runtime import materialise
+from tessera.runtime import materialise, row_index, ship
 
 #: A cache of more bytes than this counts as complete.
 COMPLETE_BYTES = 50_000
@@ -34,33 +35,86 @@ def _fresh_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Conflicting rows that one task looks through in order; of more, each component of the conflicts is a task's work.
+WALK_ROWS = 1_000_000
+#: Rounds that accept what is first of all its conflicts, before the rest is walked.
+ROUNDS = 3
+
+
 def insert_ignore(existing: DataFrame, incoming: DataFrame, order: Sequence[str], ids: str = "oid", hashes: str = "md5") -> DataFrame:
     """existing and those rows of incoming that conflict with no row accepted before them on either unique column.
 
     Incoming rows are tried in `order`, with all columns to tell ties apart: a row is left out if its id or its hash exists
     or is that of an accepted row before it. A row that was left out blocks no other. Nulls conflict with nothing.
 
-    Rounds: the first row of both its id and its hash among those undecided is accepted, and rows that share either with
-    an accepted one are left out. Each round decides at least the first row of every chain of conflicts, and is written.
+    Rows are ranked once; from then on keys and ranks alone move. Of rows equal in both keys the first counts. A few rounds
+    accept the first row of both its keys and leave out what conflicts with it, which settles all but chains of
+    conflicts. Those are walked in order, all in one task up to WALK_ROWS of them, else each component of the graph of
+    ids and hashes in one. So the number of jobs doesn't grow with the length of a chain.
     """
-    n, a, b, first = _fresh_names(incoming, "_order", "_a", "_b", "_first")
+    n, a, b = _fresh_names(incoming, "_order", "_a", "_b")
     every = F.struct(*order, *[c for c in incoming.columns if c not in order])
-    rows = incoming.withColumn(n, every).withColumn(a, F.col(ids)).withColumn(b, F.col(hashes))
+    of = lambda df, c: df.filter(F.col(c).isNotNull()).select(F.concat(F.lit("="), F.col(c).cast("string")).alias("x")).distinct()
+    ranked = row_index(incoming, [every.asc()], n)
     # a null conflicts with nothing: a key of its own
-    own = F.concat(F.lit("-"), F.xxhash64(n).cast("string"), F.monotonically_increasing_id().cast("string"))
-    rows = rows.withColumn(a, F.when(F.col(ids).isNull(), own).otherwise(F.concat(F.lit("="), F.col(ids).cast("string"))))
-    rows = rows.withColumn(b, F.when(F.col(hashes).isNull(), own).otherwise(F.concat(F.lit("="), F.col(hashes).cast("string"))))
-    of = lambda c: existing.filter(F.col(c).isNotNull()).select(F.concat(F.lit("="), F.col(c).cast("string")).alias("x")).distinct()
-    rows = rows.join(of(ids), F.col(a) == F.col("x"), "left_anti").join(of(hashes), F.col(b) == F.col("x"), "left_anti")
-    left, accepted = materialise(rows, "insert-undecided"), None
-    while not left.isEmpty():
-        place = lambda c: F.row_number().over(Window.partitionBy(c).orderBy(n))  # noqa: B023, E731
-        marked = left.withColumn(first, place(a) == 1).withColumn(first, F.col(first) & (place(b) == 1))
-        new = materialise(marked.filter(first).drop(first), "insert-accepted")
-        accepted = new if accepted is None else accepted.unionByName(new)
+    key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.concat(F.lit("-"), F.col(n).cast("string")))
+    keys = ranked.select(key(ids).alias(a), key(hashes).alias(b), F.col(n).alias("k")).select(F.col(a).alias("a"), F.col(b).alias("b"), "k")
+    keys = keys.join(of(existing, ids), F.col("a") == F.col("x"), "left_anti").join(of(existing, hashes), F.col("b") == F.col("x"), "left_anti")
+    left = materialise(keys.groupBy("a", "b").agg(F.min("k").alias("k")), "insert-undecided")
+    accepted = []
+    for _ in range(ROUNDS):
+        # least ranks are combined in each task before they move, so a key of many rows is no task's work
+        least = lambda c: left.groupBy(c).agg(F.min("k").alias("k"))  # noqa: B023, E731
+        new = materialise(left.join(least("a").select("k"), "k", "left_semi").join(least("b").select("k"), "k", "left_semi"), "insert-accepted")
+        accepted.append(new)
         taken = lambda c: new.select(F.col(c).alias("x"))  # noqa: B023, E731
-        left = materialise(left.join(taken(a), F.col(a) == F.col("x"), "left_anti").join(taken(b), F.col(b) == F.col("x"), "left_anti"), "insert-undecided")
-    return existing if accepted is None else existing.unionByName(accepted.select(*existing.columns))
+        left = materialise(left.join(taken("a"), F.col("a") == F.col("x"), "left_anti").join(taken("b"), F.col("b") == F.col("x"), "left_anti"), "insert-undecided")
+        rest = left.count()
+        if not rest:
+            break
+    if rest:
+        ship(existing.sparkSession)
+        rows = left.withColumn("c", F.lit(0).cast("long")) if rest <= WALK_ROWS else components(left)
+        accepted.append(rows.groupBy("c").applyInArrow(_walk, "a string, b string, k long"))
+    found = accepted[0]
+    for more in accepted[1:]:
+        found = found.unionByName(more)
+    chosen = ranked.join(found.select(F.col("k").alias(n)), n, "left_semi")
+    return existing.unionByName(chosen.select(*existing.columns))
+
+
+def _walk(rows: pa.Table) -> pa.Table:
+    """Rows in order of k that share neither key with an accepted one before them."""
+    rows = rows.sort_by("k")
+    ids, hashes, keep = set(), set(), []
+    for a, b in zip(rows["a"].to_pylist(), rows["b"].to_pylist(), strict=True):
+        keep.append(a not in ids and b not in hashes)
+        if keep[-1]:
+            ids.add(a)
+            hashes.add(b)
+    return rows.filter(pa.array(keep, pa.bool_())).select(["a", "b", "k"])
+
+
+def components(rows: DataFrame) -> DataFrame:
+    """rows (a, b, ...) with c, which is equal for rows that share an a or a b, directly or by others between.
+
+    Keys are nodes and rows are edges between them. Each round joins every node to the least neighbour of its neighbourhood,
+    first the larger ones and then the smaller, until nothing changes; rounds are as many as the logarithm of a chain.
+    Nodes are 64-bit hashes: two that collide make one component of two, and a walk of both gives the same result.
+    """
+    name = lambda c: F.xxhash64(F.lit(c), F.col(c))
+    edges = materialise(rows.select(F.greatest(name("a"), name("b")).alias("u"), F.least(name("a"), name("b")).alias("v")).filter("u <> v").distinct(), "component-edges")
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = materialise(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "component-edges")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        joined = large.join(least, "u")
+        small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        small = materialise(small, "component-edges")
+        if small.join(edges, ["u", "v"], "left_anti").isEmpty() and edges.join(small, ["u", "v"], "left_anti").isEmpty():
+            return rows.withColumn("_u", name("a")).join(small.select(F.col("u").alias("_u"), "v"), "_u", "left").withColumn("c", F.coalesce("v", "_u")).drop("_u", "v")
+        edges = small
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: str, order: Sequence[str]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Review queries over the table of paragraphs."""
+"""Review queries over the table of paragraphs. Places of rows in an order are runtime.row_index()."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import natural_key
 from tessera.operators.cache import untranslated
-from tessera.runtime import materialise
+from tessera.runtime import row_index
 
 
 def status(translation: Column, error: Column, aligned: Column, merged: bool = True) -> Column:
@@ -64,23 +64,6 @@ def sort_catalog(rows: DataFrame, column: str, descending: bool, position: str)
     return rows.orderBy(*catalog_order(column, descending, position))
 
 
-def row_index(rows: DataFrame, order: Sequence[Column], name: str = "row") -> DataFrame:
-    """rows with `name`: the place of each in `order`, from 0, without a task that holds them all.
-
-    Rows are dealt out by ranges of the order and written sorted; a row's place is the number of rows in the ranges before
-    and its place in its own. Rows that are equal by `order` stand in one range, in no certain order: end it with a column
-    that tells them apart. No rows give no rows.
-    """
-    taken = {c.lower() for c in rows.columns} | {name.lower()}
-    at, of, n, base = (next(f"{'_' * k}{x}" for k in range(len(taken) + 1) if f"{'_' * k}{x}" not in taken) for x in ("at", "part", "n", "base"))
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
-    written = materialise(ranged, "row-index")
-    part, place = F.shiftrightunsigned(F.col(at), 33), F.col(at).bitwiseAND((1 << 33) - 1)  # as that function puts them together
-    sizes = written.groupBy(part.alias(of)).agg(F.count(F.lit(1)).alias(n))
-    before = sizes.select(of, (F.sum(n).over(Window.orderBy(of)) - F.col(n)).alias(base))  # a row a range
-    return written.join(F.broadcast(before), part == F.col(of)).select(*[F.col(f"`{c}`") for c in rows.columns], (F.col(base) + place).alias(name))
-
-
 def sort_engines(engines: DataFrame) -> DataFrame:
     """Free ones first, each as they stand; custom ones after, in natural order."""
     return engines.orderBy("custom", F.when(~F.col("custom"), ~F.col("free")), F.when(~F.col("custom"), F.col("position")), F.when(F.col("custom"), natural_key(F.col("name"))))

@@ -196,3 +196,47 @@ def test_languages_by_code(spark):
 def test_rules_that_do_not_compile(spark):
     assert S.rule_errors(["a+", "[", "(?<n>x)", "*"], "regex") == ["[", "*"]
     assert S.rule_errors(["[", "*"], "normal") == [] and S.rule_errors(["p > a", "p:hover"], "selector") == ["p:hover"]
+
+
+def by_rule(old, new):
+    """One row after the other against what is there."""
+    ids, hashes, out = {i for i, *_ in old if i is not None}, {h for _, h, *_ in old if h is not None}, list(old)
+    for i, h, _ in sorted(new, key=lambda r: r[2]):
+        if (i is None or i not in ids) and (h is None or h not in hashes):
+            out.append((i, h))
+            ids.add(i)
+            hashes.add(h)
+    return sorted(map(str, out))
+
+
+@pytest.mark.parametrize("walk", [1_000_000, 0])
+def test_insert_ignore_is_the_rule(spark, monkeypatch, walk):
+    monkeypatch.setattr(C, "WALK_ROWS", walk)
+    rng = random.Random(4)
+    new = [(rng.choice([None, *range(60)]), rng.choice([None, *"abcdefghijklmnopqrstuvwxyz"]), k) for k in range(300)]
+    new += [(1000 + (k + 1) // 2, f"h{k // 2}", 1000 + k) for k in range(400)]  # a chain
+    new += [(5000 + k, "hot", 2000 + k) for k in range(300)] + [(7, "q", 3000)] * 40
+    old = [(1, "a"), (None, None), (2, None)]
+    got = C.insert_ignore(spark.createDataFrame(old, "oid int, md5 string"), spark.createDataFrame(rng.sample(new, len(new)), "oid int, md5 string, k int").repartition(5), ["k"])
+    assert sorted(str(tuple(r)) for r in got.collect()) == by_rule(old, new)
+    none = spark.createDataFrame([], "oid int, md5 string, k int")
+    assert C.insert_ignore(spark.createDataFrame(old, "oid int, md5 string"), none, ["k"]).count() == 3
+
+
+def test_a_long_chain_of_conflicts_takes_few_jobs(spark):
+    rows = spark.range(100_000).select(((F.col("id") + 1) / 2).cast("long").alias("oid"), (F.col("id") / 2).cast("long").cast("string").alias("md5"), "id")
+    sc = spark.sparkContext
+    sc.setJobGroup("chain", "chain")
+    got = C.insert_ignore(spark.createDataFrame([], "oid long, md5 string"), rows, ["id"])
+    jobs = len(sc.statusTracker().getJobIdsForGroup("chain"))
+    assert got.count() == len(by_rule([], [((k + 1) // 2, str(k // 2), k) for k in range(100_000)]))
+    assert jobs < 80
+
+
+def test_components(spark):
+    edges = [(f"a{k}", f"b{k}") for k in range(200)] + [(f"a{k + 1}", f"b{k}") for k in range(199) if k != 90] + [("x", f"y{k}") for k in range(50)] + [("a", "a")]
+    got = C.components(spark.createDataFrame(edges, "a string, b string")).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault(r.c, set()).add((r.a, r.b))
+    assert sorted(map(len, groups.values())) == [1, 50, 181, 217] and len(got) == len(edges)
