@@ -47,10 +47,10 @@ def insert_ignore(existing: DataFrame, incoming: DataFrame, order: Sequence[str]
     Incoming rows are tried in `order`, with all columns to tell ties apart: a row is left out if its id or its hash exists
     or is that of an accepted row before it. A row that was left out blocks no other. Nulls conflict with nothing.
 
-    Rows are ranked once; from then on keys and ranks alone move. Of rows equal in both keys the first counts. A few rounds
-    accept the first row of both its keys and leave out what conflicts with it, which settles all but chains of
-    conflicts. Those are walked in order, all in one task up to WALK_ROWS of them, else each component of the graph of
-    ids and hashes in one. So the number of jobs doesn't grow with the length of a chain.
+    Rows are ranked once; from then on keys and ranks alone move. Of rows equal in both keys the first counts. Up to WALK_ROWS
+    keys are walked in order by one task. Of more, a few rounds accept the first row of both its keys and leave out what
+    conflicts with it, which settles all but chains of conflicts, and what is left is walked, by one task again if it is few
+    enough, else each component of the graph of ids and hashes by one. So jobs don't grow with the length of a chain.
     """
     n, a, b = _fresh_names(incoming, "_order", "_a", "_b")
     every = F.struct(*order, *[c for c in incoming.columns if c not in order])
@@ -61,8 +61,10 @@ def insert_ignore(existing: DataFrame, incoming: DataFrame, order: Sequence[str]
     keys = ranked.select(key(ids).alias(a), key(hashes).alias(b), F.col(n).alias("k")).select(F.col(a).alias("a"), F.col(b).alias("b"), "k")
     keys = keys.join(of(existing, ids), F.col("a") == F.col("x"), "left_anti").join(of(existing, hashes), F.col("b") == F.col("x"), "left_anti")
     left = materialise(keys.groupBy("a", "b").agg(F.min("k").alias("k")), "insert-undecided")
-    accepted = []
+    rest, accepted = left.count(), []
     for _ in range(ROUNDS):
+        if rest <= WALK_ROWS:
+            break
         # least ranks are combined in each task before they move, so a key of many rows is no task's work
         least = lambda c: left.groupBy(c).agg(F.min("k").alias("k"))  # noqa: B023, E731
         new = materialise(left.join(least("a").select("k"), "k", "left_semi").join(least("b").select("k"), "k", "left_semi"), "insert-accepted")
@@ -70,12 +72,9 @@ def insert_ignore(existing: DataFrame, incoming: DataFrame, order: Sequence[str]
         taken = lambda c: new.select(F.col(c).alias("x"))  # noqa: B023, E731
         left = materialise(left.join(taken("a"), F.col("a") == F.col("x"), "left_anti").join(taken("b"), F.col("b") == F.col("x"), "left_anti"), "insert-undecided")
         rest = left.count()
-        if not rest:
-            break
-    if rest:
-        ship(existing.sparkSession)
-        rows = left.withColumn("c", F.lit(0).cast("long")) if rest <= WALK_ROWS else components(left)
-        accepted.append(rows.groupBy("c").applyInArrow(_walk, "a string, b string, k long"))
+    ship(existing.sparkSession)
+    rows = left.withColumn("c", F.lit(0).cast("long")) if rest <= WALK_ROWS else components(left)
+    accepted.append(rows.groupBy("c").applyInArrow(_walk, "a string, b string, k long"))
     found = accepted[0]
     for more in accepted[1:]:
         found = found.unionByName(more)
