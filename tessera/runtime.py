@@ -68,18 +68,38 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return df.repartition(cores)
 
 
-def row_index(rows: DataFrame, order: Sequence[Column], name: str = "row") -> DataFrame:
-    """rows with `name`: the place of each in `order`, from 0, without a task that holds them all.
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """Names that df has no column of, with underscores before them as needed."""
+    taken = {c.lower() for c in df.columns}
+    return [next(x for k in range(len(taken) + 1) if (x := "_" * k + name).lower() not in taken) for name in names]
+
+
+def ranged(rows: DataFrame, order: Sequence[Column], part: str, place: str) -> DataFrame:
+    """rows dealt out by ranges of an order and written sorted: part numbers the ranges in order, place the rows of each."""
+    (at,) = fresh_names(rows, "at")
+    written = materialise(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()), "ranged")
+    # as that function puts them together
+    return written.select(*[F.col(f"`{c}`") for c in rows.columns], F.shiftrightunsigned(F.col(at), 33).alias(part), F.col(at).bitwiseAND((1 << 33) - 1).alias(place))
+
+
+def row_index(rows: DataFrame, order: Sequence[Column], name: str = "row", by: Sequence[str] = ()) -> DataFrame:
+    """rows with `name`: the place of each in `order`, from 0, of all rows or of those that are equal in the columns `by`,
+    without a task that holds them all.
 
     Rows are dealt out by ranges of the order and written sorted; a row's place is the number of rows in the ranges before
     and its place in its own. Rows that are equal by `order` stand in one range, in no certain order: end it with a column
     that tells them apart. No rows give no rows.
     """
-    taken = {c.lower() for c in rows.columns} | {name.lower()}
-    at, of, n, base = (next(f"{'_' * k}{x}" for k in range(len(taken) + 1) if f"{'_' * k}{x}" not in taken) for x in ("at", "part", "n", "base"))
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
-    written = materialise(ranged, "row-index")
-    part, place = F.shiftrightunsigned(F.col(at), 33), F.col(at).bitwiseAND((1 << 33) - 1)  # as that function puts them together
-    sizes = written.groupBy(part.alias(of)).agg(F.count(F.lit(1)).alias(n))
-    before = sizes.select(of, (F.sum(n).over(Window.orderBy(of)) - F.col(n)).alias(base))  # a row a range
-    return written.join(F.broadcast(before), part == F.col(of)).select(*[F.col(f"`{c}`") for c in rows.columns], (F.col(base) + place).alias(name))
+    of, at, n, base, ahead = fresh_names(rows.withColumn(name, F.lit(0)), "part", "place", "n", "base", "ahead")
+    written = ranged(rows, [*[F.col(c).asc() for c in by], *order], of, at)
+    own = [F.col(f"`{c}`") for c in rows.columns]
+    sizes = written.groupBy(of, *by).agg(F.count(F.lit(1)).alias(n), F.min(at).alias(base))
+    if not by:  # a row a range
+        before = sizes.select(F.col(of).alias(ahead), (F.sum(n).over(Window.orderBy(of)) - F.col(n)).alias(base))
+        return written.join(F.broadcast(before), F.col(of) == F.col(ahead)).select(*own, (F.col(base) + F.col(at)).alias(name))
+    # a group goes on from range to range; the places of those in one range are counted there
+    before = Window.partitionBy(*by).orderBy(of).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn(ahead, F.coalesce(F.sum(n).over(before), F.lit(0)) - F.col(base)).drop(n, base)
+    keys = [F.col(f"l.`{c}`").eqNullSafe(F.col(f"r.`{c}`")) for c in by]
+    placed = written.alias("l").join(sizes.alias("r"), [F.col(f"l.{of}") == F.col(f"r.{of}"), *keys])
+    return placed.select(*[F.col(f"l.`{c}`") for c in rows.columns], (F.col(ahead) + F.col(f"l.{at}")).alias(name))

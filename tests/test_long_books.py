@@ -1,0 +1,50 @@
+"""Documents larger than a task: numbers by ranges and units by chained tables, against the forms for one row."""
+
+import random
+
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tessera import runtime
+from tessera.operators import segments as S
+
+
+def lines(spark, seed, docs, most_lines, parts):
+    rng = random.Random(seed)
+    rows = []
+    for d in range(docs):
+        for k in range(rng.randint(0, most_lines)):
+            n = rng.choice([1, 2, 3, 5, 8, 13, 40, 100, 250])
+            rows.append((None if d == 3 else f"d{d}", k, "x" * n, f"<{'y' * (n % 7)}>", rng.random() < 0.1))
+    rng.shuffle(rows)
+    return spark.createDataFrame(rows, "doc_id string, oid int, text string, raw string, ignored boolean").repartition(parts)
+
+
+@pytest.mark.parametrize("most", [1, 7, 60, 1800])
+def test_long_merge_is_merge(spark, most):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = lines(spark, most, 6, 120, 5)
+        ranges = runtime.ranged(df, [F.col("doc_id").asc(), F.col("oid").asc()], "part", "place").select("doc_id", "part").distinct()
+        assert ranges.groupBy("doc_id").count().filter("count > 1").count() > 1  # documents do go over several ranges
+        want = sorted(map(str, S.merge(df, most).select("doc_id", "oid", "md5", "n", "raw", "text").collect()))
+        got = sorted(map(str, S.merge_long(df, most).select("doc_id", "oid", "md5", "n", "raw", "text").collect()))
+        assert got == want and len(got) > 6
+        assert S.merge_long(df.limit(0), most).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_one_book_over_all_tasks(spark):
+    book = spark.range(0, 300_000, 1, 8).select(F.lit("b").alias("doc_id"), F.col("id").cast("int").alias("oid"), F.concat(F.lit("line "), F.col("id").cast("string")).alias("text"), F.lit("r").alias("raw"), F.lit(False).alias("ignored"))
+    want, got = S.merge(book), S.merge_long(book)
+    assert got.count() == want.count() and got.join(want, ["doc_id", "oid", "md5", "n"]).count() == got.count()
+
+
+def test_numbers_of_a_document_are_places(spark):
+    df = lines(spark, 9, 12, 300, 7).withColumnRenamed("oid", "seq").withColumn("part", F.lit(0)).withColumn("n", F.lit("x"))
+    got = S.numbered(df)
+    want = df.withColumn("want", F.row_number().over(Window.partitionBy("doc_id").orderBy("seq")) - 1)
+    both = got.alias("g").join(want.alias("w"), [F.col("g.doc_id").eqNullSafe(F.col("w.doc_id")), F.col("g.seq") == F.col("w.seq")])
+    assert both.filter("g.oid <> w.want").isEmpty() and both.count() == df.count() and got.columns == [*df.columns, "oid", "md5"]
