@@ -12,7 +12,9 @@ from tessera.operators import exchange as X
 from tessera.operators import grid as G
 from tessera.operators import segments as S
 from tessera.operators import translate as TR
+from tessera.operators.store import CacheStore
 from tessera.plans.common import D_CACHE, D_LINES, D_PAIRS, cache_table, d_no_letters, d_strip, d_trim, pairs, query
+from tessera.runtime import shared_folder
 from tessera.sources import readers as R
 from tessera.sources import writers as W
 
@@ -64,6 +66,18 @@ def cache_update(spark, read):
     return C.update(cache_table(read), changes, ["translation", "engine_name"], "doc_id").select("doc_id", F.col("oid").cast("long").alias("oid"), "translation", "engine_name")
 
 
+@query(f"WITH {D_CACHE}, c AS (SELECT cache.*, lang FROM cache JOIN documents USING (doc_id)) SELECT c.lang AS cache_id, doc_id, oid, CASE WHEN c.lang = 'de' AND l.doc_id IS NOT NULL THEN 'again ' || toxic ELSE translation END AS translation FROM c LEFT JOIN labels l USING (doc_id)")
+def cache_store_update(spark, read):
+    """One cache a language, of which one is changed by its labels."""
+    store = CacheStore(spark, shared_folder(spark, "store"))
+    rows = cache_table(read).join(read("documents").select("doc_id", F.col("lang").alias("cache_id")), "doc_id")
+    number = F.col("doc_id") * 1_000_000 + F.col("oid")
+    store.write(rows.withColumn("oid", number))
+    changes = rows.join(read("labels").select("doc_id", "toxic"), "doc_id").filter("cache_id = 'de'").select("cache_id", number.alias("oid"), F.concat(F.lit("again "), F.col("toxic").cast("string")).alias("translation"))
+    store.update(changes, ["translation"])
+    return store.read().select("cache_id", F.floor(F.col("oid") / 1_000_000).alias("doc_id"), (F.col("oid") % 1_000_000).alias("oid"), "translation")
+
+
 #: Rows are tried one by one: state is the ids and hashes in use, and a row is accepted if neither is.
 _INCOMING = """WITH RECURSIVE e AS (SELECT doc_id AS oid, md5(text) AS md5, 'old' AS origin FROM documents WHERE text IS NOT NULL AND doc_id % 2 = 0),
 i AS (SELECT doc_id // 4 * 3 AS oid, md5(text) AS md5, doc_id, row_number() OVER (ORDER BY doc_id) AS k FROM documents WHERE text IS NOT NULL AND doc_id % 2 = 1),
