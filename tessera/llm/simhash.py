@@ -315,8 +315,13 @@ def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def _within_group(similarity: float, words: int, radius: int, screen: int) -> Callable:
-    """Links between the classes of a group of candidates that join all that can be joined: who shares shingles with a row
-    is counted over the rows that hold each of them. Rows of the largest class needn't be asked, as others ask them."""
+    """Links between the classes of a group of candidates that join all that can be joined.
+
+    Two sets of that similarity share one of the rarest shingles of each: of m shingles, all but similarity * m are
+    looked up, the rarest first. Shingles whose holders are all of one class already needn't be, so copies, which share
+    their rare shingles, don't look at each other. What is found is screened by size and fingerprint before sets are
+    compared. Rows of the largest class needn't be asked, as others ask them.
+    """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         node, n = table.column("node").to_numpy(), table.num_rows
@@ -324,21 +329,49 @@ def _within_group(similarity: float, words: int, radius: int, screen: int) -> Ca
         size = np.diff(sets.offsets.to_numpy()).astype(np.int64)
         values = sets.values.to_numpy()[sets.offsets[0].as_py() : sets.offsets[-1].as_py()]
         ids = np.unique(values, return_inverse=True)[1].ravel()
-        holders = np.repeat(np.arange(n), size)[np.argsort(ids, kind="stable")]
-        begin = np.concatenate([[0], np.cumsum(np.bincount(ids, minlength=1))])
-        mine = np.concatenate([[0], np.cumsum(size)])
         fps = np.column_stack([table.column(f"f{w}").to_numpy() for w in range(words)]).astype(np.int64).view(np.uint64)
         labels = np.unique(table.column("joined").to_numpy(), return_inverse=True)[1].ravel()
-        found = []
-        for i in np.flatnonzero(labels != np.bincount(labels).argmax()).tolist():
-            shared = [holders[begin[x] : begin[x + 1]] for x in ids[mine[i] : mine[i + 1]].tolist()]
-            common = np.bincount(np.concatenate([np.zeros(0, np.int64), *shared]), minlength=n)
-            j = np.flatnonzero((common >= similarity * (size[i] + size - common) - 1e-9) & (labels != labels[i]))
+        owner, first = np.repeat(np.arange(n), size), np.concatenate([[0], np.cumsum(size)])
+        held = np.bincount(ids, minlength=1)
+        ids = ids[np.lexsort((ids, held[ids], owner))]  # the rarest first in each row
+        looked = np.arange(len(ids)) - first[owner] <= size[owner] - np.ceil(similarity * size - 1e-6).astype(np.int64)[owner]
+        ask, of = ids[looked], owner[looked]
+        least, most = np.full(len(held), n), np.full(len(held), -1)
+        np.minimum.at(least, ask, labels[of])
+        np.maximum.at(most, ask, labels[of])
+        mixed = least[ask] < most[ask]
+        ask, of = ask[mixed], of[mixed]
+        holders = of[np.argsort(ask, kind="stable")]
+        begin = np.concatenate([[0], np.cumsum(np.bincount(ask, minlength=len(held)))])
+        mine = np.searchsorted(of, np.arange(n + 1))
+        above = list(range(int(labels.max()) + 1 if n else 0))  # a class's next one on the way to the one that it has joined
+        empty, mark, found = np.flatnonzero(size == 0), np.zeros(len(held), bool), []
+
+        def top(c: int) -> int:
+            while above[c] != c:
+                above[c] = c = above[above[c]]
+            return c
+
+        for i in np.flatnonzero(labels != np.bincount(labels).argmax()).tolist() if n else ():
+            near = [holders[begin[x] : begin[x + 1]] for x in ask[mine[i] : mine[i + 1]].tolist()] if size[i] else [empty]
+            if not near:
+                continue
+            j = np.unique(np.concatenate(near))
+            j = j[(size[j] >= similarity * size[i] - 1e-6) & (size[i] >= similarity * size[j] - 1e-6)]
             bits = np.bitwise_count(fps[j] ^ fps[i])
-            for k in j[(bits.sum(axis=1, dtype=np.int64) <= radius) & (bits[:, 0] <= screen)].tolist():
-                if labels[k] != labels[i]:
-                    found.append((i, k))
-                    labels[labels == labels[k]] = labels[i]
+            j = j[(bits.sum(axis=1, dtype=np.int64) <= radius) & (bits[:, 0] <= screen)]
+            classes, back = np.unique(labels[j], return_inverse=True)
+            tops = np.array([top(c) for c in classes.tolist()], np.int64)
+            j = j[tops[back.ravel()] != top(int(labels[i]))] if len(j) else j
+            mark[ids[first[i] : first[i + 1]]] = True
+            for k in j.tolist():
+                a, b = top(int(labels[i])), top(int(labels[k]))
+                if a != b:
+                    common = int(mark[ids[first[k] : first[k + 1]]].sum())
+                    if common >= similarity * (size[i] + size[k] - common) - 1e-9:
+                        found.append((i, k))
+                        above[b] = a
+            mark[ids[first[i] : first[i + 1]]] = False
         x, y = (np.array([p[c] for p in found], np.int64) for c in range(2))
         return pa.table({"a": pa.array(node[x]), "b": pa.array(node[y])})
 
@@ -403,7 +436,9 @@ def first_of_groups(docs: DataFrame, similarity: float, shingle: int, words: int
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), *text_keys(text))
     kept = split_join(rows, best.select("best.*"), ["id", "k1", "k2"], "left_semi")
-    return kept.groupBy("id", "k1", "k2").agg(F.min("row").alias("row")).select(*[F.col("row").getField(c).alias(c) for c in names])
+    # a struct that holds a map has no order of its own
+    least = F.min_by("row", F.to_json("row")) if "map<" in kept.select("row").dtypes[0][1] else F.min("row")
+    return kept.groupBy("id", "k1", "k2").agg(least.alias("row")).select(*[F.col("row").getField(c).alias(c) for c in names])
 
 
 __all__ = ["components", "fingerprint", "first_of_groups", "forest", "links", "near_duplicates", "similar_groups"]

@@ -144,6 +144,45 @@ def test_one_task_finds_what_joins_a_group():
     assert grouped(60, before + links) == grouped(60, before + [(a, b) for a in range(60) for b in range(a) if same(a, b)])
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_one_task_against_all_pairs(seed):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(seed)
+    base, sets = rng.choice(500, 60, replace=False), []
+    for _ in range(150):
+        s = base[: rng.integers(20, 60)].copy()
+        s[rng.random(len(s)) < rng.choice([0.02, 0.1, 0.3])] = rng.integers(500, 2000)
+        sets.append(np.unique(s))
+    sets += [np.zeros(0, np.int64), np.array([1]), np.array([1, 2])]
+    n, joined = len(sets), rng.integers(0, 60, len(sets))
+    table = pa.table({"node": pa.array(np.arange(n) + 7), "s": pa.array([s.tolist() for s in sets], pa.list_(pa.int64())), "f0": pa.array(np.zeros(n, np.int64)), "joined": pa.array(joined)})
+    got = simhash._within_group(0.8, 1, 4, 4)((0,), table)
+    links = [(a - 7, b - 7) for a, b in zip(got.column("a").to_pylist(), got.column("b").to_pylist(), strict=True)]
+    same = lambda a, b: len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])) - 1e-9
+    before = [(a, b) for a in range(n) for b in range(a) if joined[a] == joined[b]]
+    assert all(same(a, b) for a, b in links)
+    assert grouped(n, before + links) == grouped(n, before + [(a, b) for a in range(n) for b in range(a) if same(a, b)])
+
+
+def test_a_large_group_is_one_task_in_time():
+    import time
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    n = 50_000
+    own = rng.integers(1 << 20, 1 << 50, (n, 10))
+    own[1::1000] = own[0::1000]  # fifty pairs of near copies
+    own[1::1000, 0] += 1
+    sets = np.concatenate([np.tile(np.arange(30), (n, 1)), own], axis=1)
+    table = pa.table({"node": pa.array(np.arange(n)), "s": pa.array(list(sets), pa.list_(pa.int64())), "f0": pa.array(np.zeros(n, np.int64)), "joined": pa.array(np.arange(n))})
+    began = time.time()
+    got = simhash._within_group(0.8, 1, 4, 4)((0,), table)
+    assert time.time() - began < 30
+    assert sorted(tuple(sorted(x)) for x in zip(got.column("a").to_pylist(), got.column("b").to_pylist(), strict=True)) == [(k, k + 1) for k in range(0, n, 1000)]
+
+
 def test_rows_that_share_an_id(spark):
     long = " ".join(f"word{k}" for k in range(30))
     rows_ = [(5, long, "b"), (5, "another text of six words", "a"), (5, long, "a"), (None, long, "c"), (None, "alone without an id", "c"), (7, None, "n"), (3, "", "e"), (3, None, "d")]
@@ -188,3 +227,9 @@ def test_stages_take_odd_rows(spark, tmp_path):
     near = C.near_copy_stage(spark, docs, str(tmp_path))
     assert sorted(str(r.doc_id) for r in near.collect()) == ["0", "3", "6", "7"]
     assert C.benchmark_stage(spark, docs, str(tmp_path)).filter(F.col("text").contains("word39")).count() == 0
+
+
+def test_rows_with_a_map_column(spark):
+    rows_ = [(1, "some words that are there twice", {"a": 1}), (1, "some words that are there twice", {"b": 2}), (2, "other words of which there is one", None)]
+    got = simhash.first_of_groups(spark.createDataFrame(rows_, "doc_id long, text string, m map<string,int>"), C.SIMILARITY, C.SHINGLE, C.WORDS, C.RADIUS, C.SCREEN)
+    assert sorted((r.doc_id, str(r.m)) for r in got.collect()) == [(1, "{'a': 1}"), (2, "None")]
