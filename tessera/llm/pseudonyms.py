@@ -91,7 +91,7 @@ def _card(m: str, perm: Permutation) -> str | None:
 
 
 def _phone(m: str, perm: Permutation) -> str | None:
-    country = re.match(r"\+\d{1,3}", m)
+    country = re.match(r"\+\d{1,3}|0\d", m)  # what says that it is a telephone number stays
     head = country.group() if country else ""
     d = re.sub(r"\D", "", m[len(head) :])
     if not 7 <= len(d) <= 12:
@@ -258,16 +258,17 @@ KINDS: dict[str, tuple[str, Callable[[str, Permutation], str | None]]] = {
     "ip": (r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)", _ip),
     "date": (r"(?<![\d./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\d/-])", _date),
     "written_date": (
-        rf"(?<!\w)(?:(?:{_NAMED})\.? \d{{1,2}}(?:st|nd|rd|th)?,? \d{{4}}|\d{{1,2}}(?:st|nd|rd|th|\.)? (?:de )?(?:{_NAMED})\.?,?(?: de)? \d{{4}})(?!\w)", _written_date
+        rf"(?<!\w)(?:(?:{_NAMED})\.? \d{{1,2}}(?:st|nd|rd|th)?(?:,| |, )\d{{4}}|\d{{1,2}}(?:st|nd|rd|th|er|\.)? (?:de )?(?:{_NAMED})\.?,?(?: de)? \d{{4}})(?!\w)", _written_date
     ),
     "ssn": (r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", _ssn),
-    "phone": (r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ -]\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])", _phone),
+    "phone": (r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ -]\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])"
+        r"|(?<![\w+./-])0\d(?:[ .]\d{2}){4}(?![\d.,]\d|\d)|(?<![\w+./-])0[1-9]\d{1,3}[ /-]\d{5,8}(?![\d.,/-]\d|\d)", _phone),
     "card": (r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)", _card),
 }
 _PATTERN = lambda kinds: re.compile("|".join(f"(?P<{k}>{KINDS[k][0]})" for k in kinds))
 _ANY, _MOST = _PATTERN(KINDS), _PATTERN([k for k in KINDS if k not in ("ipv6", "written_date")])
 #: Without one of these a text holds no kind that _MOST hasn't.
-_RARE = re.compile(r" (?:19|20)\d\d(?!\w)|:[0-9A-Fa-f]{0,4}:")
+_RARE = re.compile(r"[ ,](?:19|20)\d\d(?!\w)|:[0-9A-Fa-f]{0,4}:")
 #: An address from the beginning of its run of characters on, each of which is looked at once.
 _EMAIL = re.compile(r"(?<![\w.+-])([\w.+-]++)@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}")
 #: Numbers and words that spaces or hyphens join: what a card number or an IBAN may be part of.
@@ -292,10 +293,14 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
             yield m.start() + local.start(), m.end()
 
 
+#: How card numbers of 16 and 15 digits are written (fixed values).
+_GROUPS = {(16,), (4, 4, 4, 4), (15,), (4, 6, 5)}
+
+
 def _within(text: str, start: int, end: int, since: int, perm: Permutation) -> tuple[int, int, str, str] | None:
     """Start, end, kind and pseudonym of the card number or IBAN that begins at a separator's border in start ... end of
-    text, not before `since`, and ends at another, if need be after end; 16 digits (15 from 34 or 37 on) before other lengths, then the first,
-    then the longest."""
+    text, not before `since`, and ends at another, if need be after end: card numbers in their usual groups first, then 16
+    digits (15 from 34 or 37 on) before other lengths, then the first, then the longest."""
     run = _RUN.match(text, start, end + 50).group()
     tokens = [(x.start(), x.end(), x.group().isdigit()) for x in re.finditer(r"[A-Z0-9]+", run)]
     best = []
@@ -311,9 +316,10 @@ def _within(text: str, start: int, end: int, since: int, perm: Permutation) -> t
                 break
             value = run[a:b]
             if digits and 13 <= n and run[a] in "23456" and _CARD.fullmatch(value):
-                best.append((n != (15 if re.match("3[ -]?[47]", value) else 16), a, -b, "card", value))
+                usual = tuple(map(len, re.split("[ -]", value))) in _GROUPS and (n == 15) == bool(re.match("3[47]", value))
+                best.append((2 * (not usual) + (n != (15 if re.match("3[ -]?[47]", value) else 16)), a, -b, "card", value))
             elif n == wanted and _IBAN.fullmatch(value):
-                best.append((False, a, -b, "iban", value))
+                best.append((0, a, -b, "iban", value))
     for _, a, b, kind, value in sorted(best):
         new = KINDS[kind][1](value, perm)
         if new is not None:
@@ -348,7 +354,8 @@ def _replace(text: str, perm: Permutation, found: dict[str, int]) -> str:
                 m = search(text, at) if m and m.start() < at else m
             continue
         kind, value, start, end = m.lastgroup, m.group(), m.start(), m.end()
-        new = put(kind, value)
+        # digits behind a card number, or before it, may read as the number of a longer one: 16 come first
+        new = None if kind == "card" and re.search("[ -]", value) else put(kind, value)
         if new is None and kind in ("card", "iban"):  # neighbours that a space joins may be numbers of their own
             inner = _within(text, start, end, barren, perm)
             if inner is None:

