@@ -36,11 +36,12 @@ _TEMPLATE, _WORDS = 0, 1
 def _plain(text: Column, units: tuple[str, ...] = UNITS) -> Column:
     """Words without punctuation, one space between: what a template and its values are read from. Numbers keep their
     sign and point, but not the commas between thousands; signs between numbers part them, and so do units behind them."""
-    signs = F.translate(text, "−", "-")
-    parted = F.regexp_replace(signs, r"(?<=\p{Nd})[-–/:](?=\p{Nd})", " ")
-    bare = F.regexp_replace(parted, r"[^\p{L}\p{N}\s.,-]+|[.,](?!\p{Nd})|(?<=\p{L})[.,]|(?<=\p{Nd}),(?=\p{Nd}{3}(?!\p{Nd}))|-(?!\.?\p{Nd})|(?<=[\p{L}\p{N}])-", "")
+    signs = F.replace(text, F.lit("−"), F.lit("-"))
+    parted = F.regexp_replace(signs, r"[-–/:](?<=\p{Nd}.)(?=\p{Nd})", " ")
+    # patterns begin with the class that most characters aren't in, which ends a try at once
+    bare = F.regexp_replace(parted, r"(?=[^\p{L}\p{N}\s])(?:[^\p{L}\p{N}\s.,-]+|[.,](?!\p{Nd})|(?<=\p{L})[.,]|(?<=\p{Nd}),(?=\p{Nd}{3}(?!\p{Nd}))|-(?!\.?\p{Nd})|(?<=[\p{L}\p{N}])-)", "")
     apart = F.regexp_replace(bare, rf"(?<=\p{{Nd}})(?=(?:{'|'.join(units)})(?![\p{{L}}\p{{N}}]))", " ")
-    return F.trim(F.regexp_replace(F.when(signs.rlike(r"\p{Nd}"), apart).otherwise(F.regexp_replace(text, r"[^\p{L}\p{N}\s]+", "")), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.when(signs.rlike(r"\p{Nd}"), apart).otherwise(F.regexp_replace(text, r"[^\p{L}\p{N}\s]+", "")), r"[^\S ]\s*| \s+", " "))
 
 
 def _marked(plain: Column) -> Column:
@@ -51,8 +52,8 @@ def _marked(plain: Column) -> Column:
 def _template(plain: Column, units: tuple[str, ...], numbers: tuple[str, ...]) -> Column:
     """Template words of _plain() text, one for each word of its _marked() form. The kind of a word depends on the word alone, so windows of equal words have equal
     templates wherever they stand; words that are no value are taken in lower case."""
-    t = F.regexp_replace(plain, r"(?<![^ ])-?[.,]?\p{Nd}[^ ]*", _NUMBER)
-    t = F.lower(F.regexp_replace(t, r"(?<![^ ])\p{Lu}\p{Ll}[^ ]*", _NAME))
+    t = F.regexp_replace(plain, r"(?=[-.,\p{Nd}])(?<![^ ])-?[.,]?\p{Nd}[^ ]*", _NUMBER)
+    t = F.lower(F.regexp_replace(t, r"\p{Lu}(?<![^ ].)\p{Ll}[^ ]*", _NAME))
     t = F.split(F.regexp_replace(t, f"{_NAME}(?: {_NAME})+", _NAME), " ")
     return F.transform(t, lambda x: F.when(x.isin(*units), _UNIT).when(x.isin(*numbers), _NUMBER).otherwise(x))
 
@@ -62,17 +63,24 @@ def _folded(text: Column) -> Column:
     return F.split(F.lower(F.upper(text)), " ")
 
 
-def _hash(hashes: str, at: str, n: int) -> str:
-    return f"xxhash64({n}, {', '.join(f'{hashes}[{at} + {k}]' for k in range(n))})"
-
-
-def _starts(hashes: str, n: int) -> str:
-    return f"if(size({hashes}) >= {n}, sequence(0, size({hashes}) - {n}), array())"
+def _runs(hashes: str, n: int) -> str:
+    """An array with a hash of every n neighbours in an array of hashes. Runs of a power of two are made of two halves, and
+    others of two such runs that overlap, so that each needs a few steps, not n."""
+    run, p, held = hashes, 1, f"slice({{v}}, 1, greatest(size({hashes}) - {n - 1}, 0))"
+    pairs = lambda v, at: f"zip_with({v}, slice({v}, {at + 1}, size({v})), (a, b) -> xxhash64({n}, a, b))"
+    steps = []
+    while p < n:
+        at = min(p, n - p)
+        steps.append(at)
+        p += at
+    for k, at in enumerate(steps or [0]):  # each array is made once
+        run = f"element_at(transform(array({run}), v{k} -> {pairs(f'v{k}', at)}), 1)"
+    return held.format(v=run)
 
 
 def _windows(sizes: list[int]) -> Column:
     """array<struct<track, pos, size, h>> of the windows of each size, by template and by words."""
-    return F.expr(f"concat({', '.join(f'transform({_starts(x, n)}, i -> struct({track} as track, i as pos, {n} as size, {_hash(x, "i", n)} as h))' for n in sizes for track, x in ((_TEMPLATE, 'th'), (_WORDS, 'fh')))})")
+    return F.expr(f"concat({', '.join(f'transform({_runs(x, n)}, (h, i) -> struct({track} as track, i as pos, {n} as size, h as h))' for n in sizes for track, x in ((_TEMPLATE, 'th'), (_WORDS, 'fh')))})")
 
 
 _SLOT = f"('{_NAME}', '{_NUMBER}', '{_UNIT}')"
@@ -118,7 +126,7 @@ def leaks(
 
     rows = docs.select(F.coalesce("text", F.lit("")).alias("t"))
     keys = [F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(7), F.col("t")).alias("k2")]
-    every = F.expr(f"array_distinct(concat({', '.join(f'transform({_starts(x, n)}, i -> {_hash(x, "i", n)})' for n in sizes for x in ('th', 'fh'))}))")
+    every = F.expr(f"concat({', '.join(_runs(x, n) for n in sizes for x in ('th', 'fh'))})")
     first = _words(rows.select(*keys, _plain(F.col("t"), units).alias("p")), units, numbers, "k1", "k2").select("k1", "k2", F.explode(every).alias("h"))
     hit = materialise(first.join(checked(wanted.select("h").distinct()), "h").select("k1", "k2").distinct(), "texts-with-a-hit")
 
