@@ -157,3 +157,20 @@ def test_token_files(spark, codec):
     assert sorted(got, key=lambda r: r[1]) == want
     first = min(manifest.collect(), key=lambda r: r.shard).asDict()
     assert TF.token_ids(first, 0).tolist() == [*codec.encode(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))[0][1]).tolist(), 0]
+
+
+def test_registered_queries_are_the_library(spark, library, sf):
+    import pyarrow.parquet as pq
+
+    from tessera.llm import queries
+
+    docs = sorted((r["doc_id"], r["text"] or "") for r in pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "text"]).to_pylist())
+    got = queries.QUERIES["op1_bpe_chunk_reuse"](spark, sf).collect()
+    assert sorted((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == [(i, *reference(library, t)) for i, t in docs]
+    want, start = [], 0
+    for i, t in docs:
+        ids = np.array(library.encode(t, add_special_tokens=False).ids + [0], "<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    got = queries.QUERIES["op8_token_files_elias_fano"](spark, sf).collect()
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got) == want
