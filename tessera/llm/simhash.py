@@ -345,7 +345,8 @@ def _within_group(similarity: float, words: int, radius: int, screen: int) -> Ca
         begin = np.concatenate([[0], np.cumsum(np.bincount(ask, minlength=len(held)))])
         mine = np.searchsorted(of, np.arange(n + 1))
         above = list(range(int(labels.max()) + 1 if n else 0))  # a class's next one on the way to the one that it has joined
-        empty, mark, found = np.flatnonzero(size == 0), np.zeros(len(held), bool), []
+        empty, mark, seen, found = np.flatnonzero(size == 0), np.zeros(len(held), bool), np.zeros(n, bool), []
+        every, since = owner[np.argsort(ids, kind="stable")], np.concatenate([[0], np.cumsum(held)])  # who holds each shingle
 
         def top(c: int) -> int:
             while above[c] != c:
@@ -356,22 +357,31 @@ def _within_group(similarity: float, words: int, radius: int, screen: int) -> Ca
             near = [holders[begin[x] : begin[x + 1]] for x in ask[mine[i] : mine[i + 1]].tolist()] if size[i] else [empty]
             if not near:
                 continue
-            j = np.unique(np.concatenate(near))
+            seen[:] = False
+            for x in near:
+                seen[x] = True
+            j = np.flatnonzero(seen)
             j = j[(size[j] >= similarity * size[i] - 1e-6) & (size[i] >= similarity * size[j] - 1e-6)]
             bits = np.bitwise_count(fps[j] ^ fps[i])
             j = j[(bits.sum(axis=1, dtype=np.int64) <= radius) & (bits[:, 0] <= screen)]
             classes, back = np.unique(labels[j], return_inverse=True)
             tops = np.array([top(c) for c in classes.tolist()], np.int64)
             j = j[tops[back.ravel()] != top(int(labels[i]))] if len(j) else j
-            mark[ids[first[i] : first[i + 1]]] = True
-            for k in j.tolist():
+            if not len(j):
+                continue
+            own, ends = ids[first[i] : first[i + 1]], np.cumsum(size[j])
+            if 3 * ends[-1] > held[own].sum():  # many candidates: counted by who holds the row's shingles
+                common = np.bincount(np.concatenate([np.zeros(0, np.int64), *[every[since[x] : since[x + 1]] for x in own.tolist()]]), minlength=n)[j]
+            else:
+                mark[own] = True
+                common = np.concatenate([[0], np.cumsum(mark[ids[np.repeat(first[j] + size[j] - ends, size[j]) + np.arange(ends[-1])]])])
+                common = common[ends] - common[ends - size[j]]
+                mark[own] = False
+            for k in j[common >= similarity * (size[i] + size[j] - common) - 1e-9].tolist():
                 a, b = top(int(labels[i])), top(int(labels[k]))
                 if a != b:
-                    common = int(mark[ids[first[k] : first[k + 1]]].sum())
-                    if common >= similarity * (size[i] + size[k] - common) - 1e-9:
-                        found.append((i, k))
-                        above[b] = a
-            mark[ids[first[i] : first[i + 1]]] = False
+                    found.append((i, k))
+                    above[b] = a
         x, y = (np.array([p[c] for p in found], np.int64) for c in range(2))
         return pa.table({"a": pa.array(node[x]), "b": pa.array(node[y])})
 
