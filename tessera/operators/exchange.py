@@ -154,14 +154,20 @@ ENGINE_ERRORS = (
 )
 
 
+def is_json(text: Column) -> Column:
+    """Whether a text is one JSON value and nothing else; null is none. try_parse_json() reads the first value and leaves
+    what follows, so the text is read as the only item of an array and as the first of two: where it ends the array
+    itself, or is several items, both have a second item or neither has."""
+    second = lambda after: F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit(after))), "$[1]", "variant")
+    return second("]").isNull() & second(",0]").isNotNull()
+
+
 def engine_error(text: Column, taken: Column) -> Column:
     """The first of ENGINE_ERRORS that a definition has, else null; taken: lower-case names in use. Each level of the
     definition is read once."""
     void = lambda c: c.isNull() | c.isin("", "{}", "[]", "0", "false")
-    valid = F.coalesce(F.try_parse_json(text).isNotNull(), F.lit(False))
-    top = F.from_json(F.when(valid, text), "name string, languages string, request string, response string")
 
-    def first(d: Column, languages: Column, request: Column) -> Column:
+    def first(text: Column, valid: Column, d: Column, languages: Column, request: Column) -> Column:
         data, headers = request["data"], request["headers"]
         names = F.transform(F.json_object_keys(headers), F.lower)
         typed = ~void(headers) & F.coalesce(F.array_contains(names, "content-type"), F.lit(False))
@@ -175,7 +181,12 @@ def engine_error(text: Column, taken: Column) -> Column:
             out = out.when(F.coalesce(c, F.lit(False)), name)
         return out
 
-    parts = F.transform(F.array(top), lambda d: F.struct(
-        d.alias("d"), F.from_json(d["languages"], "source string, target string").alias("languages"), F.from_json(d["request"], "url string, data string, headers string").alias("request")
-    ))
-    return F.transform(parts, lambda p: first(p["d"], p["languages"], p["request"]))[0]
+    def parts(t: Column, valid: Column) -> Column:
+        tops = F.array(F.from_json(F.when(valid, t), "name string, languages string, request string, response string"))
+        levels = F.transform(tops, lambda d: F.struct(
+            d.alias("d"), F.from_json(d["languages"], "source string, target string").alias("languages"), F.from_json(d["request"], "url string, data string, headers string").alias("request")
+        ))
+        return F.transform(levels, lambda p: first(t, valid, p["d"], p["languages"], p["request"]))[0]
+
+    read = F.transform(F.array(text), lambda t: F.struct(t.alias("text"), is_json(t).alias("valid")))
+    return F.transform(read, lambda r: parts(r["text"], r["valid"]))[0]

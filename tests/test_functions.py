@@ -189,6 +189,15 @@ def test_engine_definitions(spark, definition, want):
     assert one(spark, X.engine_error(F.col("x"), F.array(F.lit("builtin"))), x=definition) == want
 
 
+def test_json_ends_with_its_value(spark):
+    ok = ['{"a":[1]}', "[]", " 1 ", "null", '"x]"', "[1,0]", "[null]"]
+    bad = ["4305024215708615 words", '{"a":1} x', "1 2", "1,2", "1,0", "1,0] x", "1] x", "[1],0]", "1,null", "null,null] x", "{} {}", "1,", ",", "", " ", "text", "]", '"x', '1,"', None]
+    df = spark.createDataFrame([(x,) for x in ok + bad], "x string").select("x", X.is_json(F.col("x")).alias("ok"), X.engine_error(F.col("x"), F.array()).alias("error"))
+    rows = df.collect()
+    assert [r.x for r in rows if r.ok] == ok
+    assert [r.x for r in rows if r.error == "not JSON"] == bad
+
+
 def test_stream_payload_may_hold_its_own_mark(spark):
     rows = [(0, 0, 'data: {"choices":[{"delta":{"content":"a data: b"}}]}'), (0, 1, "data: [DONE]"), (0, 2, 'data: {"choices":[{"delta":{"content":"late"}}]}')]
     assert X.stream_texts(spark.createDataFrame(rows, "s int, k int, line string"), "s", "k").first().text == "a data: b"
