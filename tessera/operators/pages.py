@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,23 @@ def _tests(priority: Sequence[str], ignore: Sequence[str], reserve: Sequence[str
     return H.selector([*H.PRIORITY, *priority]), H.selector([*H.IGNORED, *ignore]), H.selector([*H.RESERVED, *reserve]), H.selector(["rt", "rp", *noise])
 
 
+#: Bytes of markup whose trees' results a task holds at once; larger pages go by themselves.
+SLICE_BYTES = 1 << 20
+
+
+def _slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut to slices of up to `most` bytes of markup (column 1), or one page, so that what a task holds doesn't grow
+    with the rows of a batch, which are as many as the partition has."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            to = max(int(np.searchsorted(ends, before + most, "right")), at + 1)
+            yield b.slice(at, min(to - at, 1024))
+            at += min(to - at, 1024)
+
+
 def page_segments(pages: DataFrame, key: str = "page_id", markup: str = "html", priority: Sequence[str] = (), ignore: Sequence[str] = (), reserve: Sequence[str] = (), noise: Sequence[str] = (), rules: Sequence[str] = (), mode: str = "normal", scope: str = "text") -> DataFrame:
     """key, seq, name, raw, text, content, attributes, ignored, reserved of each segment of the pages' bodies.
 
@@ -31,15 +50,16 @@ def page_segments(pages: DataFrame, key: str = "page_id", markup: str = "html",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, ign, res, noi = _tests(priority, ignore, reserve, noise)
-        for b in batches:
+        for b in _slices(batches):
             out = []
             for page in b.column(1).to_pylist():
-                rows = []
-                for node, ignored in H.segments(H.body(H.parse(page or "")), first, ign):
+                root, rows = H.parse(page or ""), []
+                for node, ignored in H.segments(H.body(root), first, ign):
                     text = H.trim(node.text())
                     content, kept = H.mask(node, res, noi)
                     if text:
                         rows.append({"seq": len(rows), "name": node.name, "raw": H.trim(node.markup(strict=True)), "text": text, "content": content, "attributes": H.attributes(node), "ignored": ignored or not content, "reserved": kept})
+                H.release(root.walk())
                 out.append(rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, _ARROW)], ["k", "s"])
 
@@ -61,7 +81,7 @@ def rewrite_pages(pages: DataFrame, translations: DataFrame, key: str = "page_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, ign, res, noi = _tests(priority, ignore, reserve, noise)
-        for b in batches:
+        for b in _slices(batches):
             out = []
             for page, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 if page is None or not found:
@@ -69,7 +89,8 @@ def rewrite_pages(pages: DataFrame, translations: DataFrame, key: str = "page_id
                     continue
                 root = H.parse(page)
                 top, new = H.body(root), {x["seq"]: x["translation"] for x in found}
-                parents = {id(c): n for n in [root, *root.walk()] for c in n.elements}
+                nodes = [root, *root.walk()]
+                parents = {id(c): n for n in nodes for c in n.elements}
                 seq = 0
                 for node, ignored in H.segments(top, first, ign):
                     if not H.trim(node.text()):
@@ -80,6 +101,8 @@ def rewrite_pages(pages: DataFrame, translations: DataFrame, key: str = "page_id
                         H.place(parents[id(node)], node, new[seq], H.mask(node, res, noi)[1], position, direction, lang, color, gap)
                     seq += 1
                 out.append("".join(c if isinstance(c, str) else c.markup() for c in root.children))
+                H.release(root.walk())  # those put in
+                H.release(nodes)  # those left out too
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["k", "m"])
 
     kind = dict(pages.dtypes)[key]

@@ -145,3 +145,32 @@ def test_pages_round_trip(spark):
     new = spark.createDataFrame([(1, 2, "D"), (1, 1, "never")], "page_id int, seq int, translation string")
     got = {r.page_id: r.html for r in P.rewrite_pages(pages, new).collect()}
     assert got == {1: '<body><p>a &amp; b</p><p></p><pre>c</pre><p>d</p><p dir="auto">D</p></body>', 2: None, 3: ""}
+
+
+def test_pages_go_in_slices_of_bounded_size():
+    import pyarrow as pa
+
+    from tessera.operators.pages import _slices
+
+    pages = ["x" * 40, None, "y" * 250, "", "ä" * 30, "z" * 40] + ["w"] * 3000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(pages))), pa.array(pages, pa.string())], ["k", "m"])
+    cut = list(_slices(iter([batch, batch.slice(0, 0)]), 100))
+    assert [x for c in cut for x in c.column(1).to_pylist()] == pages and [x for c in cut for x in c.column(0).to_pylist()] == list(range(len(pages)))
+    assert all(c.num_rows == 1 or sum(len((x or "").encode()) for x in c.column(1).to_pylist()) <= 100 for c in cut)
+    assert max(c.num_rows for c in _slices(iter([batch]), 1 << 20)) == 1024
+
+
+def test_a_page_that_is_done_is_freed_at_once():
+    import gc
+    import weakref
+
+    gc.disable()
+    try:
+        root = H.parse("<body><div><p>a <b>b</b></p><ul><li>c</li></ul></div></body>")
+        nodes = [root, *root.walk()]
+        seen = [weakref.ref(n) for n in nodes]
+        H.release(nodes)
+        del root, nodes
+        assert not any(r() for r in seen)
+    finally:
+        gc.enable()
