@@ -253,9 +253,12 @@ def number_book(metadata: DataFrame, contents: DataFrame, pages: DataFrame, key:
     meta = metadata.select(key, F.lit(0).alias("rank"), none.alias("k"), F.array(F.array_position(F.array(*map(F.lit, METADATA)), F.col("name"))).cast("array<long>").alias("place"), F.col("seq").cast("int").alias("seq"), "page", F.col("text").alias("raw"), trim_text(F.col("text")).alias("text"), "ignored")
     toc = contents.select(key, F.lit(1), none, F.col("place").cast("array<long>"), F.lit(0), "page", F.col("title"), F.col("title"), F.lit(False))
     body = pages.select(key, F.lit(2), natural_key(F.col("page")), F.lit(None).cast("array<long>"), F.col("seq").cast("int"), "page", "raw", "text", "ignored")
-    rows = meta.union(toc).union(body).filter("text != ''")
-    rows = numbered(rows.withColumn("ignored", F.col("ignored") | ignored(F.col("text"))), key, ("rank", "k", "place", "page", "seq"))
-    return rows.select(key, F.element_at(F.array(*map(F.lit, PARTS)), F.col("rank") + 1).alias("part"), "page", "seq", "raw", "text", "ignored", F.col("oid").cast("int").alias("oid"), "md5")
+    # most lines are their own markup, which needn't move beside them
+    rows = meta.union(toc).union(body).filter("text != ''").withColumn("raw", F.when(~F.col("raw").eqNullSafe(F.col("text")), F.array("raw")))
+    rows = numbered(rows, key, ("rank", "k", "place", "page", "seq"))
+    raw = F.when(F.col("raw").isNull(), F.col("text")).otherwise(F.get("raw", F.lit(0))).alias("raw")
+    skip = (F.col("ignored") | ignored(F.col("text"))).alias("ignored")
+    return rows.select(key, F.element_at(F.array(*map(F.lit, PARTS)), F.col("rank") + 1).alias("part"), "page", "seq", raw, "text", skip, F.col("oid").cast("int").alias("oid"), "md5")
 
 
 def cache_identity(path: Column, engine: Column, target: Column, merge_length: Column, encoding: Column) -> Column:

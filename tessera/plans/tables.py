@@ -14,7 +14,7 @@ from tessera.operators import segments as S
 from tessera.operators import translate as TR
 from tessera.operators.store import CacheStore
 from tessera.plans.common import D_CACHE, D_LINES, D_PAIRS, cache_table, d_no_letters, d_strip, d_trim, pairs, query
-from tessera.runtime import shared_folder
+from tessera.runtime import materialise, shared_folder
 from tessera.sources import readers as R
 from tessera.sources import writers as W
 
@@ -456,7 +456,7 @@ SELECT book, CASE rank WHEN 0 THEN 'metadata' WHEN 1 THEN 'contents' ELSE 'page'
 def book_numbering(spark, read):
     docs = read("documents")
     meta = R.metadata(docs.select(F.col("doc_id").alias("book"), F.create_map(F.lit("title"), F.array(F.concat("source", F.lit(" Book")))).alias("metadata")), "book")
-    rows = S.lines(docs).withColumnRenamed("doc_id", "book")
+    rows = materialise(S.lines(docs).withColumnRenamed("doc_id", "book"), "lines")  # trimmed once, read for contents and pages
     toc = rows.filter("seq % 3 = 0").select("book", F.array(F.col("seq").cast("long")).alias("place"), F.col("text").alias("title"), F.lit("toc.ncx").alias("page"))
     page = F.concat(F.lit("p"), (20 - F.col("seq") % 20).cast("string"), F.lit(".html"))
     pages = rows.select("book", page.alias("page"), "seq", "raw", "text", F.lit(False).alias("ignored"))

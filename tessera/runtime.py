@@ -82,14 +82,32 @@ def ranged(rows: DataFrame, order: Sequence[Column], part: str, place: str) -> D
     return written.select(*[F.col(f"`{c}`") for c in rows.columns], F.shiftrightunsigned(F.col(at), 33).alias(part), F.col(at).bitwiseAND((1 << 33) - 1).alias(place))
 
 
-def row_index(rows: DataFrame, order: Sequence[Column], name: str = "row", by: Sequence[str] = ()) -> DataFrame:
+#: Rows up to which a group's places are counted where it is sorted as one; larger ones are counted by ranges.
+MOST_GROUP_ROWS = 1_000_000
+
+
+def row_index(rows: DataFrame, order: Sequence[Column], name: str = "row", by: Sequence[str] = (), most: int = MOST_GROUP_ROWS) -> DataFrame:
     """rows with `name`: the place of each in `order`, from 0, of all rows or of those that are equal in the columns `by`,
     without a task that holds them all.
 
     Rows are dealt out by ranges of the order and written sorted; a row's place is the number of rows in the ranges before
-    and its place in its own. Rows that are equal by `order` stand in one range, in no certain order: end it with a column
-    that tells them apart. No rows give no rows.
+    and its place in its own. Groups of up to `most` rows move once instead, and are sorted and counted where they are. Rows
+    that are equal by `order` stand together, in no certain order: end it with a column that tells them apart. No rows give
+    no rows.
     """
+    if by:
+        n, mark = fresh_names(rows.withColumn(name, F.lit(0)), "n", "mark")
+        large = materialise(rows.groupBy(*by).agg(F.count(F.lit(1)).alias(n)).filter(F.col(n) > most).select(*by), "large-groups")
+        counted = lambda df: df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long") - 1)
+        if large.isEmpty():
+            return counted(rows)
+        same = [F.col(f"l.`{c}`").eqNullSafe(F.col(f"r.`{c}`")) for c in by]
+        marked = rows.alias("l").join(F.broadcast(large.withColumn(mark, F.lit(1)).alias("r")), same, "left").select(*[F.col(f"l.`{c}`") for c in rows.columns], F.col(mark))
+        return counted(marked.filter(F.col(mark).isNull()).drop(mark)).unionByName(_index_by_ranges(marked.filter(F.col(mark).isNotNull()).drop(mark), order, name, by))
+    return _index_by_ranges(rows, order, name, by)
+
+
+def _index_by_ranges(rows: DataFrame, order: Sequence[Column], name: str, by: Sequence[str]) -> DataFrame:
     of, at, n, base, ahead = fresh_names(rows.withColumn(name, F.lit(0)), "part", "place", "n", "base", "ahead")
     written = ranged(rows, [*[F.col(c).asc() for c in by], *order], of, at)
     own = [F.col(f"`{c}`") for c in rows.columns]

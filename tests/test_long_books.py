@@ -48,3 +48,26 @@ def test_numbers_of_a_document_are_places(spark):
     want = df.withColumn("want", F.row_number().over(Window.partitionBy("doc_id").orderBy("seq")) - 1)
     both = got.alias("g").join(want.alias("w"), [F.col("g.doc_id").eqNullSafe(F.col("w.doc_id")), F.col("g.seq") == F.col("w.seq")])
     assert both.filter("g.oid <> w.want").isEmpty() and both.count() == df.count() and got.columns == [*df.columns, "oid", "md5"]
+
+
+def test_small_groups_move_once_and_large_ones_go_by_ranges(spark, monkeypatch):
+    rows = [(None if g == 2 else f"g{g}", k, f"t{g}-{k}") for g, n in enumerate([1, 3, 4, 40, 90]) for k in range(n)]
+    df = spark.createDataFrame(rows, "g string, k int, t string").repartition(7)
+    want = sorted((str(g), k, t, k) for g, k, t in rows)
+    seen, plain = [], runtime.ranged
+    monkeypatch.setattr(runtime, "ranged", lambda rows, *a: seen.append(rows.count()) or plain(rows, *a))
+    for most, by_ranges in ((1000, []), (40, [90]), (3, [134]), (0, [138])):
+        seen.clear()
+        got = runtime.row_index(df, [F.col("k").asc()], "at", ["g"], most)
+        assert got.columns == ["g", "k", "t", "at"] and dict(got.dtypes)["at"] == "bigint"
+        assert sorted((str(r.g), r.k, r.t, r["at"]) for r in got.collect()) == want
+        assert seen == by_ranges
+    assert runtime.row_index(df.limit(0), [F.col("k").asc()], "at", ["g"]).count() == 0
+
+
+def test_markup_of_lines_comes_back(spark):
+    meta = spark.createDataFrame([], "book int, name string, seq int, text string, page string, ignored boolean")
+    toc = spark.createDataFrame([], "book int, place array<long>, title string, page string")
+    pages = spark.createDataFrame([(1, "p1", 0, "a", "a", False), (1, "p1", 1, "<b>b</b>", "b", False), (1, "p1", 2, None, "c", False), (1, "p1", 3, "--", "--", False)], "book int, page string, seq int, raw string, text string, ignored boolean")
+    got = S.number_book(meta, toc, pages).orderBy("oid").select("oid", "raw", "text", "ignored").collect()
+    assert [tuple(r) for r in got] == [(0, "a", "a", False), (1, "<b>b</b>", "b", False), (2, None, "c", False), (3, "--", "--", True)]
