@@ -63,15 +63,20 @@ def pairs(read: Callable[[str], DataFrame]) -> DataFrame:
     return rows.filter("role = 'user' and next_role = 'assistant'").select("conv_id", "turn", F.col("text").alias("original"), "translation")
 
 
-def cache_table(read: Callable[[str], DataFrame]) -> DataFrame:
-    """Segments of documents as a cache: a label's quality says whether a document has been translated."""
+def cache_table(read: Callable[[str], DataFrame], more: DataFrame | None = None) -> DataFrame:
+    """Segments of documents as a cache: a label's quality says whether a document has been translated. more: a table by
+    doc_id whose columns are added. Documents are joined whole, before they become rows."""
     from tessera.operators.segments import segment
 
-    rows = segment(read("documents")).join(read("labels").select("doc_id", "quality"), "doc_id", "left")
+    docs = read("documents").select("doc_id", "text").join(read("labels").select("doc_id", "quality"), "doc_id", "left")
+    docs = docs if more is None else docs.join(more, "doc_id")
+    own = [c for c in docs.columns if c != "text"]
+    rows = segment(docs.select(F.struct(*own).alias("of"), "text"), key="of").select("of.*", "oid", "md5", "raw", "text", "ignored")
+    extra = [] if more is None else [c for c in more.columns if c != "doc_id"]
     done = F.when(F.col("quality") == 1, F.lower("text"))
     return rows.select(
         "doc_id", "oid", "md5", F.col("raw"), F.col("text").alias("original"), "ignored", F.to_json(F.struct(F.pmod("oid", F.lit(3)).cast("string").alias("class"))).alias("attributes"),
-        F.concat(F.lit("page"), F.pmod("doc_id", F.lit(7)).cast("string")).alias("page"), done.alias("translation"), F.when(done.isNotNull(), "upper").alias("engine_name"), F.when(done.isNotNull(), "xx").alias("target_lang"),
+        F.concat(F.lit("page"), F.pmod("doc_id", F.lit(7)).cast("string")).alias("page"), done.alias("translation"), F.when(done.isNotNull(), "upper").alias("engine_name"), F.when(done.isNotNull(), "xx").alias("target_lang"), *extra,
     )
 
 

@@ -70,7 +70,7 @@ def cache_update(spark, read):
 def cache_store_update(spark, read):
     """One cache a language, of which one is changed by its labels."""
     store = CacheStore(spark, shared_folder(spark, "store"))
-    rows = cache_table(read).join(read("documents").select("doc_id", F.col("lang").alias("cache_id")), "doc_id")
+    rows = cache_table(read, read("documents").select("doc_id", F.col("lang").alias("cache_id")))
     number = F.col("doc_id") * 1_000_000 + F.col("oid")
     store.write(rows.withColumn("oid", number))
     changes = rows.join(read("labels").select("doc_id", "toxic"), "doc_id").filter("cache_id = 'de'").select("cache_id", number.alias("oid"), F.concat(F.lit("again "), F.col("toxic").cast("string")).alias("translation"))

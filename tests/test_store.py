@@ -57,3 +57,18 @@ def test_catalogue_of_the_files(spark, tmp_path):
     assert {k: r.bytes for k, r in got.items()} == size and size["b"] > size["a"]
     assert (got["a"].title, got["a"].merge, got["b"].title, got["b"].engine) == ("A", 1800, "[Unknown]", "e") and all(r.time for r in got.values())
     assert C.total_megabytes(store.files()).first()[0] == round(sum(size.values()) / 1e6, 2)
+
+
+def test_documents_are_joined_before_they_become_rows(spark):
+    from tessera.plans.common import cache_table
+
+    tables = {
+        "documents": spark.createDataFrame([(1, "a\n\nb", "de"), (2, "c", "en"), (2, "c2", "fr"), (3, None, "de"), (None, "d", "de"), (5, "e\nf", None)], "doc_id long, text string, lang string"),
+        "labels": spark.createDataFrame([(1, 1), (1, 0), (2, 1), (9, 1)], "doc_id long, quality int"),
+    }
+    more = tables["documents"].selectExpr("doc_id", "lang as cache_id")
+    got = cache_table(tables.get, more)
+    want = cache_table(tables.get).join(more, "doc_id")
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect())) and got.count() == 10
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join")  # the join is below
