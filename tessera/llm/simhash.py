@@ -7,7 +7,8 @@ hold no link and is skipped. A cell returns a spanning forest of its links, not
 costs rows in proportion to its size. Forests of all cells are joined to components by star contraction on Spark.
 
 Where a similarity of texts is asked for, links are candidates: each is checked on the texts' shingles, and what joins by
-the links that hold is looked at again for further links until there are none.
+the links that hold is looked at again for further links until there are none. Candidates are looked for among texts that
+share one of their first shingles by hash, which similar sets must, so cells are left to those of common shingles.
 """
 
 from __future__ import annotations
@@ -16,12 +17,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import split_join, text_keys
-from tessera.llm.words import mix
+from tessera.llm.words import mix, window_hashes, word_hashes
 from tessera.runtime import materialise, ship
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -32,46 +34,71 @@ GROUPS, LEAST_GROUP, GROUP, TILE = 16, 1 << 8, 1 << 17, 512
 BROADCAST_ROWS = 1_000_000
 #: Shingles of a group of candidates that one task looks through; larger groups are looked at in rounds.
 MOST_ENTRIES = 4_000_000
+#: Parts by which first shingles are dealt out, and rows and bytes of text whose first shingles go into them at once.
+PARTS, SLICE, SLICE_BYTES = 1 << 10, 1 << 11, 1 << 23
+#: Fingerprints up to which the holders of a shingle are compared where it is; those of commoner ones meet in cells.
+#: Shingles that half as many texts hold are taken last, up to so many of the commonest.
+MOST_HOLDERS, MOST_COMMON = 64, 1 << 20
+#: A shingle's key is the low bits of a hash that is made of its words' for all texts of a slice at once; the lowest of them are
+#: its part.
+_BASE = 0xD6E8FEB86659FD93
+_PART_BITS, _PART, _KEY = np.uint64(10), np.uint64(PARTS - 1), np.uint64((1 << 42) - 1)
+#: A first shingle of a text: the rest of its key, the first word of the fingerprint, the size in steps of the similarity.
+_ENTRY, _STEPS = np.dtype([("h", "<u4"), ("f", "<u8"), ("q", "u1")]), 2
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
     """XXH64 (seed 42) of the distinct shingles of a text, ascending; no words: none."""
-    parts = text.translate(_LOWER).split()
-    k = min(len(parts), shingle)
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(parts[i : i + k]), SEED) for i in range(len(parts) - k + 1)), np.uint64)) if parts else np.zeros(0, np.uint64)
+    starts, ends, joined = _shingles(text, shingle)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)), np.uint64, len(starts)))
+
+
+def _shingles(text: bytes, shingle: int) -> tuple[list[int], list[int], bytes]:
+    """Where the shingles of a text begin and end in its words, joined by one space."""
+    parts = text.translate(_LOWER).split()  # of bytes: at these six characters
+    n = len(parts)
+    if not n:
+        return [], [], b""
+    size = np.fromiter(map(len, parts), np.int64, n)
+    ends = np.cumsum(size + 1)
+    k = min(n, shingle)
+    return (ends - size - 1)[: n - k + 1].tolist(), (ends[k - 1 :] - 1).tolist(), b" ".join(parts)
+
+
+def _bit_counts(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits. Sums of up to 255 of them fit into a byte."""
+    bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return sum((bits[k : k + 255].sum(axis=0, dtype=np.uint8).astype(np.int64) for k in range(0, len(bits), 255)), np.zeros(64, np.int64))
 
 
 def set_fingerprint(text: bytes, shingle: int, words: int) -> bytes:
     """fingerprint() of the set of shingles: each counts once however often it stands there."""
-    h = shingle_hashes(text, shingle)
+    return _of_hashes(shingle_hashes(text, shingle), words)
+
+
+def _of_hashes(h: np.ndarray, words: int) -> bytes:
     if not len(h):
         return bytes(8 * words)
     mixed = [mix(h ^ np.uint64(w * 0x9E3779B97F4A7C15 % (1 << 64))) if w else h for w in range(words)]
-    counts = [np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for x in mixed]
-    return np.packbits(np.array(counts) * 2 > len(h), bitorder="little").tobytes()
+    return np.packbits(np.array([_bit_counts(x) for x in mixed]) * 2 > len(h), bitorder="little").tobytes()
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, words: int = 1) -> bytes:
     """The SimHash of a text, 8 little-endian bytes a word: A-Z in lower case, words of [^\\x20\\x09-\\x0D]+, shingles joined
     by one space (fewer words: all of them as one), XXH64 with seed 42; a bit is 1 where more than half of the shingles
     have it. Further words of a wider fingerprint come from the same hashes, mixed anew. No words: 0."""
-    parts = text.translate(_LOWER).split()  # of bytes: at these six characters
-    n = len(parts)
-    if not n:
+    starts, ends, joined = _shingles(text, shingle)  # all are slices of one joined text
+    if not starts:
         return bytes(8 * words)
-    # all shingles are slices of one joined text
-    size = np.fromiter(map(len, parts), np.int64, n)
-    ends = np.cumsum(size + 1)
-    k = min(n, shingle)
-    starts, joined, ends = (ends - size - 1)[: n - k + 1].tolist(), b" ".join(parts), (ends[k - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
     counts = np.zeros((words, 64), np.int64)
     for at in range(0, len(starts), 1 << 16):
         h = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[at : at + (1 << 16)], ends[at : at + (1 << 16)], strict=True)), np.uint64)
         for w in range(words):
             x = mix(h ^ np.uint64(w * 0x9E3779B97F4A7C15 % (1 << 64))) if w else h
-            counts[w] += np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            counts[w] += _bit_counts(x)
     return np.packbits(counts * 2 > len(starts), bitorder="little").tobytes()
 
 
@@ -253,15 +280,26 @@ def _nodes(docs: DataFrame, shingle: int, words: int, of: Callable) -> tuple[Dat
     """A row each of docs (doc_id, k1, k2, f0, ...), and the distinct fingerprints (node, f0, ..., least doc_id, best: the
     first row by doc_id and text key). A node is the fingerprint itself, or a number that is given to it once, when it is
     written."""
-    names = [f"f{w}" for w in range(words)]
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(text.cast("binary").alias("t"), F.col("doc_id").cast("long").alias("doc_id"), *text_keys(text))
-    rows = rows.mapInArrow(_fingerprints(shingle, words, of), ", ".join(f"{x} long" for x in names) + ", doc_id long, k1 long, k2 long")
+    rows = _texts(docs).mapInArrow(_fingerprints(shingle, words, of), _schema(words))
     rows = materialise(rows, "fingerprints")
+    return rows, _distinct(rows, words)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(text.cast("binary").alias("t"), F.col("doc_id").cast("long").alias("doc_id"), *text_keys(text))
+
+
+def _schema(words: int) -> str:
+    return ", ".join(f"f{w} long" for w in range(words)) + ", doc_id long, k1 long, k2 long"
+
+
+def _distinct(rows: DataFrame, words: int) -> DataFrame:
+    names = [f"f{w}" for w in range(words)]
     first = F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "k1", "k2")
     distinct = rows.groupBy(*names).agg(F.min("doc_id").alias("least"), F.min(first).alias("best"))
     node = F.col("f0") if words == 1 else F.monotonically_increasing_id()
-    return rows, materialise(distinct.withColumn("node", node), "distinct-fingerprints")
+    return materialise(distinct.withColumn("node", node), "distinct-fingerprints")
 
 
 _NO_ID = (1 << 63) - 1
@@ -287,6 +325,213 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return split_join(rows, known, names).select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, so many at once that their texts (the first column) have some bytes."""
+    ends, at = np.cumsum(pc.binary_length(batch.column(0)).to_numpy(zero_copy_only=False)), 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        end = min(max(int(np.searchsorted(ends, before + SLICE_BYTES, "right")), at + 1), at + SLICE)
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def _shingle_keys(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of the distinct shingles of each text, in the order of their hashes, and how many each has."""
+    n = np.fromiter((len(t.split()) for t in texts), np.int64, len(texts))
+    words, begin = word_hashes(b"\n".join(texts).translate(_LOWER))[0], np.cumsum(n) - n
+    windows, made, at = mix(window_hashes(words, shingle, _BASE)), np.where(n, np.maximum(n - shingle + 1, 1), 0), 0
+    h = np.empty(int(made.sum()), np.uint64)
+    for a, k, m in zip(begin.tolist(), n.tolist(), made.tolist(), strict=True):
+        if m:
+            h[at : at + m] = np.sort(windows[a : a + m] if k >= shingle else mix(window_hashes(words[a : a + k], k, _BASE)))
+            at += m
+    owner = np.repeat(np.arange(len(n)), made)
+    own = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))[: len(h)]
+    return h[own] & _KEY, np.bincount(owner[own], minlength=len(n))
+
+
+def _firsts(sizes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Which of the rows of groups of some sizes are among the first n of their group."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) < np.repeat(n, sizes)
+
+
+def _n_first(n: np.ndarray, similarity: float) -> np.ndarray:
+    """Of n shingles in some order, so many that every set of that similarity shares one of its own first ones."""
+    return np.where(n, n - np.ceil(similarity * n - 1e-6).astype(np.int64) + 1, 0)
+
+
+def _blobs(values: np.ndarray, keys: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """part, and the values of its keys as bytes. Parts go by the low bits of hashes, as the first ones in order are small."""
+    part = (keys & _PART).astype(np.int16)
+    order = np.argsort(part, kind="stable")
+    found, begin = np.unique(part[order], return_index=True)
+    ends = np.append(begin, len(values)).astype(np.int32) * values.dtype.itemsize
+    return pa.array(found.astype(np.int32)), pa.Array.from_buffers(pa.binary(), len(found), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(values[order].tobytes())])
+
+
+def _counted_shingles(shingle: int, similarity: float) -> Callable:
+    """The keys of the first shingles of each text and of half as many more (entries), by their parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in _slices(batch):
+                keys, size = _shingle_keys(b.column(0).to_pylist(), shingle)
+                keys = keys[_firsts(size, _n_first(size, similarity) * 3 // 2 + 4)]
+                yield pa.RecordBatch.from_arrays(list(_blobs((keys >> _PART_BITS).astype(np.uint32), keys)), ["part", "entries"])
+
+    return run
+
+
+def _common_keys(blobs: list[bytes], part: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a part that stand there more than `most` times, and how often."""
+    h, n = np.unique(np.frombuffer(b"".join(blobs), np.uint32), return_counts=True)
+    return ((h[n > most].astype(np.uint64) << _PART_BITS) + np.uint64(part)).astype(np.int64), n[n > most].astype(np.int64)
+
+
+def _dealt_shingles(shingle: int, words: int, similarity: float, common: object) -> Callable:
+    """The rows of _fingerprints() of sets, and the first shingles of their texts (entries), by parts of their keys. Common
+    ones are the last in order."""
+    names, step = [f"f{w}" for w in range(words)], max(-np.log(similarity), 1e-3) / _STEPS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = common.value
+        for batch in batches:
+            for b in _slices(batch):
+                texts = b.column(0).to_pylist()
+                fp = np.frombuffer(b"".join([set_fingerprint(x, shingle, words) for x in texts]), "<i8").reshape(-1, words)
+                spread = pa.array((np.arange(b.num_rows) % PARTS).astype(np.int32))  # they are needed in no certain place
+                columns = ["part", *names, *b.schema.names[1:], "entries"]
+                yield pa.RecordBatch.from_arrays([spread, *(pa.array(fp[:, w]) for w in range(words)), *b.columns[1:], pa.nulls(b.num_rows, pa.binary())], columns)
+                every, size = _shingle_keys(texts, shingle)
+                is_last = np.zeros(len(every), bool) if not len(last) else last[np.minimum(np.searchsorted(last, every), len(last) - 1)] == every
+                order, n = np.argsort(np.repeat(np.arange(len(size)) * 2, size) + is_last, kind="stable"), _n_first(size, similarity)
+                keys = every[order[_firsts(size, n)]]
+                entries = np.empty(len(keys), _ENTRY)
+                entries["h"], entries["f"] = keys >> _PART_BITS, np.repeat(fp[:, 0].astype(np.int64).view(np.uint64), n)
+                entries["q"] = np.repeat(np.minimum(np.log(np.maximum(size, 1)) / step, 255).astype(np.uint8), n)
+                part, blobs = _blobs(entries, keys)
+                yield pa.RecordBatch.from_arrays([part, *[pa.nulls(len(part), pa.int64())] * (words + 3), blobs], columns)
+
+    return run
+
+
+def _holder_pairs(blobs: list[bytes], screen: int, most: int) -> tuple[np.ndarray, pa.Array]:
+    """Pairs (a, b) of first words of fingerprints that hold a shingle in common and can be linked; those that hold a
+    shingle of more than `most` of them, with a null."""
+    entries = np.frombuffer(b"".join(blobs), _ENTRY)
+    h, f, q = entries["h"].copy(), entries["f"].copy(), entries["q"].astype(np.int16)
+    order = np.lexsort((q, f, h))
+    h, f, q = h[order], f[order], q[order]
+    own = np.append(True, (h[1:] != h[:-1]) | (f[1:] != f[:-1]) | (q[1:] != q[:-1])) if len(h) else np.zeros(0, bool)
+    h, f, q = h[own], f[own], q[own]  # a copy counts once
+    begin = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+    size = np.diff(np.append(begin, len(h)))
+    end, common = np.repeat(begin + size, size), np.repeat(size > most, size)
+    i, d, found = np.flatnonzero(~common), 1, []
+    while len(i := i[i + d < end[i]]):
+        j = i + d
+        ok = (np.bitwise_count(f[i] ^ f[j]) <= screen) & (np.abs(q[i] - q[j]) <= _STEPS + 1) & (f[i] != f[j])
+        found.append(np.column_stack([np.minimum(f[i[ok]], f[j[ok]]), np.maximum(f[i[ok]], f[j[ok]])]))
+        d += 1
+    pairs = np.concatenate([np.zeros((0, 2), np.uint64), *found])
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    pairs = pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(axis=1))] if len(pairs) else pairs
+    common = np.unique(f[common]).view(np.int64)
+    a, b = (np.ascontiguousarray(pairs[:, c]).view(np.int64) for c in range(2))
+    return np.append(a, common), pa.concat_arrays([pa.array(b), pa.nulls(len(common), pa.int64())])
+
+
+def _by_part(names: list[str], of: Callable) -> Callable:
+    """Rows (part, names, entries) that are sorted by part: those without entries as they are, and of the others a row
+    (a, b) for each that of(entries, part) finds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
+
+        def found() -> pa.RecordBatch:
+            a, b = of(held, at)
+            return pa.RecordBatch.from_arrays([*[pa.nulls(len(a), pa.int64())] * len(names), pa.array(a), pa.array(b)], [*names, "a", "b"])
+
+        for batch in batches:
+            alone = batch.column(len(names) + 1).is_null()
+            b = batch.filter(alone)
+            if names:
+                yield pa.RecordBatch.from_arrays([*b.columns[1:-1], *[pa.nulls(b.num_rows, pa.int64())] * 2], [*names, "a", "b"])
+            b = batch.filter(pc.invert(alone))
+            for part, blob in zip(b.column(0).to_pylist(), b.column(len(names) + 1).to_pylist(), strict=True):
+                if part != at and held:
+                    yield found()
+                    held = []
+                at = part
+                held.append(blob)
+        if held:
+            yield found()
+
+    return run
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of edges (a, b), some that join what all join."""
+    most, held, n = 1 << 20, [], 0
+
+    def joining() -> np.ndarray:
+        every = np.concatenate(held)
+        node, at = np.unique(every, return_inverse=True)
+        at = at.reshape(-1, 2)
+        taken = _join_labels(np.arange(len(node)), at[:, 0], at[:, 1])
+        return np.concatenate([np.zeros((0, 2), np.int64), *(np.column_stack([node[i], node[j]]) for i, j in taken)])
+
+    for b in batches:
+        held.append(np.column_stack([b.column(0).to_numpy(), b.column(1).to_numpy()]))
+        n += b.num_rows
+        if n > most:
+            held = [joining()]
+            n, most = 0, max(1 << 20, len(held[0]))
+    if held:
+        edges = joining()
+        yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0].copy()), pa.array(edges[:, 1].copy())], ["a", "b"])
+
+
+def candidates(docs: DataFrame, similarity: float, shingle: int, words: int, radius: int, screen: int, group: int | None = None, holders: int = MOST_HOLDERS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The distinct fingerprints of docs as _nodes() has them, edges a, b over their nodes, and the components of these.
+    Edges are links of fingerprints within the radius and the screen; nodes whose texts have that Jaccard similarity of
+    their sets of shingles, and are linked so, are in one component.
+
+    Of m shingles in any one order, two similar sets share one of the first m - similarity * m + 1 of each; here it is
+    the order of the hashes, with those that many texts hold at the end (as they were counted among first ones). So only
+    the holders of such a shingle are compared, which takes time in proportion to the text. Nodes with a first shingle of
+    more than `holders` fingerprints all the same, or that share the first word of theirs with as many, are compared in
+    the cells of links(), all with all.
+    """
+    names, spark = [f"f{w}" for w in range(words)], docs.sparkSession
+    texts = _texts(docs)
+    by_part = lambda df: df.repartition("part").sortWithinPartitions("part")
+    counted = by_part(texts.select("t").mapInArrow(_counted_shingles(shingle, similarity), "part int, entries binary"))
+    counted = materialise(counted.mapInArrow(_by_part([], lambda x, part: _common_keys(x, part, holders // 2)), "a long, b long"), "common-shingles")
+    last = counted.orderBy(F.desc("b"), "a").limit(MOST_COMMON).select("a").toArrow().column(0).to_numpy()
+    last = spark.sparkContext.broadcast(np.sort(last.astype(np.uint64)))  # of bounded size
+    dealt = by_part(texts.mapInArrow(_dealt_shingles(shingle, words, similarity, last), f"part int, {_schema(words)}, entries binary"))
+    met = materialise(dealt.mapInArrow(_by_part([*names, "doc_id", "k1", "k2"], lambda x, _: _holder_pairs(x, screen, holders)), f"{_schema(words)}, a long, b long"), "fingerprints")
+    distinct = _distinct(met.filter("a is null"), words)
+    alike = distinct.groupBy("f0").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    pairs = met.filter("b is not null").select("a", "b").distinct().union(alike.filter(F.col("n") <= holders).select(F.col("f0").alias("a"), F.col("f0").alias("b")))
+    many = alike.filter(F.col("n") > holders).select("f0", F.lit(True).alias("many"))
+    nodes = split_join(distinct.select("node", *names), many, ["f0"], "left")
+    side = lambda x: nodes.select(F.col("f0").alias(x), F.struct("node", *names, F.coalesce("many", F.lit(False)).alias("many")).alias(f"n{x}"))
+    both = split_join(split_join(pairs, side("a"), ["a"]), side("b"), ["b"])
+    both = both.filter("(a != b or na.node < nb.node) and not (na.many and nb.many)")
+    bits = [F.bit_count(F.col(f"na.{x}").bitwiseXOR(F.col(f"nb.{x}"))) for x in names]
+    edges = both.filter((sum(bits[1:], bits[0]) <= radius) & (bits[0] <= screen)).select(F.col("na.node").alias("a"), F.col("nb.node").alias("b"))
+    common = met.filter("a is not null and b is null").select(F.col("a").alias("f0")).union(many.select("f0")).distinct()
+    common = materialise(split_join(distinct, common, ["f0"], "left_semi"), "common-fingerprints")
+    if not common.isEmpty():
+        edges = edges.union(links(common, words, radius, screen, group))
+    edges = materialise(edges.distinct(), "candidate-pairs")
+    classes = materialise(components(edges, "candidate-stars"), "candidate-groups")
+    within = split_join(edges, classes.select(F.col("node").alias("a"), "component"), ["a"])
+    return distinct, materialise(within.repartition("component").select("a", "b").mapInArrow(_forests, "a long, b long"), "candidate-links"), classes
+
+
 def _sets(shingle: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -388,7 +633,7 @@ def _within_group(similarity: float, words: int, radius: int, screen: int) -> Ca
     return run
 
 
-def similar_groups(docs: DataFrame, similarity: float, shingle: int, words: int, radius: int, screen: int, group: int | None = None, most: int = MOST_ENTRIES) -> tuple[DataFrame, DataFrame]:
+def similar_groups(docs: DataFrame, similarity: float, shingle: int, words: int, radius: int, screen: int, group: int | None = None, most: int = MOST_ENTRIES, holders: int = MOST_HOLDERS) -> tuple[DataFrame, DataFrame]:
     """The distinct fingerprints of docs as _nodes() has them, and (node, component): groups over links whose texts have
     that Jaccard similarity of their sets of shingles, among links of fingerprints within the radius and the screen.
 
@@ -399,9 +644,7 @@ def similar_groups(docs: DataFrame, similarity: float, shingle: int, words: int,
     """
     ship(docs.sparkSession)
     names = [f"f{w}" for w in range(words)]
-    _, distinct = _nodes(docs, shingle, words, set_fingerprint)
-    found = materialise(links(distinct, words, radius, screen, group).distinct(), "candidate-links")
-    classes = materialise(components(found, "candidate-stars"), "candidate-groups")
+    distinct, found, classes = candidates(docs, similarity, shingle, words, radius, screen, group, holders)
     sets = _shingle_sets(docs, split_join(distinct, classes, ["node"]).select("node", "best.k1", "best.k2"), shingle)
     checked = materialise(_checked(found, sets, similarity), "checked-links")
     held, refused = checked.filter("ok").select("a", "b"), checked.filter("not ok").select("a", "b")
@@ -451,4 +694,4 @@ def first_of_groups(docs: DataFrame, similarity: float, shingle: int, words: int
     return kept.groupBy("id", "k1", "k2").agg(least.alias("row")).select(*[F.col("row").getField(c).alias(c) for c in names])
 
 
-__all__ = ["components", "fingerprint", "first_of_groups", "forest", "links", "near_duplicates", "similar_groups"]
+__all__ = ["candidates", "components", "fingerprint", "first_of_groups", "forest", "links", "near_duplicates", "similar_groups"]

@@ -129,6 +129,61 @@ def test_groups_in_rounds(spark):
     assert sorted(map(sorted, parts.values())) == sorted(sorted(k for k in range(len(texts)) if want[k] == x) for x in set(want) if want.count(x) > 1)
 
 
+def groups(spark, texts, **settings):
+    distinct, joined = simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), C.SIMILARITY, C.SHINGLE, C.WORDS, C.RADIUS, C.SCREEN, **settings)
+    least, parts = {r.node: r.least for r in distinct.collect()}, collections.defaultdict(set)
+    for r in joined.collect():
+        parts[r.component].add(least[r.node])
+    return sorted(map(sorted, parts.values()))
+
+
+def wanted(texts):
+    own = {}
+    for k, t in enumerate(texts):  # one of those with equal words
+        own.setdefault(" ".join(t.lower().split()), k)
+    ids = list(own.values())
+    top = grouped(len(ids), similar([texts[k] for k in ids]))
+    return sorted(sorted(ids[k] for k in range(len(ids)) if top[k] == x) for x in set(top) if top.count(x) > 1)
+
+
+def test_cells_are_for_common_shingles(spark, monkeypatch):
+    """Work that grows with the text: texts are compared if they share a first shingle, not all with all, whatever line
+    stands in many of them."""
+    rng, compared, links = np.random.default_rng(3), [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda nodes, *a: compared.append(nodes.count()) or links(nodes, *a))
+    line = " ".join(f"menu{k}" for k in range(12))
+    texts = [f"{line} " * (k % 2) + " ".join(f"w{x}" for x in rng.integers(0, 10**6, 60)) for k in range(1500)]
+    texts += [f"{t} end" for t in texts[:40]]
+    assert groups(spark, texts) == wanted(texts) == [[k, 1500 + k] for k in range(40)]
+    assert sum(compared) <= 100
+
+
+@pytest.mark.parametrize("holders", [1, 2, 8])
+def test_common_shingles_lose_no_link(spark, holders):
+    """Shingles of more texts than are compared at once: these texts meet in cells, alone or beside others."""
+    rng, texts = np.random.default_rng(4), []
+    for k in range(12):
+        base = [f"b{k}x{j}" for j in range(10 + 12 * k)]
+        for c in range(k):
+            w = list(base)
+            for j in rng.integers(0, len(w), k // 4):
+                w[j] = f"c{c}x{j}"
+            texts.append(" ".join([*(["the", "same", "words", "in", "all", "of", "them"] * (c % 2)), *w]))
+    texts += ["a b", "A  b", "", "\n", "x", "a b c d e f g h", "a b c d e f g h i"]
+    assert groups(spark, texts, holders=holders) == wanted(texts)
+
+
+def test_shingle_keys():
+    rng = np.random.default_rng(5)
+    texts = [b"", b" \n", b"a", b"A\x0bb c", b"x y " * 300, *(b" ".join(b"%d" % x for x in rng.integers(0, 30, n)) for n in rng.integers(0, 900, 40))]
+    keys, sizes = simhash._shingle_keys(texts, C.SHINGLE)
+    assert sizes.tolist() == [len(simhash.shingle_hashes(t, C.SHINGLE)) for t in texts]
+    ends = np.cumsum(sizes)
+    for k, t in enumerate(texts):  # wherever a text stands
+        alone = simhash._shingle_keys([t], C.SHINGLE)[0]
+        assert np.array_equal(alone, keys[ends[k] - sizes[k] : ends[k]])
+
+
 def test_one_task_finds_what_joins_a_group():
     rng = np.random.default_rng(9)
     sets = [np.unique(np.concatenate([rng.choice(60, 40, replace=False), 1000 * (k % 3) + np.arange(30)])) for k in range(60)]
